@@ -26,8 +26,13 @@ def sequenced(
     """
     keys = keys or AGENT
     bk = [*keys, "_b"]
-    base = steps.withColumn("_ord", order_key()).withColumn(
-        "_b", block_of("tick", block_width(steps, width))
+    # The join below implies these filters; stating them keeps both branches' exchanges identical.
+    for c in keys + ["tick"]:
+        steps = steps.filter(F.col(c).isNotNull())
+    base = (
+        steps.withColumn("_ord", order_key())
+        .withColumn("_b", block_of("tick", block_width(steps, width)))
+        .filter(F.col("_b").isNotNull())
     )
     w = Window.partitionBy(*bk).orderBy("_ord")
     before = w.rowsBetween(Window.unboundedPreceding, -1)

@@ -21,6 +21,14 @@ def block_of(position: Column | str, width: int) -> Column:
     return F.floor(position / F.lit(width)).cast("long")
 
 
+def _blocked(df: DataFrame, keys: list[str], position: str, width: int | None) -> DataFrame:
+    # The carry join implies these filters; stated up front, they reach both branches alike.
+    out = df.withColumn("_b", block_of(position, block_width(df, width)))
+    for c in [*keys, "_b"]:
+        out = out.filter(F.col(c).isNotNull())
+    return out
+
+
 def prefix(
     df: DataFrame,
     keys: list[str],
@@ -32,7 +40,7 @@ def prefix(
 ) -> DataFrame:
     """Running sums per key. `position` is a numeric order column; `order` refines it inside ties."""
     order = order or [position]
-    blocked = df.withColumn("_b", block_of(position, block_width(df, width)))
+    blocked = _blocked(df, keys, position, width)
     bk = [*keys, "_b"]
     local_w = Window.partitionBy(*bk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     totals = blocked.groupBy(*bk).agg(*[F.sum(c).alias(f"_t_{a}") for a, c in sums.items()])
@@ -58,7 +66,7 @@ def fill_forward(
     df: DataFrame, keys: list[str], position: str, cols: dict[str, Column], width: int | None = None
 ) -> DataFrame:
     """Last non-null value at or before each row, per key."""
-    blocked = df.withColumn("_b", block_of(position, block_width(df, width)))
+    blocked = _blocked(df, keys, position, width)
     bk = [*keys, "_b"]
     local_w = Window.partitionBy(*bk).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     lasts = blocked.groupBy(*bk).agg(
