@@ -4,10 +4,10 @@ import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from episodica.functions.numbers import as_col, mixed_uniform
+from episodica.plans.ordered import prefix
 
 
 def decay(step, schedule: str, initial: float, minimum: float, max_step: int, power: float = 1.0) -> Column:
@@ -80,9 +80,11 @@ def sample_parameter(kind: str, args: tuple, seed, *ids) -> Column:
 def seed_plan(lessons: DataFrame, run_seed: int) -> DataFrame:
     """Lessons without a seed get the run's seed plus a running offset, in (parameter, lesson) order.
 
-    `lessons` is a configuration table: run, param_no, lesson, seed (-1 = unset).
+    Columns: run, param_no, lesson (both below 2^31), seed (-1 = unset).
     """
     unset = F.col("seed") == -1
-    w = Window.partitionBy("run").orderBy("param_no", "lesson").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(unset.cast("long")).over(w), F.lit(0))
-    return lessons.withColumn("planned_seed", F.when(unset, F.lit(run_seed) + offset).otherwise(F.col("seed")))
+    placed = lessons.withColumn("_pos", F.col("param_no").cast("long") * F.lit(1 << 31) + F.col("lesson"))
+    counted = prefix(placed, ["run"], "_pos", {"_offset": unset.cast("long")}, inclusive=False)
+    return counted.withColumn(
+        "planned_seed", F.when(unset, F.lit(run_seed) + F.col("_offset")).otherwise(F.col("seed"))
+    ).drop("_pos", "_offset")
