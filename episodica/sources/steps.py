@@ -46,7 +46,14 @@ def event_columns() -> dict[str, Column]:
     }
 
 
+def instant(df: DataFrame, c: str) -> Column:
+    """A timestamp without zone counts as UTC, whatever the session's zone is."""
+    if dict(df.dtypes)[c] != "timestamp_ntz":
+        return F.col(c)
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(c)).cast("timestamp")
+
+
 def steps_from_events(events: DataFrame, *columns: str) -> DataFrame:
-    exprs = event_columns()
+    exprs = {**event_columns(), "ts": instant(events, "ts")}
     wanted = columns or tuple(exprs)
     return events.select(*[exprs[c].alias(c) for c in wanted])
