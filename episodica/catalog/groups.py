@@ -9,7 +9,7 @@ from episodica.operators import groups as G
 from episodica.operators import returns as R
 from episodica.schema import AGENT
 
-COLUMNS = (*AGENT, "tick", "group_id", "is_terminal", "interrupted", "reward", "group_reward", "k")
+COLUMNS = (*AGENT, "tick", "group_id", "is_terminal", "reward")
 
 # A status row ends the experience that began at the agent's previous row.
 STATUS_SQL = (
@@ -33,8 +33,8 @@ res AS (SELECT s.*, coalesce(t.n, 0) AS n_mates, coalesce(t.mr, 0) AS mates_rewa
 )
 
 
-def status(spark, sf_dir, behind=None):
-    return G.statuses(steps(spark, sf_dir, *COLUMNS), behind)
+def status(spark, sf_dir, *extra):
+    return G.statuses(steps(spark, sf_dir, *COLUMNS, *extra))
 
 
 @query(
@@ -56,7 +56,7 @@ def group_mate_totals(spark, sf_dir):
 mates_prev_k, mates_sum FROM res""",
 )
 def group_status_lists(spark, sf_dir):
-    st = status(spark, sf_dir, ["k"]).withColumn("prev_k", F.col("prv.k"))
+    st = status(spark, sf_dir, "k").withColumn("prev_k", F.col("prv.k"))
     out = G.group_status(st, ["prev_k", "reward", "is_terminal"])
     g = F.col("group_status")
     zero = F.lit(0).cast("long")
@@ -75,7 +75,7 @@ def group_status_lists(spark, sf_dir):
 WHERE group_id > 0 AND (is_terminal OR (i - 1) % 4 = 3)""",
 )
 def next_group_observations(spark, sf_dir):
-    out = G.next_group_obs(status(spark, sf_dir), 4, "k")
+    out = G.next_group_obs(status(spark, sf_dir, "k"), 4, "k")
     g = F.col("next_group_obs")
     return out.select(
         "agent_id", F.floor(F.col("ord") / 2).alias("tick"), F.size(g).cast("long").alias("n_mates"),
@@ -88,7 +88,7 @@ def next_group_observations(spark, sf_dir):
     f"""WITH {STATUS_SQL} SELECT agent_id, tick, {r('reward + mates_reward + group_reward')} AS extrinsic FROM res""",
 )
 def extrinsic_rewards(spark, sf_dir):
-    out = R.extrinsic_reward(G.group_totals(status(spark, sf_dir)), "mates_reward", "group_reward")
+    out = R.extrinsic_reward(G.group_totals(status(spark, sf_dir, "group_reward")), "mates_reward", "group_reward")
     return out.select("agent_id", "tick", steady("extrinsic").alias("extrinsic"))
 
 
@@ -98,7 +98,7 @@ def extrinsic_rewards(spark, sf_dir):
 FROM res GROUP BY agent_id, episode HAVING bool_or(is_terminal AND n_mates = n_done_mates)""",
 )
 def group_returns(spark, sf_dir):
-    out = G.group_returns(G.group_totals(status(spark, sf_dir)))
+    out = G.group_returns(G.group_totals(status(spark, sf_dir, "group_reward")))
     return out.select("agent_id", "episode", steady("group_return").alias("group_return"), "end_tick")
 
 

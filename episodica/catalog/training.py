@@ -178,7 +178,7 @@ SELECT batch, {r('avg(CASE WHEN m THEN f END)')} AS forward_loss, {r('avg(CASE W
 def curiosity_losses(spark, sf_dir):
     b = batch(spark, sf_dir).select(
         "batch", "mask", F.array("value", "returns").alias("p"), F.array("old_value", "px").alias("a"),
-        V.softmax(F.array("log_prob", "old_log_prob")).alias("probs"), (F.col("ln") % 2).cast("int").alias("act"),
+        V.softmax(F.array("log_prob", "old_log_prob"), 2).alias("probs"), (F.col("ln") % 2).cast("int").alias("act"),
     )
     out = M.curiosity_loss(b, ["batch"], "p", "a", "probs", "act", "mask")
     return _out(out, ["batch"], ["forward_loss", "inverse_loss"])

@@ -76,25 +76,54 @@ def mask_logits(logits, allowed) -> Column:
     return F.zip_with(as_col(logits), as_col(allowed), lambda x, m: x * m - F.lit(MASK_PENALTY) * (1.0 - m))
 
 
-def softmax(logits) -> Column:
+def items(arr, n: int, start: int = 0) -> list[Column]:
+    """Entries of a vector of known length, as plain columns: these stay in generated code."""
+    return [F.get(as_col(arr), F.lit(start + i)) for i in range(n)]
+
+
+def add_up(cols: list[Column]) -> Column:
+    return sum(cols[1:], cols[0])
+
+
+def softmax(logits, n: int | None = None) -> Column:
+    """Probabilities; give `n` where the number of actions is fixed."""
     logits = as_col(logits)
+    if n:
+        xs = items(logits, n)
+        top = F.greatest(*xs) if n > 1 else xs[0]
+        es = [F.exp(x - top) for x in xs]
+        whole = add_up(es)
+        return F.array(*[e / whole for e in es])
     top = F.array_max(logits)
     e = F.transform(logits, lambda x: F.exp(x - top))
     return F.transform(e, lambda x: x / total(e))
 
 
-def log_softmax(logits) -> Column:
+def log_sum_exp(xs: list[Column]) -> Column:
+    if len(xs) == 1:
+        return xs[0]
+    top = F.greatest(*xs)
+    return top + F.ln(add_up([F.exp(x - top) for x in xs]))
+
+
+def log_softmax(logits, n: int | None = None) -> Column:
     logits = as_col(logits)
+    if n:
+        xs = items(logits, n)
+        whole = log_sum_exp(xs)
+        return F.array(*[x - whole for x in xs])
     top = F.array_max(logits)
     log_sum = F.ln(F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
     return F.transform(logits, lambda x: x - top - log_sum)
 
 
 def categorical_log_prob(probs, index) -> Column:
-    return F.ln(as_col(probs)[as_col(index)] + F.lit(EPS))
+    return F.ln(F.get(as_col(probs), as_col(index)) + F.lit(EPS))
 
 
-def categorical_entropy(probs) -> Column:
+def categorical_entropy(probs, n: int | None = None) -> Column:
+    if n:
+        return -add_up([p * F.ln(p + F.lit(EPS)) for p in items(probs, n)])
     return F.aggregate(as_col(probs), F.lit(0.0), lambda a, p: a - p * F.ln(p + F.lit(EPS)))
 
 

@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from episodica.operators.sessions import order_key, sequenced
+from episodica.plans.folds import python_partitions
+from episodica.plans.lineage import join_stats
 from episodica.plans.ordered import block_of, block_width, prefix
 from episodica.schema import AGENT, GROUP
 
 
-def statuses(steps: DataFrame, behind: list[str] | None = None, width: int | None = None) -> DataFrame:
-    """Experiences in the row that completes them: `prv` holds the step they began with."""
-    behind = sorted({"reward", *(behind or [])})
-    seq = sequenced(steps, behind=behind, width=width)
+def statuses(steps: DataFrame, width: int | None = None) -> DataFrame:
+    """Experiences in the row that completes them: `prv` holds all columns of the step they began with."""
+    seq = sequenced(steps, behind=[c for c in steps.columns if c not in AGENT], width=width)
     return seq.filter(F.col("i") > 0).withColumn("ord", order_key())
 
 
@@ -106,10 +107,8 @@ def mate_lists(status: DataFrame, payload: list[str], emit: Column | None = None
             "l.status",
         )
     )
-    laid_out = (
-        body.unionByName(carried)
-        .repartition(*gk, "b")
-        .sortWithinPartitions(*gk, "b", "ord", "agent_id")
+    laid_out = python_partitions(body.unionByName(carried), [*gk, "b"]).sortWithinPartitions(
+        *gk, "b", "ord", "agent_id"
     )
     kinds = {f.name: f.dataType for f in body.schema}
     schema = T.StructType([T.StructField(c, kinds[c]) for c in [*gk, "agent_id", "ord"]])
@@ -183,7 +182,9 @@ def group_returns(totals: DataFrame) -> DataFrame:
     )
 
 
-def broadcast_group_reward(rewards: DataFrame, members: DataFrame, window: str = "decision") -> DataFrame:
+def broadcast_group_reward(
+    rewards: DataFrame, members: DataFrame, window: str = "decision", per_task: int = 10_000
+) -> DataFrame:
     """Every registered member receives the group's reward: the last `set` plus later `add`s.
 
     Rewards are reduced to one row per (group, window) before they meet the members.
@@ -191,9 +192,17 @@ def broadcast_group_reward(rewards: DataFrame, members: DataFrame, window: str =
     keys = ["group_id", window]
     sets = rewards.groupBy(*keys).agg(F.max(F.when(F.col("op") == "set", F.col("tick"))).alias("_set"))
     amount = (
-        rewards.join(sets, keys)
+        join_stats(rewards, sets, keys)
         .filter(F.col("tick") >= F.coalesce("_set", F.lit(-1)))
         .groupBy(*keys)
         .agg(F.sum("amount").alias("group_reward"))
     )
-    return members.join(amount, "group_id")
+    # A group with many windows is spread over salts; its members meet each of them once.
+    salts = amount.groupBy("group_id").agg(F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("_salts"))
+    spread = join_stats(amount, salts, ["group_id"]).withColumn(
+        "_salt", F.pmod(F.xxhash64(window), F.col("_salts")).cast("int")
+    )
+    copies = join_stats(members, salts, ["group_id"]).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
+    )
+    return copies.drop("_salts").join(spread.drop("_salts"), ["group_id", "_salt"]).drop("_salt")

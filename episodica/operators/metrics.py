@@ -37,7 +37,7 @@ def ppo_value_loss(df: DataFrame, by: list[str], eps: float, signals: dict[str,
         inside = o + clip(v - o, -eps, eps)
         worst = F.greatest(F.pow(ret - v, F.lit(2.0)), F.pow(ret - inside, F.lit(2.0)))
         losses.append(masked_mean(worst, mask))
-    return _agg(df, by, (sum(losses[1:], losses[0]) / len(losses)).alias(alias))
+    return _agg(df, by, (V.add_up(losses) / len(losses)).alias(alias))
 
 
 def objective(policy_loss, value_loss, entropy, beta: float, baseline_loss=None) -> Column:
@@ -78,22 +78,26 @@ def sac_continuous(df: DataFrame, by: list[str], gamma: float, ent_coef: float,
 
 def sac_discrete(df: DataFrame, by: list[str], sizes: list[int], ent_coefs: list[float], target_entropies: list[float], mask="mask") -> DataFrame:
     """Columns: value, q1p, q2p (one value per action), log_probs (all actions), branches concatenated."""
-    lp, q1, q2 = V.branches_of("log_probs", sizes), V.branches_of("q1p", sizes), V.branches_of("q2p", sizes)
-    probs = [F.transform(b, lambda x: F.exp(x)) for b in lp]
+    starts = [sum(sizes[:i]) for i in range(len(sizes))]
+    lp, q1, q2 = ([V.items(c, n, at) for n, at in zip(sizes, starts)] for c in ("log_probs", "q1p", "q2p"))
+
+    def expected(values: list[Column], log_probs: list[Column]) -> Column:
+        return V.add_up([x * F.exp(y) for x, y in zip(values, log_probs)])
+
     n = float(len(sizes))
-    mean_q1 = sum((V.dot(a, p) for a, p in zip(q1[1:], probs[1:])), V.dot(q1[0], probs[0]))
-    mean_q2 = sum((V.dot(a, p) for a, p in zip(q2[1:], probs[1:])), V.dot(q2[0], probs[0]))
-    bonus = [V.dot(a, p) for a, p in zip(lp, probs)]
+    mean_q1 = V.add_up([expected(q, p) for q, p in zip(q1, lp)])
+    mean_q2 = V.add_up([expected(q, p) for q, p in zip(q2, lp)])
+    bonus = [expected(p, p) for p in lp]
     weighted = [F.lit(c) * b for c, b in zip(ent_coefs, bonus)]
-    v_backup = F.least(mean_q1 / n, mean_q2 / n) - sum(weighted[1:], weighted[0]) / n
-    policy = sum(weighted[1:], weighted[0]) - mean_q1
+    v_backup = F.least(mean_q1 / n, mean_q2 / n) - V.add_up(weighted) / n
+    policy = V.add_up(weighted) - mean_q1
     entropy = [F.lit(c) * (b + F.lit(t)) for c, b, t in zip(ent_coefs, bonus, target_entropies)]
     return _agg(
         df,
         by,
         half_mse("value", v_backup, mask).alias("value_loss"),
         masked_mean(policy, mask).alias("policy_loss"),
-        (-masked_mean(sum(entropy[1:], entropy[0]) / n, mask)).alias("entropy_loss"),
+        (-masked_mean(V.add_up(entropy) / n, mask)).alias("entropy_loss"),
     )
 
 
@@ -121,12 +125,13 @@ def bc_loss(df: DataFrame, by: list[str], sizes: list[int], continuous: tuple[st
         terms.append(F.sum(V.squared_distance(a, b)) / F.sum(F.size(a)))
     if discrete:
         logits, actions = discrete
+        starts = [sum(sizes[:i]) for i in range(len(sizes))]
         parts = [
-            -F.get(V.log_softmax(branch), F.get(F.col(actions), F.lit(i)))
-            for i, branch in enumerate(V.branches_of(logits, sizes))
+            V.log_sum_exp(V.items(logits, n, at)) - F.get(F.col(logits), F.get(F.col(actions), F.lit(i)) + at)
+            for i, (n, at) in enumerate(zip(sizes, starts))
         ]
-        terms.append(F.avg(sum(parts[1:], parts[0]) / float(len(sizes))))
-    return _agg(df, by, sum(terms[1:], terms[0]).alias("bc_loss"))
+        terms.append(F.avg(V.add_up(parts) / float(len(sizes))))
+    return _agg(df, by, V.add_up(terms).alias("bc_loss"))
 
 
 def curiosity_loss(df: DataFrame, by: list[str], predicted: str, actual: str, action_probs: str, action: str, mask: str) -> DataFrame:

@@ -45,14 +45,15 @@ def evaluate_signals(df: DataFrame, signals: dict[str, dict], keys: list[str]) -
     return df.select(*keys, F.inline(F.array(*rows)))
 
 
-def reward_processor(fn: Callable[[np.ndarray], float]):
-    """A user's reduction of a (bounded) list of returns to one number, as an Arrow aggregate."""
+def reward_processor(fn: Callable[[np.ndarray], float]) -> Callable[[str], Column]:
+    """A user's reduction of a list of returns to one number, as an aggregate over bounded groups
+    (a trajectory, a return buffer). The lists of many groups travel in one Arrow batch."""
 
     @F.pandas_udf("double")
-    def reduce(v: pd.Series) -> float:
-        return float(fn(v.to_numpy()))
+    def reduce(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda v: float(fn(np.asarray(v))))
 
-    return reduce
+    return lambda c: reduce(F.collect_list(c))
 
 
 # --- batch policies --------------------------------------------------------------------------

@@ -4,54 +4,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episodica.functions.numbers import as_col, mixed_uniform, spread_key
-from episodica.plans.ordered import dense_rank_by_hash, prefix
+from episodica.plans.lineage import join_stats
+from episodica.plans.ordered import prefix
 
 BUFFER = ["behavior_id"]
 
 
 def with_rank(df: DataFrame, position: str, keys: list[str] | None = None, width: int | None = None) -> DataFrame:
-    """0-based position of a row in its buffer."""
+    """0-based position of a row in its buffer, and the buffer's size `n_rows`."""
     keys = keys or BUFFER
-    return prefix(df, keys, position, {"rank": F.lit(1)}, inclusive=False, width=width)
+    one = F.lit(1)
+    return prefix(df, keys, position, {"rank": one}, inclusive=False, width=width, totals={"n_rows": one})
 
 
 def newest(df: DataFrame, position: str, cap: Column | int, keys: list[str] | None = None, width: int | None = None) -> DataFrame:
-    """The newest `cap` rows per key; cap may be an expression over `_n`, the key's row count."""
-    keys = keys or BUFFER
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    """The newest `cap` rows per key; cap may be an expression over `n_rows`, the key's row count."""
     cap = F.lit(cap) if isinstance(cap, int) else cap
-    return (
-        with_rank(df, position, keys, width)
-        .join(sizes, keys)
-        .filter(F.col("rank") >= F.col("_n") - cap)
-        .select(*df.columns)
-    )
+    ranked = with_rank(df, position, keys, width)
+    return ranked.filter(F.col("rank") >= F.col("n_rows") - cap).select(*df.columns)
 
 
 def truncate_replay(df: DataFrame, size: int, length: int, position: str = "tick", keys: list[str] | None = None, width: int | None = None) -> DataFrame:
     """Above `size` rows, keep the newest 80%, rounded down to whole sequences."""
     keep = int(0.8 * size)
     keep -= keep % length
-    return newest(df, position, F.when(F.col("_n") > size, F.lit(keep)).otherwise(F.col("_n")), keys, width)
+    return newest(df, position, F.when(F.col("n_rows") > size, F.lit(keep)).otherwise(F.col("n_rows")), keys, width)
 
 
 def last_sequences(df: DataFrame, n: int, length: int, position: str = "tick", keys: list[str] | None = None, width: int | None = None) -> DataFrame:
     return newest(df, position, n * length, keys, width)
 
 
-def shuffle_sequences(df: DataFrame, length: int, seed: int, keys: list[str] | None = None) -> DataFrame:
-    """A new order of whole sequences. Needs a `rank`; the tail shorter than a sequence is left out.
+def shuffle_sequences(ranked: DataFrame, length: int, seed: int, keys: list[str] | None = None) -> DataFrame:
+    """A new order of whole sequences; the tail shorter than a sequence is left out.
 
-    Adds `shuffled`, the row's place in the new order.
+    Adds `shuffled`, the row's place in the new order. One row per sequence is ranked by a hash of its
+    number; its rows follow by an equi-join.
     """
     keys = keys or BUFFER
-    sizes = df.groupBy(*keys).agg(F.floor(F.count(F.lit(1)) / length).cast("long").alias("_seqs"))
-    seqs = df.withColumn("_seq", F.floor(F.col("rank") / length).cast("long"))
-    heads = seqs.filter(F.col("rank") % length == 0).join(sizes, keys).filter(F.col("_seq") < F.col("_seqs"))
-    # One row per sequence is ranked; its rows follow by an equi-join.
-    ranked = _rank_within(heads.select(*keys, "_seq"), keys, spread_key(F.col("_seq") + F.lit(seed)), "_place")
-    return seqs.join(ranked, [*keys, "_seq"]).select(
-        *df.columns, (F.col("_place") * length + F.col("rank") % length).alias("shuffled")
+    seqs = ranked.withColumn("_seq", F.floor(F.col("rank") / length).cast("long"))
+    whole = F.col("_seq") < F.floor(F.col("n_rows") / length)
+    heads = seqs.filter((F.col("rank") % length == 0) & whole).select(*keys, "_seq")
+    placed = _rank_within(heads, keys, spread_key(F.col("_seq") + F.lit(seed)), "_place")
+    return seqs.join(placed, [*keys, "_seq"]).select(
+        *ranked.columns, (F.col("_place") * length + F.col("rank") % length).alias("shuffled")
     )
 
 
@@ -62,16 +58,12 @@ def _rank_within(df: DataFrame, keys: list[str], key: Column, alias: str) -> Dat
     ).drop("_k")
 
 
-def minibatches(shuffled: DataFrame, batch: int, length: int, keys: list[str] | None = None) -> DataFrame:
+def minibatches(shuffled: DataFrame, batch: int, length: int) -> DataFrame:
     """Cut a shuffled buffer into full batches of whole sequences; the rest is left out."""
-    keys = keys or BUFFER
     size = max(batch - batch % length, length)
-    full = shuffled.groupBy(*keys).agg(F.floor(F.count(F.lit(1)) / size).cast("long").alias("_full"))
-    return (
-        shuffled.withColumn("batch_no", F.floor(F.col("shuffled") / size).cast("long"))
-        .join(full, keys)
-        .filter(F.col("batch_no") < F.col("_full"))
-        .drop("_full")
+    rows = F.floor(F.col("n_rows") / length) * length
+    return shuffled.withColumn("batch_no", F.floor(F.col("shuffled") / size).cast("long")).filter(
+        F.col("batch_no") < F.floor(rows / size)
     )
 
 
@@ -108,7 +100,7 @@ def pair_expert(policy: DataFrame, demos: DataFrame, seed: int, keys: list[str],
     """
     sizes = demos.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     u = mixed_uniform(F.lit(seed), *keys, "rank") if u is None else u
-    drawn = policy.join(sizes, keys).withColumn("_pick", F.floor(u * F.col("_n")).cast("long")).drop("_n")
+    drawn = join_stats(policy, sizes, keys).withColumn("_pick", F.floor(u * F.col("_n")).cast("long")).drop("_n")
     expert = demos.select(
         *keys, F.col("rank").alias("_pick"), *[F.col(c).alias(f"expert_{c}") for c in demos.columns if c not in keys]
     )
@@ -149,14 +141,14 @@ def apply_normalizer(df: DataFrame, stats: DataFrame, obs: str, keys: list[str]
         F.col("m2"),
         lambda d, m2: F.greatest(F.least(d / F.sqrt(m2 / F.col("steps")), F.lit(5.0)), F.lit(-5.0)),
     )
-    return df.join(stats, keys).withColumn("normalized", scaled).drop("steps", "mean", "m2")
+    return join_stats(df, stats, keys).withColumn("normalized", scaled).drop("steps", "mean", "m2")
 
 
 def normalise_advantages(df: DataFrame, by: list[str], advantage: str = "advantage") -> DataFrame:
     """Zero mean, unit (population) deviation over each update batch."""
     stats = df.groupBy(*by).agg(F.avg(advantage).alias("_m"), F.stddev_pop(advantage).alias("_sd"))
     return (
-        df.join(stats, by)
+        join_stats(df, stats, by)
         .withColumn("normal_advantage", (F.col(advantage) - F.col("_m")) / (F.col("_sd") + F.lit(1e-10)))
         .drop("_m", "_sd")
     )

@@ -99,16 +99,20 @@ def to_experiences(
     """Own observation and action of step t; reward, done and interrupted of step t+1.
 
     The last raw row of an episode only supplies the outcome. Positions are cut into segments of at
-    most `horizon`; with the agent they form the bounded partition of all later windows.
+    most `horizon`; with the agent they form the bounded partition of all later windows. Pass only
+    the columns needed downstream.
     """
-    ahead = [c for c in CONSEQUENCE if c in steps.columns]
+    taken = [c for c in CONSEQUENCE if c in steps.columns]
+    # All columns go into the neighbour struct: then rows and block summary need the same columns and
+    # share one exchange.
+    ahead = [c for c in steps.columns if c not in AGENT]
     seq = sequenced(steps, ahead=ahead, behind=behind, width=width).filter(F.col("nxt").isNotNull())
     moved = {"reward", "group_reward", "is_terminal", "interrupted"}
     keep = [c for c in steps.columns if c not in moved]
     out = [F.col(c) for c in keep]
     out += [F.col("episode"), F.expr(f"i div {int(horizon)}").alias("segment"), F.col("i")]
     out.append((F.col("i") % int(horizon)).alias("j"))
-    for c in ahead:
+    for c in taken:
         name = {"is_terminal": "done", "tick": "next_tick", "value_est": "next_value"}.get(
             c, c if c in moved else f"next_{c}"
         )

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from episodica.plans.lineage import join_stats
+
 # Rows of one side that one task should meet per tile before the tile is split.
 TILE_ROWS = 50_000
 
@@ -50,21 +52,29 @@ def grid_cells(
         agents.withColumn("tx", F.explode(F.sequence(_tile(x - rx, wx), _tile(x + rx, wx))))
         .withColumn("tz", F.explode(F.sequence(_tile(z - rz, wz), _tile(z + rz, wz))))
     )
-    crowd_o = placed.groupBy(*tile).agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("so"))
-    crowd_a = looking.groupBy(*tile).agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("sa"))
-    crowds = crowd_o.join(crowd_a, tile)
+    many = F.ceil(F.count(F.lit(1)) / tile_rows).cast("int")
+    crowd_o = placed.groupBy(*tile).agg(many.alias("so")).filter("so > 1")
+    crowd_a = looking.groupBy(*tile).agg(many.alias("sa")).filter("sa > 1")
+    crowds = crowd_o.join(crowd_a, tile, "fullouter").select(
+        *tile, F.coalesce("so", F.lit(1)).alias("so"), F.coalesce("sa", F.lit(1)).alias("sa")
+    )
+
+    def salted(df: DataFrame) -> DataFrame:
+        return join_stats(df, crowds, tile, "left").withColumns(
+            {"so": F.coalesce("so", F.lit(1)), "sa": F.coalesce("sa", F.lit(1))}
+        )
 
     def salts(n: str) -> Column:
         return F.sequence(F.lit(0), F.col(n) - 1)
 
     o = (
-        placed.join(crowds, tile)
+        salted(placed)
         .withColumn("ko", F.pmod(F.xxhash64("object_id", "tag", "x", "z"), F.col("so")).cast("int"))
         .withColumn("ka", F.explode(salts("sa")))
         .select(*tile, "ka", "ko", "object_id", "tag", "n", F.col("x").alias("ox"), F.col("z").alias("oz"))
     )
     a = (
-        looking.join(crowds, tile)
+        salted(looking)
         .withColumn("ka", F.pmod(F.xxhash64("agent_id"), F.col("sa")).cast("int"))
         .withColumn("ko", F.explode(salts("so")))
         .drop("so", "sa")

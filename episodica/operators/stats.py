@@ -23,13 +23,17 @@ def with_trainer_step(traj: DataFrame, keys: list[str] | None = None, width: int
 
 def summary_step(traj: DataFrame, freq: int, keys: list[str] | None = None, width: int | None = None) -> DataFrame:
     """The report a trajectory's events belong to: the next multiple of `freq`, if it was reached."""
-    keys = keys or TRAINER
-    stepped = with_trainer_step(traj, keys, width)
-    reached = traj.groupBy(*keys).agg(F.sum("length").alias("_reached"))
+    stepped = prefix(
+        traj,
+        keys or TRAINER,
+        "arrival",
+        {"trainer_step": F.col("length")},
+        width=width,
+        totals={"_reached": F.col("length")},
+    )
     label = (F.floor(F.col("trainer_step") / F.lit(freq)) + 1) * F.lit(freq)
     return (
         stepped.withColumn("summary_step", label.cast("long"))
-        .join(reached, keys)
         .filter(F.col("summary_step") <= F.col("_reached"))
         .drop("_reached")
     )

@@ -16,6 +16,12 @@ from pyspark.sql import types as T
 from episodica.plans.ordered import block_of, block_width, prefix
 
 
+def python_partitions(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash layout for a Python stage. A stated number keeps small inputs from being merged into one
+    task: here rows cost time, not bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def ordered_fold(
     df: DataFrame,
     keys: list[str],
@@ -27,7 +33,7 @@ def ordered_fold(
     """Apply `step(state, row) -> output rows` along `order`, with a fresh `start()` state per key."""
     nk = len(keys)
     cols = [*keys, *[c for c in df.columns if c not in keys]]
-    laid_out = df.select(*cols).repartition(*keys).sortWithinPartitions(*keys, *order)
+    laid_out = python_partitions(df.select(*cols), keys).sortWithinPartitions(*keys, *order)
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     names = schema.fieldNames()

@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +29,25 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     path = fresh_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Rows of a per-key table that may be sent to every task; a row holds a key and a few aggregates.
+BROADCAST_ROWS = 100_000
+
+
+def join_stats(
+    df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST_ROWS, salts: int | None = None
+) -> DataFrame:
+    """Join per-key aggregates to rows whose key may be hot.
+
+    The aggregates are written once and counted. Up to `limit` rows they are broadcast and the rows
+    are not shuffled at all; beyond it both sides are salted, so a hot key's rows still spread.
+    """
+    known = cut(stats, "stats")
+    if known.count() <= limit:
+        return df.join(F.broadcast(known), keys, how)
+    n = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plain = [c for c, t in df.dtypes if not t.startswith("map")]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(n)).cast("int"))
+    copies = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

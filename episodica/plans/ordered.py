@@ -37,16 +37,27 @@ def prefix(
     order: list | None = None,
     inclusive: bool = True,
     width: int | None = None,
+    totals: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Running sums per key. `position` is a numeric order column; `order` refines it inside ties."""
+    """Running sums per key. `position` is a numeric order column; `order` refines it inside ties.
+
+    `totals` adds sums over the whole key: they ride on the same carry, so no row meets a join on a
+    (possibly hot) key alone.
+    """
+    whole = totals or {}
     order = order or [position]
     blocked = _blocked(df, keys, position, width)
     bk = [*keys, "_b"]
     local_w = Window.partitionBy(*bk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = blocked.groupBy(*bk).agg(*[F.sum(c).alias(f"_t_{a}") for a, c in sums.items()])
+    blocks = blocked.groupBy(*bk).agg(
+        *[F.sum(c).alias(f"_t_{a}") for a, c in sums.items()],
+        *[F.sum(c).alias(f"_w_{a}") for a, c in whole.items()],
+    )
     carry_w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        *bk, *[F.coalesce(F.sum(f"_t_{a}").over(carry_w), F.lit(0)).alias(f"_c_{a}") for a in sums]
+    carry = blocks.select(
+        *bk,
+        *[F.coalesce(F.sum(f"_t_{a}").over(carry_w), F.lit(0)).alias(f"_c_{a}") for a in sums],
+        *[F.sum(f"_w_{a}").over(Window.partitionBy(*keys)).alias(f"_w_{a}") for a in whole],
     )
     rows = blocked.select(
         "*",
@@ -59,7 +70,9 @@ def prefix(
         total = F.col(f"_c_{a}") + F.coalesce(f"_l_{a}", F.lit(0))
         return total if inclusive else total - F.coalesce(f"_o_{a}", F.lit(0))
 
-    return joined.select(*df.columns, *[value(a).alias(a) for a in sums])
+    return joined.select(
+        *df.columns, *[value(a).alias(a) for a in sums], *[F.col(f"_w_{a}").alias(a) for a in whole]
+    )
 
 
 def fill_forward(
@@ -106,26 +119,3 @@ def with_halo(
     ).otherwise(spill)
     spread = df.withColumn("_s", F.explode(spill)).select(*df.columns, "_s._b", "_s._halo")
     return spread, [*keys, "_b"]
-
-
-def dense_rank_by_hash(df: DataFrame, key: Column, alias: str, buckets: int = 4096) -> DataFrame:
-    """A 0-based global row number in the order of a uniform 0..2^32-1 key, without a global window.
-
-    The key's range is cut into equal buckets; a bucket's rows are numbered locally and shifted by
-    the sizes of the buckets before it (at most `buckets` rows go through the unpartitioned window).
-    """
-    span = (1 << 32) // buckets
-    keyed = df.withColumn("_k", key).withColumn("_b", F.floor(F.col("_k") / F.lit(span)).cast("int"))
-    sizes = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select(
-        "_b",
-        F.coalesce(
-            F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_off"),
-    )
-    tie = [c for c, t in df.dtypes if not t.startswith(("array", "map", "struct"))]
-    w = Window.partitionBy("_b").orderBy("_k", *tie)
-    rows = keyed.withColumn("_r", F.row_number().over(w) - 1)
-    return rows.join(offsets, "_b").select(
-        *df.columns, (F.col("_off") + F.col("_r")).cast("long").alias(alias)
-    )

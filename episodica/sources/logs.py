@@ -158,10 +158,11 @@ def parse_run_configs(files: DataFrame) -> DataFrame:
     def run(batches):
         import yaml
 
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                tree = yaml.safe_load(bytes(content)) or {}
+                tree = yaml.load(bytes(content), loader) or {}
                 for name, body in (tree.pop("behaviors", None) or {}).items():
                     rows += [(path, name, k, v) for k, v in leaves(body or {}, [])]
                 rows += [(path, "*", k, v) for k, v in leaves(tree, [])] if tree else []

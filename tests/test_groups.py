@@ -53,7 +53,7 @@ def walk(rows):
 def test_against_walk(spark, seed, width):
     rows = world(seed)
     want = walk(rows)
-    st = G.statuses(spark.createDataFrame(rows, SCHEMA), ["k"], width).withColumn("prev_k", F.col("prv.k"))
+    st = G.statuses(spark.createDataFrame(rows, SCHEMA), width).withColumn("prev_k", F.col("prv.k"))
     lists = G.group_status(st, ["prev_k", "reward", "is_terminal"], width).collect()
     assert len(lists) == len(want)
     for r in lists:

@@ -7,7 +7,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from episodica.operators import sessions as S
-from episodica.plans.ordered import dense_rank_by_hash, fill_forward, prefix, with_halo
+from episodica.operators import replay as B
+from episodica.plans.lineage import join_stats
+from episodica.plans.ordered import fill_forward, prefix, with_halo
 
 
 def log(seed=3, n=400):
@@ -85,11 +87,21 @@ def test_halo_frame(spark, width):
         assert r.s == sum(range(max(0, r.rank - 4), r.rank + 1))
 
 
-def test_rank_by_hash_is_dense(spark):
-    df = spark.range(500)
-    got = dense_rank_by_hash(df, F.pmod(F.col("id") * F.lit(2654435761), F.lit(4294967296)), "r").collect()
-    order = sorted(range(500), key=lambda i: i * 2654435761 % 4294967296)
-    assert {r.id: r.r for r in got} == {i: n for n, i in enumerate(order)}
+def test_shuffle_is_a_permutation_of_sequences(spark):
+    df = spark.range(503).select(F.lit("b").alias("behavior_id"), F.col("id").alias("tick"))
+    ranked = B.with_rank(df, "tick", width=50)
+    got = {r.tick: r.shuffled for r in B.shuffle_sequences(ranked, 5, 9).collect()}
+    order = sorted(range(100), key=lambda q: (q + 9) * 2654435761 % 4294967296)
+    assert got == {q * 5 + p: n * 5 + p for n, q in enumerate(order) for p in range(5)}
+    assert B.minibatches(B.shuffle_sequences(ranked, 5, 9), 23, 5).count() == 500
+
+
+def test_stats_join_both_ways(spark):
+    rows = spark.range(300).select((F.col("id") % 3).alias("k"), "id")
+    stats = rows.groupBy("k").agg(F.max("id").alias("m"))
+    for limit in (0, 10):
+        out = join_stats(rows, stats, ["k"], limit=limit, salts=4)
+        assert out.count() == 300 and {(r.k, r.m) for r in out.collect()} == {(0, 297), (1, 298), (2, 299)}
 
 
 @pytest.mark.parametrize("width", [3, 1 << 18])
