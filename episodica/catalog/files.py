@@ -11,6 +11,7 @@ from episodica.functions.numbers import steady
 from episodica.operators import sessions as S
 from episodica.operators import stats as O
 from episodica.operators.plugins import parquet_writer
+from episodica.plans.folds import python_partitions
 from episodica.plans.lineage import fresh_dir
 from episodica.schema import AGENT
 from episodica.sources import demos, logs
@@ -248,7 +249,7 @@ def recorded(spark, sf_dir):
     st = steps(spark, sf_dir, *CORE, "k", "action")
     st = st.withColumn("clip", F.floor(F.col("tick") / 500))
     row = F.struct("tick", "reward", "is_terminal", "interrupted", "k", "action")
-    clips = st.groupBy("agent_id", "clip").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    clips = python_partitions(st, ["agent_id", "clip"]).groupBy("agent_id", "clip").agg(F.sort_array(F.collect_list(row)).alias("rows"))
 
     @F.pandas_udf("binary")
     def encode(agent: pd.Series, rows: pd.Series) -> pd.Series:

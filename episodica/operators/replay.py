@@ -116,20 +116,18 @@ def fit_normalizer(df: DataFrame, obs: str, dim: int, keys: list[str] | None = N
     The recurrence has an order-free closed form, so it is one partial aggregate and no sort.
     """
     keys = keys or BUFFER
-    x = [F.get(F.col(obs), F.lit(i)).cast("double") for i in range(dim)]
+    x = [f"double(get({obs}, {i}))" for i in range(dim)]
+    each = lambda form: "array(" + ", ".join(form.format(x=c, i=i) for i, c in enumerate(x)) + ")"
     sums = df.groupBy(*keys).agg(
         (F.count(F.lit(1)) + 1).alias("steps"),
-        *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(x)],
-        *[F.sum(c * c).alias(f"_q{i}") for i, c in enumerate(x)],
+        F.expr(each("sum({x})")).alias("_s"),
+        F.expr(each("sum({x} * {x})")).alias("_q"),
     )
-    n = F.col("steps")
     return sums.select(
         *keys,
         "steps",
-        F.array(*[F.col(f"_s{i}") / n for i in range(dim)]).alias("mean"),
-        F.array(
-            *[1.0 + F.col(f"_q{i}") - F.col(f"_s{i}") * F.col(f"_s{i}") / n for i in range(dim)]
-        ).alias("m2"),
+        F.expr("transform(_s, s -> s / steps)").alias("mean"),
+        F.expr("zip_with(_q, _s, (q, s) -> 1D + q - s * s / steps)").alias("m2"),
     )
 
 

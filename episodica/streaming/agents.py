@@ -45,17 +45,20 @@ class TrajectoryAssembler(StatefulProcessor):
     def init(self, handle):
         ahead = {f"next_{c}": t for c, t in self.extra.items()}
         self.columns = [*PER_EXPERIENCE, *self.extra, *ahead]
-        cursor = {"episode": "long", "i": "long", "tick": "long", **self.extra}
-        self.cursor = handle.getValueState("cursor", _ddl(cursor), self.ttl_ms)
-        self.open = handle.getListState("open", _ddl({**PER_EXPERIENCE, **self.extra, **ahead}), self.ttl_ms)
+        fields = {**PER_EXPERIENCE, **self.extra, **ahead}
+        waiting = f"array<struct<{', '.join(f'{c}: {t}' for c, t in fields.items())}>>"
+        # One value per agent: one read and one write per micro-batch.
+        state = {"episode": "long", "i": "long", "waiting": waiting, "tick": "long", **self.extra}
+        self.saved = handle.getValueState("agent", _ddl(state), self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         names = list(self.extra)
-        episode, i, last = 0, 0, None
-        if self.cursor.exists():
-            episode, i, tick, *rest = self.cursor.get()
-            last = (tick, *rest) if tick is not None and tick >= 0 else None
-        pending = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        episode, i, pending, last = 0, 0, [], None
+        before = self.saved.get()
+        if before is not None:
+            episode, i, waiting, tick, *rest = before
+            pending = [tuple(x) for x in waiting]
+            last = (tick, *rest) if tick >= 0 else None
         out = []
         pdf = in_order(rows)
         control = pdf["is_reset"] if "is_reset" in pdf else [False] * len(pdf)
@@ -75,13 +78,9 @@ class TrajectoryAssembler(StatefulProcessor):
                 episode, i, last = episode + 1, 0, None
             else:
                 last = (int(tick), *values)
-        empty = (None,) * len(names)
-        self.cursor.update((episode, i, *(last if last is not None else (-1, *empty))))
-        if pending:
-            self.open.put([tuple(p) for p in pending])
-        else:
-            self.open.clear()
-        yield pd.DataFrame(out, columns=[*AGENT, "episode", "segment", *self.columns])
+        self.saved.update((episode, i, pending, *(last if last is not None else (-1, *(None,) * len(names)))))
+        if out:
+            yield pd.DataFrame(out, columns=[*AGENT, "episode", "segment", *self.columns])
 
     def close(self):
         pass
@@ -121,7 +120,7 @@ class EpisodeTotals(StatefulProcessor):
         self.sums = handle.getValueState("sums", "episode long, ret double, n long, begun boolean")
 
     def handleInputRows(self, key, rows, timerValues):
-        episode, ret, n, begun = self.sums.get() if self.sums.exists() else (0, 0.0, 0, False)
+        episode, ret, n, begun = self.sums.get() or (0, 0.0, 0, False)
         out = []
         pdf = in_order(rows)
         for terminal, reward, tick in zip(pdf["is_terminal"], pdf["reward"], pdf["tick"]):
@@ -134,7 +133,8 @@ class EpisodeTotals(StatefulProcessor):
                 out.append((*key, episode, ret, n - 1, int(tick)))
             episode, ret, n, begun = episode + 1, 0.0, 0, False
         self.sums.update((episode, ret, n, begun))
-        yield pd.DataFrame(out, columns=[*AGENT, "episode", "episode_return", "episode_length", "end_tick"])
+        if out:
+            yield pd.DataFrame(out, columns=[*AGENT, "episode", "episode_return", "episode_length", "end_tick"])
 
     def close(self):
         pass
