@@ -55,3 +55,8 @@ def keyed_hash(c, key: str) -> Column:
 
 def pseudonymise(df: DataFrame, cols: list[str], key: str) -> DataFrame:
     return df.withColumns({c: keyed_hash(c, key) for c in cols})
+
+
+def scope_runs(df: DataFrame) -> DataFrame:
+    """Make behaviours of different runs distinct, for logs that hold several runs."""
+    return df.withColumn("behavior_id", F.concat_ws("/", "run_id", "behavior_id"))

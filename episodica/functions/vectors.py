@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from episodica.functions.numbers import as_col, clip
 
@@ -24,6 +25,15 @@ def squared_distance(a, b) -> Column:
     return total(F.zip_with(as_col(a), as_col(b), lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))))
 
 
+def zeros_like(c: Column, kind) -> Column:
+    """The value of a column's type with every number zero, in the column's own shape."""
+    if isinstance(kind, T.StructType):
+        return F.struct(*[zeros_like(c[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: zeros_like(x, kind.elementType))
+    return F.lit(0).cast(kind)
+
+
 def one_hot(index, n: int) -> Column:
     """0/1 vector of length n; an index outside the range gives all zeros."""
     index = as_col(index)

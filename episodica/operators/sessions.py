@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from episodica.plans.ordered import block_of, block_width, prefix, with_halo
+from episodica.functions.vectors import zeros_like
+from episodica.plans.ordered import block_of, block_width, fill_forward, prefix, with_halo
 from episodica.schema import AGENT, TRAJECTORY
 
 
@@ -130,7 +131,8 @@ def trajectory_window(descending: bool = False):
 def with_next(exp: DataFrame, action: str = "action", mate_action: str | None = None) -> DataFrame:
     """Next action inside the trajectory: zeros after the last own step, the current one for mates."""
     w = trajectory_window()
-    out = exp.withColumn("next_action", F.lead(action, 1, 0).over(w))
+    zero = zeros_like(F.col(action), exp.schema[action].dataType)
+    out = exp.withColumn("next_action", F.coalesce(F.lead(action).over(w), zero))
     if mate_action:
         out = out.withColumn("next_mate_action", F.coalesce(F.lead(mate_action).over(w), F.col(mate_action)))
     return out
@@ -138,7 +140,8 @@ def with_next(exp: DataFrame, action: str = "action", mate_action: str | None =
 
 def with_prev_action(exp: DataFrame, action: str = "action") -> DataFrame:
     """Action of the step before in the same episode; zero at its start. Needs `prv` from to_experiences."""
-    return exp.withColumn("prev_action", F.coalesce(F.col(f"prv.{action}"), F.lit(0)))
+    zero = zeros_like(F.col(action), exp.schema[action].dataType)
+    return exp.withColumn("prev_action", F.coalesce(F.col(f"prv.{action}"), zero))
 
 
 def trajectories(exp: DataFrame, horizon: int, *aggs: Column, complete_only: bool = True) -> DataFrame:
@@ -244,8 +247,6 @@ def sliding_sequences(exp: DataFrame, length: int, value: str) -> DataFrame:
 
 def fill_actions(ticks: DataFrame, action: str = "action", width: int | None = None) -> DataFrame:
     """Between decisions an agent repeats the action it last chose."""
-    from episodica.plans.ordered import fill_forward
-
     return fill_forward(ticks, AGENT, "tick", {"filled_action": F.col(action)}, width)
 
 

@@ -51,7 +51,7 @@ def ordered_fold(
     return laid_out.mapInPandas(run, schema)
 
 
-def _flushes(c: np.ndarray, last: float, limit: float) -> list[int]:
+def _flushes(c: np.ndarray, last: int, limit: int) -> list[int]:
     hits = []
     while True:
         j = int(np.searchsorted(c, last + limit, side="right"))
@@ -61,22 +61,37 @@ def _flushes(c: np.ndarray, last: float, limit: float) -> list[int]:
         last = c[j]
 
 
-def _transfer(c: np.ndarray, lengths0: int, limit: int) -> tuple[list, list, list]:
-    """For each first-reset position reachable from before the block: (its c, last reset's c, resets).
+def _transfer(c: np.ndarray, first_length: int, limit: int) -> tuple[list, list, list]:
+    """For each reset that can be a block's first: (its running total, the last reset's, resets).
 
-    A carried reset lies within `limit` of the block's start, so only the positions whose running
-    total is within one more `limit` can come first.
+    A carried reset lies within `limit` of the block's start, so only rows within one more `limit` of
+    it can come first.
     """
     n = len(c)
     after = np.searchsorted(c, c + limit, side="right")
-    exit_c, hits = c.copy(), np.ones(n, dtype=np.int64)
+    leads, hits = c.copy(), np.ones(n, dtype=np.int64)
     for j in range(n - 1, -1, -1):
         if after[j] < n:
-            exit_c[j] = exit_c[after[j]]
+            leads[j] = leads[after[j]]
             hits[j] = hits[after[j]] + 1
-    first = c[0] - lengths0
-    reach = min(int(np.searchsorted(c, first + limit, side="right")) + 1, n)
-    return c[:reach].tolist(), exit_c[:reach].tolist(), hits[:reach].tolist()
+    start = c[0] - first_length
+    reach = min(int(np.searchsorted(c, start + limit, side="right")) + 1, n)
+    return c[:reach].tolist(), leads[:reach].tolist(), hits[:reach].tolist()
+
+
+def _stretches(pdf: pd.DataFrame, cols: list[str]):
+    """Consecutive rows with equal `cols`: (values, slice)."""
+    n = len(pdf)
+    if not n:
+        return
+    new = np.zeros(n, dtype=bool)
+    new[0] = True
+    for c in cols:
+        v = pdf[c].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    starts = np.flatnonzero(new)
+    for a, b in zip(starts, [*starts[1:], n]):
+        yield tuple(pdf[c].iloc[a] for c in cols), pdf.iloc[a:b]
 
 
 def threshold_resets(
@@ -86,66 +101,75 @@ def threshold_resets(
 
     Returns keys, position, length, `total` (running sum), `round` (resets before the row) and
     `closes` (the row itself resets). Positions are unique per key, lengths positive.
+
+    Blocks of the order are independent but for the total at the last reset before them. Each block
+    yields its exact table from that total to the one it hands on; the tables are read in order, and
+    then all blocks number their rows in parallel.
     """
     limit = int(limit)
     width = block_width(df, width)
-    summed = prefix(df.select(*keys, position, length), keys, position, {"total": F.col(length)}, width=width)
-    entry = F.struct(F.col("total").cast("long").alias("total"), F.col(position), F.col(length))
-    blocks = (
-        summed.withColumn("_b", block_of(position, width))
-        .groupBy(*keys, "_b")
-        .agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
+    bk = [*keys, "b"]
+    summed = prefix(
+        df.select(*keys, position, length), keys, position, {"total": F.col(length).cast("long")}, width=width
     )
-
-    table_type = "struct<at:array<bigint>, leads:array<bigint>, hits:array<bigint>>"
-
-    @F.pandas_udf(table_type)
-    def transfer(totals: pd.Series, first_len: pd.Series) -> pd.DataFrame:
-        made = [_transfer(np.asarray(c, dtype=np.int64), int(f), limit) for c, f in zip(totals, first_len)]
-        return pd.DataFrame(made, columns=["at", "leads", "hits"])
-
-    tables = blocks.select(
-        *keys,
-        "_b",
-        transfer(F.col("_rows.total"), F.col(f"_rows.{length}")[0].cast("long")).alias("_t"),
-    ).select(*keys, "_b", "_t.at", "_t.leads", "_t.hits")
-    kinds = {f.name: f.dataType for f in tables.schema}
-    carry_schema = T.StructType([T.StructField(k, kinds[k]) for k in [*keys, "_b"]])
-    carry_schema = carry_schema.add("_last", "long").add("_round0", "long")
-    nk = len(keys)
-
-    def step(state, row):
+    rows = python_partitions(summed.withColumn("b", block_of(position, width)), bk)
+    kinds = {f.name: f.dataType for f in rows.schema}
+    key_fields = [T.StructField(c, kinds[c]) for c in bk]
+    longs = T.ArrayType(T.LongType())
+    table_schema = T.StructType(list(key_fields)).add("at", longs).add("leads", longs).add("hits", longs)
+
+    def tables(batches):
+        # One block's totals at a time: at most `width` numbers.
+        key, parts, first = None, [], 0
+        for pdf in batches:
+            out = []
+            for k, piece in _stretches(pdf, bk):
+                if k != key:
+                    if parts:
+                        out.append((*key, *_transfer(np.concatenate(parts), first, limit)))
+                    key, parts, first = k, [], int(piece[length].iloc[0])
+                parts.append(piece["total"].to_numpy(dtype=np.int64))
+            yield pd.DataFrame(out, columns=table_schema.fieldNames())
+        if parts:
+            yield pd.DataFrame(
+                [(*key, *_transfer(np.concatenate(parts), first, limit))], columns=table_schema.fieldNames()
+            )
+
+    def carry(state, row):
         last, done = state
-        out = [(*row[: nk + 1], last, done)]
         j = int(np.searchsorted(np.asarray(row.at), last + limit, side="right"))
         if j < len(row.at):
             state[0], state[1] = int(row.leads[j]), done + int(row.hits[j])
-        return out
+        return [(*row[: len(bk)], last, done)]
 
-    carry = ordered_fold(
-        tables.withColumnRenamed("_b", "b"),
+    ordered = rows.sortWithinPartitions(*bk, position)
+    starts = ordered_fold(
+        ordered.mapInPandas(tables, table_schema),
         keys,
         ["b"],
         lambda: [0, 0],
-        step,
-        T.StructType([*carry_schema.fields[:nk], T.StructField("b", kinds["_b"]), *carry_schema.fields[nk + 1 :]]),
-    ).withColumnRenamed("b", "_b")
-
-    @F.pandas_udf("array<struct<round:bigint, closes:boolean>>")
-    def number(totals: pd.Series, last: pd.Series, round0: pd.Series) -> pd.Series:
-        out = []
-        for c, x, r0 in zip(totals, last, round0):
-            c = np.asarray(c, dtype=np.int64)
-            hit = np.zeros(len(c), dtype=bool)
-            hit[_flushes(c, int(x), limit)] = True
-            rounds = int(r0) + np.cumsum(hit) - hit
-            out.append([{"round": int(a), "closes": bool(b)} for a, b in zip(rounds, hit)])
-        return pd.Series(out)
-
-    return (
-        blocks.join(carry, [*keys, "_b"])
-        .withColumn("_marks", number(F.col("_rows.total"), F.col("_last"), F.col("_round0")))
-        .select(*keys, F.inline(F.arrays_zip(F.col("_rows"), F.col("_marks"))))
-        .select(*keys, "_rows.*", "_marks.*")
-        .select(*keys, position, length, "total", "round", "closes")
+        carry,
+        T.StructType(list(key_fields)).add("_last", "long").add("_round0", "long"),
     )
+    out_schema = T.StructType([T.StructField(c, kinds[c]) for c in [*keys, position, length, "total"]])
+    out_schema = out_schema.add("round", "long").add("closes", "boolean")
+
+    def number(batches):
+        key, last, done = None, 0, 0
+        for pdf in batches:
+            for k, piece in _stretches(pdf, bk):
+                if k != key:
+                    key, last, done = k, int(piece["_last"].iloc[0]), int(piece["_round0"].iloc[0])
+                c = piece["total"].to_numpy(dtype=np.int64)
+                hit = np.zeros(len(c), dtype=bool)
+                at = _flushes(c, last, limit)
+                hit[at] = True
+                out = piece[[*keys, position, length, "total"]].copy()
+                out["round"] = done + np.cumsum(hit) - hit
+                out["closes"] = hit
+                if at:
+                    last, done = int(c[at[-1]]), done + len(at)
+                yield out
+
+    joined = python_partitions(rows.join(starts, bk), bk).sortWithinPartitions(*bk, position)
+    return joined.mapInPandas(number, out_schema)

@@ -4,8 +4,7 @@ State per agent is bounded: the last raw step, two counters, and at most `horizo
 Rows of one agent in one micro-batch (bounded by the source's rate limit) are put in order first.
 """
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -27,24 +26,23 @@ def _ddl(cols: dict[str, str]) -> str:
     return ", ".join(f"{c} {t}" for c, t in cols.items())
 
 
-def in_order(frames) -> pd.DataFrame:
-    pdf = pd.concat(list(frames), ignore_index=True)
-    return pdf.assign(_phase=(~pdf["is_terminal"].astype(bool)).astype(int)).sort_values(
-        ["tick", "_phase"], kind="stable"
-    )
+def in_order(rows) -> list[Row]:
+    return sorted(rows, key=lambda r: (r.tick, not r.is_terminal))
 
 
 class TrajectoryAssembler(StatefulProcessor):
     """Emits the experiences of a trajectory when it ends or reaches the horizon; keeps the rest open."""
 
-    def __init__(self, horizon: int, extra: dict[str, str], ttl_ms: int | None = None):
+    def __init__(self, horizon: int, extra: dict[str, str], resets: bool, ttl_ms: int | None = None):
         self.horizon = horizon
+        self.resets = resets
         self.extra = extra
         self.ttl_ms = ttl_ms
 
     def init(self, handle):
         ahead = {f"next_{c}": t for c, t in self.extra.items()}
-        self.columns = [*PER_EXPERIENCE, *self.extra, *ahead]
+        names = Row(*AGENT, "episode", "segment", *PER_EXPERIENCE, *self.extra, *ahead)
+        self.row = lambda values: names(*values)
         fields = {**PER_EXPERIENCE, **self.extra, **ahead}
         waiting = f"array<struct<{', '.join(f'{c}: {t}' for c, t in fields.items())}>>"
         # One value per agent: one read and one write per micro-batch.
@@ -52,7 +50,7 @@ class TrajectoryAssembler(StatefulProcessor):
         self.saved = handle.getValueState("agent", _ddl(state), self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        names = list(self.extra)
+        names, resets = list(self.extra), self.resets
         episode, i, pending, last = 0, 0, [], None
         before = self.saved.get()
         if before is not None:
@@ -60,16 +58,16 @@ class TrajectoryAssembler(StatefulProcessor):
             pending = [tuple(x) for x in waiting]
             last = (tick, *rest) if tick >= 0 else None
         out = []
-        pdf = in_order(rows)
-        control = pdf["is_reset"] if "is_reset" in pdf else [False] * len(pdf)
-        fields = zip(pdf["tick"], pdf["is_terminal"], pdf["interrupted"], pdf["reward"], control, *[pdf[n] for n in names])
-        for tick, terminal, interrupted, reward, reset, *values in fields:
+        for row in in_order(rows):
+            reset = resets and row.is_reset
+            tick, terminal, interrupted, reward = row.tick, row.is_terminal, row.interrupted, row.reward
+            values = [row[n] for n in names]
             if reset:
                 # Drop what is open without handing it over; the next row starts afresh.
                 pending, last, i, episode = [], None, 0, episode + 1
                 continue
             if last is not None:
-                pending.append((last[0], int(tick), i, float(reward), bool(terminal), bool(interrupted), *last[1:], *values))
+                pending.append((last[0], tick, i, reward, terminal, interrupted, *last[1:], *values))
                 i += 1
             if pending and (terminal or len(pending) >= self.horizon):
                 out.extend((*key, episode, p[2] // self.horizon, *p) for p in pending)
@@ -77,10 +75,9 @@ class TrajectoryAssembler(StatefulProcessor):
             if terminal:
                 episode, i, last = episode + 1, 0, None
             else:
-                last = (int(tick), *values)
+                last = (tick, *values)
         self.saved.update((episode, i, pending, *(last if last is not None else (-1, *(None,) * len(names)))))
-        if out:
-            yield pd.DataFrame(out, columns=[*AGENT, "episode", "segment", *self.columns])
+        yield from map(self.row, out)
 
     def close(self):
         pass
@@ -97,7 +94,8 @@ def stream_trajectories(
     steps: DataFrame, horizon: int, extra: dict[str, str] | None = None, ttl_ms: int | None = None
 ) -> DataFrame:
     """Experiences of closed trajectories. `extra` names further columns (with type) to carry along;
-    each comes with its next value. Rows with `is_reset` drop an agent's open trajectory."""
+    each comes with its next value. Rows with `is_reset` drop an agent's open trajectory. `ttl_ms`
+    forgets agents that vanished; it runs on processing time, so use it with a continuing trigger."""
     extra = extra or {}
     kinds = {f.name: f.dataType for f in steps.schema}
     schema = T.StructType([T.StructField(c, kinds[c]) for c in AGENT])
@@ -107,8 +105,11 @@ def stream_trajectories(
     return (
         _prepared(steps, extra)
         .groupBy(*AGENT)
-        .transformWithStateInPandas(
-            TrajectoryAssembler(horizon, extra, ttl_ms), schema, "Append", "ProcessingTime" if ttl_ms else "None"
+        .transformWithState(
+            TrajectoryAssembler(horizon, extra, "is_reset" in steps.columns, ttl_ms),
+            schema,
+            "Append",
+            "ProcessingTime" if ttl_ms else "None",
         )
     )
 
@@ -122,19 +123,19 @@ class EpisodeTotals(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         episode, ret, n, begun = self.sums.get() or (0, 0.0, 0, False)
         out = []
-        pdf = in_order(rows)
-        for terminal, reward, tick in zip(pdf["is_terminal"], pdf["reward"], pdf["tick"]):
+        for row in in_order(rows):
+            terminal, reward, tick = row.is_terminal, row.reward, row.tick
             if begun:
-                ret, n = ret + float(reward), n + 1
+                ret, n = ret + reward, n + 1
             if not terminal:
                 begun = True
                 continue
             if begun:
-                out.append((*key, episode, ret, n - 1, int(tick)))
+                out.append((*key, episode, ret, n - 1, tick))
             episode, ret, n, begun = episode + 1, 0.0, 0, False
         self.sums.update((episode, ret, n, begun))
-        if out:
-            yield pd.DataFrame(out, columns=[*AGENT, "episode", "episode_return", "episode_length", "end_tick"])
+        names = Row(*AGENT, "episode", "episode_return", "episode_length", "end_tick")
+        yield from (names(*x) for x in out)
 
     def close(self):
         pass
@@ -144,4 +145,4 @@ def stream_episode_returns(steps: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType for f in steps.schema}
     schema = T.StructType([T.StructField(c, kinds[c]) for c in AGENT])
     schema = schema.add("episode", "long").add("episode_return", "double").add("episode_length", "long").add("end_tick", "long")
-    return _prepared(steps, {}).groupBy(*AGENT).transformWithStateInPandas(EpisodeTotals(), schema, "Append", "None")
+    return _prepared(steps, {}).groupBy(*AGENT).transformWithState(EpisodeTotals(), schema, "Append", "None")

@@ -130,3 +130,14 @@ def test_experience_shift_and_segments(spark):
     ep = S.episode_summary(exp).collect()
     assert [(e.episode_return, e.episode_length, e.n_experiences) for e in ep] == [(15.0, 4, 5)]
     assert S.trajectories(exp, 3).count() == 2
+
+
+def test_hybrid_actions_keep_their_shape(spark):
+    rows = [("b", 0, 1, t, False, False, 0.0, ([float(t + 1)], [t, 2])) for t in range(4)]
+    df = spark.createDataFrame(rows, "behavior_id string, worker_id int, agent_id long, tick long, is_terminal boolean, interrupted boolean, reward double, action struct<continuous: array<float>, discrete: array<int>>")
+    exp = S.to_experiences(df, 2, behind=["action"]).drop("next_action")
+    got = S.with_prev_action(S.with_next(exp, mate_action="action")).orderBy("tick").collect()
+    flat = lambda a: (list(a.continuous), list(a.discrete))
+    assert [flat(r.next_action) for r in got] == [([2.0], [1, 2]), ([0.0], [0, 0]), ([0.0], [0, 0])]
+    assert [flat(r.next_mate_action) for r in got] == [([2.0], [1, 2]), ([2.0], [1, 2]), ([3.0], [2, 2])]
+    assert [flat(r.prev_action) for r in got] == [([0.0], [0, 0]), ([1.0], [0, 2]), ([2.0], [1, 2])]

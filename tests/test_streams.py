@@ -50,6 +50,21 @@ def test_reset_drops_open_rows(spark, tmp_path):
     assert sorted((r.tick, r.episode, r.done) for r in got) == [(4, 1, False), (5, 1, True)]
 
 
+def test_state_may_expire(spark, tmp_path):
+    data = rows(5, 60)
+    files(spark, tmp_path / "in", data, SCHEMA, parts=1)
+    live = stream_steps(spark, str(tmp_path / "in"), schema=spark.createDataFrame([], SCHEMA).schema)
+    stream = agents.stream_trajectories(live.drop("is_reset"), 4, ttl_ms=3_600_000)
+    # A plan with processing time always has a next batch: run a single one.
+    q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(once=True)
+    q = q.start(str(tmp_path / "out"))
+    try:
+        assert q.awaitTermination(90)
+    finally:
+        q.stop()
+    assert spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).count() > 0
+
+
 def test_episode_returns(spark, tmp_path):
     data = rows(9)
     live = files(spark, tmp_path / "in", data, SCHEMA)
