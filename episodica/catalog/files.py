@@ -320,7 +320,8 @@ def demonstration_summaries(spark, sf_dir):
 SELECT path, n AS tick, k AS obs, nk AS next_obs, CAST(d AS INT) AS done, coalesce(pa, 0) AS prev_action FROM x WHERE nk IS NOT NULL""",
 )
 def demonstration_experiences(spark, sf_dir):
-    out = demos.demo_experiences(demos.decode_demos(recorded(spark, sf_dir)), cross_episode=True)
+    used = ["path", "tick", "reward", "is_terminal", "interrupted", "obs", "old_action"]
+    out = demos.demo_experiences(demos.decode_demos(recorded(spark, sf_dir)).select(*used), cross_episode=True)
     return out.select(
         "path", "tick", F.col("obs")[0][0].cast("long").alias("obs"), F.col("next_obs")[0][0].cast("long").alias("next_obs"),
         F.col("done").cast("int").alias("done"), F.col("prev_action")[0].cast("int").alias("prev_action"),
