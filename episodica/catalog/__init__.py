@@ -39,11 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_all() -> None:
-    import importlib.util
-
     for m in MODULES:
-        if importlib.util.find_spec(f"episodica.catalog.{m}") is None:
-            continue
         importlib.import_module(f"episodica.catalog.{m}")
 
 

@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from episodica.operators import selfplay as P
 from episodica.operators import sessions as S
