@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 SHARD_BYTES = 32 << 20
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 # DuckDB's pattern for a word.
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -91,3 +93,19 @@ def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.element_at(F.concat("positions", F.array(F.lit(None).cast("double"))), 1)
     taken = (F.col("size") * F.size("positions")).alias("taken")
     return mix.orderBy(first).select("doc_id", "size", "source_size", "target", taken)
+
+
+@query("op7_byte_bpe")
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from episodica.llm.bpe import digests
+
+    return digests(documents(spark, sf_dir), public_tokenizers.path(RANKS))
+
+
+@query("op6_token_packing")
+def op6_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from episodica.llm.packing import pack
+
+    rows = pack(documents(spark, sf_dir), public_tokenizers.path(RANKS))
+    ids, positions = F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256")
+    return rows.select("group", "window", "row", "n_tokens", "doc_ids", "doc_starts", "cu_seqlens", ids, positions)
