@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.llm.common import ORDER_HASH_SQL, documents
+from episodica.llm.common import ORDER_HASH_SQL, documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,3 +109,28 @@ def op6_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pack(documents(spark, sf_dir), public_tokenizers.path(RANKS))
     ids, positions = F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256")
     return rows.select("group", "window", "row", "n_tokens", "doc_ids", "doc_starts", "cu_seqlens", ids, positions)
+
+
+def classified(docs: DataFrame, held_out, score) -> DataFrame:
+    out = docs.select("doc_id", held_out.alias("held_out"), score.alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from episodica.llm import toxicity
+    from episodica.llm.labelled import fold
+
+    docs, part = documents(spark, sf_dir), fold(F.col("doc_id"), 5)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), part != 0)
+    return classified(docs, F.coalesce(part == 0, F.lit(False)), toxicity.score(F.col("text"), model))
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from episodica.llm import quality
+    from episodica.llm.labelled import fold
+
+    docs, part = documents(spark, sf_dir), fold(F.col("doc_id"), 3)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), part != 1)
+    return classified(docs, F.coalesce(part == 1, F.lit(False)), quality.score(F.col("text"), model))

@@ -95,3 +95,20 @@ def gather(blob: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> np.ndarr
     lengths = offsets[which + 1] - offsets[which]
     shift = np.repeat(offsets[which] - (np.cumsum(lengths) - lengths), lengths)
     return blob[shift + np.arange(len(shift))]
+
+
+def text_parts(batch: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first document, bytes, bounds) for pieces of a text column; a document of several pieces is cut at white space
+    and comes again with the next one."""
+    data, offsets = flat(batch)
+    for i, j in doc_ranges(offsets):
+        a, b = int(offsets[i]), int(offsets[j])
+        if b - a <= 2 * PIECE or j > i + 1:
+            yield i, data[a:b], offsets[i : j + 1] - a
+            continue
+        while a < b:
+            cut = min(a + PIECE, b)
+            while cut < b and not SPACE[data[cut]]:
+                cut += 1
+            yield i, data[a:cut], np.array([0, cut - a])
+            a = cut
