@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.llm.common import ORDER_HASH_SQL, documents, table
+from episodica.llm.common import ORDER_HASH_SQL, cut, documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -134,3 +134,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, part = documents(spark, sf_dir), fold(F.col("doc_id"), 3)
     model = quality.train(docs, table(spark, sf_dir, "labels"), part != 1)
     return classified(docs, F.coalesce(part == 1, F.lit(False)), quality.score(F.col("text"), model))
+
+
+@query("op1_quality_rules")
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from episodica.llm import rules
+
+    stats = cut(rules.statistics(documents(spark, sf_dir)), "statistics")
+    learned = rules.learn(rules.labelled_statistics(stats, table(spark, sf_dir, "labels")))
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return rules.judged(stats, learned).select("doc_id", *columns)
