@@ -144,3 +144,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = rules.learn(rules.labelled_statistics(stats, table(spark, sf_dir, "labels")))
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return rules.judged(stats, learned).select("doc_id", *columns)
+
+
+@query("op8_private_data")
+def op8_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from episodica.llm.pii import digest
+
+    return digest(documents(spark, sf_dir))
