@@ -151,3 +151,10 @@ def op8_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from episodica.llm.pii import digest
 
     return digest(documents(spark, sf_dir))
+
+
+@query("op2_ngram_jaccard_join")
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from episodica.llm.jaccard import clusters
+
+    return clusters(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
