@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from episodica.llm.common import cut, text_of
+from episodica.llm.common import cut, fresh_name, text_of
 from episodica.llm.textops import LOWER, U64, mixed_bits, span_hashes, text_parts, word_spans
 
 GRAM = 5
@@ -350,13 +350,14 @@ def candidates(entries: DataFrame) -> DataFrame:
     return pairs.filter("shared >= matches").select("a", "b")
 
 
-def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, node, component_id) for every row of docs."""
-    sets = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash"), sketch(F.col(text_col)).alias("s"))
-    sets = cut(sets.select("doc_id", "text_hash", "s.*"), "sets")
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row_key, n, node, component) for every row of docs; row_key is a hash of id and text."""
+    key = row_key(id_col, text_col)
+    sets = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash"), key.alias("row_key"), sketch(F.col(text_col)).alias("s"))
+    sets = cut(sets.select("doc_id", "text_hash", "row_key", "s.*"), "sets")
     entries = cut(shared_entries(prefix_entries(sets, frequent_tokens(sets))), "entries")
     entries = unpacked(entries)
-    sets = sets.select("doc_id", "text_hash", "n", "node")
+    sets = sets.select("doc_id", "text_hash", "row_key", "n", "node")
     texts = texts_of(docs, entries.select("node").distinct(), sets, text_col)
     comps, links, tried = None, None, None
     for turn in range(MOST_ROUNDS):
@@ -375,13 +376,27 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         pairs = pairs.join(tried.unionByName(swapped).distinct(), ["a", "b"], "left_anti")
     found = cut(compared(pairs, texts), "links")
     comps = components(found if links is None else links.unionByName(found))
-    rows = with_component(sets, comps)
+    return with_component(sets, comps)
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), text_of(text_col))
+
+
+def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs."""
+    rows = linked(docs, id_col, text_col)
     least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "node", own.alias("component_id"))
+    return rows.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, one row of it, and every document with an empty set."""
-    kept = clusters(docs, id_col, text_col).filter("n_shingles > 0").groupBy("component_id").agg(F.lit(1).alias("_n"))
-    return docs.join(kept.select(F.col("component_id").alias(id_col)), id_col, "left_semi")
+    """One row of each component, of its smallest id (null ids last), and every row with an empty set."""
+    key = fresh_name(docs, "row_key")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first")
+    kept = linked(docs, id_col, text_col).filter("n > 0").groupBy("component").agg(first)
+    kept = cut(kept.select(F.col("first.row_key").alias(key)), "kept")
+    wordy = text_of(text_col).rlike(r"[^\x20\x09-\x0D]")
+    some = docs.filter(wordy).withColumn(key, row_key(id_col, text_col)).join(kept, key, "left_semi").dropDuplicates([key])
+    return some.drop(key).unionByName(docs.filter(~wordy))
