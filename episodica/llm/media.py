@@ -229,6 +229,11 @@ def mux(text: Column) -> Column:
     return F.arrow_udf(stored, "binary")(text)
 
 
+def with_media(docs: DataFrame, name: str = "media", text_col: str = "text") -> DataFrame:
+    """docs with the container of each text in a binary column."""
+    return docs.withColumn(name, mux(F.col(text_col)))
+
+
 def probe_row(data: bytes | None) -> dict:
     track, n, error = probe_bytes(data) if data is not None else (None, 0, "no file")
     if track is None:
