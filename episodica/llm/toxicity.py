@@ -268,12 +268,15 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3,
 
 
 def logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(slope, shift) of the calibration; a small penalty keeps the slope off infinity."""
+    """(slope, shift) of the calibration. The rarer class weighs more by the root of the imbalance; a small penalty keeps
+    the slope off infinity."""
+    share = np.where(y == 1, np.sqrt((1 - y.mean()) / y.mean()), 1.0)
+    share /= share.sum()
     w, x = np.array([1.0, 0.0]), np.column_stack([f, np.ones(len(f))])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x / len(y) + np.diag([1e-4, 1e-6])
-        step = np.linalg.solve(h, x.T @ (p - y) / len(y) + np.array([1e-4, 1e-6]) * w)
+        h = (x * (share * p * (1 - p))[:, None]).T @ x + np.diag([1e-4, 1e-6])
+        step = np.linalg.solve(h, x.T @ (share * (p - y)) + np.array([1e-4, 1e-6]) * w)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
