@@ -125,8 +125,9 @@ def revealing_terms(docs: DataFrame, text_col: str = "text", support: int = SUPP
     pairs = pairs.agg(F.count_distinct("context").alias("n_both")).filter(F.col("n_both") >= support)
     pairs = cut(pairs.join(entities, ["kind", "entity"]), "pairs")
     wanted = cut(pairs.select("term").distinct(), "terms")
-    every = docs.select(F.explode(terms_of(text_of(text_col))).alias("term"))
-    counts = every.join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # All terms are counted before the join, as common words stand near some entity in ever more corpora.
+    every = docs.select(F.explode(terms_of(text_of(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    counts = every.join(wanted, "term")
     n = docs.count()
     told = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_term") * F.col("n_entity")))
     whole = F.log2(F.lit(float(n)) / F.col("n_entity"))
