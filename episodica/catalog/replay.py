@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from episodica.catalog import STEPS_SQL, experiences_sql, query, r, table
 from episodica.catalog.sessions import experiences, steps
-from episodica.functions.numbers import spread_key, steady
+from episodica.functions.numbers import spread_key, spread_sql, steady
 from episodica.operators import replay as B
 from episodica.operators import returns as R
 
@@ -16,17 +16,17 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY behavior_id ORDER BY tick)
 )
 SHUFFLED_SQL = (
     RANKED_SQL
-    + """,
+    + f""",
 heads AS (SELECT behavior_id, rank // 4 AS seq, row_number() OVER (PARTITION BY behavior_id
-  ORDER BY (((rank // 4) + 17) * 2654435761) % 4294967296) - 1 AS place
+  ORDER BY {spread_sql('rank // 4', 17)}, rank // 4) - 1 AS place
   FROM ranked WHERE rank % 4 = 0 AND rank // 4 < n // 4),
 shuffled AS (SELECT r.*, h.place * 4 + r.rank % 4 AS shuffled FROM ranked r
   JOIN heads h ON h.behavior_id = r.behavior_id AND h.seq = r.rank // 4)"""
 )
 DRAWS_SQL = (
     RANKED_SQL
-    + """,
-draws AS (SELECT behavior_id, d AS draw, CAST(floor((((d * 7919 + 5) * 2654435761) % 4294967296)
+    + f""",
+draws AS (SELECT behavior_id, d AS draw, CAST(floor({spread_sql('d', 5)}
    / 4294967296.0::DOUBLE * (n // 4)) AS BIGINT) AS seq_no
   FROM (SELECT DISTINCT behavior_id, n FROM ranked), (SELECT unnest(generate_series(0, 15)) AS d))"""
 )
@@ -37,7 +37,7 @@ def buffer(spark, sf_dir, *extra):
 
 
 def draw_u(index):
-    return spread_key(index * 7919 + 5) / F.lit(4294967296.0)
+    return spread_key(index, 5) / F.lit(4294967296.0)
 
 
 @query("replay_truncated", f"""WITH {RANKED_SQL} SELECT behavior_id, tick, k FROM ranked
@@ -95,33 +95,27 @@ def replay_random_sample(spark, sf_dir):
     f"WITH {STEPS_SQL} SELECT action AS code, count(*) AS n, CAST(sum(k) AS BIGINT) AS sum_k FROM steps GROUP BY 1",
 )
 def rows_partitioned_by_code(spark, sf_dir):
-    parts = B.dynamic_partition(steps(spark, sf_dir, "action", "k"), "action", 5)
-    out = None
-    for i, p in enumerate(parts):
-        one = p.groupBy(F.lit(i).alias("code")).agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("sum_k"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    parts = B.partitioned(steps(spark, sf_dir, "action", "k"), "action", 5)
+    return parts.groupBy(F.col("action").cast("int").alias("code")).agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("sum_k"))
 
 
 @query(
     "expert_pairs",
     f"""WITH {STEPS_SQL},
 p AS (SELECT action, tick, k, row_number() OVER (PARTITION BY action ORDER BY tick) - 1 AS rank
-  FROM steps WHERE behavior_id LIKE 'b0%'),
+  FROM steps WHERE behavior_id NOT LIKE 'b1%'),
 e AS (SELECT action, tick, k, row_number() OVER (PARTITION BY action ORDER BY tick) - 1 AS rank,
   count(*) OVER (PARTITION BY action) AS n FROM steps WHERE behavior_id LIKE 'b1%'),
 s AS (SELECT action, max(n) AS n FROM e GROUP BY 1)
 SELECT p.action, p.tick, e.tick AS expert_tick, e.k AS expert_k FROM p JOIN s ON s.action = p.action
-JOIN e ON e.action = p.action AND e.rank = CAST(floor((((p.rank * 7919 + 5) * 2654435761) % 4294967296)
+JOIN e ON e.action = p.action AND e.rank = CAST(floor({spread_sql('p.rank', 5)}
   / 4294967296.0::DOUBLE * s.n) AS BIGINT)""",
 )
 def expert_pairs(spark, sf_dir):
     st = steps(spark, sf_dir, "behavior_id", "action", "tick", "k")
-    side = {
-        b: B.with_rank(st.filter(F.col("behavior_id").startswith(b)).drop("behavior_id"), "tick", ["action"])
-        for b in ("b0", "b1")
-    }
-    out = B.pair_expert(side["b0"], side["b1"], 0, ["action"], u=draw_u(F.col("rank")))
+    expert = F.col("behavior_id").startswith("b1")
+    policy, demos = (B.with_rank(st.filter(c).drop("behavior_id"), "tick", ["action"]) for c in (~expert, expert))
+    out = B.pair_expert(policy, demos, 0, ["action"], u=draw_u(F.col("rank")))
     return out.select("action", "tick", "expert_tick", "expert_k")
 
 

@@ -7,17 +7,21 @@ from episodica.catalog.sessions import experiences, steps
 from episodica.functions.numbers import steady
 from episodica.operators import sessions as S
 from episodica.operators import stats as O
+from episodica.schema import TRAJECTORY
 
 H = 4
 FREQ = 100
 
+# Sixteen ticks of the log are one tick of the trainer, on which many agents hand over trajectories: their order is that
+# of workers, agents, episodes and segments.
+TOTAL = "arrival, worker_id, agent_id, behavior_id, episode, segment"
 TRAJ_SQL = (
     experiences_sql(H)
     + f""",
-traj AS (SELECT behavior_id, worker_id, agent_id, episode, segment, count(*) AS length, max(next_tick) AS arrival,
+traj AS (SELECT behavior_id, worker_id, agent_id, episode, segment, count(*) AS length, max(next_tick) // 16 AS arrival,
   bool_or(done) AS done, sum(reward) AS reward, avg(value_est) AS mean_value
   FROM exps GROUP BY ALL HAVING bool_or(done) OR count(*) >= {H}),
-clock AS (SELECT *, CAST(sum(length) OVER (PARTITION BY behavior_id ORDER BY arrival
+clock AS (SELECT *, CAST(sum(length) OVER (PARTITION BY behavior_id ORDER BY {TOTAL}
   ROWS UNBOUNDED PRECEDING) AS BIGINT) AS c FROM traj)"""
 )
 
@@ -26,7 +30,8 @@ EVENT_METHODS = {"click": "AVERAGE", "view": "MOST_RECENT", "signup": "SUM", "er
 
 
 def trajectories(spark, sf_dir, *extra_aggs, columns=()):
-    return S.trajectories(experiences(spark, sf_dir, *columns, horizon=H), H, *extra_aggs)
+    out = S.trajectories(experiences(spark, sf_dir, *columns, horizon=H), H, *extra_aggs)
+    return out.withColumn("arrival", F.expr("arrival div 16"))
 
 
 def stat_events(spark, sf_dir):
@@ -51,10 +56,10 @@ stat_events AS (SELECT 'b' || (user_id % 3) AS category, 'Environment/' || event
   user_id % 4 AS worker_id, event_id AS seq, (event_id // 500 + 1) * 500 AS summary_step FROM events)"""
 
 
-@query("trainer_steps", f"WITH {TRAJ_SQL} SELECT behavior_id, arrival, length, c AS trainer_step FROM clock")
+@query("trainer_steps", f"WITH {TRAJ_SQL} SELECT behavior_id, agent_id, arrival, length, c AS trainer_step FROM clock")
 def trainer_steps(spark, sf_dir):
     out = O.with_trainer_step(trajectories(spark, sf_dir))
-    return out.select("behavior_id", "arrival", "length", "trainer_step")
+    return out.select("behavior_id", "agent_id", "arrival", "length", "trainer_step")
 
 
 @query(
@@ -73,45 +78,45 @@ def summary_buckets(spark, sf_dir):
 
 @query(
     "checkpoint_points",
-    f"""WITH {TRAJ_SQL} SELECT behavior_id, arrival, c - length AS checkpoint_step FROM clock
+    f"""WITH {TRAJ_SQL} SELECT behavior_id, agent_id, arrival, c - length AS checkpoint_step FROM clock
 WHERE c // 50 > (c - length) // 50 AND c - length > 0""",
 )
 def checkpoint_points(spark, sf_dir):
-    return O.checkpoint_steps(trajectories(spark, sf_dir), 50).select("behavior_id", "arrival", "checkpoint_step")
+    return O.checkpoint_steps(trajectories(spark, sf_dir), 50).select("behavior_id", "agent_id", "arrival", "checkpoint_step")
 
 
 @query(
     "on_policy_update_rounds",
     f"""WITH RECURSIVE {TRAJ_SQL},
-ord AS (SELECT *, row_number() OVER (PARTITION BY behavior_id ORDER BY arrival) AS n FROM clock),
-rec AS (SELECT behavior_id, n, arrival, length, 0 AS round, length > 40 AS closes,
+ord AS (SELECT *, row_number() OVER (PARTITION BY behavior_id ORDER BY {TOTAL}) AS n FROM clock),
+rec AS (SELECT behavior_id, agent_id, n, arrival, length, 0 AS round, length > 40 AS closes,
                CASE WHEN length > 40 THEN 0 ELSE length END AS buf FROM ord WHERE n = 1
   UNION ALL
-  SELECT o.behavior_id, o.n, o.arrival, o.length, rec.round + CAST(rec.closes AS INT),
+  SELECT o.behavior_id, o.agent_id, o.n, o.arrival, o.length, rec.round + CAST(rec.closes AS INT),
     rec.buf + o.length > 40, CASE WHEN rec.buf + o.length > 40 THEN 0 ELSE rec.buf + o.length END
   FROM rec JOIN ord o ON o.behavior_id = rec.behavior_id AND o.n = rec.n + 1)
-SELECT behavior_id, arrival, length, CAST(round AS BIGINT) AS round, CAST(closes AS INT) AS closes FROM rec""",
+SELECT behavior_id, agent_id, arrival, length, CAST(round AS BIGINT) AS round, CAST(closes AS INT) AS closes FROM rec""",
 )
 def on_policy_update_rounds(spark, sf_dir):
     out = O.update_rounds(trajectories(spark, sf_dir), 40)
-    return out.select("behavior_id", "arrival", "length", "round", F.col("closes").cast("int").alias("closes"))
+    return out.select("behavior_id", "agent_id", "arrival", "length", "round", F.col("closes").cast("int").alias("closes"))
 
 
 @query(
     "off_policy_updates_due",
-    f"""WITH {TRAJ_SQL} SELECT behavior_id, arrival, CAST(c >= 100 AS INT) AS ready,
+    f"""WITH {TRAJ_SQL} SELECT behavior_id, agent_id, arrival, CAST(c >= 100 AS INT) AS ready,
 CAST(CASE WHEN c >= 100 THEN greatest(ceil((c - 100) / 8.0::DOUBLE), 1) - 1 ELSE 0 END AS BIGINT) AS updates_done
 FROM clock""",
 )
 def off_policy_updates_due(spark, sf_dir):
     out = O.updates_due(trajectories(spark, sf_dir), 100, 8.0, 32)
-    return out.select("behavior_id", "arrival", F.col("ready").cast("int").alias("ready"), "updates_done")
+    return out.select("behavior_id", "agent_id", "arrival", F.col("ready").cast("int").alias("ready"), "updates_done")
 
 
 @query(
     "policy_mean_reward_by_round",
     f"""WITH RECURSIVE {TRAJ_SQL},
-ord AS (SELECT *, row_number() OVER (PARTITION BY behavior_id ORDER BY arrival) AS n FROM clock),
+ord AS (SELECT *, row_number() OVER (PARTITION BY behavior_id ORDER BY {TOTAL}) AS n FROM clock),
 rec AS (SELECT behavior_id, n, done, reward, 0 AS round, length > 40 AS closes,
                CASE WHEN length > 40 THEN 0 ELSE length END AS buf FROM ord WHERE n = 1
   UNION ALL
@@ -122,8 +127,8 @@ SELECT behavior_id, CAST(round AS BIGINT) AS round, {r('avg(reward)')} AS mean_r
 )
 def policy_mean_reward_by_round(spark, sf_dir):
     traj = trajectories(spark, sf_dir, F.sum("reward").alias("episode_return"))
-    rounds = O.update_rounds(traj, 40).select("behavior_id", "arrival", "round")
-    ended = traj.filter("done").join(rounds, ["behavior_id", "arrival"])
+    rounds = O.update_rounds(traj, 40).select(*TRAJECTORY, "round")
+    ended = traj.filter("done").join(rounds, list(TRAJECTORY))
     out = O.policy_mean_reward(ended)
     return out.select("behavior_id", "round", steady("mean_reward").alias("mean_reward"))
 

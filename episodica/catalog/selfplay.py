@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from episodica.catalog import EPISODES_SQL, STEPS_SQL, query, r
-from episodica.catalog.reporting import TRAJ_SQL, trajectories
+from episodica.catalog.reporting import TOTAL, TRAJ_SQL, trajectories
 from episodica.catalog.sessions import steps
-from episodica.functions.numbers import spread_key, steady
+from episodica.functions.numbers import spread_key, spread_sql, steady
 from episodica.operators import selfplay as P
 from episodica.operators import sessions as S
 from episodica.schema import AGENT
@@ -90,11 +90,11 @@ def elo_ratings(spark, sf_dir):
 
 def _resets(limit: int, key: str) -> str:
     return f"""
-ord AS (SELECT *, {key} AS kk, row_number() OVER (PARTITION BY {key} ORDER BY arrival) AS n FROM traj),
-rec AS (SELECT kk, n, arrival, behavior_id, length, 0 AS round, length > {limit} AS closes,
+ord AS (SELECT *, {key} AS kk, row_number() OVER (PARTITION BY {key} ORDER BY {TOTAL}) AS n FROM traj),
+rec AS (SELECT kk, n, arrival, agent_id, behavior_id, length, 0 AS round, length > {limit} AS closes,
     CASE WHEN length > {limit} THEN 0 ELSE length END AS buf FROM ord WHERE n = 1
   UNION ALL
-  SELECT o.kk, o.n, o.arrival, o.behavior_id, o.length, rec.round + CAST(rec.closes AS INT), rec.buf + o.length > {limit},
+  SELECT o.kk, o.n, o.arrival, o.agent_id, o.behavior_id, o.length, rec.round + CAST(rec.closes AS INT), rec.buf + o.length > {limit},
     CASE WHEN rec.buf + o.length > {limit} THEN 0 ELSE rec.buf + o.length END
   FROM rec JOIN ord o ON o.kk = rec.kk AND o.n = rec.n + 1)"""
 
@@ -102,17 +102,18 @@ rec AS (SELECT kk, n, arrival, behavior_id, length, 0 AS round, length > {limit}
 @query(
     "opponents_drawn",
     f"""WITH RECURSIVE {TRAJ_SQL}, {_resets(100, 'behavior_id')},
-d AS (SELECT *, round + 1 AS sn, ((arrival * 2654435761) % 4294967296) / 4294967296.0::DOUBLE AS u1,
- (((arrival + 99) * 2654435761) % 4294967296) / 4294967296.0::DOUBLE AS u2 FROM rec),
+d AS (SELECT *, round + 1 AS sn, {spread_sql('arrival')} / 4294967296.0::DOUBLE AS u1,
+ {spread_sql('arrival', 99)} / 4294967296.0::DOUBLE AS u2 FROM rec),
 s AS (SELECT *, CASE WHEN u1 >= 0.5 THEN -1 ELSE CAST(floor(u2 * least(sn, 4)) AS BIGINT) END AS slot FROM d)
-SELECT behavior_id, arrival, CAST(sn AS BIGINT) AS snapshots, CAST(u1 >= 0.5 AS INT) AS plays_latest, slot,
+SELECT behavior_id, agent_id, arrival, CAST(sn AS BIGINT) AS snapshots, CAST(u1 >= 0.5 AS INT) AS plays_latest, slot,
 CASE WHEN slot = -1 THEN -1 ELSE (SELECT max(g) FROM (SELECT unnest(generate_series(0, CAST(sn - 1 AS BIGINT))) AS g) WHERE g % 4 = slot) END AS snapshot
 FROM s""",
 )
 def opponents_drawn(spark, sf_dir):
-    u1, u2 = (spread_key(F.col("arrival") + o) / F.lit(4294967296.0) for o in (0, 99))
+    u1, u2 = (spread_key("arrival", o) / F.lit(4294967296.0) for o in (0, 99))
     out = P.opponent_plan(trajectories(spark, sf_dir), 100, 4, 0.5, u1, u2)
-    return out.withColumn("plays_latest", F.col("plays_latest").cast("int"))
+    plays = F.col("plays_latest").cast("int").alias("plays_latest")
+    return out.select("behavior_id", "agent_id", "arrival", "snapshots", plays, "slot", "snapshot")
 
 
 @query(

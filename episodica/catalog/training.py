@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from episodica.catalog import query, r, table
-from episodica.catalog.columns import CONCEPTS, EMB_SQL, _nsql, embeddings, navigation
+from episodica.catalog.columns import EMB_SQL, _nsql, embeddings, navigation
 from episodica.functions import concepts as C
 from episodica.functions import vectors as V
+from episodica.functions.concepts import CONCEPTS
 from episodica.functions.numbers import steady
 from episodica.operators import metrics as M
 

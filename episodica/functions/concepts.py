@@ -14,6 +14,23 @@ NEAR = 30.0
 BLOCKED = 20.0
 STUCK_DISTANCE = 15.0
 STUCK_SPEED = 0.1
+# The concepts.
+CONCEPTS = (
+    "distance_to_target",
+    "direction_alignment",
+    "speed",
+    "moving_towards_target",
+    "obstacle_in_front",
+    "obstacle_on_left",
+    "obstacle_on_right",
+    "closest_obstacle_distance",
+    "direct_path_blocked",
+    "wind_force_magnitude",
+    "wind_helps_or_hinders",
+    "appears_stuck",
+    "exploring_vs_exploiting",
+    "needs_detour",
+)
 # Concepts judged yes/no; the others are degrees in [0, 1].
 BINARY_CONCEPTS = (
     "moving_towards_target",
@@ -80,6 +97,7 @@ def concept_labels(rays, vector, n_rays: int, n_tags: int) -> dict[str, Column]:
     nearest = F.array_min(d)
     blocked = front < BLOCKED
     stuck = (speed < STUCK_SPEED) & (distance > 0.15) & (nearest < STUCK_DISTANCE)
+    # The names, as in CONCEPTS.
     labels = {
         "distance_to_target": distance,
         "direction_alignment": clip(0.5 * (heading + 1.0), 0, 1),

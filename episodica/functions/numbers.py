@@ -28,6 +28,31 @@ def mixed_uniform(*parts) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def spread_key(c) -> Column:
-    """Multiplicative hash into 0..2^32-1; plain arithmetic, so any SQL engine reproduces it."""
-    return F.pmod(as_col(c).cast("long") * F.lit(2654435761), F.lit(4294967296))
+_WORD = 1 << 32
+_FACTOR = 73244475
+
+
+def _mixed(x: int) -> int:
+    for _ in range(2):
+        x = (x ^ x >> 16) * _FACTOR % _WORD
+    return x ^ x >> 16
+
+
+def spread_key(c, seed: int = 0) -> Column:
+    """Hash of a whole number and a seed into 0..2^32-1: both halves of the number, shifted and multiplied twice modulo
+    2^32. No product leaves 64 bits, and any SQL engine reproduces it (`spread_sql`)."""
+    c = as_col(c).cast("long")
+    low = F.lit(_WORD - 1)
+    x = c.bitwiseAND(low).bitwiseXOR(F.shiftright(c, 32).bitwiseAND(low)).bitwiseXOR(F.lit(_mixed(seed % _WORD)))
+    for _ in range(2):
+        x = F.pmod(x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(_FACTOR), F.lit(_WORD))
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+def spread_sql(expr: str, seed: int = 0) -> str:
+    """The same hash as SQL text."""
+    c = f"CAST({expr} AS BIGINT)"
+    x = f"xor(xor({c} & {_WORD - 1}, ({c} >> 32) & {_WORD - 1}), {_mixed(seed % _WORD)})"
+    for _ in range(2):
+        x = f"((xor({x}, {x} >> 16) * {_FACTOR}) % {_WORD})"
+    return f"xor({x}, {x} >> 16)"

@@ -80,11 +80,12 @@ def sample_parameter(kind: str, args: tuple, seed, *ids) -> Column:
 def seed_plan(lessons: DataFrame, run_seed: int) -> DataFrame:
     """Lessons without a seed get the run's seed plus a running offset, in (parameter, lesson) order.
 
-    Columns: run, param_no, lesson (both below 2^31), seed (-1 = unset).
+    Columns: run, param_no, lesson, seed (-1 = unset).
     """
     unset = F.col("seed") == -1
-    placed = lessons.withColumn("_pos", F.col("param_no").cast("long") * F.lit(1 << 31) + F.col("lesson"))
-    counted = prefix(placed, ["run"], "_pos", {"_offset": unset.cast("long")}, inclusive=False)
+    counted = prefix(
+        lessons, ["run"], "param_no", {"_offset": unset.cast("long")}, ["param_no", "lesson"], inclusive=False
+    )
     return counted.withColumn(
         "planned_seed", F.when(unset, F.lit(run_seed) + F.col("_offset")).otherwise(F.col("seed"))
-    ).drop("_pos", "_offset")
+    ).drop("_offset")

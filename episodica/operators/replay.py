@@ -45,16 +45,16 @@ def shuffle_sequences(ranked: DataFrame, length: int, seed: int, keys: list[str]
     seqs = ranked.withColumn("_seq", F.floor(F.col("rank") / length).cast("long"))
     whole = F.col("_seq") < F.floor(F.col("n_rows") / length)
     heads = seqs.filter((F.col("rank") % length == 0) & whole).select(*keys, "_seq")
-    placed = _rank_within(heads, keys, spread_key(F.col("_seq") + F.lit(seed)), "_place")
+    placed = _rank_within(heads, keys, spread_key("_seq", seed), "_seq", "_place")
     return seqs.join(placed, [*keys, "_seq"]).select(
         *ranked.columns, (F.col("_place") * length + F.col("rank") % length).alias("shuffled")
     )
 
 
-def _rank_within(df: DataFrame, keys: list[str], key: Column, alias: str) -> DataFrame:
-    """0-based rank by a 0..2^32-1 key, per `keys`, over equal slices of the key's range."""
+def _rank_within(df: DataFrame, keys: list[str], key: Column, tie: str, alias: str) -> DataFrame:
+    """0-based rank by a 0..2^32-1 key, then by `tie`, per `keys`, over equal slices of the key's range."""
     return prefix(
-        df.withColumn("_k", key), keys, "_k", {alias: F.lit(1)}, inclusive=False, width=1 << 20
+        df.withColumn("_k", key), keys, "_k", {alias: F.lit(1)}, ["_k", tie], inclusive=False, width=1 << 20
     ).drop("_k")
 
 
@@ -88,6 +88,11 @@ def sample_replay(ranked: DataFrame, batch: int, length: int, seed: int, keys: l
     return gather_sequences(ranked, sample_draws(ranked, batch, length, seed, keys), length, keys)
 
 
+def partitioned(df: DataFrame, col: str, n: int) -> DataFrame:
+    """The rows of codes 0..n-1 as one frame: group or write by the code, in one scan."""
+    return df.filter(F.col(col).between(0, n - 1))
+
+
 def dynamic_partition(df: DataFrame, col: str, n: int) -> list[DataFrame]:
     """One frame per integer code 0..n-1."""
     return [df.filter(F.col(col) == i) for i in range(n)]

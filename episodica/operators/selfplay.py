@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from episodica.functions.names import behavior_name, behavior_team
 from episodica.functions.numbers import as_col
+from episodica.plans.ordered import total_order
 from episodica.plans.folds import ordered_fold, threshold_resets
 
 # Initial rating, scale of the expected score, weight of the old smoothed measure.
@@ -181,7 +182,7 @@ def opponent_plan(
                 newest - F.pmod(newest - F.col("slot"), F.lit(window))
             ),
         )
-        .select(*keys, "arrival", "snapshots", "plays_latest", "slot", "snapshot")
+        .select(*keys, *total_order(traj, keys, "arrival"), "snapshots", "plays_latest", "slot", "snapshot")
     )
 
 
@@ -190,13 +191,14 @@ def team_schedule(traj: DataFrame, team_change: int, teams: int, keys: list[str]
     `team_change` steps have passed since the last change."""
     keys = keys or ["name"]
     rounds = threshold_resets(traj, keys, "arrival", "length", team_change, width)
-    return rounds.select(*keys, "arrival", "round", (F.col("round") % teams).alias("learning_team"))
+    own = total_order(traj, keys, "arrival")
+    return rounds.select(*keys, *own, "round", (F.col("round") % teams).alias("learning_team"))
 
 
 def learning_team_only(traj: DataFrame, schedule: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """The learning team's trajectories, and the step count of the others (ghost steps) per round."""
     keys = keys or ["name"]
-    joined = traj.join(schedule, [*keys, "arrival"])
+    joined = traj.join(schedule, [*keys, *total_order(traj, keys, "arrival")])
     mine = F.col("team") == F.col("learning_team")
     ghosts = joined.groupBy(*keys, "round").agg(
         F.sum(F.when(mine, F.col("length")).otherwise(0)).alias("learning_steps"),

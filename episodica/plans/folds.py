@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from episodica.plans.ordered import block_of, block_width, prefix
+from episodica.plans.ordered import block_of, block_width, prefix, total_order
 
 
 def python_partitions(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,8 +99,8 @@ def threshold_resets(
 ) -> DataFrame:
     """Number the rounds of "add up `length`; once the sum since the last reset exceeds `limit`, reset".
 
-    Returns keys, position, length, `total` (running sum), `round` (resets before the row) and
-    `closes` (the row itself resets). Positions are unique per key, lengths positive.
+    Returns keys, the columns of the total order (position first), length, `total` (running sum),
+    `round` (resets before the row) and `closes` (the row itself resets). Lengths are positive.
 
     Blocks of the order are independent but for the total at the last reset before them. Each block
     yields its exact table from that total to the one it hands on; the tables are read in order, and
@@ -109,8 +109,9 @@ def threshold_resets(
     limit = int(limit)
     width = block_width(df, width)
     bk = [*keys, "b"]
+    order = total_order(df, keys, position)
     summed = prefix(
-        df.select(*keys, position, length), keys, position, {"total": F.col(length).cast("long")}, width=width
+        df.select(*keys, *order, length), keys, position, {"total": F.col(length).cast("long")}, order, width=width
     )
     rows = python_partitions(summed.withColumn("b", block_of(position, width)), bk)
     kinds = {f.name: f.dataType for f in rows.schema}
@@ -142,7 +143,7 @@ def threshold_resets(
             state[0], state[1] = int(row.leads[j]), done + int(row.hits[j])
         return [(*row[: len(bk)], last, done)]
 
-    ordered = rows.sortWithinPartitions(*bk, position)
+    ordered = rows.sortWithinPartitions(*bk, *order)
     starts = ordered_fold(
         ordered.mapInPandas(tables, table_schema),
         keys,
@@ -151,7 +152,7 @@ def threshold_resets(
         carry,
         T.StructType(list(key_fields)).add("_last", "long").add("_round0", "long"),
     )
-    out_schema = T.StructType([T.StructField(c, kinds[c]) for c in [*keys, position, length, "total"]])
+    out_schema = T.StructType([T.StructField(c, kinds[c]) for c in [*keys, *order, length, "total"]])
     out_schema = out_schema.add("round", "long").add("closes", "boolean")
 
     def number(batches):
@@ -164,12 +165,12 @@ def threshold_resets(
                 hit = np.zeros(len(c), dtype=bool)
                 at = _flushes(c, last, limit)
                 hit[at] = True
-                out = piece[[*keys, position, length, "total"]].copy()
+                out = piece[[*keys, *order, length, "total"]].copy()
                 out["round"] = done + np.cumsum(hit) - hit
                 out["closes"] = hit
                 if at:
                     last, done = int(c[at[-1]]), done + len(at)
                 yield out
 
-    joined = python_partitions(rows.join(starts, bk), bk).sortWithinPartitions(*bk, position)
+    joined = python_partitions(rows.join(starts, bk), bk).sortWithinPartitions(*bk, *order)
     return joined.mapInPandas(number, out_schema)

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a scratch folder where it is unset (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir; on one machine a scratch folder where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -31,23 +33,17 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-# Rows of a per-key table that may be sent to every task; a row holds a key and a few aggregates.
-BROADCAST_ROWS = 100_000
+# Parts that the rows of one key are dealt to in a join with per-key aggregates.
+SALTS = 8
 
 
-def join_stats(
-    df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST_ROWS, salts: int | None = None
-) -> DataFrame:
-    """Join per-key aggregates to rows whose key may be hot.
+def join_stats(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join per-key aggregates to rows whose key may be hot: one plan for all sizes.
 
-    The aggregates are written once and counted. Up to `limit` rows they are broadcast and the rows
-    are not shuffled at all; beyond it both sides are salted, so a hot key's rows still spread.
+    Rows are dealt to `salts` parts of their key and the aggregates, one row a key, stand ready in each part. Whether
+    they are broadcast is the optimizer's choice by their bytes.
     """
-    known = cut(stats, "stats")
-    if known.count() <= limit:
-        return df.join(F.broadcast(known), keys, how)
-    n = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plain = [c for c, t in df.dtypes if not t.startswith("map")]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(n)).cast("int"))
-    copies = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
+    copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

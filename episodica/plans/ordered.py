@@ -12,6 +12,15 @@ DEFAULT_BLOCK = 1 << 18
 BLOCK_CONF = "episodica.block.width"
 
 
+# What tells rows of one position apart: they are handed over worker by worker, agent by agent, in their own order.
+TIES = ("worker_id", "agent_id", "behavior_id", "episode", "segment", "tick")
+
+
+def total_order(df: DataFrame, keys: list[str], position: str) -> list[str]:
+    """The position and the columns that decide between rows at the same one."""
+    return [position, *[c for c in TIES if c in df.columns and c not in keys and c != position]]
+
+
 def block_width(df: DataFrame, width: int | None = None) -> int:
     return int(width or df.sparkSession.conf.get(BLOCK_CONF, str(DEFAULT_BLOCK)))
 
@@ -39,13 +48,14 @@ def prefix(
     width: int | None = None,
     totals: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Running sums per key. `position` is a numeric order column; `order` refines it inside ties.
+    """Running sums per key. `position` is a numeric order column; `order` refines it inside ties, by default with
+    the columns that name a step or trajectory.
 
     `totals` adds sums over the whole key: they ride on the same carry, so no row meets a join on a
     (possibly hot) key alone.
     """
     whole = totals or {}
-    order = order or [position]
+    order = order or total_order(df, keys, position)
     blocked = _blocked(df, keys, position, width)
     bk = [*keys, "_b"]
     local_w = Window.partitionBy(*bk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -6,12 +6,53 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from episodica.operators import sessions as S
+from episodica.functions.numbers import spread_key
 from episodica.operators import replay as B
+from episodica.operators import selfplay as P
+from episodica.operators import sessions as S
+from episodica.operators import stats as O
 from episodica.plans.lineage import join_stats
 from episodica.plans.ordered import fill_forward, prefix, with_halo
 
 
+def plain_spread(x, seed=0):
+    def mix(v):
+        for _ in range(2):
+            v = (v ^ v >> 16) * 73244475 % 2**32
+        return v ^ v >> 16
+
+    return mix((x & 0xFFFFFFFF) ^ (x >> 32 & 0xFFFFFFFF) ^ mix(seed))
+
+
+def test_spread_keys(spark):
+    ids = [0, 1, 2**31, 2**40 + 7, 2**62, -5]
+    got = spark.createDataFrame([(i,) for i in ids], "id long").select("id", spread_key("id", 3).alias("k")).collect()
+    assert [r.k for r in got] == [plain_spread(i, 3) for i in ids]
+
+
+def test_seeds_shuffle_apart(spark):
+    def pairs(seed):
+        order = [r[0] for r in spark.range(400).orderBy(spread_key("id", seed)).collect()]
+        return set(zip(order, order[1:]))
+
+    assert len(pairs(1) & pairs(2)) < 8
+
+
+def test_shared_ticks_have_one_order(spark):
+    """Twelve agents that close ten steps on each of six ticks: 72 trajectories, 720 steps, one order."""
+    rows = [("b", 0, agent, tick, 0, 10, tick, True) for tick in range(6) for agent in range(12)]
+    traj = spark.createDataFrame(rows, "behavior_id string, worker_id int, agent_id long, episode long, segment long, length long, arrival long, done boolean")
+    for width in (1, 3, 1 << 18):
+        steps = {(r.arrival, r.agent_id): r.trainer_step for r in O.with_trainer_step(traj, width=width).collect()}
+        assert steps == {(t, a): 10 * (12 * t + a + 1) for t in range(6) for a in range(12)}
+        rounds = O.update_rounds(traj, 25, width=width)
+        got = {(r.arrival, r.agent_id): (r.round, r.closes) for r in rounds.collect()}
+        assert got == {(t, a): ((12 * t + a) // 3, (12 * t + a) % 3 == 2) for t in range(6) for a in range(12)}
+        named = traj.withColumn("name", F.lit("b")).withColumn("team", (F.col("agent_id") % 2).cast("int"))
+        _, ghosts = P.learning_team_only(named, P.team_schedule(named, 100, 2, width=width))
+        assert sum(r.learning_steps + r.ghost_steps for r in ghosts.collect()) == 720
+
+
 def log(seed=3, n=400):
     """A third of the rows belong to one agent; terminal and restart may share a tick."""
     rng = random.Random(seed)
@@ -91,16 +132,16 @@ def test_shuffle_is_a_permutation_of_sequences(spark):
     df = spark.range(503).select(F.lit("b").alias("behavior_id"), F.col("id").alias("tick"))
     ranked = B.with_rank(df, "tick", width=50)
     got = {r.tick: r.shuffled for r in B.shuffle_sequences(ranked, 5, 9).collect()}
-    order = sorted(range(100), key=lambda q: (q + 9) * 2654435761 % 4294967296)
+    order = sorted(range(100), key=lambda q: plain_spread(q, 9))
     assert got == {q * 5 + p: n * 5 + p for n, q in enumerate(order) for p in range(5)}
     assert B.minibatches(B.shuffle_sequences(ranked, 5, 9), 23, 5).count() == 500
 
 
-def test_stats_join_both_ways(spark):
+def test_stats_join(spark):
     rows = spark.range(300).select((F.col("id") % 3).alias("k"), "id")
     stats = rows.groupBy("k").agg(F.max("id").alias("m"))
-    for limit in (0, 10):
-        out = join_stats(rows, stats, ["k"], limit=limit, salts=4)
+    for salts in (1, 4):
+        out = join_stats(rows, stats, ["k"], salts=salts)
         assert out.count() == 300 and {(r.k, r.m) for r in out.collect()} == {(0, 297), (1, 298), (2, 299)}
 
 
