@@ -34,13 +34,15 @@ GRAM = 5
 MOST_MATCHES = 4
 # Tokens whose hash is below this share of its range are counted, and put later if many prefixes hold them.
 COUNTED = 0.3
-FREQUENT = 32
+FREQUENT = 12
 MAP_BITS = 26
 MOST_FREQUENT = 1 << 22
 COUNTS_PER_BUCKET = 1 << 21
 PAIRS_PER_ENTRY = 4
 MOST_ROUNDS = 8
 GROUP_ROWS = 128
+# Names of texts (16 bytes each) that may be sent to every task.
+MOST_BROADCAST = 2_000_000
 # Cost of comparing a candidate, in posting-list entries read.
 COMPARE_COST = 8
 
@@ -288,12 +290,14 @@ def whole_set(text: pa.Scalar) -> np.ndarray:
     return np.concatenate([token for _, token, _, _ in shingle_sets(pa.array([text.as_py()]))])
 
 
-def texts_of(docs: DataFrame, nodes: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
-    """(node, text) of the nodes that are in any posting list."""
-    chosen = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
-    chosen = cut(chosen, "chosen")
+def texts_of(docs: DataFrame, pairs: DataFrame, names: DataFrame, text_col: str) -> DataFrame:
+    """(node, text) of the nodes of some pairs. Their names go to every task while they are few enough for that;
+    more of them are joined by a shuffle."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = cut(names.join(wanted, "node", "left_semi"), "wanted")
     text = docs.select(F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).alias("text"))
-    return cut(text.join(chosen, "text_hash").dropDuplicates(["node"]).select("node", "text"), "texts")
+    found = text.join(F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted, "text_hash")
+    return cut(found.dropDuplicates(["node"]).select("node", "text"), "texts")
 
 
 def with_component(entries: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -358,15 +362,17 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     entries = cut(shared_entries(prefix_entries(sets, frequent_tokens(sets))), "entries")
     entries = unpacked(entries)
     sets = sets.select("doc_id", "text_hash", "row_key", "n", "node")
-    texts = texts_of(docs, entries.select("node").distinct(), sets, text_col)
-    comps, links, tried = None, None, None
+    names = cut(sets.filter("n > 0").groupBy("node").agg(F.min("text_hash").alias("text_hash")), "names")
+    comps, links, tried, before = None, None, None, float("inf")
     for turn in range(MOST_ROUNDS):
         mine = with_component(entries, comps)
         n_entries, n_pairs = cross_pairs(mine)
-        if n_pairs <= PAIRS_PER_ENTRY * n_entries:
+        # Another round must be needed, and the last one must have been worth it.
+        if n_pairs <= PAIRS_PER_ENTRY * n_entries or n_pairs > 0.9 * before:
             break
+        before = n_pairs
         pairs = cut(leader_pairs(mine, turn, tried), "leaders")
-        found = cut(compared(pairs, texts), "links")
+        found = cut(compared(pairs, texts_of(docs, pairs, names, text_col)), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         comps = components(links)
@@ -374,7 +380,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     if tried is not None:
         swapped = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
         pairs = pairs.join(tried.unionByName(swapped).distinct(), ["a", "b"], "left_anti")
-    found = cut(compared(pairs, texts), "links")
+    pairs = cut(pairs, "candidates")
+    found = cut(compared(pairs, texts_of(docs, pairs, names, text_col)), "links")
     comps = components(found if links is None else links.unionByName(found))
     return with_component(sets, comps)
 
