@@ -37,14 +37,24 @@ def step_log_scanned(spark, sf_dir):
 
 @query(
     "replay_saved_and_loaded",
-    f"WITH {experiences_sql(64)} SELECT agent_id, tick, next_tick, {r('reward')} AS reward, k AS obs FROM exps WHERE behavior_id = 'b1?team=1'",
+    f"WITH {experiences_sql(64)} SELECT agent_id, tick, next_tick, {r('reward')} AS reward, k AS \"obs:0\" FROM exps",
 )
 def replay_saved_and_loaded(spark, sf_dir):
     path = fresh_dir(spark, "replay")
     exp = experiences(spark, sf_dir, "k").withColumnRenamed("k", "obs:0")
     R.save_replay(exp.select("behavior_id", "agent_id", "tick", "next_tick", "reward", "obs:0"), path)
-    out = R.load_replay(spark, path, "b1?team=1")
-    return out.select("agent_id", "tick", "next_tick", steady("reward").alias("reward"), F.col("obs__0").alias("obs"))
+    out = R.load_replay(spark, path)
+    return out.select("agent_id", "tick", "next_tick", steady("reward").alias("reward"), "obs:0")
+
+
+@query(
+    "replay_loaded_for_a_behavior",
+    f"WITH {experiences_sql(64)} SELECT agent_id, tick, k AS obs FROM exps WHERE behavior_id = 'b1?team=1'",
+)
+def replay_loaded_for_a_behavior(spark, sf_dir):
+    path = fresh_dir(spark, "replay")
+    R.save_replay(experiences(spark, sf_dir, "k").select("behavior_id", "agent_id", "tick", "k"), path)
+    return R.load_replay(spark, path, "b1?team=1").select("agent_id", "tick", F.col("k").alias("obs"))
 
 
 # --- episode log -----------------------------------------------------------------------------

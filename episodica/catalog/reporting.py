@@ -262,20 +262,20 @@ def metric_name_rollup(spark, sf_dir):
     )
 
 
+_WIDE = ", ".join(r(f"max(CASE WHEN key = 'Environment/{k}' THEN v END)") + f" AS {k}_mean" for k in EVENT_METHODS)
+
+
 @query(
     "wide_metric_export",
     f"""WITH {STAT_SQL}, s AS (SELECT summary_step AS step, key, avg(value) AS v FROM stat_events GROUP BY 1, 2)
-SELECT step, {r("max(CASE WHEN key = 'Environment/click' THEN v END)")} AS click,
- {r("max(CASE WHEN key = 'Environment/view' THEN v END)")} AS "view" FROM s GROUP BY 1""",
+SELECT step, {_WIDE} FROM s GROUP BY 1""",
 )
 def wide_metric_export(spark, sf_dir):
     s = stat_events(spark, sf_dir).groupBy(F.col("summary_step").alias("step"), "key").agg(
         F.avg("value").alias("aggregated_value")
     )
-    out = O.export_metrics(s, ["Environment/click", "Environment/view"])
-    return out.select(
-        "step", steady(F.col("`Environment/click`")).alias("click"), steady(F.col("`Environment/view`")).alias("view")
-    )
+    out = O.export_metrics(s, [f"Environment/{k}" for k in EVENT_METHODS])
+    return out.select("step", *[steady(F.col(f"`Environment/{k}`")).alias(f"{k}_mean") for k in EVENT_METHODS])
 
 
 @query(

@@ -77,60 +77,113 @@ rec AS (
 
 
 @query(
-    "elo_ratings",
+    "ratings_between_players",
     f"""WITH RECURSIVE {STEPS_SQL}, {MATCH_SQL} SELECT league, seq, slot, opp AS opponent_slot, {r('change')} AS change,
 {r('rt[slot + 1]')} AS rating, {r('rt[opp + 1]')} AS opponent_rating FROM rec WHERE n > 0""",
 )
-def elo_ratings(spark, sf_dir):
+def ratings_between_players(spark, sf_dir):
     out = P.elo(matches(spark, sf_dir), k=16.0)
     return out.select(
         "league", "seq", "slot", "opponent_slot", *[steady(c).alias(c) for c in ("change", "rating", "opponent_rating")]
     )
 
 
-def _resets(limit: int, key: str) -> str:
-    return f"""
-ord AS (SELECT *, {key} AS kk, row_number() OVER (PARTITION BY {key} ORDER BY {TOTAL}) AS n FROM traj),
-rec AS (SELECT kk, n, arrival, agent_id, behavior_id, length, 0 AS round, length > {limit} AS closes,
-    CASE WHEN length > {limit} THEN 0 ELSE length END AS buf FROM ord WHERE n = 1
+PLAN = P.SelfPlay(save_steps=40, swap_steps=30, team_change=60, window=4, latest_ratio=0.5)
+
+# Row by row, in the total order of the trajectories of a name.
+SCHEDULE_SQL = f"""
+named AS (SELECT *, split_part(behavior_id, '?', 1) AS name, CAST(split_part(behavior_id, '=', 2) AS INT) AS team FROM traj),
+ord AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY {TOTAL}) AS n FROM named),
+rec AS (
+  SELECT DISTINCT name, 0::BIGINT AS n, 0::BIGINT AS round, 0::BIGINT AS swap, 1::BIGINT AS saved, 1::BIGINT AS snapshots,
+    0::BIGINT AS ls, 0::BIGINT AS gs, 0::BIGINT AS lc, 0::BIGINT AS lv, 0::BIGINT AS lw FROM ord
   UNION ALL
-  SELECT o.kk, o.n, o.arrival, o.agent_id, o.behavior_id, o.length, rec.round + CAST(rec.closes AS INT), rec.buf + o.length > {limit},
-    CASE WHEN rec.buf + o.length > {limit} THEN 0 ELSE rec.buf + o.length END
-  FROM rec JOIN ord o ON o.kk = rec.kk AND o.n = rec.n + 1)"""
+  SELECT name, n, round + CAST(ch AS INT), swap + CAST(sw AS INT), CASE WHEN sw THEN snapshots + CAST(sv AS INT) ELSE saved END,
+    snapshots + CAST(sv AS INT), ls, gs, CASE WHEN ch THEN ls ELSE lc END, CASE WHEN sv THEN ls ELSE lv END,
+    CASE WHEN sw THEN gs ELSE lw END FROM (
+    SELECT *, ch OR gs - lw > {PLAN.swap_steps} AS sw FROM (
+      SELECT *, ls - lc > {PLAN.team_change} AS ch, ls - lv > {PLAN.save_steps} AS sv FROM (
+        SELECT o.name, o.n, rec.round, rec.swap, rec.saved, rec.snapshots, rec.lc, rec.lv, rec.lw,
+          rec.ls + CASE WHEN o.team = rec.round % 2 THEN o.length ELSE 0 END AS ls,
+          rec.gs + CASE WHEN o.team = rec.round % 2 THEN 0 ELSE o.length END AS gs
+        FROM rec JOIN ord o ON o.name = rec.name AND o.n = rec.n + 1)))),
+sched AS (SELECT o.*, rec.round, rec.swap, rec.saved, rec.snapshots, o.team = rec.round % 2 AS mine
+  FROM ord o JOIN rec ON rec.name = o.name AND rec.n = o.n - 1),
+drawn AS (SELECT *, CASE WHEN latest THEN -1 ELSE CAST(floor({spread_sql('swap', 99)} / 4294967296.0::DOUBLE
+    * least(saved, {PLAN.window})) AS BIGINT) END AS slot FROM (
+  SELECT *, swap = 0 OR {spread_sql('swap')} / 4294967296.0::DOUBLE >= {1 - PLAN.latest_ratio} AS latest FROM sched))"""
+
+
+def schedule(spark, sf_dir):
+    last = F.max_by("reward", "i").alias("final_reward")
+    broken = F.max(F.col("interrupted").cast("int")).cast("boolean").alias("interrupted")
+    traj = P.named_teams(trajectories(spark, sf_dir, last, broken))
+    out = P.self_play_schedule(traj, PLAN)
+    u1, u2 = (spread_key("swap", o) / F.lit(4294967296.0) for o in (0, 99))
+    return traj, P.drawn_opponents(out, PLAN, u1, u2)
 
 
 @query(
     "opponents_drawn",
-    f"""WITH RECURSIVE {TRAJ_SQL}, {_resets(100, 'behavior_id')},
-d AS (SELECT *, round + 1 AS sn, {spread_sql('arrival')} / 4294967296.0::DOUBLE AS u1,
- {spread_sql('arrival', 99)} / 4294967296.0::DOUBLE AS u2 FROM rec),
-s AS (SELECT *, CASE WHEN u1 >= 0.5 THEN -1 ELSE CAST(floor(u2 * least(sn, 4)) AS BIGINT) END AS slot FROM d)
-SELECT behavior_id, agent_id, arrival, CAST(sn AS BIGINT) AS snapshots, CAST(u1 >= 0.5 AS INT) AS plays_latest, slot,
-CASE WHEN slot = -1 THEN -1 ELSE (SELECT max(g) FROM (SELECT unnest(generate_series(0, CAST(sn - 1 AS BIGINT))) AS g) WHERE g % 4 = slot) END AS snapshot
-FROM s""",
+    f"""WITH RECURSIVE {TRAJ_SQL}, {SCHEDULE_SQL}
+SELECT behavior_id, agent_id, arrival, swap, snapshots, CAST(latest AS INT) AS plays_latest, slot,
+CASE WHEN slot = -1 THEN -1 ELSE (SELECT max(g) FROM (SELECT unnest(generate_series(0, saved - 1)) AS g) WHERE g % {PLAN.window} = slot) END AS snapshot
+FROM drawn""",
 )
 def opponents_drawn(spark, sf_dir):
-    u1, u2 = (spread_key("arrival", o) / F.lit(4294967296.0) for o in (0, 99))
-    out = P.opponent_plan(trajectories(spark, sf_dir), 100, 4, 0.5, u1, u2)
+    _, out = schedule(spark, sf_dir)
     plays = F.col("plays_latest").cast("int").alias("plays_latest")
-    return out.select("behavior_id", "agent_id", "arrival", "snapshots", plays, "slot", "snapshot")
+    return out.select("behavior_id", "agent_id", "arrival", "swap", "snapshots", plays, "slot", "snapshot")
 
 
 @query(
     "learning_teams",
-    f"""WITH RECURSIVE {TRAJ_SQL}, {_resets(150, "split_part(behavior_id, '?', 1)")}
-SELECT kk AS name, CAST(round AS BIGINT) AS round,
- CAST(sum(CASE WHEN CAST(split_part(behavior_id, '=', 2) AS INT) = round % 2 THEN length ELSE 0 END) AS BIGINT) AS learning_steps,
- CAST(sum(CASE WHEN CAST(split_part(behavior_id, '=', 2) AS INT) = round % 2 THEN 0 ELSE length END) AS BIGINT) AS ghost_steps
-FROM rec GROUP BY 1, 2""",
+    f"""WITH RECURSIVE {TRAJ_SQL}, {SCHEDULE_SQL}
+SELECT name, round, CAST(sum(CASE WHEN mine THEN length ELSE 0 END) AS BIGINT) AS learning_steps,
+ CAST(sum(CASE WHEN mine THEN 0 ELSE length END) AS BIGINT) AS ghost_steps FROM sched GROUP BY 1, 2""",
 )
 def learning_teams(spark, sf_dir):
-    traj = P.named_teams(trajectories(spark, sf_dir))
-    schedule = P.team_schedule(traj, 150, 2)
-    _, ghosts = P.learning_team_only(traj, schedule)
+    _, ghosts = P.learning_team_only(schedule(spark, sf_dir)[1])
     return ghosts
 
 
+@query(
+    "elo_ratings",
+    f"""WITH RECURSIVE {TRAJ_SQL}, {SCHEDULE_SQL},
+fin AS (SELECT behavior_id, worker_id, agent_id, episode, segment, arg_max(reward, i) AS final_reward,
+  bool_or(interrupted) AS interrupted FROM exps GROUP BY ALL),
+res AS (SELECT d.name, d.behavior_id, d.agent_id, d.arrival, d.snapshots, d.slot,
+    CASE WHEN final_reward > 0 THEN 1.0::DOUBLE WHEN final_reward < 0 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS result,
+    row_number() OVER (PARTITION BY d.name ORDER BY d.n) AS m
+  FROM drawn d JOIN fin USING (behavior_id, worker_id, agent_id, episode, segment) WHERE mine AND done AND NOT interrupted),
+lad AS (
+  SELECT DISTINCT name, 0::BIGINT AS m, ''::VARCHAR AS behavior_id, 0::BIGINT AS agent_id, 0::BIGINT AS arrival, 0::BIGINT AS slot,
+    0::BIGINT AS taken, 0.0::DOUBLE AS change, 1200.0::DOUBLE AS own, 1200.0::DOUBLE AS other,
+    [1200.0 FOR i IN range({PLAN.window})]::DOUBLE[] AS rt FROM res
+  UNION ALL
+  SELECT name, m, behavior_id, agent_id, arrival, slot, snapshots, change, CASE WHEN slot >= 0 THEN own + change ELSE own END,
+    CASE WHEN slot >= 0 THEN other - change ELSE other END,
+    list_transform(rt, lambda x, i: CASE WHEN i = slot + 1 THEN x - change ELSE x END) FROM (
+    SELECT *, result - 1 / (1 + power(10.0::DOUBLE, (other - own) / 400)) AS change FROM (
+      SELECT *, CASE WHEN slot < 0 THEN own ELSE rt[slot + 1] END AS other FROM (
+        SELECT r.*, lad.own, list_transform(lad.rt, lambda x, i: CASE WHEN r.snapshots - lad.taken >= {PLAN.window}
+            OR (i - 1 - lad.taken % {PLAN.window} + {PLAN.window}) % {PLAN.window} < r.snapshots - lad.taken THEN lad.own ELSE x END) AS rt
+        FROM lad JOIN res r ON r.name = lad.name AND r.m = lad.m + 1))))
+SELECT behavior_id, agent_id, arrival, slot, {r('change')} AS change, {r('own')} AS rating, {r('other')} AS opponent_rating
+FROM lad WHERE m > 0""",
+)
+def elo_ratings(spark, sf_dir):
+    traj, plan = schedule(spark, sf_dir)
+    known = [*AGENT, "episode", "segment"]
+    results = P.rated(plan.join(traj.select(*known, "done", "interrupted", "final_reward"), known))
+    order = ["arrival", "worker_id", "agent_id", "behavior_id", "episode", "segment"]
+    out = P.ladder(results.withColumnRenamed("name", "league"), PLAN.window, order)
+    return out.select(
+        "behavior_id", "agent_id", "arrival", "slot",
+        *[steady(c).alias(c) for c in ("change", "rating", "opponent_rating")],
+    )
+
+
 @query(
     "paths_thinned",
     f"""WITH RECURSIVE {EPISODES_SQL},

@@ -64,7 +64,7 @@ def stream_lessons(spark, sf_dir):
 SQL["stream_lessons"] = SQL["curriculum_lessons"]
 
 
-@query("stream_ratings", SQL["elo_ratings"])
+@query("stream_ratings", SQL["ratings_between_players"])
 def stream_ratings(spark, sf_dir):
     st = live_steps(spark, sf_dir, "group_id", "tick", "action", "k", "reward").select(
         F.col("group_id").alias("league"), F.col("tick").alias("seq"), F.col("action").alias("slot"),

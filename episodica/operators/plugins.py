@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from episodica.functions import vectors as V
+from episodica.operators.stats import STAT_WRITERS
 from episodica.plans.folds import ordered_fold
 
-STAT_WRITERS: dict[str, Callable[[DataFrame], None]] = {}
 REWARD_SIGNALS: dict[str, Callable[..., Column]] = {}
-# A policy's weights travel to every task; larger models belong in a file the tasks open themselves.
-MAX_WEIGHT_BYTES = 256 << 20
 
 
 def register_writer(name: str, writer: Callable[[DataFrame], None]) -> None:
@@ -61,25 +59,27 @@ def reward_processor(fn: Callable[[np.ndarray], float]) -> Callable[[str], Colum
 
 def score_policy(
     df: DataFrame,
-    layers: list[tuple[np.ndarray, np.ndarray]],
+    layers: list[tuple[np.ndarray, np.ndarray]] | Callable[[], list[tuple[np.ndarray, np.ndarray]]],
     obs: str,
     keep: list[str],
     activate: Callable[[np.ndarray], np.ndarray] = np.tanh,
 ) -> DataFrame:
-    """Dense forward pass per Arrow batch: `logits` and the greedy `action` for each row."""
-    if sum(w.nbytes + b.nbytes for w, b in layers) > MAX_WEIGHT_BYTES:
-        raise ValueError("policy too large to send to every task")
-    shared = df.sparkSession.sparkContext.broadcast(layers)
+    """Dense forward pass per Arrow batch: `logits` and the greedy `action` for each row.
+
+    `layers` are the weights, or a function that reads them: every task then calls it once, so that a large policy
+    stays in its file and never passes through the driver."""
+    shared = None if callable(layers) else df.sparkSession.sparkContext.broadcast(layers)
     schema = T.StructType([df.schema[c] for c in keep]).add("logits", T.ArrayType(T.DoubleType())).add("action", "long")
 
     def run(batches):
+        weights = layers() if shared is None else shared.value
         for pdf in batches:
             if not len(pdf):
                 continue
             x = np.stack(pdf[obs].to_numpy()).astype(np.float64)
-            for n, (w, b) in enumerate(shared.value):
+            for n, (w, b) in enumerate(weights):
                 x = x @ w + b
-                if n < len(shared.value) - 1:
+                if n < len(weights) - 1:
                     x = activate(x)
             out = pdf[keep].copy()
             out["logits"] = list(x)

@@ -8,11 +8,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from episodica.functions.names import behavior_name, behavior_team
 from episodica.functions.numbers import as_col
 from episodica.plans.ordered import total_order
-from episodica.plans.folds import ordered_fold, threshold_resets
+from episodica.plans.folds import ordered_fold
 
 # Initial rating, scale of the expected score, weight of the old smoothed measure.
 INITIAL_RATING = 1200.0
@@ -152,59 +153,114 @@ def elo(matches: DataFrame, k: float = 1.0, initial: float = INITIAL_RATING) ->
 # --- opponents and teams ---------------------------------------------------------------------
 
 
-def opponent_plan(
-    traj: DataFrame,
-    save_steps: int,
-    window: int,
-    latest_ratio: float,
-    u_latest: Column,
-    u_slot: Column,
-    keys: list[str] | None = None,
-    width: int | None = None,
-) -> DataFrame:
-    """Opponent drawn at each trajectory: the latest policy, or a uniform choice of the saved slots.
-
-    A snapshot is taken at the start and whenever more than `save_steps` have passed since the last
-    one; snapshot n sits in slot n mod window. The snapshot a slot holds follows by arithmetic.
+@dataclass(frozen=True)
+class SelfPlay:
+    """When snapshots are saved, opponents swapped and the learning team changed, in steps."""
+
+    save_steps: int
+    swap_steps: int
+    team_change: int
+    window: int = 10
+    latest_ratio: float = 0.5
+    teams: int = 2
+
+
+def self_play_schedule(traj: DataFrame, plan: SelfPlay, keys: list[str] | None = None) -> DataFrame:
+    """What holds while each trajectory is taken in, and both clocks after it.
+
+    Only the learning team's steps move the learning clock, on which snapshots are saved and the learning team
+    changes; the other teams' steps move the ghost clock. Opponents are swapped when the team changes or more than
+    `swap_steps` have passed on the ghost clock since the last swap, and stay until the next. Adds learning_team,
+    round (team changes so far), swap (swaps so far), saved (snapshots when that swap was made), snapshots (now),
+    learning_step, ghost_step. Which clock a trajectory moves hangs on all earlier ones: each key is one fold over its
+    trajectories, with eight numbers of state.
     """
-    keys = keys or ["behavior_id"]
-    rounds = threshold_resets(traj, keys, "arrival", "length", save_steps, width)
-    saved = F.least(F.col("snapshots"), F.lit(window))
-    slot = F.floor(as_col(u_slot) * saved).cast("long")
-    newest = F.col("snapshots") - 1
+    keys = keys or ["name"]
+    order = total_order(traj, keys, "arrival")
+    cols = traj.select(*keys, *order, "team", "length")
+
+    def step(s, row):
+        out = (s["round"] % plan.teams, s["round"], s["swap"], s["saved"], s["snapshots"])
+        mine = row.team == out[0]
+        s["learned" if mine else "ghosts"] += row.length
+        changed = s["learned"] - s["changed_at"] > plan.team_change
+        if changed:
+            s["round"], s["changed_at"] = s["round"] + 1, s["learned"]
+        if s["learned"] - s["saved_at"] > plan.save_steps:
+            s["snapshots"], s["saved_at"] = s["snapshots"] + 1, s["learned"]
+        if changed or s["ghosts"] - s["swapped_at"] > plan.swap_steps:
+            s["swap"], s["swapped_at"], s["saved"] = s["swap"] + 1, s["ghosts"], s["snapshots"]
+        return [(*row, *out, s["learned"], s["ghosts"])]
+
+    def start():
+        zero = dict.fromkeys(("round", "swap", "learned", "ghosts", "changed_at", "saved_at", "swapped_at"), 0)
+        return zero | {"snapshots": 1, "saved": 1}
+
+    schema = T.StructType([cols.schema[c] for c in cols.columns])
+    for c in ("learning_team", "round", "swap", "saved", "snapshots", "learning_step", "ghost_step"):
+        schema = schema.add(c, "long")
+    return ordered_fold(cols, keys, order, start, step, schema)
+
+
+def drawn_opponents(schedule: DataFrame, plan: SelfPlay, u_latest: Column, u_slot: Column) -> DataFrame:
+    """Adds plays_latest, slot and snapshot: the opponent of each swap, the latest policy (-1) or a saved slot.
+
+    Both draws must depend on the key and the swap only. Before the first swap the latest policy plays. Snapshot n sits
+    in slot n mod window, so the snapshot a slot held at the swap follows by arithmetic."""
+    latest = (F.col("swap") == 0) | (as_col(u_latest) >= F.lit(1.0 - plan.latest_ratio))
+    slot = F.floor(as_col(u_slot) * F.least(F.col("saved"), F.lit(plan.window))).cast("long")
+    newest = F.col("saved") - 1
+    held = newest - F.pmod(newest - F.col("slot"), F.lit(plan.window))
     return (
-        rounds.withColumn("snapshots", F.col("round") + 1)
-        .withColumn("plays_latest", as_col(u_latest) >= F.lit(1.0 - latest_ratio))
-        .withColumn("slot", F.when(F.col("plays_latest"), F.lit(-1)).otherwise(slot))
-        .withColumn(
-            "snapshot",
-            F.when(F.col("plays_latest"), F.lit(-1)).otherwise(
-                newest - F.pmod(newest - F.col("slot"), F.lit(window))
-            ),
-        )
-        .select(*keys, *total_order(traj, keys, "arrival"), "snapshots", "plays_latest", "slot", "snapshot")
+        schedule.withColumn("plays_latest", latest)
+        .withColumn("slot", F.when(latest, F.lit(-1)).otherwise(slot))
+        .withColumn("snapshot", F.when(latest, F.lit(-1)).otherwise(held))
     )
 
 
-def team_schedule(traj: DataFrame, team_change: int, teams: int, keys: list[str] | None = None, width: int | None = None) -> DataFrame:
-    """Learning team while each trajectory is processed: the next in the cycle once more than
-    `team_change` steps have passed since the last change."""
-    keys = keys or ["name"]
-    rounds = threshold_resets(traj, keys, "arrival", "length", team_change, width)
-    own = total_order(traj, keys, "arrival")
-    return rounds.select(*keys, *own, "round", (F.col("round") % teams).alias("learning_team"))
-
-
-def learning_team_only(traj: DataFrame, schedule: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The learning team's trajectories, and the step count of the others (ghost steps) per round."""
-    keys = keys or ["name"]
-    joined = traj.join(schedule, [*keys, *total_order(traj, keys, "arrival")])
+def learning_team_only(schedule: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The learning team's trajectories, and the steps of both clocks in each round."""
     mine = F.col("team") == F.col("learning_team")
-    ghosts = joined.groupBy(*keys, "round").agg(
+    ghosts = schedule.groupBy(*(keys or ["name"]), "round").agg(
         F.sum(F.when(mine, F.col("length")).otherwise(0)).alias("learning_steps"),
         F.sum(F.when(mine, 0).otherwise(F.col("length"))).alias("ghost_steps"),
     )
-    return joined.filter(mine), ghosts
+    return schedule.filter(mine), ghosts
+
+
+def rated(traj: DataFrame) -> DataFrame:
+    """The trajectories that count for ratings: of the learning team, ended with all group mates, not interrupted."""
+    ended = F.col("done") & ~F.col("interrupted")
+    if "group_done" in traj.columns:
+        ended &= F.col("group_done")
+    return traj.filter(ended & (F.col("team") == F.col("learning_team")))
+
+
+def ladder(results: DataFrame, window: int, order: list[str], k: float = 1.0, initial: float = INITIAL_RATING) -> DataFrame:
+    """Rating history of a learning policy and its snapshots.
+
+    Columns in: league, the order, snapshots (taken before the result), slot (opponent's, -1 the policy itself),
+    final_reward. A snapshot starts with the rating that the policy has when it is taken; whoever plays itself wins
+    nothing. A league is one fold over its rated results, with one number for each slot.
+    """
+    cols = results.select("league", *order, "snapshots", "slot", "final_reward")
+
+    def step(s, row):
+        for n in range(s["taken"], row.snapshots):
+            s["slots"][n % window] = s["own"]
+        s["taken"] = max(s["taken"], row.snapshots)
+        other = s["own"] if row.slot < 0 else s["slots"].get(row.slot, initial)
+        result = 1.0 if row.final_reward > 0 else 0.0 if row.final_reward < 0 else 0.5
+        change = k * (result - 1.0 / (1.0 + 10.0 ** ((other - s["own"]) / RATING_SCALE)))
+        if row.slot >= 0:
+            s["own"] += change
+            s["slots"][row.slot] = other - change
+        return [(*row, change, s["own"], s["slots"].get(row.slot, s["own"]))]
+
+    schema = T.StructType([cols.schema[c] for c in cols.columns])
+    for c in ("change", "rating", "opponent_rating"):
+        schema = schema.add(c, "double")
+    return ordered_fold(cols, ["league"], order, lambda: {"own": initial, "slots": {}, "taken": 0}, step, schema)
 
 
 def named_teams(traj: DataFrame) -> DataFrame:

@@ -276,8 +276,8 @@ def keep_checkpoints(checkpoints: DataFrame, n: int, keys: list[str] | None = No
 
 
 def expired_checkpoints(checkpoints: DataFrame, n: int, keys: list[str] | None = None, id_col: str = "file_path", order: str = "creation_time") -> DataFrame:
-    kept = keep_checkpoints(checkpoints, n, keys, order).select(id_col)
-    return checkpoints.join(kept, id_col, "left_anti")
+    own = [*(keys or ["behavior"]), id_col]
+    return checkpoints.join(keep_checkpoints(checkpoints, n, keys, order).select(*own), own, "left_anti")
 
 
 def latest_policy(policies: DataFrame, keys: list[str] | None = None, version: str = "version") -> DataFrame:
@@ -289,9 +289,15 @@ def latest_policy(policies: DataFrame, keys: list[str] | None = None, version: s
     )
 
 
-def write_stats(df: DataFrame, writers: dict[str, Callable[[DataFrame], None]], hidden: dict[str, list[str]] | None = None) -> dict[str, str]:
-    """Give every writer each summary, less the keys it hides; a broken writer does not stop the rest."""
-    df = df.persist()
+# Writers by name, as plug-ins register them.
+STAT_WRITERS: dict[str, Callable[[DataFrame], None]] = {}
+
+
+def write_stats(df: DataFrame, writers: dict[str, Callable[[DataFrame], None]] | None = None, hidden: dict[str, list[str]] | None = None) -> dict[str, str]:
+    """Give every writer each summary, less the keys it hides; a broken writer does not stop the rest.
+
+    Without a list of its own a call goes to every registered writer."""
+    df, writers = df.persist(), STAT_WRITERS if writers is None else writers
     outcome = {}
     try:
         for name, writer in writers.items():

@@ -7,7 +7,7 @@ OLD_NAMES = {"group_discrete_aaction": "group_discrete_action"}
 
 
 def save_replay(df: DataFrame, path: str, codec: str = "zstd", mode: str = "overwrite") -> None:
-    """Keys of the form prefix:suffix are stored as prefix__suffix."""
+    """Keys of the form prefix:suffix are stored as prefix__suffix, and load under their own names again."""
     renamed = df.withColumnsRenamed({c: c.replace(":", "__") for c in df.columns if ":" in c})
     renamed.write.mode(mode).option("compression", codec).partitionBy("behavior_id").parquet(path)
 
@@ -16,4 +16,5 @@ def load_replay(spark: SparkSession, path: str, behavior: str | None = None) ->
     df = spark.read.parquet(path)
     if behavior is not None:
         df = df.filter(df["behavior_id"] == behavior)
-    return df.withColumnsRenamed({o: n for o, n in OLD_NAMES.items() if o in df.columns})
+    names = {c: c.replace("__", ":") for c in df.columns if "__" in c}
+    return df.withColumnsRenamed(names | {o: n for o, n in OLD_NAMES.items() if o in df.columns})

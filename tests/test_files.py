@@ -79,7 +79,7 @@ def test_old_column_name(spark, tmp_path):
     df = spark.createDataFrame([("b", 1, 2)], "behavior_id string, group_discrete_aaction int, `obs:0` int")
     R.save_replay(df, str(tmp_path / "r"))
     got = R.load_replay(spark, str(tmp_path / "r"), "b")
-    assert set(got.columns) == {"behavior_id", "group_discrete_action", "obs__0"}
+    assert set(got.columns) == {"behavior_id", "group_discrete_action", "obs:0"}
 
 
 def test_stat_methods_checked(spark):

@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from episodica.operators import selfplay as P
 from episodica.operators import stats as O
 from episodica.plans.folds import threshold_resets
@@ -75,11 +77,33 @@ def test_bad_rules():
         P.Lesson("b", "luck")
 
 
-def test_learning_team(spark):
-    rows = [("b?team=%d" % (t % 2), t, 1) for t in range(30)]
+def test_self_play_clocks(spark):
+    """Ten steps a trajectory, teams in turn. By hand: team 0 learns at even times; its 3rd trajectory passes 25 learning
+    steps, so team 1 learns from time 5 on; ghosts pass 15 steps at times 3 and 10 (5 at the change counts as a swap)."""
+    rows = [("b?team=%d" % (t % 2), t, 10) for t in range(12)]
     traj = P.named_teams(spark.createDataFrame(rows, "behavior_id string, arrival long, length long"))
-    mine, ghosts = P.learning_team_only(traj, P.team_schedule(traj, 1000, 2))
-    assert mine.count() == 15 and ghosts.first().ghost_steps == 15
+    plan = P.SelfPlay(save_steps=15, swap_steps=15, team_change=25, window=2)
+    got = P.self_play_schedule(traj, plan).orderBy("arrival").collect()
+    assert [r.learning_team for r in got] == [0] * 5 + [1] * 5 + [0] * 2
+    assert [r.swap for r in got] == [0, 0, 0, 0, 1, 2, 2, 2, 2, 3][:5] + [2, 2, 2, 2, 3] + [4, 4]
+    assert [(r.learning_step, r.ghost_step) for r in got][:6] == [(10, 0), (10, 10), (20, 10), (20, 20), (30, 20), (40, 20)]
+    assert [r.snapshots for r in got] == [1, 1, 1, 2, 2, 2, 3, 3, 3, 3, 4, 4]
+    mine, ghosts = P.learning_team_only(P.self_play_schedule(traj, plan))
+    assert mine.count() + sum(r.ghost_steps for r in ghosts.collect()) // 10 == 12
+
+
+def test_ladder_by_hand(spark):
+    """A win over a snapshot, a game against itself, then a snapshot that starts with the rating won."""
+    rows = [("l", 1, 1, 0, 1.0), ("l", 2, 1, -1, 1.0), ("l", 3, 2, 1, -1.0)]
+    got = P.ladder(spark.createDataFrame(rows, "league string, seq long, snapshots long, slot long, final_reward double"), 2, ["seq"]).orderBy("seq").collect()
+    assert [(r.change, r.rating, r.opponent_rating) for r in got] == [(0.5, 1200.5, 1199.5), (0.5, 1200.5, 1200.5), (-0.5, 1200.0, 1201.0)]
+
+
+def test_rated(spark):
+    rows = [(1, True, False, 0), (2, False, False, 0), (3, True, True, 0), (4, True, False, 1)]
+    df = spark.createDataFrame(rows, "id int, done boolean, interrupted boolean, team int").withColumn("learning_team", F.lit(0))
+    assert [r.id for r in P.rated(df).collect()] == [1]
+    assert [r.id for r in P.rated(df.withColumn("group_done", F.lit(False))).collect()] == []
 
 
 def test_path_points(spark):

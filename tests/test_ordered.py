@@ -49,7 +49,7 @@ def test_shared_ticks_have_one_order(spark):
         got = {(r.arrival, r.agent_id): (r.round, r.closes) for r in rounds.collect()}
         assert got == {(t, a): ((12 * t + a) // 3, (12 * t + a) % 3 == 2) for t in range(6) for a in range(12)}
         named = traj.withColumn("name", F.lit("b")).withColumn("team", (F.col("agent_id") % 2).cast("int"))
-        _, ghosts = P.learning_team_only(named, P.team_schedule(named, 100, 2, width=width))
+        _, ghosts = P.learning_team_only(P.self_play_schedule(named, P.SelfPlay(100, 100, 100)))
         assert sum(r.learning_steps + r.ghost_steps for r in ghosts.collect()) == 720
 
 
