@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from episodica.llm.common import struct_array
-from episodica.llm.textops import PIECE, U64, doc_ranges, flat, gather, mixed_bits, span_hashes
+from episodica.llm.textops import PIECE, U64, doc_ranges, flat, gather, kept, mixed_bits, span_hashes
 
 KEYS_PER_BUCKET = 4
 REMEMBERED = 1 << 18
@@ -143,6 +143,7 @@ class Vocabulary:
             by_id[i] = t
         self.offsets = np.cumsum([0, *map(len, by_id)])
         self.blob = np.frombuffer(b"".join(by_id), np.uint8)
+        self.name = hashlib.sha1(self.blob.tobytes() + self.offsets.tobytes()).hexdigest()
         self.known = np.zeros(self.n_ids, bool)
         self.known[ids] = True
         ends = np.cumsum([len(t) for t in tokens])
@@ -278,6 +279,11 @@ class Codec:
                 yield i, *self.encode(data[x:y], inner), k + 1 < len(cuts)
 
 
+def codec_of(vocab: Vocabulary, table: np.ndarray) -> Codec:
+    """This worker process's encoder."""
+    return kept(vocab.name, lambda: Codec(vocab, table))
+
+
 def safe_cut(data: np.ndarray, start: int, end: int) -> int | None:
     """The first place from start where a pre-token surely begins."""
     step = PIECE
@@ -307,7 +313,7 @@ def encode(spark: SparkSession, text: Column, path: str) -> Column:
     tables = shared(spark, path)
 
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(*tables.value)
+        codec = codec_of(*tables.value)
         for batch in batches:
             pieces, sizes = [], np.zeros(len(batch), np.int64)
             for i, ids, bounds, _ in codec.parts(batch):
@@ -324,7 +330,7 @@ def decode(spark: SparkSession, ids: Column, path: str) -> Column:
     tables = shared(spark, path)
 
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(*tables.value)
+        codec = codec_of(*tables.value)
         for batch in batches:
             rows = [x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in batch]
             yield pa.array([None if r is None else codec.decode(r).tobytes() for r in rows], pa.binary())
@@ -337,7 +343,7 @@ def round_trip(spark: SparkSession, text: Column, path: str) -> Column:
     tables = shared(spark, path)
 
     def digested(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(*tables.value)
+        codec = codec_of(*tables.value)
         for batch in batches:
             rows, open_doc = [], None
             for _, ids, bounds, goes_on in codec.parts(batch):

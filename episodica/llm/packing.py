@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from episodica.llm.bpe import Codec, shared, vocabulary
+from episodica.llm.bpe import codec_of, shared, vocabulary
 from episodica.llm.common import order_hash, text_of
 
 ROW_TOKENS = 2048
@@ -118,7 +118,7 @@ def token_bytes(spark: SparkSession, text: Column, path: str) -> Column:
     tables, kind = shared(spark, path), id_type(vocabulary(path).n_ids)
 
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(*tables.value)
+        codec = codec_of(*tables.value)
         for batch in batches:
             pieces, sizes = [], np.zeros(len(batch), np.int64)
             for i, ids, bounds, _ in codec.parts(batch):

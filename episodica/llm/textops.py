@@ -112,3 +112,14 @@ def text_parts(batch: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
                 cut += 1
             yield i, data[a:cut], np.array([0, cut - a])
             a = cut
+
+
+KEPT: dict[str, object] = {}
+
+
+def kept(key: str, make):
+    """What make() gives, kept for later tasks of this worker process until another key comes."""
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = make()
+    return KEPT[key]

@@ -14,6 +14,7 @@ Cases: null, empty or wordless texts have no unit and get the lowest score; with
 string, every score is 0; repeated rows get equal scores; texts are read whole, a megabyte at a time.
 """
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from episodica.llm.common import text_of, words
 from episodica.llm.labelled import learning_sample, with_text
-from episodica.llm.textops import LOWER, ragged, span_hashes, text_parts, word_spans
+from episodica.llm.textops import LOWER, kept, ragged, span_hashes, text_parts, word_spans
 
 ORDER, DECAY = 3, 0.75
 LONGEST, LANDMARK = 24, 12
@@ -32,7 +33,7 @@ TOXIC_LANDMARKS, CLEAN_LANDMARKS = 28, 16
 PER_CLASS = 4000
 MOST_WORDS = 12_000
 TELLING = 18.0
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 # Bytes that may stand within a unit's edges: letters, digits and all of other scripts.
 SOLID = np.zeros(256, bool)
 SOLID[48:58] = SOLID[97:123] = SOLID[128:] = True
@@ -48,36 +49,36 @@ def matrix(units: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def decays(n: int) -> np.ndarray:
-    """[i, j]: DECAY ** (i - j - 1) for j < i, else 0."""
-    i, j = np.indices((n, n))
-    return np.where(j < i, DECAY ** np.maximum(i - j - 1, 0), 0).astype(np.float32)
+def subsequences(same: np.ndarray) -> np.ndarray:
+    """Kernel values from matches: [i, j, ...] is DECAY ** 2 where byte i of one string is byte j of the other.
+
+    Each round sums, for every match, what ends before it in both strings, weakened by the way to it."""
+    part = same
+    for _ in range(ORDER - 1):
+        row = np.zeros_like(part)
+        for j in range(1, part.shape[1]):
+            np.multiply(row[:, j - 1], np.float32(DECAY), out=row[:, j])
+            row[:, j] += part[:, j - 1]
+        both = np.zeros_like(part)
+        for i in range(1, part.shape[0]):
+            np.multiply(both[i - 1], np.float32(DECAY), out=both[i])
+            both[i] += row[i - 1]
+        both *= same
+        part = both
+    return part.sum(axis=(0, 1))
 
 
 def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Subsequence kernel of every row of a with every row of b (byte codes, -1 and -2 for none)."""
-    n, width = a.shape
-    m, size = b.shape
-    same = (a[:, :, None, None] == b[None, None, :, :]).astype(np.float32) * np.float32(DECAY**2)
-    over_b = decays(size).T
-    over_a = decays(width)
-    part = same
-    for _ in range(ORDER - 1):
-        moved = (part.reshape(-1, size) @ over_b).reshape(n, width, m * size)
-        part = (over_a @ moved).reshape(n, width, m, size)
-        part *= same
-    return part.sum(axis=(1, 3))
+    same = (a.T[:, None, :, None] == b.T[None, :, None, :]).astype(np.float32)
+    same *= np.float32(DECAY**2)
+    return subsequences(same)
 
 
 def own_kernel(a: np.ndarray) -> np.ndarray:
     """Each row's kernel with itself."""
-    n, width = a.shape
-    same = ((a[:, :, None] == a[:, None, :]) & (a[:, None, :] >= 0)).astype(np.float32) * np.float32(DECAY**2)
-    d = decays(width)
-    part = same
-    for _ in range(ORDER - 1):
-        part = (d @ part @ d.T) * same
-    return part.sum(axis=(1, 2))
+    t = a.T
+    return subsequences(((t[:, None] == t[None]) & (t[None] >= 0)).astype(np.float32) * np.float32(DECAY**2))
 
 
 @dataclass
@@ -91,6 +92,20 @@ class Model:
     bias: float = -1.0
     slope: float = 1.0
     shift: float = 0.0
+    sized: list | None = None
+
+    def name(self) -> str:
+        parts = (self.landmarks, self.whiten, self.weights, np.array(self.bias))
+        return hashlib.sha1(b"".join(p.tobytes() for p in parts)).hexdigest()
+
+    def blocks(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(their numbers, codes) of the landmarks of about one length."""
+        if self.sized is None:
+            size = (self.landmarks >= 0).sum(axis=1)
+            edges = [(0, 3), (3, 5), (5, 8), (8, LANDMARK)]
+            own = [np.flatnonzero((size > lo) & (size <= hi)) for lo, hi in edges]
+            self.sized = [(k, self.landmarks[k, : size[k].max()]) for k in own if len(k)]
+        return self.sized
 
     def likeness(self, units: list[bytes]) -> np.ndarray:
         """Normalised kernel values with the landmarks, units in blocks of about one length."""
@@ -98,12 +113,11 @@ class Model:
         order = sorted((k for k in range(len(units)) if len(units[k]) >= ORDER), key=lambda k: len(units[k]))
         at = 0
         while at < len(order):
-            width = min(LONGEST, len(units[order[min(at + 511, len(order) - 1)]]))
-            own = order[at : at + max(64, 4096 // width)]
-            width = max(len(units[k]) for k in own)
-            codes = matrix([units[k] for k in own], width)
+            own = order[at : at + 256]
+            codes = matrix([units[k] for k in own], len(units[own[-1]]))
             norm = np.sqrt(np.maximum(own_kernel(codes), 1e-12))
-            out[own] = kernel(codes, self.landmarks) / norm[:, None] / self.norms[None, :]
+            for k, marks in self.blocks():
+                out[np.ix_(own, k)] = kernel(codes, marks) / norm[:, None] / self.norms[None, k]
             at += len(own)
         return out
 
@@ -339,7 +353,7 @@ def decision(text: Column, model: Model) -> Column:
     """The SVM's decision on the worst unit of each text; -inf without units."""
 
     def decided(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = Scorer(model)
+        scorer = kept(model.name(), lambda: Scorer(model))
         for batch in batches:
             yield pa.array(scorer.worst(batch))
 
