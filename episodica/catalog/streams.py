@@ -17,8 +17,25 @@ def live_events(spark, sf_dir):
     return stream_steps(spark, sf_dir, schema=schema, per_trigger=1, options={"pathGlobFilter": "events.parquet"})
 
 
-def live_steps(spark, sf_dir, *columns):
-    return steps_from_events(live_events(spark, sf_dir), *columns)
+BATCHES = 4
+# The micro-batch that brings an event: quarters of the range of ids.
+BATCH_SQL = f"""CAST((event_id - (SELECT min(event_id) FROM events)) * {BATCHES}
+  // ((SELECT max(event_id) FROM events) - (SELECT min(event_id) FROM events) + 1) AS BIGINT)"""
+
+
+def batched_events(spark, sf_dir):
+    """The event log as one file after another, one of them for each micro-batch."""
+    ev, path = table(spark, sf_dir, "events"), fresh_dir(spark, "live")
+    low, high = ev.agg(F.min("event_id"), F.max("event_id")).first()
+    part = F.floor((F.col("event_id") - low) * BATCHES / (high - low + 1))
+    for k in range(BATCHES):
+        ev.filter(part == k).coalesce(1).write.mode("append").parquet(path)
+    return stream_steps(spark, path, schema=ev.schema, per_trigger=1)
+
+
+def live_steps(spark, sf_dir, *columns, batched=False):
+    events = batched_events(spark, sf_dir) if batched else live_events(spark, sf_dir)
+    return steps_from_events(events, *columns)
 
 
 @query(
@@ -43,8 +60,8 @@ def stream_trajectories(spark, sf_dir):
 CAST(sum(CASE WHEN done THEN 0 ELSE 1 END) AS BIGINT) AS episode_length FROM exps GROUP BY ALL HAVING bool_or(done)""",
 )
 def stream_episode_returns(spark, sf_dir):
-    st = live_steps(spark, sf_dir, "behavior_id", "worker_id", "agent_id", "tick", "is_terminal", "interrupted", "reward")
-    out = run_available(agents.stream_episode_returns(st))
+    columns = ("behavior_id", "worker_id", "agent_id", "tick", "is_terminal", "interrupted", "reward")
+    out = run_available(agents.stream_episode_returns(live_steps(spark, sf_dir, *columns, batched=True)))
     return out.select("agent_id", "episode", steady("episode_return").alias("episode_return"), "episode_length")
 
 
@@ -66,7 +83,7 @@ SQL["stream_lessons"] = SQL["curriculum_lessons"]
 
 @query("stream_ratings", SQL["ratings_between_players"])
 def stream_ratings(spark, sf_dir):
-    st = live_steps(spark, sf_dir, "group_id", "tick", "action", "k", "reward").select(
+    st = live_steps(spark, sf_dir, "group_id", "tick", "action", "k", "reward", batched=True).select(
         F.col("group_id").alias("league"), F.col("tick").alias("seq"), F.col("action").alias("slot"),
         ((F.col("action") + 1 + F.col("k") % 4) % 5).cast("int").alias("opponent_slot"),
         F.col("reward").alias("final_reward"), F.lit(0.0).alias("final_group_reward"),
@@ -77,8 +94,8 @@ def stream_ratings(spark, sf_dir):
     )
 
 
-def live_stat_events(spark, sf_dir):
-    ev = live_events(spark, sf_dir)
+def live_stat_events(spark, sf_dir, batched=False):
+    ev = batched_events(spark, sf_dir) if batched else live_events(spark, sf_dir)
     pairs = [F.lit(x) for kv in reporting.EVENT_METHODS.items() for x in kv]
     return ev.select(
         F.concat(F.lit("b"), (F.col("user_id") % 3).cast("string")).alias("category"),
@@ -108,14 +125,16 @@ def stream_stat_summaries(spark, sf_dir):
 
 @query(
     "stream_env_stats_per_batch",
-    f"""WITH {reporting.STAT_SQL} SELECT category, key, count(*) AS num, {r('avg(value)')} AS mean FROM stat_events
-WHERE method <> 'MOST_RECENT' OR worker_id = 0 GROUP BY 1, 2""",
+    f"""WITH {reporting.STAT_SQL}, b AS (SELECT event_id AS seq, {BATCH_SQL} AS batch FROM events)
+SELECT batch, category, key, count(*) AS num, {r('avg(value)')} AS mean FROM stat_events JOIN b USING (seq)
+WHERE method <> 'MOST_RECENT' OR worker_id = 0 GROUP BY 1, 2, 3""",
 )
 def stream_env_stats_per_batch(spark, sf_dir):
+    """Each micro-batch is summarised by itself."""
     path = fresh_dir(spark, "env-stats")
-    run_batches(live_stat_events(spark, sf_dir), SS.env_stats_writer(path))
+    run_batches(live_stat_events(spark, sf_dir, batched=True), SS.env_stats_writer(path))
     out = spark.read.parquet(path)
-    return out.select("category", "key", "num", steady("mean").alias("mean"))
+    return out.select(F.col("batch").cast("long").alias("batch"), "category", "key", "num", steady("mean").alias("mean"))
 
 
 def _windows_sql(size: str, origin_steps: str) -> str:
@@ -175,11 +194,17 @@ def stream_silent_sessions(spark, sf_dir):
 
 @query(
     "stream_replay_store",
-    f"WITH {STEPS_SQL} SELECT behavior_id, tick, k FROM steps",
+    f"""WITH {STEPS_SQL}, b AS (SELECT event_id AS tick, {BATCH_SQL} AS batch FROM events),
+old AS (SELECT behavior_id, tick, k, row_number() OVER w AS n, count(*) OVER (PARTITION BY behavior_id) AS total
+  FROM steps JOIN b USING (tick) WHERE batch <= 2 WINDOW w AS (PARTITION BY behavior_id ORDER BY tick DESC))
+SELECT behavior_id, tick, k FROM old WHERE total <= 200 OR n <= 154
+UNION ALL SELECT behavior_id, tick, k FROM steps JOIN b USING (tick) WHERE batch = 3""",
 )
 def stream_replay_store(spark, sf_dir):
+    """The third micro-batch compacts the store to its newest whole sequences; the fourth comes on top."""
     path = fresh_dir(spark, "replay")
-    run_batches(live_steps(spark, sf_dir, "behavior_id", "tick", "k"), SS.replay_writer(path, 1000, 7))
+    st = live_steps(spark, sf_dir, "behavior_id", "tick", "k", batched=True)
+    run_batches(st, SS.replay_writer(path, 200, 7, every=2))
     return SS.load_stream_replay(spark, path)
 
 

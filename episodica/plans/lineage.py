@@ -33,6 +33,12 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this package wrote, wherever it lies; nothing happens if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 # Parts that the rows of one key are dealt to in a join with per-key aggregates.
 SALTS = 8
 

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodica.operators.replay import truncate_replay
+from episodica.plans.lineage import discard
 from episodica.operators.stats import environment_events, summarise_stats
 
 
@@ -51,7 +52,8 @@ def replay_writer(path: str, size: int, length: int, every: int = 10, position:
     """foreachBatch handler: append each batch; every n batches compact to the newest rows.
 
     A generation is written under its own folder and a repeated batch overwrites its own output, so
-    a restart leaves no duplicates. Readers take the newest generation.
+    a restart leaves no duplicates. Readers take the newest generation; the one before it stays for those that
+    are reading, older ones are deleted once a newer one stands.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -61,6 +63,7 @@ def replay_writer(path: str, size: int, length: int, every: int = 10, position:
             old = load_stream_replay(spark, path, generation - 1)
             merged = truncate_replay(old.unionByName(batch), size, length, position)
             merged.write.mode("overwrite").parquet(f"{path}/generation={generation}/batch={batch_id}")
+            discard(spark, f"{path}/generation={generation - 2}")
         else:
             batch.write.mode("overwrite").parquet(f"{path}/generation={generation}/batch={batch_id}")
 
