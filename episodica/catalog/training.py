@@ -74,11 +74,12 @@ FROM b GROUP BY 1""",
 )
 def training_objectives(spark, sf_dir):
     b = batch(spark, sf_dir)
-    p = M.ppo_policy_loss(b, ["batch"], 0.2)
-    v = M.ppo_value_loss(b, ["batch"], 0.2, {"extrinsic": ("value", "old_value", "returns")})
-    base = M.ppo_value_loss(b, ["batch"], 0.2, {"extrinsic": ("px", "old_value", "returns")}, alias="baseline_loss")
-    e = b.groupBy("batch").agg(M.masked_mean(-F.col("log_prob"), "mask").alias("entropy"))
-    j = p.join(v, "batch").join(base, "batch").join(e, "batch")
+    j = b.groupBy("batch").agg(
+        *M.policy_loss_terms(0.2),
+        M.value_loss_term(0.2, {"extrinsic": ("value", "old_value", "returns")}).alias("value_loss"),
+        M.value_loss_term(0.2, {"extrinsic": ("px", "old_value", "returns")}).alias("baseline_loss"),
+        M.masked_mean(-F.col("log_prob"), "mask").alias("entropy"),
+    )
     return j.select(
         "batch",
         steady(M.objective("policy_loss", "value_loss", "entropy", 0.01)).alias("on_policy"),
@@ -197,7 +198,7 @@ def imitation_discriminator(spark, sf_dir):
         "batch", F.exp("log_prob").alias("policy_estimate"), F.exp("old_log_prob").alias("expert_estimate"),
         F.array("value").alias("pm"), F.array("old_value").alias("em"),
     )
-    out = M.gail_metrics(b, ["batch"]).join(M.variational_kl(b, ["batch"], "pm", "em", 0.5), "batch")
+    out = b.groupBy("batch").agg(*M.gail_terms(), M.variational_kl_term("pm", "em", 0.5))
     return _out(out, ["batch"], ["policy_mean", "expert_mean", "discriminator_loss", "kl_loss"])
 
 
@@ -253,23 +254,20 @@ s AS (SELECT concept, sum(CASE WHEN m THEN CASE WHEN b THEN greatest(p, 0) - p *
   avg(CASE WHEN m AND b THEN CAST((CASE WHEN p >= 0 THEN 1 ELSE 0 END) = t AS INT) END) AS accuracy FROM z GROUP BY 1)"""
 
 
-def concept_tables(spark, sf_dir):
+def scored_concepts(spark, sf_dir):
+    """Label and guess of every concept beside each other: both come from one row."""
     nav = navigation(spark, sf_dir)
     labels = C.concept_labels("rays", "nav", 5, 1)
-    pairs = F.array(*[F.struct(F.lit(k).alias("concept"), c.alias("label")) for k, c in labels.items()])
-    truth = nav.select(F.col("vec_id").alias("row"), F.inline(pairs))
-    guesses = F.array(*[F.struct(F.lit(c).alias("concept"), (F.get("v", F.lit(i)) * 8).alias("logit")) for i, c in enumerate(CONCEPTS)])
-    pred = nav.select(F.col("vec_id").alias("row"), (F.col("vec_id") % 5 != 0).alias("mask"), F.inline(guesses))
-    return pred, truth
+    each = [F.struct(F.lit(c).alias("concept"), labels[c].alias("label"), (F.get("v", F.lit(i)) * 8).alias("logit")) for i, c in enumerate(CONCEPTS)]
+    return nav.select((F.col("vec_id") % 5 != 0).alias("mask"), F.inline(F.array(*each)))
 
 
 @query("concept_scores", f"WITH {SCORES_SQL} SELECT {r('avg(loss)')} AS concept_loss, {r('avg(accuracy)')} AS concept_accuracy FROM s")
 def concept_scores(spark, sf_dir):
-    return _out(M.concept_scores(*concept_tables(spark, sf_dir)), [], ["concept_loss", "concept_accuracy"])
+    return _out(M.concept_scores(scored_concepts(spark, sf_dir)), [], ["concept_loss", "concept_accuracy"])
 
 
 @query("concept_scores_each", f"WITH {SCORES_SQL} SELECT concept, {r('loss')} AS loss, {r('coalesce(accuracy, -1)')} AS accuracy FROM s")
 def concept_scores_each(spark, sf_dir):
-    pred, truth = concept_tables(spark, sf_dir)
-    out = M.per_concept_scores(pred.join(truth, ["row", "concept"]))
+    out = M.per_concept_scores(scored_concepts(spark, sf_dir))
     return out.select("concept", steady("loss").alias("loss"), steady(F.coalesce("accuracy", F.lit(-1.0))).alias("accuracy"))

@@ -15,29 +15,35 @@ def _agg(df: DataFrame, by: list[str], *cols: Column) -> DataFrame:
     return df.groupBy(*by).agg(*cols) if by else df.agg(*cols)
 
 
-def ppo_policy_loss(df: DataFrame, by: list[str], eps: float, log_prob="log_prob", old="old_log_prob", advantage="advantage", mask="mask") -> DataFrame:
-    """Clipped surrogate loss, share of clipped ratios and mean ratio."""
+def policy_loss_terms(eps: float, log_prob="log_prob", old="old_log_prob", advantage="advantage", mask="mask") -> list[Column]:
+    """Aggregates: clipped surrogate loss, share of clipped ratios and mean ratio."""
     ratio = F.exp(F.col(log_prob) - F.col(old))
     a = F.col(advantage)
     surrogate = F.least(ratio * a, clip(ratio, 1 - eps, 1 + eps) * a)
-    return _agg(
-        df,
-        by,
+    return [
         (-masked_mean(surrogate, mask)).alias("policy_loss"),
         masked_mean((F.abs(ratio - 1.0) > eps).cast("double"), mask).alias("clip_fraction"),
         masked_mean(ratio, mask).alias("mean_ratio"),
-    )
+    ]
 
 
-def ppo_value_loss(df: DataFrame, by: list[str], eps: float, signals: dict[str, tuple[str, str, str]], mask="mask", alias="value_loss") -> DataFrame:
-    """Value loss inside a trust region; `signals` maps a name to (value, old value, return) columns."""
+def ppo_policy_loss(df: DataFrame, by: list[str], eps: float, **columns: str) -> DataFrame:
+    return _agg(df, by, *policy_loss_terms(eps, **columns))
+
+
+def value_loss_term(eps: float, signals: dict[str, tuple[str, str, str]], mask="mask") -> Column:
+    """Aggregate: value loss inside a trust region; `signals` maps a name to (value, old value, return) columns."""
     losses = []
     for value, old, returns in signals.values():
         v, o, ret = F.col(value), F.col(old), F.col(returns)
         inside = o + clip(v - o, -eps, eps)
         worst = F.greatest(F.pow(ret - v, F.lit(2.0)), F.pow(ret - inside, F.lit(2.0)))
         losses.append(masked_mean(worst, mask))
-    return _agg(df, by, (V.add_up(losses) / len(losses)).alias(alias))
+    return V.add_up(losses) / len(losses)
+
+
+def ppo_value_loss(df: DataFrame, by: list[str], eps: float, signals: dict[str, tuple[str, str, str]], mask="mask", alias="value_loss") -> DataFrame:
+    return _agg(df, by, value_loss_term(eps, signals, mask).alias(alias))
 
 
 def objective(policy_loss, value_loss, entropy, beta: float, baseline_loss=None) -> Column:
@@ -146,25 +152,31 @@ def curiosity_loss(df: DataFrame, by: list[str], predicted: str, actual: str, ac
     )
 
 
-def gail_metrics(pairs: DataFrame, by: list[str], policy="policy_estimate", expert="expert_estimate") -> DataFrame:
+def gail_terms(policy="policy_estimate", expert="expert_estimate") -> list[Column]:
     p, e = F.col(policy), F.col(expert)
-    return _agg(
-        pairs,
-        by,
+    return [
         F.avg(p).alias("policy_mean"),
         F.avg(e).alias("expert_mean"),
         (-F.avg(F.ln(e + F.lit(V.EPS)) + F.ln(1.0 - p + F.lit(V.EPS)))).alias("discriminator_loss"),
-    )
+    ]
 
 
-def variational_kl(pairs: DataFrame, by: list[str], policy_mu: str, expert_mu: str, sigma: float) -> DataFrame:
+def gail_metrics(pairs: DataFrame, by: list[str], policy="policy_estimate", expert="expert_estimate") -> DataFrame:
+    return _agg(pairs, by, *gail_terms(policy, expert))
+
+
+def variational_kl_term(policy_mu: str, expert_mu: str, sigma: float) -> Column:
     s2 = float(sigma) ** 2
     per_dim = F.zip_with(
         policy_mu,
         expert_mu,
         lambda p, e: F.lit(1.0 + float(np.log(s2)) - s2) - 0.5 * e * e - 0.5 * p * p,
     )
-    return _agg(pairs, by, F.avg(-V.total(per_dim)).alias("kl_loss"))
+    return F.avg(-V.total(per_dim)).alias("kl_loss")
+
+
+def variational_kl(pairs: DataFrame, by: list[str], policy_mu: str, expert_mu: str, sigma: float) -> DataFrame:
+    return _agg(pairs, by, variational_kl_term(policy_mu, expert_mu, sigma))
 
 
 # --- concept vectors -------------------------------------------------------------------------
@@ -252,7 +264,7 @@ def per_concept_scores(joined: DataFrame) -> DataFrame:
     )
 
 
-def concept_scores(predictions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Mean loss over concepts and mean accuracy over the yes/no ones; both frames are long (row, concept)."""
-    scores = per_concept_scores(predictions.join(labels, ["row", "concept"]))
+def concept_scores(scored: DataFrame) -> DataFrame:
+    """Mean loss over concepts and mean accuracy over the yes/no ones, from rows as for `per_concept_scores`."""
+    scores = per_concept_scores(scored)
     return scores.agg(F.avg("loss").alias("concept_loss"), F.avg("accuracy").alias("concept_accuracy"))
