@@ -261,11 +261,10 @@ def reward_between_decisions(spark, sf_dir):
 FROM steps GROUP BY 1""",
 )
 def agents_seen(spark, sf_dir):
-    st = steps(spark, sf_dir, "behavior_id", "agent_id")
-    per_agent = st.groupBy("behavior_id", "agent_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_agent.groupBy("behavior_id").agg(
-        F.count(F.lit(1)).alias("n_agents"), F.sum("n").alias("n_steps")
-    )
+    from episodica.operators.stats import seen
+
+    out = seen(steps(spark, sf_dir, "behavior_id", "agent_id"), ["behavior_id"], "agent_id")
+    return out.withColumnsRenamed({"n_seen": "n_agents", "n_rows": "n_steps"})
 
 
 @query(

@@ -308,6 +308,12 @@ def polar(radius, degrees) -> Column:
     )
 
 
+def polar3(radius, degrees) -> Column:
+    """The same direction in space: angles turn about the upright axis."""
+    flat = polar(radius, degrees)
+    return F.struct(flat["x"].alias("x"), F.lit(0.0).alias("y"), flat["y"].alias("z"))
+
+
 def ray_vector_size(n_rays: int, n_tags: int, stacks: int = 1) -> int:
     return n_rays * (n_tags + 2) * stacks
 

@@ -22,8 +22,9 @@ def suffix_discount(value: Column, q: float, horizon: int) -> Column:
     if q == 1.0:
         return F.sum(value).over(w)
     if horizon * math.log10(q) < -200:
-        # q^j would run out of range: fold the (horizon-bounded) list instead.
-        seen = F.collect_list(value).over(w)
+        # q^j would run out of range: fold the rows that still count, those until q^k falls below 1e-60.
+        reach = math.ceil(-60 / math.log10(q))
+        seen = F.collect_list(value).over(trajectory_window(descending=True).rowsBetween(-reach, 0))
         return F.aggregate(seen, F.lit(0.0), lambda acc, x: acc * q + x)
     weight = F.pow(F.lit(float(q)), F.col("j").cast("double"))
     return F.sum(value * weight).over(w) / weight

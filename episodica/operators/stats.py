@@ -289,6 +289,17 @@ def latest_policy(policies: DataFrame, keys: list[str] | None = None, version: s
     )
 
 
+def seen(df: DataFrame, by: list[str], what: str, approximate: float | None = None) -> DataFrame:
+    """How many different values of `what`, and how many rows, each group has.
+
+    Exact counts go through one row for each value, so that no group gathers its values in one task; with a relative
+    error allowed, a sketch of fixed size does."""
+    if approximate:
+        return df.groupBy(*by).agg(F.approx_count_distinct(what, approximate).alias("n_seen"), F.count(F.lit(1)).alias("n_rows"))
+    each = df.groupBy(*by, what).agg(F.count(F.lit(1)).alias("_n"))
+    return each.groupBy(*by).agg(F.count(what).alias("n_seen"), F.sum("_n").alias("n_rows"))
+
+
 # Writers by name, as plug-ins register them.
 STAT_WRITERS: dict[str, Callable[[DataFrame], None]] = {}
 

@@ -3,15 +3,19 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from episodica.functions.names import scope_runs
 from episodica.schema import STEPS
 
 # The event types, in the order of their discrete action index.
 ACTIONS = ("click", "view", "signup", "error", "purchase")
 
 
-def read_steps(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Typed scan of a step log; filters and column pruning reach the files."""
-    return spark.read.schema(STEPS).format(fmt).load(path)
+def read_steps(spark: SparkSession, path: str, fmt: str = "parquet", several_runs: bool = False) -> DataFrame:
+    """Typed scan of a step log; filters and column pruning reach the files.
+
+    A log of several runs has agents of one name in each: their behaviours are then told apart by the run."""
+    steps = spark.read.schema(STEPS).format(fmt).load(path)
+    return scope_runs(steps) if several_runs else steps
 
 
 def write_steps(steps: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:

@@ -148,3 +148,11 @@ def test_grid_against_all_pairs(spark, tile_rows, turned):
     objects = spark.createDataFrame(objs, "tick long, object_id long, tag string, x double, z double")
     got = G.grid_cells(agents, objects, cell, size, tile_rows=tile_rows).collect()
     assert len(got) == len(want) and {(r.agent_id, r.cell, r.object_id) for r in got} == want
+
+
+def test_seen(spark):
+    from episodica.operators.stats import seen
+
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", None), ("b", 2)], "k string, v int")
+    for approximate in (None, 0.05):
+        assert {(r.k, r.n_seen, r.n_rows) for r in seen(df, ["k"], "v", approximate).collect()} == {("a", 1, 3), ("b", 1, 1)}
