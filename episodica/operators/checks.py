@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from episodica.functions import vectors as V
 from episodica.functions.numbers import finite
+from episodica.plans.lineage import join_stats
 
 
 # --- values ----------------------------------------------------------------------------------
@@ -49,7 +50,7 @@ def check_shapes(df: DataFrame, specs: DataFrame, obs: str = "obs") -> DataFrame
     )
     have = F.transform(F.col(obs), lambda o: F.size(o))
     return (
-        df.join(specs.select("behavior_id", want.alias("_want")), "behavior_id", "left")
+        join_stats(df, specs.select("behavior_id", want.alias("_want")), ["behavior_id"], "left")
         .withColumn("shape_ok", F.coalesce(have == F.col("_want"), F.lit(False)))
         .drop("_want")
     )
@@ -74,7 +75,7 @@ def check_actions(df: DataFrame, specs: DataFrame, action: str = "action", mask:
             m.isNotNull() & (F.size(m) > F.size("discrete_branches")), "unknown branch"
         ).when(m.isNotNull() & F.exists(m, lambda b: (F.size(b) > 0) & F.forall(b, lambda x: x)), "all actions masked")
     return (
-        df.join(spec, "behavior_id", "left")
+        join_stats(df, spec, ["behavior_id"], "left")
         .withColumn("action_problem", problem)
         .drop("continuous_size", "discrete_branches")
     )
@@ -110,7 +111,7 @@ def fill_missing_actions(df: DataFrame, specs: DataFrame, action: str = "action"
     )
     spec = specs.select("behavior_id", "continuous_size", "discrete_branches")
     return (
-        df.join(spec, "behavior_id", "left")
+        join_stats(df, spec, ["behavior_id"], "left")
         .withColumn(action, F.coalesce(F.col(action), zeros))
         .drop("continuous_size", "discrete_branches")
     )
@@ -121,7 +122,8 @@ def fill_missing_actions(df: DataFrame, specs: DataFrame, action: str = "action"
 
 def known_behaviors(df: DataFrame, registry: DataFrame, key: str = "behavior_id") -> tuple[DataFrame, DataFrame]:
     """Rows someone handles, and rows nobody does."""
-    return df.join(registry, key, "left_semi"), df.join(registry, key, "left_anti")
+    known = registry.select(key).distinct()
+    return join_stats(df, known, [key], "left_semi"), join_stats(df, known, [key], "left_anti")
 
 
 def new_behaviors(df: DataFrame, registry: DataFrame, key: str = "behavior_id") -> DataFrame:
