@@ -21,9 +21,9 @@ CURRICULUM = {
 
 
 def evaluations(spark, sf_dir):
-    """Every step row reads as one evaluation of its group's run."""
-    return steps(spark, sf_dir, "group_id", "tick", "reward").select(
-        F.col("group_id").cast("string").alias("run"), F.col("tick").alias("seq"), F.lit("b").alias("behavior"),
+    """Every step row reads as one evaluation of its agent's run, so that runs grow with the log."""
+    return steps(spark, sf_dir, "agent_id", "tick", "reward").select(
+        F.col("agent_id").cast("string").alias("run"), F.col("tick").alias("seq"), F.lit("b").alias("behavior"),
         (F.col("tick") / 10000.0).alias("progress"), F.col("reward").alias("episode_return"),
     )
 
@@ -31,8 +31,8 @@ def evaluations(spark, sf_dir):
 @query(
     "curriculum_lessons",
     f"""WITH RECURSIVE {STEPS_SQL},
-ev AS (SELECT CAST(group_id AS VARCHAR) AS run, tick AS seq, reward AS ret, tick / 10000.0::DOUBLE AS progress,
-  row_number() OVER (PARTITION BY group_id ORDER BY tick) AS n FROM steps),
+ev AS (SELECT CAST(agent_id AS VARCHAR) AS run, tick AS seq, reward AS ret, tick / 10000.0::DOUBLE AS progress,
+  row_number() OVER (PARTITION BY agent_id ORDER BY tick) AS n FROM steps),
 rec AS (
   SELECT DISTINCT run, 0::BIGINT AS n, (-1)::BIGINT AS seq, 0 AS l1, 0 AS l2, 0.0::DOUBLE AS s1, []::DOUBLE[] AS buf,
     false AS c1, false AS c2 FROM ev
@@ -55,17 +55,17 @@ def curriculum_lessons(spark, sf_dir):
 
 def matches(spark, sf_dir):
     """Steps read as matches: the action names the player, k picks one of the four others."""
-    return steps(spark, sf_dir, "group_id", "tick", "action", "k", "reward", "group_reward").select(
-        F.col("group_id").alias("league"), F.col("tick").alias("seq"), F.col("action").alias("slot"),
+    return steps(spark, sf_dir, "agent_id", "tick", "action", "k", "reward", "group_reward").select(
+        F.col("agent_id").alias("league"), F.col("tick").alias("seq"), F.col("action").alias("slot"),
         ((F.col("action") + 1 + F.col("k") % 4) % 5).cast("int").alias("opponent_slot"),
         F.col("reward").alias("final_reward"), (F.lit(0.0)).alias("final_group_reward"),
     )
 
 
 MATCH_SQL = """
-mt AS (SELECT group_id AS league, tick AS seq, action AS slot, CAST((action + 1 + k % 4) % 5 AS INT) AS opp,
+mt AS (SELECT agent_id AS league, tick AS seq, action AS slot, CAST((action + 1 + k % 4) % 5 AS INT) AS opp,
   CASE WHEN reward > 0 THEN 1.0::DOUBLE WHEN reward < 0 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS res,
-  row_number() OVER (PARTITION BY group_id ORDER BY tick) AS n FROM steps),
+  row_number() OVER (PARTITION BY agent_id ORDER BY tick) AS n FROM steps),
 rec AS (
   SELECT DISTINCT league, 0::BIGINT AS n, (-1)::BIGINT AS seq, 0 AS slot, 0 AS opp, 0.0::DOUBLE AS change,
     [1200.0, 1200.0, 1200.0, 1200.0, 1200.0]::DOUBLE[] AS rt FROM mt

@@ -70,8 +70,8 @@ def stream_episode_returns(spark, sf_dir):
     None,
 )
 def stream_lessons(spark, sf_dir):
-    st = live_steps(spark, sf_dir, "group_id", "tick", "reward").select(
-        F.col("group_id").cast("string").alias("run"), F.col("tick").alias("seq"), F.lit("b").alias("behavior"),
+    st = live_steps(spark, sf_dir, "agent_id", "tick", "reward").select(
+        F.col("agent_id").cast("string").alias("run"), F.col("tick").alias("seq"), F.lit("b").alias("behavior"),
         (F.col("tick") / 10000.0).alias("progress"), F.col("reward").alias("episode_return"),
     )
     out = run_available(folds.stream_lessons(st, selfplay.CURRICULUM))
@@ -83,8 +83,8 @@ SQL["stream_lessons"] = SQL["curriculum_lessons"]
 
 @query("stream_ratings", SQL["ratings_between_players"])
 def stream_ratings(spark, sf_dir):
-    st = live_steps(spark, sf_dir, "group_id", "tick", "action", "k", "reward", batched=True).select(
-        F.col("group_id").alias("league"), F.col("tick").alias("seq"), F.col("action").alias("slot"),
+    st = live_steps(spark, sf_dir, "agent_id", "tick", "action", "k", "reward", batched=True).select(
+        F.col("agent_id").alias("league"), F.col("tick").alias("seq"), F.col("action").alias("slot"),
         ((F.col("action") + 1 + F.col("k") % 4) % 5).cast("int").alias("opponent_slot"),
         F.col("reward").alias("final_reward"), F.lit(0.0).alias("final_group_reward"),
     )
