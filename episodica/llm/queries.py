@@ -92,7 +92,7 @@ def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mix.withColumn("_row", F.explode(F.array_repeat(F.lit(0), F.col("n_rows").cast("int"))))
     first = F.element_at(F.concat("positions", F.array(F.lit(None).cast("double"))), 1)
     taken = (F.col("size") * F.size("positions")).alias("taken")
-    return mix.orderBy(first).select("doc_id", "size", "source_size", "target", taken)
+    return mix.orderBy(first, "key").select("doc_id", "size", "source_size", "target", taken)
 
 
 @query("op7_byte_bpe")
