@@ -41,10 +41,10 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and the digest of what they decode to."""
-    path = public_tokenizers.path(RANKS)
-    rows = docs.select("doc_id", "lang", "source", bpe.encode(spark, F.col("text"), path).alias("ids"))
-    decoded = F.sha2(bpe.decode(spark, F.col("ids"), path), 256).alias("decoded_sha256")
-    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", decoded)
+    checked = bpe.encode_and_check(spark, F.col("text"), public_tokenizers.path(RANKS))
+    rows = docs.select("doc_id", "lang", "source", checked.alias("_t"))
+    n_tokens = F.size("_t.ids").cast("long").alias("n_tokens")
+    return rows.select("doc_id", "lang", "source", n_tokens, "_t.ids", "_t.decoded_sha256")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -308,21 +308,38 @@ def shared(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast((vocabulary(path), classes()))
 
 
+CHECKED = pa.struct([("ids", IDS), ("decoded_sha256", pa.string())])
+
+
 def encode(spark: SparkSession, text: Column, path: str) -> Column:
     """array<int> of the ids of each text."""
+    return encode_and_check(spark, text, path)["ids"]
+
+
+def encode_and_check(spark: SparkSession, text: Column, path: str) -> Column:
+    """A struct of the ids of each text and the digest of the bytes that they decode to, from one pass."""
     tables = shared(spark, path)
 
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = codec_of(*tables.value)
         for batch in batches:
-            pieces, sizes = [], np.zeros(len(batch), np.int64)
-            for i, ids, bounds, _ in codec.parts(batch):
+            pieces, sizes, digests, held = [], np.zeros(len(batch), np.int64), [], None
+            for i, ids, bounds, goes_on in codec.parts(batch):
                 pieces.append(ids)
                 sizes[i : i + len(bounds) - 1] += np.diff(bounds)
+                plain = memoryview(codec.decode(ids).tobytes())
+                at = np.concatenate([[0], np.cumsum(np.diff(codec.vocab.offsets)[ids])])[bounds].tolist()
+                for a, b in zip(at, at[1:]):
+                    held = held or hashlib.sha256()
+                    held.update(plain[a:b])
+                    if not goes_on:
+                        digests.append(held.hexdigest())
+                        held = None
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int32), *pieces]))
+            ids = pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int32), *pieces]))
+            yield pa.StructArray.from_arrays([ids, pa.array(digests, pa.string())], fields=list(CHECKED))
 
-    return F.arrow_udf(encoded, from_arrow_type(IDS))(text)
+    return F.arrow_udf(encoded, from_arrow_type(CHECKED))(text)
 
 
 def decode(spark: SparkSession, ids: Column, path: str) -> Column:
