@@ -33,7 +33,7 @@ from episodica.llm.common import struct_array
 from episodica.llm.textops import PIECE, U64, doc_ranges, flat, gather, kept, mixed_bits, span_hashes
 
 KEYS_PER_BUCKET = 4
-REMEMBERED = 1 << 16
+REMEMBERED = 1 << 17
 SPACES, LETTERS, NUMBERS, OTHER = range(4)
 # Fixed values of the public pattern: what follows an apostrophe in a contraction.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")

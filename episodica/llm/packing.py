@@ -25,7 +25,7 @@ from episodica.llm.common import order_hash, text_of
 
 ROW_TOKENS = 2048
 WINDOW_TOKENS = 1 << 20
-GROUP_BYTES = 64 << 20
+GROUP_BYTES = 16 << 20
 
 ROWS = pa.schema(
     [("group", pa.int64()), ("window", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int64()),
