@@ -41,6 +41,7 @@ COUNTS_PER_BUCKET = 1 << 21
 PAIRS_PER_ENTRY = 4
 MOST_ROUNDS = 8
 GROUP_ROWS = 128
+GROUP_PAIRS = 1000
 # Names of texts (16 bytes each) that may be sent to every task.
 MOST_BROADCAST = 2_000_000
 # Cost of comparing a candidate, in posting-list entries read.
@@ -263,31 +264,34 @@ def sizes_fit(a: Column, b: Column) -> Column:
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets link; a should be the side that many pairs share.
 
-    The pairs of one a are dealt to groups of about GROUP_ROWS, each of which gets a's text once."""
+    The pairs of one a are dealt to parts of about GROUP_ROWS, each with a's text; parts of many a share a group of about
+    GROUP_PAIRS pairs, whose sets are made together."""
     fan = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_fan"))
+    n_groups = max(1, pairs.count() // GROUP_PAIRS)
     salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("_fan") / GROUP_ROWS))
-    dealt = cut(pairs.join(fan, "a").select("a", "b", salt.alias("salt")), "pairs")
-    others = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", F.col("b").alias("node"), "text")
-    heads = dealt.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.col("a").alias("node"), "text")
+    dealt = pairs.join(fan, "a").select("a", "b", salt.alias("salt"))
+    dealt = cut(dealt.withColumn("part", F.pmod(F.xxhash64("a", "salt"), F.lit(n_groups))), "pairs")
+    others = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("part", "a", "salt", F.col("b").alias("node"), "text")
+    heads = dealt.select("part", "a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a")
+    heads = heads.select("part", "a", "salt", F.col("a").alias("node"), "text")
 
     def link(table: pa.Table) -> pa.Table:
-        a = table["a"][0].as_py()
-        node = table["node"].to_pylist()
-        head = whole_set(table["text"][node.index(a)])
+        a, salt, node = (table[c].to_pylist() for c in ("a", "salt", "node"))
+        made = [(doc, token) for doc, token, _, _ in shingle_sets(table["text"].combine_chunks())]
+        doc, token = (np.concatenate(x) for x in zip(*made))
+        at = np.searchsorted(doc, np.arange(len(node) + 1))
+        head = {(a[k], salt[k]): k for k in range(len(node)) if a[k] == node[k]}
         linked = []
-        for k, b in enumerate(node):
-            if b != a:
-                other = whole_set(table["text"][k])
-                common = len(np.intersect1d(head, other, assume_unique=True))
-                if 100 * common >= 80 * (len(head) + len(other) - common):
-                    linked.append(b)
-        return pa.table({"a": pa.array([a] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
-
-    return heads.unionByName(others).groupBy("a", "salt").applyInArrow(link, "a long, b long")
-
-
-def whole_set(text: pa.Scalar) -> np.ndarray:
-    return np.concatenate([token for _, token, _, _ in shingle_sets(pa.array([text.as_py()]))])
+        for k in range(len(node)):
+            if a[k] != node[k]:
+                h = head[a[k], salt[k]]
+                one, other = token[at[h] : at[h + 1]], token[at[k] : at[k + 1]]
+                common = len(np.intersect1d(one, other, assume_unique=True))
+                if 100 * common >= 80 * (len(one) + len(other) - common):
+                    linked.append(k)
+        return pa.table({"a": pa.array([a[k] for k in linked], pa.int64()), "b": pa.array([node[k] for k in linked], pa.int64())})
+
+    return heads.unionByName(others).groupBy("part").applyInArrow(link, "a long, b long")
 
 
 def texts_of(docs: DataFrame, pairs: DataFrame, names: DataFrame, text_col: str) -> DataFrame:
