@@ -9,7 +9,7 @@ candidates, which must now share l tokens, become fewer; the number of entries d
 Equal sets are one node from the start. Large groups of near copies would fill posting lists with pairs of one group, so
 links are looked for in rounds: first each document of a posting list is compared with the list's leader only; what is
 linked becomes one component; lists within one component are done. When the pairs between components are few, all of
-them that share enough prefix tokens are compared. A pair within a component needs no comparison, a pair between
+them that share enough prefix tokens, and whose parities don't rule it out, are compared. A pair within a component needs no comparison, a pair between
 components is never skipped: components come out exact.
 
 Tokens and nodes are 64-bit hashes of shingles and of whole sets; a link is counted on the full sets of both texts.
@@ -40,6 +40,7 @@ MOST_FREQUENT = 1 << 22
 COUNTS_PER_BUCKET = 1 << 21
 PAIRS_PER_ENTRY = 4
 MOST_ROUNDS = 8
+PARITY_BITS = 512
 GROUP_ROWS = 128
 GROUP_PAIRS = 1000
 # Names of texts (16 bytes each) that may be sent to every task.
@@ -106,16 +107,21 @@ def sets_of(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return owner[new], token[new]
 
 
-SETS = StructType([StructField("n", LongType()), StructField("node", LongType()), StructField("tokens", ArrayType(LongType()))])
+SETS = StructType(
+    [StructField("n", LongType()), StructField("node", LongType()), StructField("parity", ArrayType(LongType())),
+     StructField("tokens", ArrayType(LongType()))]
+)
 
 
 def sketch(text: Column) -> Column:
-    """(n, node, tokens) of each text: the size and hash of its set, and as many of its lowest tokens as prefixes need."""
+    """(n, node, parity, tokens) of each text: the size and hash of its set, for each of PARITY_BITS whether an odd number
+    of its tokens fall on it, and as many of its lowest tokens as prefixes need."""
 
     def sketched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             n, node = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             kept, lengths = [np.zeros(0, np.int64)], np.zeros(len(batch), np.int64)
+            parity = np.zeros((len(batch), PARITY_BITS // 64), np.int64)
             for doc, token, first, end in shingle_sets(batch):
                 if not len(token):
                     continue
@@ -125,6 +131,9 @@ def sketch(text: Column) -> Column:
                 total = np.add.reduceat(mixed_bits(token ^ U64(0xA5A5A5A5A5A5A5A5)), at[:-1][own])
                 n[first:end] = size
                 node[first + own] = mixed_bits(total + size[own].astype(U64)).view(np.int64)
+                cell = (doc - first) * PARITY_BITS + (token & U64(PARITY_BITS - 1)).astype(np.int64)
+                odd = (np.bincount(cell, minlength=(end - first) * PARITY_BITS) & 1).astype(np.uint8)
+                parity[first:end] = np.packbits(odd).view(np.int64).reshape(end - first, -1)
                 place = np.arange(len(token)) - at[doc - first]
                 need = np.minimum(size, size - at_least(size) + MOST_MATCHES)
                 keep = (place < need[doc - first]) | (token < U64(int(COUNTED * 2**64)))
@@ -132,7 +141,9 @@ def sketch(text: Column) -> Column:
                 lengths[first:end] = np.bincount(doc[keep] - first, minlength=end - first)
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(offsets, np.concatenate(kept))
-            yield pa.StructArray.from_arrays([pa.array(n), pa.array(node), tokens], ["n", "node", "tokens"])
+            at = np.arange(len(batch) + 1, dtype=np.int32) * (PARITY_BITS // 64)
+            bits = pa.ListArray.from_arrays(at, parity.ravel())
+            yield pa.StructArray.from_arrays([pa.array(n), pa.array(node), bits, tokens], ["n", "node", "parity", "tokens"])
 
     return F.arrow_udf(sketched, SETS)(text)
 
@@ -298,7 +309,7 @@ def texts_of(docs: DataFrame, pairs: DataFrame, names: DataFrame, text_col: str)
     """(node, text) of the nodes of some pairs. Their names go to every task while they are few enough for that;
     more of them are joined by a shuffle."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(names.join(wanted, "node", "left_semi"), "wanted")
+    wanted = cut(names.select("node", "text_hash").join(wanted, "node", "left_semi"), "wanted")
     text = docs.select(F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).alias("text"))
     found = text.join(F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted, "text_hash")
     return cut(found.dropDuplicates(["node"]).select("node", "text"), "texts")
@@ -332,9 +343,12 @@ def leader_pairs(entries: DataFrame, turn: int, tried: DataFrame | None) -> Data
     return pairs.withColumn("_nth", best).filter("_nth <= 2").select("a", "b")
 
 
-def candidates(entries: DataFrame) -> DataFrame:
+def candidates(entries: DataFrame, names: DataFrame) -> DataFrame:
     """(a, b): pairs of different components that share as many prefix tokens as the larger one's l demands.
 
+    Two sets differ in at least as many tokens as their parities differ in bits, and those that link differ in no more
+    than a ninth of their sizes' sum: the join gives out no pair whose parities say otherwise.
+
     Of a pair, the larger set (then the larger node) probes with its own l; the other offers the tokens of its prefix
     for that l, which is shorter, as its partner isn't smaller."""
     lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("x"), F.max("component").alias("y"))
@@ -347,13 +361,24 @@ def candidates(entries: DataFrame) -> DataFrame:
         own = F.coalesce(F.col(f"r{m}"), F.lit(0)) * (1 + COMPARE_COST / m)
         better = (own < least) & (F.floor((F.col("n") * 4 + 4) / 5) >= m)
         best, least = F.when(better, F.lit(m)).otherwise(best), F.when(better, own).otherwise(least)
-    chosen = cost.select("node", best.alias("matches"))
-    probe = alive.join(chosen, "node").filter(over <= F.col("matches"))
-    probe = probe.select("token", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), "matches")
+    words = [F.col("parity")[k].alias(f"p{k}") for k in range(PARITY_BITS // 64)]
+    chosen = cost.select("node", best.alias("matches")).join(names, "node").select("node", "matches", *words)
+    alive = alive.join(chosen, "node")
+
+    def parity(side: str) -> list[Column]:
+        return [F.col(f"p{k}").alias(f"{side}{k}") for k in range(PARITY_BITS // 64)]
+
+    probe = alive.filter(over <= F.col("matches"))
+    probe = probe.select("token", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), "matches", *parity("bp"))
     level = F.greatest(F.col("place") - (F.col("n") - F.floor((F.col("n") * 8 + 8) / 9)) + 1, F.lit(1))
-    offer = alive.select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"), level.alias("level"))
+    offer = alive.select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"), level.alias("level"), *parity("ap"))
+    offer = offer.filter(F.col("level") <= MOST_MATCHES)
+    apart = F.bit_count(F.col("ap0").bitwiseXOR(F.col("bp0")))
+    for k in range(1, PARITY_BITS // 64):
+        apart = apart + F.bit_count(F.col(f"ap{k}").bitwiseXOR(F.col(f"bp{k}")))
     ordered = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))
     meet = (F.col("bc") != F.col("ac")) & ordered & (F.col("an") * 5 >= F.col("bn") * 4) & (F.col("level") <= F.col("matches"))
+    meet &= apart * 9 <= F.col("an") + F.col("bn")
     pairs = probe.join(offer, "token").filter(meet).groupBy("a", "b", "matches").agg(F.count(F.lit(1)).alias("shared"))
     return pairs.filter("shared >= matches").select("a", "b")
 
@@ -365,8 +390,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     sets = cut(sets.select("doc_id", "text_hash", "row_key", "s.*"), "sets")
     entries = cut(shared_entries(prefix_entries(sets, frequent_tokens(sets))), "entries")
     entries = unpacked(entries)
+    names = sets.filter("n > 0").groupBy("node")
+    names = cut(names.agg(F.min("text_hash").alias("text_hash"), F.first("parity").alias("parity")), "names")
     sets = sets.select("doc_id", "text_hash", "row_key", "n", "node")
-    names = cut(sets.filter("n > 0").groupBy("node").agg(F.min("text_hash").alias("text_hash")), "names")
     comps, links, tried, before = None, None, None, float("inf")
     for turn in range(MOST_ROUNDS):
         mine = with_component(entries, comps)
@@ -380,7 +406,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         comps = components(links)
-    pairs = candidates(with_component(entries, comps))
+    pairs = candidates(with_component(entries, comps), names.select("node", "parity"))
     if tried is not None:
         swapped = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
         pairs = pairs.join(tried.unionByName(swapped).distinct(), ["a", "b"], "left_anti")
