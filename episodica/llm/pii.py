@@ -3,9 +3,8 @@
 Entities are e-mail addresses, IP addresses, card numbers and telephone numbers, found by patterns. A term (a run of
 three or more letters, lower-cased) reveals an entity if meeting it tells nearly all that the entity's name tells: the
 pointwise mutual information of both, PMI = log2(n(t, c) N / (n(t) n(c))), as a share of the entity's information
-content, IC = log2(N / n(c)). n(t, c) and n(c) count different contexts, the words around an occurrence, so that copies
-of a document are no evidence; n(t) and N count all documents, copies too, which can only lower the share. Terms with
-SUPPORT contexts or more whose share reaches DISCLOSURE are generalised (to the entity's kind) wherever they stand, or
+content, IC = log2(N / n(c)). All four count different texts, so that copies of a document neither add nor remove
+evidence. Terms with SUPPORT texts or more whose share reaches DISCLOSURE are generalised (to the entity's kind) wherever they stand, or
 removed if they stand nowhere else. All of this is DataFrame functions.
 
 Cases: null and empty texts have no spans; repeated rows get equal spans; overlapping base spans of two kinds are both
@@ -98,7 +97,7 @@ def terms_of(text: Column) -> Column:
 
 
 def contexts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(kind, entity, terms, context): every occurrence of an entity with the terms around it."""
+    """(kind, entity, terms, context): every occurrence of an entity with the terms around it and its text's MD5."""
     t = docs.select(text_of(text_col).alias("t")).select("t", base_spans(F.col("t")).alias("b"))
     each = F.concat(*[F.transform(f"b.{k}", tagged(k)) for k in KINDS])
     rows = t.filter(F.size(each) > 0).select("t", F.explode(each).alias("s"))
@@ -110,7 +109,7 @@ def contexts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     right = F.when(F.length(right) == AROUND, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
     value = F.when(F.col("s.kind").isin("card", "phone"), digits(F.col("s.value"))).otherwise(F.lower("s.value"))
     near = F.concat(left, F.lit(" "), right)
-    return rows.select(F.col("s.kind").alias("kind"), value.alias("entity"), terms_of(near).alias("terms"), F.md5(near.cast("binary")).alias("context"))
+    return rows.select(F.col("s.kind").alias("kind"), value.alias("entity"), terms_of(near).alias("terms"), F.md5(F.col("t").cast("binary")).alias("context"))
 
 
 def tagged(kind: str):
@@ -126,9 +125,11 @@ def revealing_terms(docs: DataFrame, text_col: str = "text", support: int = SUPP
     pairs = cut(pairs.join(entities, ["kind", "entity"]), "pairs")
     wanted = cut(pairs.select("term").distinct(), "terms")
     # All terms are counted before the join, as common words stand near some entity in ever more corpora.
-    every = docs.select(F.explode(terms_of(text_of(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    counts = every.join(wanted, "term")
-    n = docs.count()
+    text = text_of(text_col)
+    texts = docs.select(F.md5(text.cast("binary")).alias("key"), terms_of(text).alias("terms"))
+    texts = cut(texts.groupBy("key").agg(F.first("terms").alias("terms")), "texts")
+    counts = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(wanted, "term")
+    n = texts.count()
     told = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_term") * F.col("n_entity")))
     whole = F.log2(F.lit(float(n)) / F.col("n_entity"))
     found = pairs.join(counts, "term").filter((whole > 0) & (told >= disclosure * whole))

@@ -202,6 +202,16 @@ def test_revealing_terms(frame):
     assert pii.digest(docs.limit(0)).count() == 0
 
 
+def test_copies_change_no_evidence(frame):
+    """Copies of one text with a name neither hide the name nor make the words of that text revealing."""
+    rows = [(i, f"{' '.join(f'w{i}x{k}' for k in range(12))} Zebulon jo.{'doe'}@x.org") for i in range(3)]
+    rows += [(100 + i, f"some text about matter number {i} by others") for i in range(200)]
+    once = {r.term: r.label for r in pii.revealing_terms(frame(rows)).collect()}
+    docs = frame(rows + [(1000 + i, rows[0][1]) for i in range(100)])
+    assert once == {"zebulon": ""} == {r.term: r.label for r in pii.revealing_terms(docs).collect()}
+    assert pii.sanitised(docs).filter(F.lower("text").contains("zebulon")).count() == 0
+
+
 def graded(spark, docs, labels, learn, train, score, label):
     model = train(docs, labels, learn)
     return docs.select("doc_id", score(F.col("text"), model).alias("score")).join(labels, "doc_id").select("doc_id", "score", label)
