@@ -1,11 +1,15 @@
 """Sanitisation of personal data: protected entities by pattern, and the terms that reveal them by corpus co-occurrence.
 
 Entities are e-mail addresses, IP addresses, card numbers and telephone numbers, found by patterns. A term (a run of
-three or more letters, lower-cased) reveals an entity if meeting it tells nearly all that the entity's name tells: the
-pointwise mutual information of both, PMI = log2(n(t, c) N / (n(t) n(c))), as a share of the entity's information
-content, IC = log2(N / n(c)). All four count different texts, so that copies of a document neither add nor remove
-evidence. Terms with SUPPORT texts or more whose share reaches DISCLOSURE are generalised (to the entity's kind) wherever they stand, or
-removed if they stand nowhere else. All of this is DataFrame functions.
+letters and digits outside of entities, lower-cased) reveals an entity if meeting it tells nearly all that the entity's
+name tells: the pointwise mutual information of both, PMI = log2(n(t, c) N / (n(t) n(c))), as a share of the entity's
+information content, IC = log2(N / n(c)). All four count different texts, read whole, so that copies of a document
+neither add nor remove evidence. Terms whose share reaches DISCLOSURE, and surely SURE, are generalised (to the entity's
+kind) wherever they stand, or removed if they stand nowhere else. All of this is DataFrame functions.
+
+The sure share takes n(t, c) at its lower confidence limit (Poisson, one-sided, Z). The first text in which both stand
+only proposes the pair, so that the limit is of the others; texts that share a sketch, as near copies do, count once
+there. One text is never evidence, and two are in corpora of about a thousand texts or more.
 
 Cases: null and empty texts have no spans; repeated rows get equal spans; overlapping base spans of two kinds are both
 reported, and replaced once in texts; a term within a base span is no span of its own; patterns are written without
@@ -16,14 +20,15 @@ unbounded recursion or backtracking, so that very long runs of one character are
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episodica.llm.common import cut, fresh_name, text_of
+from episodica.llm.common import cut, fresh_name, text_of, words
 from episodica.llm.rules import let
 
 KINDS = ("email", "ip", "card", "phone")
-TERM = r"\p{L}{3,}"
-AROUND = 80
-SUPPORT = 3
-DISCLOSURE = 0.9
+TERM = r"[\p{L}\p{M}\p{N}]++"
+DISCLOSURE, SURE = 0.9, 0.5
+Z = 1.645
+# Words in a shingle of a text's sketch.
+SHINGLE = 8
 
 LABEL = r"\.[A-Za-z0-9-]++"
 # A chain of labels of any length, matched in atomic groups within atomic groups: no deep recursion.
@@ -96,74 +101,112 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), F.lower))
 
 
-def contexts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(kind, entity, terms, context): every occurrence of an entity with the terms around it and its text's MD5."""
-    t = docs.select(text_of(text_col).alias("t")).select("t", base_spans(F.col("t")).alias("b"))
-    each = F.concat(*[F.transform(f"b.{k}", tagged(k)) for k in KINDS])
-    rows = t.filter(F.size(each) > 0).select("t", F.explode(each).alias("s"))
-    start, end = F.col("s.start"), F.col("s.end")
-    left = F.substring("t", F.greatest(start - AROUND, F.lit(0)) + 1, F.least(start, F.lit(AROUND)))
-    right = F.substring("t", end + 1, F.lit(AROUND))
-    # A word cut by the edge of the window is no term.
-    left = F.when(start > AROUND, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.when(F.length(right) == AROUND, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    value = F.when(F.col("s.kind").isin("card", "phone"), digits(F.col("s.value"))).otherwise(F.lower("s.value"))
-    near = F.concat(left, F.lit(" "), right)
-    return rows.select(F.col("s.kind").alias("kind"), value.alias("entity"), terms_of(near).alias("terms"), F.md5(F.col("t").cast("binary")).alias("context"))
+def in_order(spans: Column) -> Column:
+    """All base spans of a text as (start, end)."""
+    return F.array_sort(F.concat(*[F.transform(spans[k], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of its base spans; nothing else moves."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def add(state: Column, s: Column) -> Column:
+        a, b = F.greatest(s["start"], state["at"]), F.greatest(s["end"], state["at"])
+        parts = F.array(F.substring(text, state["at"] + 1, a - state["at"]), F.repeat(F.lit(" "), b - a))
+        return F.struct(b.alias("at"), F.concat(state["out"], parts).alias("out"))
+
+    def join(state: Column) -> Column:
+        return F.concat(F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.length(text)))
+
+    return let(in_order(spans), lambda o: F.when(F.size(o) > 0, F.aggregate(o, start, add, join)).otherwise(text))
 
 
 def tagged(kind: str):
-    return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
+    def named(s: Column) -> Column:
+        value = digits(s["value"]) if kind in ("card", "phone") else F.lower(s["value"])
+        return F.struct(F.lit(kind).alias("kind"), value.alias("entity"))
 
+    return named
 
-def revealing_terms(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(term, label): terms to replace, and by what. A term that reveals several entities takes the first label."""
-    near = cut(contexts(docs, text_col).distinct(), "contexts")
-    entities = near.groupBy("kind", "entity").agg(F.count_distinct("context").alias("n_entity"))
-    pairs = near.select("kind", "entity", "context", F.explode("terms").alias("term")).groupBy("kind", "entity", "term")
-    pairs = pairs.agg(F.count_distinct("context").alias("n_both")).filter(F.col("n_both") >= support)
-    pairs = cut(pairs.join(entities, ["kind", "entity"]), "pairs")
-    wanted = cut(pairs.select("term").distinct(), "terms")
-    # All terms are counted before the join, as common words stand near some entity in ever more corpora.
+
+def sketch(text: Column) -> Column:
+    """The least and the greatest hash of a text's shingles, which near copies seldom change both."""
+
+    def ends(w: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1)))
+        return let(F.transform(at, lambda i: F.xxhash64(F.slice(w, i, SHINGLE))), lambda h: F.struct(F.array_min(h).alias("least"), F.array_max(h).alias("most")))
+
+    return let(words(text), ends)
+
+
+def different_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(key, terms, entities, sketch): a row for each different text; its MD5, terms and entities once each, sketch if it has any."""
     text = text_of(text_col)
-    texts = docs.select(F.md5(text.cast("binary")).alias("key"), terms_of(text).alias("terms"))
-    texts = cut(texts.groupBy("key").agg(F.first("terms").alias("terms")), "texts")
-    counts = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(wanted, "term")
-    n = texts.count()
-    told = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_term") * F.col("n_entity")))
-    whole = F.log2(F.lit(float(n)) / F.col("n_entity"))
-    found = pairs.join(counts, "term").filter((whole > 0) & (told >= disclosure * whole))
+    t = docs.select(text.alias("t"), F.md5(text.cast("binary")).alias("key")).withColumn("b", base_spans(F.col("t")))
+    named = F.array_distinct(F.concat(*[F.transform(f"b.{k}", tagged(k)) for k in KINDS]))
+    # Terms hold no blanks; one string of them takes less room in the exchange than an array.
+    t = t.select("key", F.array_join(terms_of(blanked(F.col("t"), F.col("b"))), " ").alias("terms"), named.alias("entities"), "t")
+    t = t.select("key", F.struct("terms", "entities", F.when(F.size("entities") > 0, sketch(F.col("t"))).alias("sketch")).alias("x"))
+    one = t.groupBy("key").agg(F.first("x").alias("x"))
+    return cut(one.select("key", F.filter(F.split("x.terms", " "), lambda w: w != "").alias("terms"), "x.entities", "x.sketch"), "texts")
+
+
+def lower_limit(n: Column) -> Column:
+    """The lower confidence limit of a Poisson mean after n events, by Wilson and Hilferty; 0 for none."""
+    return F.when(n > 0, n * F.pow(F.greatest(1 - 1 / (9 * n) - Z / (3 * F.sqrt(n)), F.lit(0.0)), F.lit(3.0))).otherwise(0.0)
+
+
+def revealing(texts: DataFrame, disclosure: float = DISCLOSURE, sure: float = SURE) -> DataFrame:
+    """(term, label) for rows of different_texts."""
+    n = float(texts.count())
+    held = texts.filter(F.size("entities") > 0).select("key", F.explode("entities").alias("e")).select("key", "e.*")
+    entities = held.groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("n_entity")).filter((F.col("n_entity") > 1) & (F.col("n_entity") < n))
+    # A share of DISCLOSURE needs n(t) <= n(t, c) (N / n(c)) ** (1 - DISCLOSURE), and n(t, c) is n(c) at most.
+    most = F.pow(F.col("n_entity"), F.lit(disclosure)) * F.pow(F.lit(max(n, 1.0)), F.lit(1 - disclosure)) + 1e-6
+    entities = cut(entities.withColumn("most", most), "entities")
+    widest = entities.agg(F.max("most")).collect()[0][0]
+    if widest is None:
+        return texts.sparkSession.createDataFrame([], "term string, label string")
+    # The entities of a text that can be told by anything, and its terms that are rare enough to tell one of them.
+    of_text = held.join(entities, ["kind", "entity"]).groupBy("key").agg(F.collect_list(F.struct("kind", "entity", "n_entity", "most")).alias("held"))
+    of_text = cut(of_text, "held")
+    counts = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    rare = cut(counts.filter((F.col("n_term") > 1) & (F.col("n_term") <= widest)), "rare")
+    near = texts.join(of_text, "key").select("sketch", "held", F.explode("terms").alias("term")).join(rare, "term")
+    near = near.withColumn("held", F.filter("held", lambda e: e["most"] >= F.col("n_term"))).filter(F.size("held") > 0)
+    pairs = near.select("term", "n_term", "sketch", F.explode("held").alias("e")).groupBy("term", "n_term", "e.kind", "e.entity", "e.n_entity", "sketch")
+    pairs = pairs.agg(F.count(F.lit(1)).alias("m")).groupBy("term", "n_term", "kind", "entity", "n_entity")
+    pairs = pairs.agg(F.sum("m").alias("n_both"), F.count_distinct("sketch.least").alias("least"), F.count_distinct("sketch.most").alias("most"))
+    told = F.log2(F.col("n_both") * F.lit(n) / (F.col("n_term") * F.col("n_entity")))
+    whole = F.log2(F.lit(n) / F.col("n_entity"))
+    others = F.least("least", "most") - 1
+    certain = F.when(lower_limit(others) > 0, told + F.log2(lower_limit(others) / others))
+    found = pairs.filter((told >= disclosure * whole) & (certain >= sure * whole))
     label = F.when(F.col("n_term") <= F.col("n_both"), F.lit("")).otherwise(F.concat(F.lit("["), F.upper("kind"), F.lit(" DETAIL]")))
     return cut(found.groupBy("term").agg(F.min(label).alias("label")), "revealing")
 
 
-def revealing_by_text(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, terms): for each different text with revealing terms its MD5 and these terms with their labels."""
-    text = text_of(text_col)
-    each = docs.select(F.md5(text.cast("binary")).alias("key"), F.explode(terms_of(text)).alias("term"))
-    hits = each.join(terms, "term").groupBy("key").agg(F.collect_set(F.struct("term", "label")).alias("terms"))
-    return cut(hits, "term_hits")
+def revealing_terms(docs: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, sure: float = SURE) -> DataFrame:
+    """(term, label): terms to replace, and by what. A term that reveals several entities takes the first label."""
+    return revealing(different_texts(docs, text_col), disclosure, sure)
 
 
-def with_spans(docs: DataFrame, terms: DataFrame, out: str, text_col: str = "text") -> DataFrame:
+def with_spans(docs: DataFrame, out: str, text_col: str = "text") -> DataFrame:
     """docs with a struct column: the base kinds' spans, and `term`, spans with the label as their value."""
+    texts = different_texts(docs, text_col)
     key, mine = fresh_name(docs, "pii_key"), fresh_name(docs, "pii_terms")
-    hits = revealing_by_text(docs, terms, text_col).select(F.col("key").alias(key), F.col("terms").alias(mine))
+    hits = texts.select(F.col("key").alias(key), F.explode("terms").alias("term")).join(revealing(texts), "term")
+    hits = cut(hits.groupBy(key).agg(F.collect_set(F.struct("term", "label")).alias(mine)), "term_hits")
     text = text_of(text_col)
     rows = docs.join(hits, F.md5(text.cast("binary")) == F.col(key), "left").withColumn(out, base_spans(text))
     known = F.transform(mine, lambda x: x["term"])
-    base = F.concat(*[F.col(f"{out}.{k}") for k in KINDS])
-
-    def free(s: Column) -> Column:
-        return ~F.exists(base, lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"]))
 
     def labelled(s: Column) -> Column:
         label = F.filter(F.col(mine), lambda x: x["term"] == F.lower(s["value"]))[0]["label"]
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), label.alias("value"))
 
-    found = located(text, TERM, lambda v: F.array_contains(known, F.lower(v)))
-    found = F.transform(F.filter(found, free), labelled)
-    term = F.when(F.col(mine).isNotNull(), found).otherwise(F.array().cast(SPANS))
+    free = let(blanked(text, F.col(out)), lambda t: located(t, TERM, lambda v: F.array_contains(known, F.lower(v))))
+    term = F.when(F.col(mine).isNotNull(), F.transform(free, labelled)).otherwise(F.array().cast(SPANS))
     return rows.withColumn(out, F.struct(*[F.col(f"{out}.{k}").alias(k) for k in KINDS], term.alias("term"))).drop(key, mine)
 
 
@@ -174,7 +217,7 @@ def written(spans: Column, kind: str) -> Column:
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, counts by kind, base_sha256, spans) for every row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = with_spans(docs, revealing_terms(docs), "found")
+    rows = with_spans(docs, "found")
     found = F.col("found")
     base = F.concat(*[written(found, k) for k in KINDS])
     sha = F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256")
@@ -207,5 +250,5 @@ def lambda_label(kind: str):
 def sanitised(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with personal data and revealing terms replaced in their texts; a null text stays null."""
     out = fresh_name(docs, "pii_spans")
-    rows = with_spans(docs, revealing_terms(docs, text_col), out, text_col)
+    rows = with_spans(docs, out, text_col)
     return rows.withColumn(text_col, replaced(F.col(text_col), F.col(out))).select(*docs.columns)

@@ -212,6 +212,18 @@ def test_copies_change_no_evidence(frame):
     assert pii.sanitised(docs).filter(F.lower("text").contains("zebulon")).count() == 0
 
 
+def test_terms_of_whole_texts(frame):
+    """A heading far above an address, a user name with digits and a name of two letters, in two texts of many; near copies are no evidence."""
+    far = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(2)]
+    rows = [(i, f"Zebulon Qi\n{far[i]} jo.{'doe'}@x.org {far[i][::-1]} user zq77, quirk8.8.4.4") for i in range(2)]
+    near = [" ".join(f"n{k}" for k in range(100)) + f" ab.{'cd'}@y.org " + " ".join(f"m{k}" for k in range(100)) for _ in range(2)]
+    rows += [(10 + i, t + f" end {i}") for i, t in enumerate(near)] + [(100 + i, f"some text about matter number {i} by others") for i in range(2000)]
+    terms = {r.term for r in pii.revealing_terms(frame(rows)).collect()}
+    assert terms == {"zebulon", "qi", "user", "zq77", "quirk"}
+    out = {r.doc_id: r.text for r in pii.sanitised(frame(rows)).filter("doc_id < 100").collect()}
+    assert not any(t in out[0].lower() for t in terms) and "[IP]" in out[1] and "n5" in out[10]
+
+
 def graded(spark, docs, labels, learn, train, score, label):
     model = train(docs, labels, learn)
     return docs.select("doc_id", score(F.col("text"), model).alias("score")).join(labels, "doc_id").select("doc_id", "score", label)
