@@ -6,7 +6,8 @@ strings: those that mark toxic documents in the labelled statistics, and frequen
 without surrounding punctuation, a run of single letters written apart, a part of a very long word) is mapped to its
 normalised kernel values with the landmarks times the inverse root of the landmarks' own kernel matrix; a linear SVM
 with squared hinge decides on that. It learns from the words of labelled sentences and from variants of the toxic ones
-with characters put in between. A text is as toxic as its worst unit, made a probability by logistic calibration.
+with characters put in between. A word with a telling string counts as toxic by its share of toxic documents, and as
+clean by the rest, so that a clean document that quotes an insult, or a wrong label, takes little from it. A text is as toxic as its worst unit, made a probability by logistic calibration.
 
 Bounds: learning takes at most PER_CLASS labelled documents of a class and MOST_WORDS of their words.
 
@@ -313,9 +314,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     frequent = [r[0].encode() for r in clean.orderBy(F.desc("others"), "word").limit(MOST_WORDS // 2).collect()]
     rare = [r[0].encode() for r in stats.filter("others > 0").orderBy(F.xxhash64("word"), "word").limit(MOST_WORDS // 2).collect()]
     has = F.col("word").rlike("|".join(rf"\Q{r['gram']}\E" for r in telling if "\\E" not in r["gram"]) or "$^")
-    positive = stats.filter("others = 0").filter(has) if telling else stats.limit(0)
-    positive = [(r[0].encode(), r[1]) for r in positive.select("word", "hits").orderBy(F.desc("hits"), "word").limit(MOST_WORDS // 4).collect()]
-    positive = [(u, n) for u, n in positive if ORDER <= len(u) <= LONGEST]
+    # Of a word with a telling string, which counts as one toxic hit more; of other words nothing is toxic.
+    share = (F.col("hits") + 1) / (F.col("hits") + 1 + F.col("others") * (n_toxic / n_clean))
+    stats_has = stats.filter(has).withColumn("share", share) if telling else stats.limit(0).withColumn("share", share)
+    best = stats_has.filter("hits > 0").select("word", "hits", "share").orderBy(F.desc(F.col("hits") * F.col("share")), "word")
+    positive = [(r[0].encode(), r[1], r[2]) for r in best.limit(MOST_WORDS // 4).collect()]
+    positive = [(u, n, p) for u, n, p in positive if ORDER <= len(u) <= LONGEST]
     negative = [u for u in dict.fromkeys(frequent + rare) if ORDER <= len(u) <= LONGEST]
     if not toxic or not positive or not negative:
         return Model()
@@ -327,18 +331,20 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     values, vectors = np.linalg.eigh(gram.astype(float))
     whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     model = Model(landmarks, norms, whiten)
-    made = [(v, n / 4) for u, n in positive for v in variants(u)]
-    marked = [u for u, _ in positive] + [u for u, _ in made]
-    counts = np.sqrt(np.array([n for _, n in positive] + [n for _, n in made], float))
+    made = [(v, n / 4, p) for u, n, p in positive for v in variants(u)]
+    marked = [u for u, _, _ in positive + made]
+    counts = np.array([np.sqrt(n) * p for _, n, p in positive + made])
+    mixed = {r[0].encode(): r[1] for r in stats_has.filter("others > 0").select("word", "share").orderBy(F.desc("share"), "word").limit(MOST_WORDS).collect()}
     x_marked = model.likeness(marked) @ whiten
     for again in (True, False):
         x = np.concatenate([x_marked, model.likeness(negative) @ whiten])
         y = np.concatenate([np.ones(len(marked)), -np.ones(len(negative))])
-        w = svm(x, y, np.concatenate([counts / counts.sum(), np.full(len(negative), 2 / len(negative))]))
+        clean_share = np.array([1 - mixed.get(u, 0.0) for u in negative])
+        w = svm(x, y, np.concatenate([counts / counts.sum(), clean_share * 2 / clean_share.sum()]))
         model.weights, model.bias = w[:-1], float(w[-1])
         if again:
-            # The clean words that this machine finds most toxic teach the next one.
-            worst = stats.filter("others > 0").select("word", decision(F.col("word"), model).alias("f"))
+            # The clean words that this machine finds most toxic teach the next one, but not those that rather are toxic.
+            worst = stats.filter("others > 0").filter(~has | (share < 0.5)).select("word", decision(F.col("word"), model).alias("f"))
             worst = worst.filter("f > -0.8").orderBy(F.desc("f"), "word").limit(MOST_WORDS // 2).collect()
             negative = list(dict.fromkeys([r[0].encode() for r in worst] + negative))
     stats.unpersist()

@@ -284,6 +284,22 @@ def test_toxicity(spark, frame, odd):
     assert toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True)).weights is None
 
 
+def test_insults_quoted_in_clean_documents(spark, frame):
+    """Every insult stands in one clean-labelled document too; it stays an insult."""
+    calm = ["the", "quiet", "river", "runs", "under", "old", "stone", "bridges", "while", "people", "watch"]
+    rows, marks = [], []
+    for i in range(240):
+        words = [calm[(i * 7 + k * k) % len(calm)] + ("s" if k % 5 == i % 5 else "") for k in range(12)]
+        if i % 4 == 0 or i in (1, 2):
+            words[i % 12] = ["dimwit", "numskull"][i // 4 % 2 if i % 4 == 0 else i - 1]
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(i % 4 == 0)))
+    model = toxicity.train(frame(rows), spark.createDataFrame(marks, "doc_id long, toxic int"), F.lit(True))
+    new = frame([(1, "you dimwit there"), (2, "such a Numskull!"), (3, "the quiet rivers"), (4, "d-i-m-w-i-t")])
+    got = {r.doc_id: r.s for r in new.select("doc_id", toxicity.score(F.col("text"), model).alias("s")).collect()}
+    assert got[1] > 0.5 and got[2] > 0.5 and got[4] > 0.5 and got[3] < 0.5
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, seen = docs.columns, [docs.count()]
