@@ -158,3 +158,15 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from episodica.llm.jaccard import clusters
 
     return clusters(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from episodica.llm.align import digests
+
+    return digests(documents(spark, sf_dir), public_tokenizers.path(A_FILE), public_tokenizers.path(B_FILE))
+
+
