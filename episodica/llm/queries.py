@@ -170,3 +170,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(documents(spark, sf_dir), public_tokenizers.path(A_FILE), public_tokenizers.path(B_FILE))
 
 
+
+
+@query("op13_license_scan")
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from episodica.llm.licenses import digests
+
+    return digests(documents(spark, sf_dir))
