@@ -177,3 +177,45 @@ def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from episodica.llm.licenses import digests
 
     return digests(documents(spark, sf_dir))
+
+
+@query(
+    "op11_prefix_trie",
+    """
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(said)) AS pos, md5(said) AS t, bytes
+  FROM (SELECT conv_id, turn, strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS said,
+               strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (
+  SELECT c, c - c % 5 AS base, xor(list_reduce(string_split(CAST(c AS VARCHAR), ''), lambda crc, s:
+           list_reduce(range(8), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, ord(s))),
+           4294967295), 4294967295) % 9 AS h FROM (SELECT DISTINCT c FROM turns)),
+rebuilt AS (
+  SELECT v.c, 0 AS own, t.pos, t.t, t.bytes FROM convs v JOIN turns t ON t.c = v.base AND t.pos <= v.h
+  UNION ALL SELECT v.c, 1, t.pos, t.t, t.bytes FROM convs v JOIN turns t ON t.c = v.c AND t.pos > v.h),
+placed AS (SELECT c, row_number() OVER w AS depth, string_agg(t, ',') OVER w AS p, bytes FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY own, pos)),
+path AS (
+  SELECT c, 0 AS depth, '' AS p, 0 AS bytes, NOT EXISTS (SELECT 1 FROM placed r WHERE r.c = convs.c) AS ends FROM convs
+  UNION ALL SELECT c, depth, md5(p), bytes, depth = max(depth) OVER (PARTITION BY c) FROM placed),
+linked AS (SELECT *, lag(p) OVER (PARTITION BY c ORDER BY depth) AS q FROM path),
+nodes AS (
+  SELECT depth, p, any_value(q) AS q, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM linked GROUP BY depth, p),
+sized AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children, o.conv_id AS parent_conv_id
+  FROM nodes n LEFT JOIN (SELECT q, depth - 1 AS depth, count(*) AS n_children FROM nodes GROUP BY ALL) k ON k.q = n.p AND k.depth = n.depth
+  LEFT JOIN nodes o ON o.p = n.q AND o.depth = n.depth - 1),
+below AS (
+  SELECT a.p, a.depth, sum(CASE WHEN s.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((s.n_convs - 1) * s.bytes) AS saved_tokens
+  FROM sized s JOIN linked b ON b.c = s.conv_id AND b.depth <= s.depth JOIN nodes a ON a.p = b.p AND a.depth = b.depth GROUP BY a.p, a.depth)
+SELECT conv_id, CAST(s.depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM sized s JOIN below USING (p, depth)""",
+)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from episodica.llm import trie
+
+    conv = F.col("conv_id")
+    heads = F.crc32(conv.cast("string").cast("binary")) % 9
+    return trie.trie(*trie.rebuilt(table(spark, sf_dir, "conversations"), conv - conv % 5, heads)).drop("p")
