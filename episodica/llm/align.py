@@ -23,6 +23,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,7 @@ class Aligner:
         self.a_bytes, self.a_at = blob(bytes_of_a(self.a))
         self.b_bytes, self.b_at = blob(bytes_of_b(self.b))
         self.n_b = len(self.b_at) - 1
+        self.b_is_byte = np.array([self.b.is_byte(i) for i in range(self.n_b)])
         self.digits, self.digits_at = blob([b"%d," % i for i in range(max(len(self.a_at), len(self.b_at)))])
 
     def spelt(self, text: str):
@@ -96,15 +98,15 @@ class Aligner:
         if not len(a) or a_end[-1] != len(raw) or not np.array_equal(gather(self.a_bytes, self.a_at, a), raw):
             return None
         pieces = self.b.encode(text, return_type="proto").pieces
-        b, begin, stop = np.array([(p.id, p.begin, p.end) for p in pieces], np.int64).reshape(-1, 3).T
+        b, stop = np.array([p.id for p in pieces], np.int64), np.array([p.end for p in pieces], np.int64)
         b_end = np.cumsum(self.b_at[b + 1] - self.b_at[b])
         if not len(b) or b_end[-1] != len(raw) or not np.array_equal(gather(self.b_bytes, self.b_at, b), raw):
             return None
         char_at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
-        offsets = np.array(one.offsets, np.int64)
+        offsets = np.fromiter(chain.from_iterable(one.offsets), np.int64, 2 * len(a)).reshape(-1, 2)
         # A token ends a character if the next one begins after it; B's byte tokens but a character's last have empty spans.
         inside_a = np.append(offsets[1:, 0] < offsets[:-1, 1], False)
-        inside_b = stop == begin
+        inside_b = self.b_is_byte[b] & (np.diff(stop, prepend=0) == 0)
         coarse_a, coarse_b = char_at[offsets[:, 1]], stop + 1
         if not np.array_equal(coarse_a[~inside_a], a_end[~inside_a]):
             inside_a[:] = True
@@ -133,8 +135,9 @@ class Aligner:
         cuts = np.intersect1d(a_end[~inside_a], b_end[~inside_b], assume_unique=True)
         # Where spans say nothing on either side the decoded ends decide.
         if inside_a.any() or inside_b.any():
-            cuts = np.union1d(cuts, np.intersect1d(a_end[inside_a], b_end))
-            cuts = np.union1d(cuts, np.intersect1d(a_end, b_end[inside_b]))
+            fine = np.intersect1d(a_end[inside_a], b_end, assume_unique=True), np.intersect1d(a_end, b_end[inside_b], assume_unique=True)
+            cuts = np.sort(np.concatenate([cuts, *fine]))
+            cuts = cuts[np.append(True, cuts[1:] != cuts[:-1])]
         group_a, group_b = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
         per_a, per_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
         last = np.searchsorted(cuts, np.append(base[1:], a_end[-1]))
