@@ -89,10 +89,16 @@ def ratings_between_players(spark, sf_dir):
 
 
 PLAN = P.SelfPlay(save_steps=40, swap_steps=30, team_change=60, window=4, latest_ratio=0.5)
+THREE = P.SelfPlay(save_steps=25, swap_steps=45, team_change=70, window=3, latest_ratio=0.4, teams=3)
+NAME_SQL, TEAM_SQL = "split_part(behavior_id, '?', 1)", "CAST(split_part(behavior_id, '=', 2) AS INT)"
+# Arrivals in a block of the schedule's order.
+WIDTH = 4096
 
-# Row by row, in the total order of the trajectories of a name.
-SCHEDULE_SQL = f"""
-named AS (SELECT *, split_part(behavior_id, '?', 1) AS name, CAST(split_part(behavior_id, '=', 2) AS INT) AS team FROM traj),
+
+def schedule_sql(plan, name=NAME_SQL, team=TEAM_SQL):
+    """Row by row, in the total order of the trajectories of a name; then the draw for each team that doesn't learn."""
+    return f"""
+named AS (SELECT *, {name} AS name, {team} AS team FROM traj),
 ord AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY {TOTAL}) AS n FROM named),
 rec AS (
   SELECT DISTINCT name, 0::BIGINT AS n, 0::BIGINT AS round, 0::BIGINT AS swap, 1::BIGINT AS saved, 1::BIGINT AS snapshots,
@@ -101,56 +107,85 @@ rec AS (
   SELECT name, n, round + CAST(ch AS INT), swap + CAST(sw AS INT), CASE WHEN sw THEN snapshots + CAST(sv AS INT) ELSE saved END,
     snapshots + CAST(sv AS INT), ls, gs, CASE WHEN ch THEN ls ELSE lc END, CASE WHEN sv THEN ls ELSE lv END,
     CASE WHEN sw THEN gs ELSE lw END FROM (
-    SELECT *, ch OR gs - lw > {PLAN.swap_steps} AS sw FROM (
-      SELECT *, ls - lc > {PLAN.team_change} AS ch, ls - lv > {PLAN.save_steps} AS sv FROM (
+    SELECT *, ch OR gs - lw > {plan.swap_steps} AS sw FROM (
+      SELECT *, ls - lc > {plan.team_change} AS ch, ls - lv > {plan.save_steps} AS sv FROM (
         SELECT o.name, o.n, rec.round, rec.swap, rec.saved, rec.snapshots, rec.lc, rec.lv, rec.lw,
-          rec.ls + CASE WHEN o.team = rec.round % 2 THEN o.length ELSE 0 END AS ls,
-          rec.gs + CASE WHEN o.team = rec.round % 2 THEN 0 ELSE o.length END AS gs
+          rec.ls + CASE WHEN o.team = rec.round % {plan.teams} THEN o.length ELSE 0 END AS ls,
+          rec.gs + CASE WHEN o.team = rec.round % {plan.teams} THEN 0 ELSE o.length END AS gs
         FROM rec JOIN ord o ON o.name = rec.name AND o.n = rec.n + 1)))),
-sched AS (SELECT o.*, rec.round, rec.swap, rec.saved, rec.snapshots, o.team = rec.round % 2 AS mine
+sched AS (SELECT o.*, rec.round, rec.swap, rec.saved, rec.snapshots, o.team = rec.round % {plan.teams} AS mine
   FROM ord o JOIN rec ON rec.name = o.name AND rec.n = o.n - 1),
-drawn AS (SELECT *, CASE WHEN latest THEN -1 ELSE CAST(floor({spread_sql('swap', 99)} / 4294967296.0::DOUBLE
-    * least(saved, {PLAN.window})) AS BIGINT) END AS slot FROM (
-  SELECT *, swap = 0 OR {spread_sql('swap')} / 4294967296.0::DOUBLE >= {1 - PLAN.latest_ratio} AS latest FROM sched))"""
+others AS (SELECT *, CASE WHEN latest THEN -1 ELSE CAST(floor({spread_sql(f'swap * {plan.teams} + other', 99)} / 4294967296.0::DOUBLE
+    * least(saved, {plan.window})) AS BIGINT) END AS slot FROM (
+  SELECT *, swap = 0 OR {spread_sql(f'swap * {plan.teams} + other')} / 4294967296.0::DOUBLE >= {1 - plan.latest_ratio} AS latest
+  FROM sched, (SELECT range AS other FROM range({plan.teams})) WHERE other <> round % {plan.teams})),
+drawn AS (SELECT * FROM others QUALIFY row_number() OVER (PARTITION BY name, n ORDER BY other DESC) = 1)"""
+
+
+def snapshot_sql(plan):
+    return f"""CAST(latest AS INT) AS plays_latest, slot, CASE WHEN slot = -1 THEN -1 ELSE
+(SELECT max(g) FROM (SELECT unnest(generate_series(0, saved - 1)) AS g) WHERE g % {plan.window} = slot) END AS snapshot"""
+
+
+def final_trajectories(spark, sf_dir, *columns):
+    """Trajectories with the rewards of their last step."""
+    aggs = [F.max_by(c, "i").alias(f"final_{c}") for c in ("reward", *columns)]
+    aggs.append(F.max(F.col("interrupted").cast("int")).cast("boolean").alias("interrupted"))
+    return P.named_teams(trajectories(spark, sf_dir, *aggs, columns=columns))
+
 
+def opponents(traj, plan):
+    def draw(team):
+        event = F.col("swap") * plan.teams + team
+        return tuple(spread_key(event, o) / F.lit(4294967296.0) for o in (0, 99))
 
-def schedule(spark, sf_dir):
-    last = F.max_by("reward", "i").alias("final_reward")
-    broken = F.max(F.col("interrupted").cast("int")).cast("boolean").alias("interrupted")
-    traj = P.named_teams(trajectories(spark, sf_dir, last, broken))
-    out = P.self_play_schedule(traj, PLAN)
-    u1, u2 = (spread_key("swap", o) / F.lit(4294967296.0) for o in (0, 99))
-    return traj, P.drawn_opponents(out, PLAN, u1, u2)
+    return P.drawn_opponents(P.self_play_schedule(traj, plan, width=WIDTH), plan, draw)
 
 
 @query(
     "opponents_drawn",
-    f"""WITH RECURSIVE {TRAJ_SQL}, {SCHEDULE_SQL}
-SELECT behavior_id, agent_id, arrival, swap, snapshots, CAST(latest AS INT) AS plays_latest, slot,
-CASE WHEN slot = -1 THEN -1 ELSE (SELECT max(g) FROM (SELECT unnest(generate_series(0, saved - 1)) AS g) WHERE g % {PLAN.window} = slot) END AS snapshot
-FROM drawn""",
+    f"""WITH RECURSIVE {TRAJ_SQL}, {schedule_sql(PLAN)}
+SELECT behavior_id, agent_id, arrival, swap, snapshots, {snapshot_sql(PLAN)} FROM drawn""",
 )
 def opponents_drawn(spark, sf_dir):
-    _, out = schedule(spark, sf_dir)
+    out = opponents(P.named_teams(trajectories(spark, sf_dir)), PLAN)
     plays = F.col("plays_latest").cast("int").alias("plays_latest")
     return out.select("behavior_id", "agent_id", "arrival", "swap", "snapshots", plays, "slot", "snapshot")
 
 
+@query(
+    "opponents_of_three_teams",
+    f"""WITH RECURSIVE {TRAJ_SQL}, {schedule_sql(THREE, "'all'", "CAST(agent_id % 3 AS INT)")}
+SELECT agent_id, arrival, round % 3 AS learning_team, swap, CAST(other AS BIGINT) AS team, {snapshot_sql(THREE)} FROM others""",
+)
+def opponents_of_three_teams(spark, sf_dir):
+    """One game of three teams for the whole log: one key with all rows, and a draw for each team that doesn't learn."""
+    traj = trajectories(spark, sf_dir).withColumns({"name": F.lit("all"), "team": (F.col("agent_id") % 3).cast("int")})
+    out = opponents(traj, THREE).withColumn("o", F.explode("opponents"))
+    plays = F.col("o.plays_latest").cast("int").alias("plays_latest")
+    return out.select("agent_id", "arrival", "learning_team", "swap", "o.team", plays, "o.slot", "o.snapshot")
+
+
 @query(
     "learning_teams",
-    f"""WITH RECURSIVE {TRAJ_SQL}, {SCHEDULE_SQL}
+    f"""WITH RECURSIVE {TRAJ_SQL}, {schedule_sql(PLAN)}
 SELECT name, round, CAST(sum(CASE WHEN mine THEN length ELSE 0 END) AS BIGINT) AS learning_steps,
  CAST(sum(CASE WHEN mine THEN 0 ELSE length END) AS BIGINT) AS ghost_steps FROM sched GROUP BY 1, 2""",
 )
 def learning_teams(spark, sf_dir):
-    _, ghosts = P.learning_team_only(schedule(spark, sf_dir)[1])
+    traj = P.named_teams(trajectories(spark, sf_dir))
+    _, ghosts = P.learning_team_only(P.self_play_schedule(traj, PLAN, width=WIDTH))
     return ghosts
 
 
+# Sixteen neighbouring agents are one arena: a league of its own, so that leagues grow with the log.
+ARENA = 16
+
+
 @query(
     "elo_ratings",
-    f"""WITH RECURSIVE {TRAJ_SQL}, {SCHEDULE_SQL},
-fin AS (SELECT behavior_id, worker_id, agent_id, episode, segment, arg_max(reward, i) AS final_reward,
+    f"""WITH RECURSIVE {TRAJ_SQL}, {schedule_sql(PLAN, f"{NAME_SQL} || '/' || agent_id // {ARENA}")},
+fin AS (SELECT behavior_id, worker_id, agent_id, episode, segment, arg_max(reward, i) + arg_max(group_reward, i) AS final_reward,
   bool_or(interrupted) AS interrupted FROM exps GROUP BY ALL),
 res AS (SELECT d.name, d.behavior_id, d.agent_id, d.arrival, d.snapshots, d.slot,
     CASE WHEN final_reward > 0 THEN 1.0::DOUBLE WHEN final_reward < 0 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS result,
@@ -173,9 +208,10 @@ SELECT behavior_id, agent_id, arrival, slot, {r('change')} AS change, {r('own')}
 FROM lad WHERE m > 0""",
 )
 def elo_ratings(spark, sf_dir):
-    traj, plan = schedule(spark, sf_dir)
+    traj = final_trajectories(spark, sf_dir, "group_reward")
+    traj = traj.withColumn("name", F.concat_ws("/", "name", F.expr(f"agent_id div {ARENA}")))
     known = [*AGENT, "episode", "segment"]
-    results = P.rated(plan.join(traj.select(*known, "done", "interrupted", "final_reward"), known))
+    results = P.rated(opponents(traj, PLAN).join(traj.select(*known, "done", "interrupted", "final_reward", "final_group_reward"), known))
     order = ["arrival", "worker_id", "agent_id", "behavior_id", "episode", "segment"]
     out = P.ladder(results.withColumnRenamed("name", "league"), PLAN.window, order)
     return out.select(

@@ -4,6 +4,7 @@ Each fold is one small `step(state, row)`; batch plans and streams call the same
 """
 
 from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from episodica.functions.names import behavior_name, behavior_team
-from episodica.functions.numbers import as_col
-from episodica.plans.ordered import total_order
+from episodica.plans.clocks import Limits, two_clocks
 from episodica.plans.folds import ordered_fold
+from episodica.plans.ordered import total_order
 
 # Initial rating, scale of the expected score, weight of the old smoothed measure.
 INITIAL_RATING = 1200.0
@@ -165,57 +166,44 @@ class SelfPlay:
     teams: int = 2
 
 
-def self_play_schedule(traj: DataFrame, plan: SelfPlay, keys: list[str] | None = None) -> DataFrame:
+def self_play_schedule(traj: DataFrame, plan: SelfPlay, keys: list[str] | None = None, width: int | None = None) -> DataFrame:
     """What holds while each trajectory is taken in, and both clocks after it.
 
     Only the learning team's steps move the learning clock, on which snapshots are saved and the learning team
     changes; the other teams' steps move the ghost clock. Opponents are swapped when the team changes or more than
     `swap_steps` have passed on the ghost clock since the last swap, and stay until the next. Adds learning_team,
     round (team changes so far), swap (swaps so far), saved (snapshots when that swap was made), snapshots (now),
-    learning_step, ghost_step. Which clock a trajectory moves hangs on all earlier ones: each key is one fold over its
-    trajectories, with eight numbers of state.
+    learning_step, ghost_step. A key's order is cut into blocks of `width` arrivals, see `plans.clocks`.
     """
     keys = keys or ["name"]
-    order = total_order(traj, keys, "arrival")
-    cols = traj.select(*keys, *order, "team", "length")
-
-    def step(s, row):
-        out = (s["round"] % plan.teams, s["round"], s["swap"], s["saved"], s["snapshots"])
-        mine = row.team == out[0]
-        s["learned" if mine else "ghosts"] += row.length
-        changed = s["learned"] - s["changed_at"] > plan.team_change
-        if changed:
-            s["round"], s["changed_at"] = s["round"] + 1, s["learned"]
-        if s["learned"] - s["saved_at"] > plan.save_steps:
-            s["snapshots"], s["saved_at"] = s["snapshots"] + 1, s["learned"]
-        if changed or s["ghosts"] - s["swapped_at"] > plan.swap_steps:
-            s["swap"], s["swapped_at"], s["saved"] = s["swap"] + 1, s["ghosts"], s["snapshots"]
-        return [(*row, *out, s["learned"], s["ghosts"])]
-
-    def start():
-        zero = dict.fromkeys(("round", "swap", "learned", "ghosts", "changed_at", "saved_at", "swapped_at"), 0)
-        return zero | {"snapshots": 1, "saved": 1}
+    limits = Limits(plan.teams, plan.team_change, plan.save_steps, plan.swap_steps)
+    return two_clocks(traj, keys, total_order(traj, keys, "arrival"), limits, width)
 
-    schema = T.StructType([cols.schema[c] for c in cols.columns])
-    for c in ("learning_team", "round", "swap", "saved", "snapshots", "learning_step", "ghost_step"):
-        schema = schema.add(c, "long")
-    return ordered_fold(cols, keys, order, start, step, schema)
-
-
-def drawn_opponents(schedule: DataFrame, plan: SelfPlay, u_latest: Column, u_slot: Column) -> DataFrame:
-    """Adds plays_latest, slot and snapshot: the opponent of each swap, the latest policy (-1) or a saved slot.
-
-    Both draws must depend on the key and the swap only. Before the first swap the latest policy plays. Snapshot n sits
-    in slot n mod window, so the snapshot a slot held at the swap follows by arithmetic."""
-    latest = (F.col("swap") == 0) | (as_col(u_latest) >= F.lit(1.0 - plan.latest_ratio))
-    slot = F.floor(as_col(u_slot) * F.least(F.col("saved"), F.lit(plan.window))).cast("long")
-    newest = F.col("saved") - 1
-    held = newest - F.pmod(newest - F.col("slot"), F.lit(plan.window))
-    return (
-        schedule.withColumn("plays_latest", latest)
-        .withColumn("slot", F.when(latest, F.lit(-1)).otherwise(slot))
-        .withColumn("snapshot", F.when(latest, F.lit(-1)).otherwise(held))
-    )
+
+def drawn_opponents(schedule: DataFrame, plan: SelfPlay, draw: Callable[[Column], tuple[Column, Column]]) -> DataFrame:
+    """Adds opponents, plays_latest, slot and snapshot.
+
+    opponents has (team, plays_latest, slot, snapshot) for each team that doesn't learn, in the order of teams: the latest policy (-1)
+    or a saved slot, drawn for itself at each swap. `draw` gives two uniform numbers for a team; they must depend on the key, the swap and
+    the team only. The last team's draw is the one that counts for ratings, as plays_latest, slot and snapshot. Before the first swap the latest policy
+    plays. Snapshot n sits in slot n mod window, so the snapshot a slot held at the swap follows by arithmetic."""
+
+    def one(team: Column) -> Column:
+        u_latest, u_slot = draw(team)
+        latest = (F.col("swap") == 0) | (u_latest >= F.lit(1.0 - plan.latest_ratio))
+        slot = F.floor(u_slot * F.least(F.col("saved"), F.lit(plan.window))).cast("long")
+        newest = F.col("saved") - 1
+        held = newest - F.pmod(newest - slot, F.lit(plan.window))
+        minus = F.lit(-1).cast("long")
+        return F.struct(
+            team.alias("team"), latest.alias("plays_latest"), F.when(latest, minus).otherwise(slot).alias("slot"),
+            F.when(latest, minus).otherwise(held).alias("snapshot"),
+        )
+
+    teams = F.array(*[F.when(F.col("learning_team") != t, one(F.lit(t).cast("long"))) for t in range(plan.teams)])
+    out = schedule.withColumn("opponents", F.array_compact(teams))
+    last = F.element_at("opponents", -1)
+    return out.withColumns({c: last[c] for c in ("plays_latest", "slot", "snapshot")})
 
 
 def learning_team_only(schedule: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -237,30 +225,47 @@ def rated(traj: DataFrame) -> DataFrame:
 
 
 def ladder(results: DataFrame, window: int, order: list[str], k: float = 1.0, initial: float = INITIAL_RATING) -> DataFrame:
-    """Rating history of a learning policy and its snapshots.
+    """Rating history of learning policies and their snapshots.
 
-    Columns in: league, the order, snapshots (taken before the result), slot (opponent's, -1 the policy itself),
-    final_reward. A snapshot starts with the rating that the policy has when it is taken; whoever plays itself wins
-    nothing. A league is one fold over its rated results, with one number for each slot.
+    Columns in: league, the order, snapshots (the policy's, taken before the result), slot (opponent's, -1 its latest policy),
+    final_reward; final_group_reward is added to it where there is one. A snapshot starts with the rating that the policy has when it is
+    taken. Where teams have trainers of their own (asymmetric games), trainer, opponent_trainer and opponent_snapshots name the learner, who
+    it met and how many snapshots that one had: its slots are its own trainer's. Without them a policy meets its own past, and wins nothing
+    from itself. A league is one fold over its rated results, with one number for each slot.
     """
-    cols = results.select("league", *order, "snapshots", "slot", "final_reward")
-
-    def step(s, row):
-        for n in range(s["taken"], row.snapshots):
+    asymmetric = "opponent_trainer" in results.columns
+    names = ["league", *order, "snapshots", "slot", "final_reward"]
+    names += [c for c in ("final_group_reward", "trainer", "opponent_trainer", "opponent_snapshots") if c in results.columns]
+    cols = results.select(*names)
+    group = "final_group_reward" in names
+
+    def taken(state: dict, trainer, snapshots: int) -> dict:
+        s = state.setdefault(trainer, {"own": initial, "slots": {}, "taken": 0})
+        # Only the last `window` of snapshots that were missed are still in their slots.
+        for n in range(max(s["taken"], snapshots - window), snapshots):
             s["slots"][n % window] = s["own"]
-        s["taken"] = max(s["taken"], row.snapshots)
-        other = s["own"] if row.slot < 0 else s["slots"].get(row.slot, initial)
-        result = 1.0 if row.final_reward > 0 else 0.0 if row.final_reward < 0 else 0.5
-        change = k * (result - 1.0 / (1.0 + 10.0 ** ((other - s["own"]) / RATING_SCALE)))
+        s["taken"] = max(s["taken"], snapshots)
+        return s
+
+    def step(state, row):
+        mine = taken(state, row.trainer if asymmetric else None, row.snapshots)
+        other = taken(state, row.opponent_trainer, row.opponent_snapshots) if asymmetric else mine
+        rating = other["own"] if row.slot < 0 else other["slots"].get(row.slot, initial)
+        final = row.final_reward + (row.final_group_reward if group else 0.0)
+        result = 1.0 if final > 0 else 0.0 if final < 0 else 0.5
+        change = k * (result - 1.0 / (1.0 + 10.0 ** ((rating - mine["own"]) / RATING_SCALE)))
         if row.slot >= 0:
-            s["own"] += change
-            s["slots"][row.slot] = other - change
-        return [(*row, change, s["own"], s["slots"].get(row.slot, s["own"]))]
+            mine["own"] += change
+            other["slots"][row.slot] = rating - change
+        elif other is not mine:
+            mine["own"] += change
+            other["own"] -= change
+        return [(*row, change, mine["own"], other["own"] if row.slot < 0 else other["slots"][row.slot])]
 
     schema = T.StructType([cols.schema[c] for c in cols.columns])
     for c in ("change", "rating", "opponent_rating"):
         schema = schema.add(c, "double")
-    return ordered_fold(cols, ["league"], order, lambda: {"own": initial, "slots": {}, "taken": 0}, step, schema)
+    return ordered_fold(cols, ["league"], order, dict, step, schema)
 
 
 def named_teams(traj: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def normal(df: pd.DataFrame) -> pd.DataFrame:
             if df[c].isna().any() or (df[c] == df[c].round()).all():
                 pass
         elif pd.api.types.is_integer_dtype(df[c]):
-            df[c] = df[c].astype("int64")
+            df[c] = df[c].astype("float64" if df[c].isna().any() else "int64")
         else:
             df[c] = df[c].map(lambda v: None if v is None or v is pd.NaT or v != v else str(v))
     return df.sort_values(list(df.columns), na_position="first").reset_index(drop=True)

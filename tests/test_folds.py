@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from episodica.operators import selfplay as P
 from episodica.operators import stats as O
+from episodica.plans.clocks import NUMBERED, Limits, two_clocks
 from episodica.plans.folds import threshold_resets
 
 
@@ -92,6 +93,84 @@ def test_self_play_clocks(spark):
     assert mine.count() + sum(r.ghost_steps for r in ghosts.collect()) // 10 == 12
 
 
+def plain_clocks(rows, limits):
+    """(learning team, round, swap, saved, snapshots, learning step, ghost step) of (team, length) rows, one after another."""
+    s = dict.fromkeys(("round", "swap", "learned", "ghosts", "changed", "kept", "swapped"), 0)
+    saved = snapshots = 1
+    for team, length in rows:
+        before = (s["round"] % limits.teams, s["round"], s["swap"], saved, snapshots)
+        s["learned" if team == before[0] else "ghosts"] += length
+        change = s["learned"] - s["changed"] > limits.change
+        if change:
+            s["round"], s["changed"] = s["round"] + 1, s["learned"]
+        if s["learned"] - s["kept"] > limits.save:
+            snapshots, s["kept"] = snapshots + 1, s["learned"]
+        if change or s["ghosts"] - s["swapped"] > limits.swap:
+            s["swap"], s["swapped"], saved = s["swap"] + 1, s["ghosts"], snapshots
+        yield (*before, s["learned"], s["ghosts"])
+
+
+@pytest.mark.parametrize("seed,teams,change,save,swap,width", [(1, 2, 60, 40, 30, 7), (2, 3, 25, 90, 11, 16), (3, 2, 5, 5, 5, 3), (4, 4, 300, 7, 200, 50), (5, 1, 20, 9, 9, 10), (6, 2, 40, 30, 25, 1 << 18)])
+def test_two_clocks_in_blocks(spark, seed, teams, change, save, swap, width):
+    """Blocks of any width give what a fold gives, row by row."""
+    rng, limits = random.Random(seed), Limits(teams, change, save, swap)
+    rows, want = [], {}
+    for key, n in (("a", 400), ("b", 60), ("c", 1)):
+        # Now and then a team comes alone for long, or rows bring nothing; gaps leave blocks empty.
+        line, at = [], 0
+        for _ in range(n):
+            at += rng.choice([1, 1, 2, 40 if rng.random() < 0.05 else 1])
+            line.append((key, at, rng.randrange(teams) if rng.random() < 0.8 else 0, rng.choice([0, 1, 3, 4, 4, 17])))
+        rows += line
+        for row, found in zip(line, plain_clocks([r[2:] for r in line], limits)):
+            want[row[:2]] = found
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "name string, arrival long, team int, length long")
+    got = two_clocks(df, ["name"], ["arrival"], limits, width).collect()
+    assert {(r["name"], r.arrival): tuple(r[c] for c in NUMBERED) for r in got} == want
+
+
+def test_an_opponent_for_each_team(spark):
+    """Three teams: two draws a swap, each for itself; the last team's counts for ratings."""
+    rows = [("b", t, t % 3, 10) for t in range(60)]
+    plan = P.SelfPlay(save_steps=15, swap_steps=15, team_change=45, window=3, latest_ratio=0.5, teams=3)
+    df = spark.createDataFrame(rows, "name string, arrival long, team int, length long")
+    draw = lambda team: (F.pmod(F.col("swap") * 7 + team * 3, F.lit(10)) / 10.0, F.pmod(F.col("swap") * 3 + team, F.lit(10)) / 10.0)
+    apart = 0
+    for r in P.drawn_opponents(P.self_play_schedule(df, plan), plan, draw).collect():
+        assert [o.team for o in r.opponents] == [t for t in range(3) if t != r.learning_team]
+        for o in r.opponents:
+            latest = r.swap == 0 or (r.swap * 7 + o.team * 3) % 10 / 10 >= 0.5
+            slot = -1 if latest else int((r.swap * 3 + o.team) % 10 / 10 * min(r.saved, 3))
+            assert (o.plays_latest, o.slot) == (latest, slot)
+            assert o.snapshot == (-1 if latest else max(n for n in range(r.saved) if n % 3 == slot))
+        assert (r.slot, r.snapshot) == (r.opponents[-1].slot, r.opponents[-1].snapshot)
+        apart += r.opponents[0].slot != r.opponents[1].slot
+    assert apart
+
+
+def test_ladder_with_group_rewards(spark):
+    """The group's last reward decides where it outweighs the own one."""
+    rows = [("l", 1, 1, 0, -0.5, 1.0), ("l", 2, 1, 0, 0.5, -0.5)]
+    schema = "league string, seq long, snapshots long, slot long, final_reward double, final_group_reward double"
+    got = P.ladder(spark.createDataFrame(rows, schema), 2, ["seq"]).orderBy("seq").collect()
+    assert got[0].change == 0.5 and got[1].change == pytest.approx(0.5 - 1 / (1 + 10 ** (-1 / 400)))
+
+
+def test_ladder_between_trainers(spark):
+    """Strikers and goalie with trainers of their own: the opponent's slots are its own trainer's, and it loses what the learner wins."""
+    rows = [("l", 1, 1, 0, 1.0, "s", "g", 1), ("l", 2, 1, -1, 1.0, "g", "s", 1), ("l", 3, 1, 0, 0.0, "s", "g", 1)]
+    schema = "league string, seq long, snapshots long, slot long, final_reward double, trainer string, opponent_trainer string, opponent_snapshots long"
+    got = P.ladder(spark.createDataFrame(rows, schema), 2, ["seq"]).orderBy("seq").collect()
+    first = (0.5, 1200.5, 1199.5)
+    won = 1 - 1 / (1 + 10 ** (0.5 / 400))
+    second = (won, 1200 + won, 1200.5 - won)
+    lost = 0.5 - 1 / (1 + 10 ** ((1199.5 - (1200.5 - won)) / 400))
+    third = (lost, 1200.5 - won + lost, 1199.5 - lost)
+    for r, want in zip(got, (first, second, third)):
+        assert (r.change, r.rating, r.opponent_rating) == pytest.approx(want)
+
+
 def test_ladder_by_hand(spark):
     """A win over a snapshot, a game against itself, then a snapshot that starts with the rating won."""
     rows = [("l", 1, 1, 0, 1.0), ("l", 2, 1, -1, 1.0), ("l", 3, 2, 1, -1.0)]
