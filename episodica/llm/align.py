@@ -6,6 +6,9 @@ character, both end at one byte. Tokens that end inside a character (a multibyte
 byte-fallback tokens of B) have no end in these spans; only for them the decoded bytes decide. Every token's span is held against
 its decoded bytes; should a library's spans disagree with them, the decoded bytes decide for that text alone.
 
+No token of either vocabulary reaches over a space behind a word (checked when they are loaded; texts stay whole for others), so both end there:
+texts are aligned word by word, and each different word once while a worker remembers it.
+
 Counts: a link of ids (a, b) counts once for each document that holds it. Documents are taken in chunks of bounded size,
 each of which lists its different id pairs once with the number of its documents; only these lists are shuffled, added up
 and joined back, so that the commonest pair has one row a chunk, not one a document.
@@ -20,7 +23,9 @@ counted before they are paired.
 """
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -40,6 +45,11 @@ PIECE = 1 << 20
 # Pairs of ids made at once; a group of more token pairs than DENSE has its ids counted first.
 PAIRS = 1 << 22
 DENSE = 64
+# Words that a worker remembers, and that it aligns at once.
+REMEMBERED = 1 << 18
+WORDS = 1 << 14
+# Before a space behind a letter, a digit or a printable ASCII sign.
+CUT = re.compile(r"(?<=[\w!-/:-@\[-`{-~])(?= )")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -72,7 +82,7 @@ def blob(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Aligner:
-    """A worker's two tokenizers and the bytes of their tokens."""
+    """A worker's two tokenizers, the bytes of their tokens, and the words it has aligned."""
 
     def __init__(self, a_json: str, b_model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -87,70 +97,115 @@ class Aligner:
         self.n_b = len(self.b_at) - 1
         self.b_is_byte = np.array([self.b.is_byte(i) for i in range(self.n_b)])
         self.digits, self.digits_at = blob([b"%d," % i for i in range(max(len(self.a_at), len(self.b_at)))])
-
-    def spelt(self, text: str):
-        """(bytes, A's ids, ends, which of them are inside a character, the same of B) of a text, None if a tokenizer doesn't spell it."""
-        raw = np.frombuffer((" " + text).encode(), np.uint8)
-        one = self.a.encode(" " + text, add_special_tokens=False)
-        a = np.array(one.ids, np.int64)
-        a_end = self.a_at[a + 1] - self.a_at[a]
-        a_end = np.cumsum(a_end)
-        if not len(a) or a_end[-1] != len(raw) or not np.array_equal(gather(self.a_bytes, self.a_at, a), raw):
-            return None
-        pieces = self.b.encode(text, return_type="proto").pieces
-        b, stop = np.array([p.id for p in pieces], np.int64), np.array([p.end for p in pieces], np.int64)
-        b_end = np.cumsum(self.b_at[b + 1] - self.b_at[b])
-        if not len(b) or b_end[-1] != len(raw) or not np.array_equal(gather(self.b_bytes, self.b_at, b), raw):
-            return None
+        self.cuts_words = words_are_apart(json.loads(a_json), self.b)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.numbers = Rows(np.int64, 5)
+        self.written, self.codes, self.links = Segments(np.uint8), Segments(np.int64), Segments(np.int64)
+
+    def spelt(self, words: list[str]):
+        """Tokens of the words that both tokenizers spell: (which words, then of A and of B: tokens a word, ids, ends, which of them are inside a
+        character); ends count bytes through all these words."""
+        ones = self.a.encode_batch(words, add_special_tokens=False)
+        protos = self.b.encode([w[1:] for w in words], return_type="proto", num_threads=1)
+        raw = np.frombuffer("".join(words).encode(), np.uint8)
         char_at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
-        offsets = np.fromiter(chain.from_iterable(one.offsets), np.int64, 2 * len(a)).reshape(-1, 2)
-        # A token ends a character if the next one begins after it; B's byte tokens but a character's last have empty spans.
-        inside_a = np.append(offsets[1:, 0] < offsets[:-1, 1], False)
-        inside_b = self.b_is_byte[b] & (np.diff(stop, prepend=0) == 0)
-        coarse_a, coarse_b = char_at[offsets[:, 1]], stop + 1
-        if not np.array_equal(coarse_a[~inside_a], a_end[~inside_a]):
-            inside_a[:] = True
-        if not np.array_equal(coarse_b[~inside_b], b_end[~inside_b]):
-            inside_b[:] = True
-        if inside_a.any():
-            coarse_a = np.where(inside_a, a_end, coarse_a)
-        if inside_b.any():
-            coarse_b = np.where(inside_b, b_end, coarse_b)
-        return a, coarse_a, inside_a, b, coarse_b, inside_b
+        chars = np.cumsum([0, *map(len, words)])
+        a = np.array([i for x in ones for i in x.ids], np.int64)
+        offsets = np.array([c for x in ones for o in x.offsets for c in o], np.int64).reshape(-1, 2)
+        b = np.array([p.id for x in protos for p in x.pieces], np.int64)
+        stop = np.array([p.end for x in protos for p in x.pieces], np.int64)
+        n_a, n_b = np.array([len(x.ids) for x in ones]), np.array([len(x.pieces) for x in protos])
+        word_a, word_b = np.repeat(np.arange(len(words)), n_a), np.repeat(np.arange(len(words)), n_b)
+        starts = char_at[chars]
+        size, ok = np.diff(starts), np.ones(len(words), bool)
+        for tokens, word, at in ((a, word_a, self.a_at), (b, word_b, self.b_at)):
+            ok &= np.bincount(word, at[tokens + 1] - at[tokens], len(words)) == size
+        for tokens, word, at, told in ((a, word_a, self.a_at, self.a_bytes), (b, word_b, self.b_at, self.b_bytes)):
+            some = np.flatnonzero(ok)
+            owner = np.repeat(some, size[some])
+            wrong = gather(told, at, tokens[ok[word]]) != gather(raw, starts, some)
+            ok &= np.bincount(owner, wrong, len(words)) == 0
+        # A token ends a character if the next one of the word begins after it; B's byte tokens but a character's last have empty spans.
+        inside_a = np.zeros(len(a), bool)
+        inside_a[:-1] = (offsets[1:, 0] < offsets[:-1, 1]) & (word_a[1:] == word_a[:-1])
+        first_b = np.diff(word_b, prepend=-1) != 0
+        before = np.where(first_b, 0, np.append(0, stop[:-1]))
+        inside_b = self.b_is_byte[b] & (stop == before)
+        moved = starts[:-1] - (np.cumsum(size * ok) - size * ok)
+        out = []
+        for tokens, word, at, inside, coarse in (
+            (a, word_a, self.a_at, inside_a, char_at[np.minimum(chars[word_a] + offsets[:, 1], len(char_at) - 1)]), (b, word_b, self.b_at, inside_b, starts[word_b] + stop + 1)
+        ):
+            keep = ok[word]
+            tokens, word, inside, coarse = tokens[keep], word[keep], inside[keep], coarse[keep] - moved[word[keep]]
+            ends = np.cumsum(at[tokens + 1] - at[tokens])
+            odd = np.zeros(len(words), bool)
+            odd[word[~inside & (coarse != ends)]] = True
+            inside |= odd[word]
+            out += [np.bincount(word, minlength=len(words))[ok], tokens, np.where(inside, ends, coarse), inside]
+        return np.flatnonzero(ok), *out
+
+    def learn(self, words: list[str]) -> None:
+        """Aligns words: (spelt, n_a, n_b, n_groups, n_links), the groups as written, and the different id pairs with their links."""
+        own, n_a, a, a_end, inside_a, n_b, b, b_end, inside_b = self.spelt(words)
+        numbers = np.zeros((len(words), 5), np.int64)
+        sizes, pair_sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        written, code, links = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(own):
+            cuts = np.intersect1d(a_end[~inside_a], b_end[~inside_b], assume_unique=True)
+            # Where spans say nothing on either side the decoded ends decide.
+            if inside_a.any() or inside_b.any():
+                fine = np.intersect1d(a_end[inside_a], b_end, assume_unique=True), np.intersect1d(a_end, b_end[inside_b], assume_unique=True)
+                cuts = np.sort(np.concatenate([cuts, *fine]))
+                cuts = cuts[np.append(True, cuts[1:] != cuts[:-1])]
+            group_a, group_b = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
+            per_a, per_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
+            last = np.searchsorted(cuts, a_end[np.cumsum(n_a) - 1])
+            n_groups = np.diff(last + 1, prepend=0)
+            n_links = np.add.reduceat(per_a * per_b, last + 1 - n_groups)
+            numbers[own] = np.stack([np.ones(len(own), np.int64), n_a, n_b, n_groups, n_links], axis=1)
+            written, ends = self.said(a, b, per_a, per_b)
+            sizes[own] = np.diff(ends[last], prepend=0)
+            word, code, links = self.pairs(np.repeat(own, n_groups), a, group_a, per_a, b, group_b, per_b)
+            pair_sizes = np.bincount(word, minlength=len(words))
+        first = len(self.known)
+        self.known.update((w, first + k) for k, w in enumerate(words))
+        self.numbers.add(numbers)
+        self.written.add(written, sizes)
+        self.codes.add(code, pair_sizes)
+        self.links.add(links, pair_sizes)
 
     def aligned(self, texts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
         """((n_a, n_b, n_groups, n_links, groups_sha256) a text; then the different (text, id pair) with their numbers of links)."""
-        rows: list[tuple] = [(0, 0, 0, 0, "")] * len(texts)
-        found = [(k, self.spelt(t)) for k, t in enumerate(texts) if t]
-        found = [(k, s) for k, s in found if s is not None]
-        if not found:
-            return rows, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        doc = np.array([k for k, _ in found])
-        n_a, n_b = (np.array([len(s[j]) for _, s in found]) for j in (0, 3))
-        base = np.cumsum([0, *[int(s[1][-1]) for _, s in found]])[:-1]
-        a, b = (np.concatenate([s[j] for _, s in found]) for j in (0, 3))
-        a_end = np.concatenate([s[1] for _, s in found]) + np.repeat(base, n_a)
-        b_end = np.concatenate([s[4] for _, s in found]) + np.repeat(base, n_b)
-        inside_a, inside_b = (np.concatenate([s[j] for _, s in found]) for j in (2, 5))
-        cuts = np.intersect1d(a_end[~inside_a], b_end[~inside_b], assume_unique=True)
-        # Where spans say nothing on either side the decoded ends decide.
-        if inside_a.any() or inside_b.any():
-            fine = np.intersect1d(a_end[inside_a], b_end, assume_unique=True), np.intersect1d(a_end, b_end[inside_b], assume_unique=True)
-            cuts = np.sort(np.concatenate([cuts, *fine]))
-            cuts = cuts[np.append(True, cuts[1:] != cuts[:-1])]
-        group_a, group_b = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
-        per_a, per_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
-        last = np.searchsorted(cuts, np.append(base[1:], a_end[-1]))
-        n_groups = np.diff(last + 1, prepend=0)
-        n_links = np.add.reduceat(per_a * per_b, last + 1 - n_groups)
-        said = self.said(a, b, per_a, per_b, last)
-        for k, (d, na, nb, ng, nl) in enumerate(zip(doc.tolist(), n_a.tolist(), n_b.tolist(), n_groups.tolist(), n_links.tolist())):
-            rows[d] = na, nb, ng, nl, said[k]
-        owner = np.repeat(doc, n_groups)
-        return rows, *self.pairs(owner, a, group_a, per_a, b, group_b, per_b)
-
-    def said(self, a, b, per_a, per_b, last) -> list[str]:
-        """The digest of each text's groups, written as a1,a2|b1;a3|b2,b3."""
+        if len(self.known) > REMEMBERED or self.written.size > CHUNK:
+            self.forget()
+        words = [(CUT.split(" " + t) if self.cuts_words else [" " + t]) if t else [] for t in texts]
+        new = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in self.known]
+        for k in range(0, len(new), WORDS):
+            self.learn(new[k : k + WORDS])
+        sizes = np.array([len(w) for w in words])
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        doc, ends = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes)
+        numbers = self.numbers.take(which)
+        # A text of which one word isn't spelt has no tokens.
+        spelt = np.bincount(doc, numbers[:, 0] == 0, len(texts)) == 0
+        keep = spelt[doc]
+        which, doc, numbers = which[keep], doc[keep], numbers[keep]
+        totals = np.zeros((len(texts), 4), np.int64)
+        np.add.at(totals, doc, numbers[:, 1:])
+        view = memoryview(self.written.take(which).tobytes())
+        ends = np.concatenate([[0], np.cumsum(np.bincount(doc, self.written.lengths(which), len(texts)).astype(np.int64))]).tolist()
+        rows = []
+        for t, (x, y) in zip(totals.tolist(), zip(ends, ends[1:])):
+            rows.append((*t, hashlib.sha256(view[x : y - 1]).hexdigest() if y > x else ""))
+        owner = np.repeat(doc, self.codes.lengths(which))
+        return rows, *counted(owner, self.codes.take(which), self.links.take(which))
+
+    def said(self, a, b, per_a, per_b) -> tuple[np.ndarray, np.ndarray]:
+        """The groups as a1,a2|b1;a3|b2,b3; each with its end, and where they end."""
         first = np.cumsum(per_a + per_b) - per_a - per_b
         ids = np.empty(len(a) + len(b), np.int64)
         g, k = ragged(per_a)
@@ -162,14 +217,10 @@ class Aligner:
         written[stop[first + per_a - 1] - 1] = ord("|")
         ends = stop[first + per_a + per_b - 1]
         written[ends - 1] = ord(";")
-        view, at, out = memoryview(written.tobytes()), 0, []
-        for end in ends[last].tolist():
-            out.append(hashlib.sha256(view[at : end - 1]).hexdigest())
-            at = end
-        return out
+        return written, ends
 
     def pairs(self, owner, a, group_a, per_a, b, group_b, per_b):
-        """(text, id pair, links) for the different id pairs of each text."""
+        """(owner, id pair, links) for the different id pairs of each owner of groups."""
         made = []
         dense = per_a * per_b > DENSE
         first_b = np.cumsum(per_b) - per_b
@@ -187,6 +238,53 @@ class Aligner:
         return counted(*(np.concatenate(c) for c in zip(*made))) if len(made) > 1 else made[0]
 
 
+def words_are_apart(a: dict, b) -> bool:
+    """Whether no token of either vocabulary can reach over a space behind a word: A cuts by its pattern before it merges, and no piece of B
+    has a space behind anything else."""
+    split = a.get("pre_tokenizer") or {}
+    by_pattern = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not a.get("normalizer")
+    return by_pattern and not any(re.search("[^▁]▁", b.id_to_piece(i)) for i in range(b.get_piece_size()))
+
+
+class Rows:
+    """Rows of numbers that grow."""
+
+    def __init__(self, kind, width: int):
+        self.data, self.size = np.zeros((1024, width), kind), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        if self.size + len(rows) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros((max(len(self.data), len(rows)), self.data.shape[1]), self.data.dtype)])
+        self.data[self.size : self.size + len(rows)] = rows
+        self.size += len(rows)
+
+    def take(self, which: np.ndarray) -> np.ndarray:
+        return self.data[which]
+
+
+class Segments:
+    """Ragged rows that grow: one flat array and where rows begin."""
+
+    def __init__(self, kind):
+        self.flat, self.at = Rows(kind, 1), Rows(np.int64, 1)
+        self.at.add(np.zeros((1, 1), np.int64))
+
+    @property
+    def size(self) -> int:
+        return self.flat.size
+
+    def add(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        self.at.add((self.flat.size + np.cumsum(lengths))[:, None])
+        self.flat.add(values[:, None])
+
+    def lengths(self, which: np.ndarray) -> np.ndarray:
+        at = self.at.data[:, 0]
+        return at[which + 1] - at[which]
+
+    def take(self, which: np.ndarray) -> np.ndarray:
+        return gather(self.flat.data[:, 0], self.at.data[:, 0], which)
+
+
 def counted(doc: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different (doc, code), in order, with the sums of n."""
     if not len(doc):
