@@ -3,6 +3,7 @@
 import struct
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from episodica.catalog import EPISODES_SQL, STEPS_SQL, experiences_sql, query, r, table
@@ -17,6 +18,7 @@ from episodica.schema import AGENT
 from episodica.sources import demos, logs
 from episodica.sources import replay as R
 from episodica.sources import steps as ST
+from episodica.sources.demo_ranges import demo_catalog, read_demos, register, store_of
 
 
 @query(
@@ -254,31 +256,56 @@ def demo_bytes(name: str, rows: list[tuple], version: int = 1) -> bytes:
     return b"".join(out)
 
 
+# Ticks of the log in one demonstration file, and bytes of records in one range of a file.
+CLIP = 5000
+SPLIT = 1 << 16
+
+
 def recorded(spark, sf_dir):
-    """One demonstration per agent and span of 500 ticks (so of bounded length), as (path, content)."""
+    """One demonstration per span of ticks (so of bounded length), as (path, content)."""
     st = steps(spark, sf_dir, *CORE, "k", "action")
-    st = st.withColumn("clip", F.floor(F.col("tick") / 500))
-    row = F.struct("tick", "reward", "is_terminal", "interrupted", "k", "action")
-    clips = python_partitions(st, ["agent_id", "clip"]).groupBy("agent_id", "clip").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    st = st.withColumn("clip", F.expr(f"tick div {CLIP}"))
+    row = F.struct("tick", "agent_id", "reward", "is_terminal", "interrupted", "k", "action")
+    clips = python_partitions(st, ["clip"]).groupBy("clip").agg(F.sort_array(F.collect_list(row)).alias("rows"))
 
     @F.pandas_udf("binary")
-    def encode(agent: pd.Series, rows: pd.Series) -> pd.Series:
+    def encode(rows: pd.Series) -> pd.Series:
         return pd.Series(
             [
-                demo_bytes("demo", [(x["reward"], x["is_terminal"], x["interrupted"], int(a), [float(x["k"])], int(x["action"])) for x in rs])
-                for a, rs in zip(agent, rows)
+                demo_bytes("demo", [(x["reward"], x["is_terminal"], x["interrupted"], int(x["agent_id"]), [float(x["k"])], int(x["action"])) for x in rs])
+                for rs in rows
             ]
         )
 
-    path = F.concat_ws("-", F.col("agent_id").cast("string"), F.col("clip").cast("string"))
-    return clips.select(path.alias("path"), encode("agent_id", "rows").alias("content"))
+    return clips.select(F.col("clip").cast("string").alias("path"), encode("rows").alias("content"))
+
+
+def recorded_files(spark, sf_dir):
+    """The demonstrations written once, to a folder of even and one of odd ones."""
+    folders = [fresh_dir(spark, "demos"), fresh_dir(spark, "demos")]
+
+    def write(batches):
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                store, inner = store_of(folders[int(name) % 2])
+                store.create_dir(inner)
+                with store.open_output_stream(f"{inner}/{name}.demo") as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column("path")], ["path"])
+
+    written = recorded(spark, sf_dir).mapInArrow(write, "path string").filter("path % 2 = 1").count()
+    return folders if written else folders[:1]
+
+
+def clip_name():
+    return F.regexp_extract("path", r"([0-9]+)\.demo$", 1).alias("path")
 
 
 CLIPS_SQL = (
     STEPS_SQL
-    + """,
-clip AS (SELECT *, agent_id || '-' || (tick // 500) AS path,
-  row_number() OVER (PARTITION BY agent_id, tick // 500 ORDER BY tick) - 1 AS n FROM steps)"""
+    + f""",
+clip AS (SELECT *, CAST(tick // {CLIP} AS VARCHAR) AS path,
+  row_number() OVER (PARTITION BY tick // {CLIP} ORDER BY tick) - 1 AS n FROM steps)"""
 )
 
 
@@ -288,23 +315,35 @@ clip AS (SELECT *, agent_id || '-' || (tick // 500) AS path,
 CAST(interrupted AS INT) AS interrupted, k AS obs, CAST(action AS INT) AS action, 'demo' AS behavior_id FROM clip""",
 )
 def demonstrations_read(spark, sf_dir):
-    out = demos.decode_demos(recorded(spark, sf_dir))
+    """Two folders as one set; each file is read by several tasks."""
+    out = read_demos(spark, recorded_files(spark, sf_dir), SPLIT)
     return out.select(
-        "path", "tick", "agent_id", steady(F.round("reward", 5), 3).alias("reward"), F.col("is_terminal").cast("int").alias("is_terminal"),
+        clip_name(), "tick", "agent_id", steady(F.round("reward", 5), 3).alias("reward"), F.col("is_terminal").cast("int").alias("is_terminal"),
         F.col("interrupted").cast("int").alias("interrupted"), F.col("obs")[0][0].cast("long").alias("obs"),
         F.col("discrete")[0].alias("action"), "behavior_id",
     )
 
 
+@query(
+    "demonstrations_by_format",
+    f"""WITH {CLIPS_SQL} SELECT agent_id, count(*) AS n, CAST(sum(k) AS BIGINT) AS obs FROM clip WHERE (tick // {CLIP}) % 2 = 0 GROUP BY agent_id""",
+)
+def demonstrations_by_format(spark, sf_dir):
+    """The data source over one folder."""
+    register(spark)
+    out = spark.read.format("demonstrations").option("split", SPLIT).load(recorded_files(spark, sf_dir)[0])
+    return out.groupBy("agent_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("obs")[0][0].cast("long")).alias("obs"))
+
+
 @query(
     "demonstration_catalog",
     f"""WITH {CLIPS_SQL} SELECT path, count(*) AS number_steps, {r('sum(reward)', 2)} AS mean_reward, 1 AS version, 5 AS branch, 1 AS width
 FROM clip GROUP BY path""",
 )
 def demonstration_catalog(spark, sf_dir):
-    out = demos.decode_catalog(recorded(spark, sf_dir))
+    out = demo_catalog(spark, recorded_files(spark, sf_dir))
     return out.select(
-        "path", "number_steps", steady(F.round("mean_reward", 4), 2).alias("mean_reward"), "version",
+        clip_name(), "number_steps", steady(F.round("mean_reward", 4), 2).alias("mean_reward"), "version",
         F.col("discrete_branches")[0].alias("branch"), F.col("shapes")[0][0].alias("width"),
     )
 
@@ -316,9 +355,9 @@ CAST(sum(CAST(is_terminal AS INT)) AS BIGINT) + 1 AS recorded_episodes,
 {r('sum(reward) / (sum(CAST(is_terminal AS INT)) + 1)', 3)} AS recorded_mean_reward FROM clip GROUP BY path""",
 )
 def demonstration_summaries(spark, sf_dir):
-    out = demos.demo_summary(demos.decode_demos(recorded(spark, sf_dir)))
+    out = demos.demo_summary(read_demos(spark, recorded_files(spark, sf_dir), SPLIT))
     return out.select(
-        "path", "number_steps", "number_episodes", "recorded_episodes",
+        clip_name(), "number_steps", "number_episodes", "recorded_episodes",
         steady(F.round("recorded_mean_reward", 5), 3).alias("recorded_mean_reward"),
     )
 
@@ -331,9 +370,10 @@ SELECT path, n AS tick, k AS obs, nk AS next_obs, CAST(d AS INT) AS done, coales
 )
 def demonstration_experiences(spark, sf_dir):
     used = ["path", "tick", "reward", "is_terminal", "interrupted", "obs", "old_action"]
-    out = demos.demo_experiences(demos.decode_demos(recorded(spark, sf_dir)).select(*used), cross_episode=True)
+    found = read_demos(spark, recorded_files(spark, sf_dir), SPLIT)
+    out = demos.demo_experiences(found.select(*used), cross_episode=True)
     return out.select(
-        "path", "tick", F.col("obs")[0][0].cast("long").alias("obs"), F.col("next_obs")[0][0].cast("long").alias("next_obs"),
+        clip_name(), "tick", F.col("obs")[0][0].cast("long").alias("obs"), F.col("next_obs")[0][0].cast("long").alias("next_obs"),
         F.col("done").cast("int").alias("done"), F.col("prev_action")[0].cast("int").alias("prev_action"),
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from episodica.catalog.files import demo_bytes
 from episodica.operators import checks as K
 from episodica.operators import stats as O
+from episodica.sources import demo_ranges as ranges
 from episodica.sources import demos, logs
 from episodica.sources import replay as R
 
@@ -18,7 +19,7 @@ def test_demo_folder(spark, tmp_path):
     (tmp_path / "a.demo").write_bytes(demo_bytes("x", ROWS))
     (tmp_path / "b.demo").write_bytes(demo_bytes("x", ROWS[:2]))
     (tmp_path / "notes.txt").write_text("no")
-    df = demos.read_demos(spark, str(tmp_path))
+    df = ranges.read_demos(spark, str(tmp_path))
     rows = df.filter(F.col("path").endswith("a.demo")).orderBy("tick").collect()
     assert df.count() == 5
     assert [(r.reward, r.is_terminal, r.interrupted, r.agent_id, r.obs, r.discrete) for r in rows] == [
@@ -28,28 +29,52 @@ def test_demo_folder(spark, tmp_path):
     assert crossed.filter(F.col("path").endswith("a.demo")).count() == 2
     clean = demos.demo_experiences(df).filter(F.col("path").endswith("a.demo")).collect()
     assert [(r.tick, r.done, r.interrupted, r.reward) for r in clean] == [(0, True, True, 1.0)]
-    cat = demos.demo_catalog(spark, str(tmp_path / "a.demo")).first()
+    cat = ranges.demo_catalog(spark, str(tmp_path / "a.demo")).first()
     assert (cat.number_steps, cat.discrete_branches, cat.shapes, cat.behavior_id) == (3, [5], [[2]], "x")
 
 
+def test_one_file_in_many_ranges(spark, tmp_path):
+    """Ranges cover a large file's records once, in order, up to the declared steps, and several tasks read them."""
+    rows = [(k / 8, k % 50 == 49, False, k % 3, [float(k)] * (1 + k % 40), k % 5) for k in range(3000)]
+    (tmp_path / "one").mkdir()
+    (tmp_path / "two").mkdir()
+    (tmp_path / "one" / "large.demo").write_bytes(demo_bytes("x", rows))
+    (tmp_path / "two" / "small.demo").write_bytes(demo_bytes("y", rows[:10]))
+    fewer = demo_bytes("z", rows[:700])
+    (tmp_path / "two" / "cut.demo").write_bytes(fewer[:33] + demo_bytes("z", rows)[33:])
+    folders = [str(tmp_path / "one"), str(tmp_path / "two")]
+    found = ranges.demo_ranges(demos.demo_files(spark, folders), 4096)
+    large = sorted((r.first, r.n) for r in found.filter(F.col("path").endswith("large.demo")).collect())
+    assert len(large) > 20 and [a + n for a, n in large] == [*[a for a, _ in large[1:]], 3000]
+    got = ranges.read_demos(spark, folders, 4096)
+    one = got.filter(F.col("path").endswith("large.demo"))
+    assert one.select(F.spark_partition_id()).distinct().count() > 1
+    assert [(r.tick, r.agent_id, r.obs[0][0]) for r in one.orderBy("tick").collect()] == [(k, k % 3, float(k)) for k in range(3000)]
+    assert got.filter(F.col("path").endswith("small.demo")).count() == 10 and got.filter(F.col("path").endswith("cut.demo")).count() == 700
+    ranges.register(spark)
+    source = spark.read.format("demonstrations").option("split", 4096).load(folders[0])
+    assert source.rdd.getNumPartitions() > 20 and source.agg(F.sum("tick")).first()[0] == 3000 * 2999 // 2
+    assert {(r.behavior_id, r.number_steps) for r in ranges.demo_catalog(spark, folders).collect()} == {("x", 3000), ("y", 10), ("z", 700)}
+
+
 def test_demo_stops_at_declared_steps(spark, tmp_path):
     whole = demo_bytes("x", ROWS)
     one = demo_bytes("x", ROWS[:1])
     (tmp_path / "a.demo").write_bytes(one[:33] + whole[33:])
-    assert demos.read_demos(spark, str(tmp_path / "a.demo")).count() == 1
+    assert ranges.read_demos(spark, str(tmp_path / "a.demo")).count() == 1
 
 
 def test_demo_errors(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
-        demos.read_demos(spark, str(tmp_path / "missing"))
+        ranges.read_demos(spark, str(tmp_path / "missing"))
     with pytest.raises(ValueError):
-        demos.read_demos(spark, str(tmp_path))
+        ranges.read_demos(spark, str(tmp_path))
     (tmp_path / "x.txt").write_text("no")
     with pytest.raises(ValueError):
-        demos.read_demos(spark, str(tmp_path / "x.txt"))
+        ranges.read_demos(spark, str(tmp_path / "x.txt"))
     (tmp_path / "v.demo").write_bytes(demo_bytes("x", ROWS, version=1337))
     with pytest.raises(Exception, match="unsupported demonstration version"):
-        demos.read_demos(spark, str(tmp_path / "v.demo")).count()
+        ranges.read_demos(spark, str(tmp_path / "v.demo")).count()
 
 
 def test_timer_tree(spark, tmp_path):
