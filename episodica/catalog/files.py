@@ -3,11 +3,11 @@
 import struct
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from episodica.catalog import EPISODES_SQL, STEPS_SQL, experiences_sql, query, r, table
 from episodica.catalog.sessions import CORE, experiences, steps
+from episodica.catalog.reporting import EVENT_METHODS
 from episodica.functions.numbers import steady
 from episodica.operators import sessions as S
 from episodica.operators import stats as O
@@ -18,7 +18,8 @@ from episodica.schema import AGENT
 from episodica.sources import demos, logs
 from episodica.sources import replay as R
 from episodica.sources import steps as ST
-from episodica.sources.demo_ranges import demo_catalog, read_demos, register, store_of
+from episodica.sources.demo_ranges import demo_catalog, read_demos, register
+from episodica.sources.files import write_files
 
 
 @query(
@@ -82,7 +83,10 @@ def log_lines(spark, sf_dir):
         " | recharges=0 | batteryAtEnd=0.412 | ptRate=0.14 | firstPtStep=%d",
         reason, (F.col("agent_id") % 2), "n", "r", "p", "t",
     )
-    stats = F.format_string("[2025-01-01 00:00:00] [EPISODE STATS] ptVisits=%d | steps=%d", "p", "n")
+    stats = F.format_string(
+        "[2025-01-01 00:00:00] [EPISODE STATS] ptVisits=%d | recharges=0 | steps=%d | mode=m%d | avgPtVisits=%.2f | avgRecharges=0.00 | eps=%d",
+        "p", "n", F.col("agent_id") % 2, F.col("p").cast("double"), "agent_id",
+    )
     return ep.select(F.explode(F.array(end, stats)).alias("value"))
 
 
@@ -103,6 +107,16 @@ def episode_log_parsed(spark, sf_dir):
     return out.select("reason", "mode", "total_steps", "reward", "reaches", (at - base + 1735689600).cast("int").alias("at"))
 
 
+@query(
+    "episode_stats_parsed",
+    f"WITH {OUTCOME_SQL} SELECT mode, reaches AS pt_visits, 0::BIGINT AS recharges, total_steps AS steps, CAST(agent_id AS BIGINT) AS episodes FROM ep",
+)
+def episode_stats_parsed(spark, sf_dir):
+    path = fresh_dir(spark, "episode-log")
+    log_lines(spark, sf_dir).write.text(path)
+    return logs.read_episode_stats(spark, path).select("mode", "pt_visits", "recharges", "steps", "episodes")
+
+
 @query(
     "outcome_rollup",
     f"""WITH {OUTCOME_SQL} SELECT coalesce(mode, '*') AS mode, coalesce(reason, '*') AS reason,
@@ -142,32 +156,66 @@ def stats_fanned_out(spark, sf_dir):
     return both.groupBy("key", "num").agg(F.count(F.lit(1)).cast("int").alias("copies"))
 
 
+@query(
+    "stat_events_scanned",
+    """WITH e AS (SELECT *, CASE event_type WHEN 'view' THEN 'MOST_RECENT' WHEN 'signup' THEN 'SUM' WHEN 'error' THEN 'MEDIAN' ELSE 'AVERAGE' END AS method FROM events)
+SELECT 'b' || (user_id % 3) AS category, method, CAST(method <> 'MEDIAN' AS INT) AS known, count(*) AS num, CAST(sum(event_id) AS BIGINT) AS seqs
+FROM e GROUP BY ALL""",
+)
+def stat_events_scanned(spark, sf_dir):
+    """Events written as JSON lines; those of an unknown method are put aside and counted."""
+    path = fresh_dir(spark, "stat-events")
+    write_stat_events(spark, sf_dir, path)
+    good, bad = logs.split_methods(logs.read_stat_events(spark, path, "json", unknown="keep"))
+    both = good.withColumn("known", F.lit(1)).unionByName(bad.withColumn("known", F.lit(0)))
+    return both.groupBy("category", "method", "known").agg(F.count(F.lit(1)).alias("num"), F.sum("seq").alias("seqs"))
+
+
+def write_stat_events(spark, sf_dir, path, where=None):
+    method = F.when(F.col("event_type") == "error", "MEDIAN").otherwise(F.create_map(*[F.lit(x) for kv in EVENT_METHODS.items() for x in kv])[F.col("event_type")])
+    ev = table(spark, sf_dir, "events")
+    ev = ev if where is None else ev.filter(where)
+    ev.select(
+        F.concat(F.lit("b"), (F.col("user_id") % 3).cast("string")).alias("category"), F.concat(F.lit("Environment/"), F.col("event_type")).alias("key"),
+        "value", method.alias("method"), (F.col("user_id") % 4).cast("int").alias("worker_id"), F.col("event_id").alias("seq"),
+    ).write.mode("append").json(path)
+
+
 # --- timer trees and training status ---------------------------------------------------------
 
 
+# Conversations in one tree, parts in one run.
+PER_TREE, PER_RUN = 50, 100
+
+
 @query(
     "timer_trees_read",
-    """WITH t AS (SELECT conv_id, role, sum(length(text)) AS total, count(*) AS n FROM conversations GROUP BY 1, 2)
-SELECT conv_id, 'root/' || role AS path, CAST(total AS DOUBLE) AS total, n AS count, CAST(role = 'user' AS INT) AS is_parallel FROM t
-UNION ALL SELECT conv_id, 'root', CAST(sum(total) AS DOUBLE), CAST(sum(n) AS BIGINT), 0 FROM t GROUP BY 1""",
+    f"""WITH t AS (SELECT conv_id, role, sum(length(text)) AS total, count(*) AS n FROM conversations GROUP BY 1, 2),
+c AS (SELECT conv_id, sum(total) AS total, sum(n) AS n FROM t GROUP BY 1)
+SELECT conv_id // {PER_TREE} AS tree, 'root/' || conv_id || '/' || role AS path, CAST(total AS DOUBLE) AS total, n AS count,
+  CAST(role = 'user' AS INT) AS is_parallel FROM t
+UNION ALL SELECT conv_id // {PER_TREE}, 'root/' || conv_id, CAST(total AS DOUBLE), CAST(n AS BIGINT), 0 FROM c
+UNION ALL SELECT conv_id // {PER_TREE}, 'root', CAST(sum(total) AS DOUBLE), CAST(sum(n) AS BIGINT), 0 FROM c GROUP BY 1""",
 )
 def timer_trees_read(spark, sf_dir):
-    # A conversation has at most three roles, so its tree is small.
+    """One file a tree: fifty conversations below its root, their roles below them."""
     per = table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(
         F.sum(F.length("text")).cast("double").alias("total"), F.count(F.lit(1)).alias("count")
     )
-    node = F.struct("total", "count", (F.col("role") == "user").alias("is_parallel"))
-    trees = per.groupBy("conv_id").agg(
-        F.to_json(
-            F.struct(
-                F.lit("root").alias("name"), F.sum("total").alias("total"), F.sum("count").alias("count"),
-                F.map_from_entries(F.collect_list(F.struct("role", node))).alias("children"),
-            )
-        ).alias("value")
-    )
-    out = logs.parse_timer_trees(trees.withColumn("source", F.col("conv_id").cast("string")))
-    return out.select(
-        F.col("source").cast("long").alias("conv_id"), F.array_join("path", "/").alias("path"), "total", "count",
+
+    def children(name):
+        return F.map_from_entries(F.collect_list(F.struct(name, "node"))).alias("children")
+
+    leaf = F.struct("total", "count", (F.col("role") == "user").alias("is_parallel"))
+    convs = per.withColumn("node", leaf).groupBy("conv_id").agg(F.sum("total").alias("total"), F.sum("count").alias("count"), children("role"))
+    convs = convs.withColumn("node", F.struct("total", "count", "children")).withColumn("tree", F.expr(f"conv_id div {PER_TREE}"))
+    name = F.col("conv_id").cast("string").alias("name")
+    trees = convs.groupBy("tree").agg(F.sum("total").alias("total"), F.sum("count").alias("count"), children(name))
+    content = F.to_json(F.struct(F.lit("root").alias("name"), "total", "count", "children")).alias("content")
+    path = fresh_dir(spark, "timers")
+    write_files(trees.select(F.concat(F.col("tree").cast("string"), F.lit(".json")).alias("name"), content), path)
+    return logs.read_timer_trees(spark, path).select(
+        F.regexp_extract("source", r"([0-9]+)\.json$", 1).cast("long").alias("tree"), F.array_join("path", "/").alias("path"), "total", "count",
         F.col("is_parallel").cast("int").alias("is_parallel"),
     )
 
@@ -205,19 +253,22 @@ def status_checkpoints(spark, sf_dir):
 
 @query(
     "run_configs_read",
-    """SELECT 'p' || p_partkey AS run_id, p_brand AS behavior, 'hyperparameters.batch_size' AS key_path, CAST(p_size AS VARCHAR) AS value FROM part
-UNION ALL SELECT 'p' || p_partkey, p_brand, 'trainer_type', 'ppo' FROM part
-UNION ALL SELECT 'p' || p_partkey, '*', 'engine_settings.time_scale', '20' FROM part""",
+    f"""WITH p AS (SELECT 'r' || (p_partkey // {PER_RUN}) || '.yaml' AS run_id, 'p' || p_partkey AS behavior, p_size, p_brand FROM part)
+SELECT run_id, behavior, 'hyperparameters.batch_size' AS key_path, CAST(p_size AS VARCHAR) AS value FROM p
+UNION ALL SELECT run_id, behavior, 'trainer_type', 'ppo' FROM p
+UNION ALL SELECT run_id, behavior, 'tags.0', p_brand FROM p
+UNION ALL SELECT DISTINCT run_id, '*', 'engine_settings.time_scale', '20' FROM p""",
 )
 def run_configs_read(spark, sf_dir):
+    """One file a run, a hundred behaviours in each."""
     doc = F.format_string(
-        "behaviors:\n  '%s':\n    trainer_type: ppo\n    hyperparameters:\n      batch_size: %d\nengine_settings:\n  time_scale: 20\n",
-        "p_brand", "p_size",
-    )
-    files = table(spark, sf_dir, "part").select(
-        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"), doc.cast("binary").alias("content")
+        "  p%d:\n    trainer_type: ppo\n    tags: ['%s']\n    hyperparameters:\n      batch_size: %d\n", F.col("p_partkey").cast("long"), "p_brand", F.col("p_size").cast("long")
     )
-    return logs.parse_run_configs(files)
+    parts = table(spark, sf_dir, "part").select(F.expr(f"p_partkey div {PER_RUN}").alias("run"), doc.alias("doc"))
+    body = F.concat(F.lit("behaviors:\n"), F.concat_ws("", F.collect_list("doc")), F.lit("engine_settings:\n  time_scale: 20\n"))
+    path = fresh_dir(spark, "configs")
+    write_files(parts.groupBy("run").agg(body.alias("content")).select(F.format_string("r%d.yaml", "run").alias("name"), "content"), path)
+    return logs.read_run_configs(spark, path).withColumn("run_id", F.regexp_extract("run_id", r"([^/]+)$", 1))
 
 
 # --- demonstrations --------------------------------------------------------------------------
@@ -282,19 +333,10 @@ def recorded(spark, sf_dir):
 
 def recorded_files(spark, sf_dir):
     """The demonstrations written once, to a folder of even and one of odd ones."""
-    folders = [fresh_dir(spark, "demos"), fresh_dir(spark, "demos")]
-
-    def write(batches):
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                store, inner = store_of(folders[int(name) % 2])
-                store.create_dir(inner)
-                with store.open_output_stream(f"{inner}/{name}.demo") as f:
-                    f.write(content)
-            yield pa.RecordBatch.from_arrays([batch.column("path")], ["path"])
-
-    written = recorded(spark, sf_dir).mapInArrow(write, "path string").filter("path % 2 = 1").count()
-    return folders if written else folders[:1]
+    files = recorded(spark, sf_dir).select("path", F.concat("path", F.lit(".demo")).alias("name"), "content")
+    folders = [fresh_dir(spark, "demos") for _ in range(2)]
+    written = [write_files(files.filter(F.col("path") % 2 == k), folder) for k, folder in enumerate(folders)]
+    return [folder for folder, n in zip(folders, written) if n]
 
 
 def clip_name():

@@ -8,7 +8,6 @@ walks in tasks, one a file at a time, and `decode_ranges` reads nothing but its
 sets whose large files are few; `read_demos` plans in tasks.
 """
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +19,7 @@ from episodica.plans.folds import python_partitions
 from episodica.sources.demos import (
     CATALOG, DEMO_STEPS, ROWS_PER_BATCH, SPEC_AT, checked_version, delimited, demo_files, parse_meta, parse_record, parse_spec, record_batch, varint,
 )
+from episodica.sources.files import store_of
 
 SPLIT = 64 << 20
 WINDOW = 1 << 16
@@ -27,17 +27,6 @@ RANGES = "path string, behavior_id string, first long, n long, at long, stop lon
 LONGEST_VARINT = 10
 
 
-def store_of(path: str):
-    """(file system, path within it) of a path as Spark names it."""
-    from pyarrow import fs
-
-    if ":" not in path.split("/")[0]:
-        return fs.LocalFileSystem(), path
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), re.sub(r"^file:/+", "/", path)
-    return fs.FileSystem.from_uri(path)
-
-
 class Window:
     """Bytes of a file by position, read in blocks."""
 

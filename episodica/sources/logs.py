@@ -3,7 +3,7 @@
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,16 +13,30 @@ from episodica.schema import STAT_EVENTS, STAT_METHODS
 # --- metric events ---------------------------------------------------------------------------
 
 
-def read_stat_events(spark: SparkSession, path: str, fmt: str = "parquet", stream: bool = False) -> DataFrame:
-    """Metric events; an aggregation method outside the known four fails the job."""
+def read_stat_events(
+    spark: SparkSession, path: str, fmt: str = "parquet", stream: bool = False, unknown: str = "fail", per_trigger: int | None = None
+) -> DataFrame:
+    """Metric events, at rest or live. An aggregation method outside the known four fails the job, or with unknown="keep" goes on to
+    `split_methods`; per_trigger is how many files a micro-batch of a stream admits."""
     reader = spark.readStream if stream else spark.read
-    return checked_methods(reader.schema(STAT_EVENTS).format(fmt).load(path))
+    if stream and per_trigger:
+        reader = reader.option("maxFilesPerTrigger", per_trigger)
+    events = reader.schema(STAT_EVENTS).format(fmt).load(path)
+    return checked_methods(events) if unknown == "fail" else events
+
+
+def known_method() -> Column:
+    return F.coalesce(F.col("method").isin(*STAT_METHODS), F.lit(False))
 
 
 def checked_methods(events: DataFrame) -> DataFrame:
-    known = F.col("method").isin(*STAT_METHODS)
     fail = F.raise_error(F.concat(F.lit("unknown aggregation method "), F.coalesce("method", F.lit("null"))))
-    return events.withColumn("method", F.when(known, F.col("method")).otherwise(fail.cast("string")))
+    return events.withColumn("method", F.when(known_method(), F.col("method")).otherwise(fail.cast("string")))
+
+
+def split_methods(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events of known methods, events put aside)."""
+    return events.filter(known_method()), events.filter(~known_method())
 
 
 # --- episode log -----------------------------------------------------------------------------
@@ -38,6 +52,7 @@ def parse_episode_log(lines: DataFrame, value: str = "value") -> DataFrame:
         pairs.alias("p"),
     )
     p = F.col("p")
+    # The line's field names.
     return parsed.select(
         "ts",
         p["reason"].alias("reason"),
@@ -52,6 +67,32 @@ def parse_episode_log(lines: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
+def parse_episode_stats(lines: DataFrame, value: str = "value") -> DataFrame:
+    """`[time] [EPISODE STATS] ptVisits=.. | ...` lines; other lines are left out."""
+    text = F.col(value)
+    body = F.regexp_extract(text, r"^\[([^\]]*)\] \[EPISODE STATS\] (.*)$", 2)
+    parsed = lines.filter(text.contains("[EPISODE STATS]")).select(
+        F.to_timestamp(F.regexp_extract(text, r"^\[([^\]]*)\]", 1), "yyyy-MM-dd HH:mm:ss").alias("ts"),
+        F.str_to_map(body, F.lit(r" \| "), F.lit("=")).alias("p"),
+    )
+    p = F.col("p")
+    # The line's field names.
+    return parsed.select(
+        "ts",
+        p["mode"].alias("mode"),
+        p["ptVisits"].cast("long").alias("pt_visits"),
+        p["recharges"].cast("long").alias("recharges"),
+        p["steps"].cast("long").alias("steps"),
+        p["avgPtVisits"].cast("double").alias("mean_pt_visits"),
+        p["avgRecharges"].cast("double").alias("mean_recharges"),
+        p["eps"].cast("long").alias("episodes"),
+    )
+
+
+def read_episode_stats(spark: SparkSession, path: str) -> DataFrame:
+    return parse_episode_stats(spark.read.text(path))
+
+
 def read_episode_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_episode_log(spark.read.text(path))
 
@@ -74,9 +115,11 @@ def parse_timer_trees(files: DataFrame, value: str = "value", source: str = "sou
     """One row per node of each JSON tree, with its path from the root."""
 
     def nodes(tree, path):
-        yield path, tree
-        for name, child in tree.get("children", {}).items():
-            yield from nodes(child, [*path, name])
+        open_nodes = [(path, tree)]
+        while open_nodes:
+            path, node = open_nodes.pop()
+            yield path, node
+            open_nodes += [([*path, name], child) for name, child in node.get("children", {}).items()]
 
     def run(batches):
         for pdf in batches:
@@ -107,6 +150,7 @@ def parse_gauges(files: DataFrame, value: str = "value", source: str = "source")
 
 # --- training status -------------------------------------------------------------------------
 
+# The fields of a checkpoint in a status file.
 CHECKPOINT = (
     "struct<steps: bigint, file_path: string, reward: double, creation_time: double, "
     "auxillary_file_paths: array<string>>"
@@ -146,14 +190,15 @@ def parse_run_configs(files: DataFrame) -> DataFrame:
     names = ["run_id", "behavior", "key_path", "value"]
 
     def leaves(node, path):
-        if isinstance(node, dict) and node:
-            for k, v in node.items():
-                yield from leaves(v, [*path, str(k)])
-        elif isinstance(node, list) and node:
-            for n, v in enumerate(node):
-                yield from leaves(v, [*path, str(n)])
-        else:
-            yield ".".join(path), None if node is None or node == {} or node == [] else str(node)
+        open_nodes = [(node, path)]
+        while open_nodes:
+            node, path = open_nodes.pop()
+            if isinstance(node, dict) and node:
+                open_nodes += [(v, [*path, str(k)]) for k, v in node.items()]
+            elif isinstance(node, list) and node:
+                open_nodes += [(v, [*path, str(n)]) for n, v in enumerate(node)]
+            else:
+                yield ".".join(path), None if node is None or node == {} or node == [] else str(node)
 
     def run(batches):
         import yaml

@@ -107,6 +107,37 @@ def test_old_column_name(spark, tmp_path):
     assert set(got.columns) == {"behavior_id", "group_discrete_action", "obs:0"}
 
 
+def test_names_come_back(spark, tmp_path):
+    df = spark.createDataFrame([("b", 1, 2, 3, 4)], "behavior_id string, `a:b` int, a__b int, `obs:0:x` int, obs__0 int")
+    R.save_replay(df, str(tmp_path / "r"))
+    got = R.load_replay(spark, str(tmp_path / "r"))
+    assert got.select("a:b", "a__b", "obs:0:x", "obs__0", "behavior_id").first() == (1, 2, 3, 4, "b")
+
+
+def test_deep_trees(spark):
+    tree = leaf = {"name": "root", "total": 1, "count": 1}
+    for _ in range(400):
+        leaf["children"] = {"x": {"total": 1, "count": 1}}
+        leaf = leaf["children"]["x"]
+    df = spark.createDataFrame([("s", json.dumps(tree))], "source string, value string")
+    assert logs.parse_timer_trees(df).count() == 401
+
+
+def test_episode_stats(spark):
+    line = "[2025-02-03 04:05:06] [EPISODE STATS] ptVisits=3 | recharges=1 | steps=250 | mode=free | avgPtVisits=2.50 | avgRecharges=0.75 | eps=12"
+    df = spark.createDataFrame([(line,), ("[2025-02-03 04:05:06] [EPISODE END] reason=done",)], "value string")
+    r = logs.parse_episode_stats(df).collect()
+    assert len(r) == 1 and (r[0].mode, r[0].pt_visits, r[0].recharges, r[0].steps, r[0].mean_pt_visits, r[0].mean_recharges, r[0].episodes) == ("free", 3, 1, 250, 2.5, 0.75, 12)
+
+
+def test_stat_events_put_aside(spark, tmp_path):
+    (tmp_path / "e.json").write_text('{"key": "a", "method": "SUM", "seq": 1}\n{"key": "b", "method": "MEDIAN", "seq": 2}\n{"key": "c", "seq": 3}\n')
+    good, bad = logs.split_methods(logs.read_stat_events(spark, str(tmp_path), "json", unknown="keep"))
+    assert [r.seq for r in good.collect()] == [1] and sorted(r.seq for r in bad.collect()) == [2, 3]
+    with pytest.raises(Exception, match="unknown aggregation method"):
+        logs.read_stat_events(spark, str(tmp_path), "json").collect()
+
+
 def test_stat_methods_checked(spark):
     df = spark.createDataFrame([("MEDIAN",)], "method string")
     with pytest.raises(Exception, match="unknown aggregation method"):
