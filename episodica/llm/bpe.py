@@ -2,9 +2,10 @@
 
 Tier one: a minimal perfect hash over the vocabulary. A pre-token's 64-bit hash picks a bucket, the bucket's
 displacement picks the one slot where a vocabulary entry of that hash can stand; the slot keeps that hash, so a
-pre-token that is a whole vocabulary entry is resolved by two table reads, for a megabyte of pre-tokens at a time.
-Tier two: a miss is merged by a heap over linked bytes, lowest rank first, leftmost first among equals. Misses are
-resolved once for each different pre-token of a piece, with a bounded memory per worker.
+pre-token that is a whole vocabulary entry is resolved by two table reads, for a megabyte of pre-tokens at a time; its
+bytes are compared with the entry's. Tier two: a miss is merged by a heap over linked bytes, lowest rank first, leftmost
+first among equals. Misses are resolved once for each different pre-token of a piece, told apart by their bytes, with a
+bounded memory per worker.
 
 The vocabulary is a file of base64 byte strings and ranks; the file's path is a parameter, read on the driver, and the
 tables (about a megabyte) go to the workers with the function. Pre-tokens follow the public pattern of these
@@ -18,7 +19,6 @@ space before another. Equal texts give equal ids.
 import base64
 import hashlib
 import heapq
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from episodica.llm.common import struct_array
-from episodica.llm.textops import PIECE, U64, doc_ranges, flat, gather, kept, mixed_bits, span_hashes
+from episodica.llm.textops import PIECE, U64, doc_ranges, equal_spans, flat, gather, kept, mixed_bits, ragged, span_hashes
 
 KEYS_PER_BUCKET = 4
-REMEMBERED = 1 << 17
+# Misses that a worker remembers, in about fifty bytes each.
+REMEMBERED = 1 << 20
 SPACES, LETTERS, NUMBERS, OTHER = range(4)
 # Fixed values of the public pattern: what follows an apostrophe in a contraction.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -190,13 +191,33 @@ class Vocabulary:
         self.cursor = at
         return at
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Ids of the keys that are whole vocabulary entries, -1 for the others."""
+    def find(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Ids of the spans that are whole vocabulary entries, -1 for the others; keys are their hashes. An entry of the same hash counts only
+        if its bytes are the same."""
         shift = self.shift[(keys % U64(self.n_buckets)).astype(np.int64)]
         n = len(self.slot_key)
         moved = mixed_bits(keys ^ (shift.astype(U64) * U64(0x9E3779B97F4A7C15))) % U64(n)
         slot = np.where(shift < 0, -1 - shift, moved.astype(np.int64))
-        return np.where(self.slot_key[slot] == keys, self.slot_id[slot], -1)
+        ids = self.slot_id[slot]
+        same = (self.slot_key[slot] == keys) & (self.offsets[ids + 1] - self.offsets[ids] == ends - starts)
+        at = np.flatnonzero(same)
+        same[at] = equal_spans(self.blob, self.offsets[ids[at]], data, starts[at], (ends - starts)[at])
+        return np.where(same, ids, -1)
+
+
+def different(keys: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one span of each content, which of these each span has): by hash, then by length and bytes; what only shares a hash goes round again."""
+    examples, owner, left, n = [], np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
+    while len(left):
+        _, first, mine = np.unique(keys[left], return_index=True, return_inverse=True)
+        model = left[first][mine]
+        same = lengths[left] == lengths[model]
+        at = np.flatnonzero(same)
+        same[at] = equal_spans(data, starts[left[at]], data, starts[model[at]], lengths[left[at]])
+        owner[left[same]] = n + mine[same]
+        examples.append(left[first])
+        n, left = n + len(first), left[~same]
+    return np.concatenate(examples), owner
 
 
 @lru_cache(maxsize=4)
@@ -204,6 +225,66 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+class Memory:
+    """Misses and their ids in flat arrays, found by open addressing; a found entry's bytes are compared. It starts anew when it is full."""
+
+    def __init__(self, most: int):
+        self.most, self.mask = most, (1 << (2 * most - 1).bit_length()) - 1
+        self.forget()
+
+    def forget(self) -> None:
+        self.n = 0
+        self.slots = np.full(self.mask + 1, -1, np.int32)
+        self.keys = np.zeros(self.most, U64)
+        self.at, self.ids_at = np.zeros(self.most + 1, np.int64), np.zeros(self.most + 1, np.int64)
+        self.blob, self.ids = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.int32)
+
+    def find(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Entries of spans, -1 where there is none."""
+        out, live = np.full(len(keys), -1), np.arange(len(keys))
+        pos = (keys & U64(self.mask)).astype(np.int64)
+        while len(live):
+            entry = self.slots[pos[live]]
+            live, entry = live[entry >= 0], entry[entry >= 0]
+            same = (self.keys[entry] == keys[live]) & (self.at[entry + 1] - self.at[entry] == lengths[live])
+            at = np.flatnonzero(same)
+            same[at] = equal_spans(self.blob, self.at[entry[at]], data, starts[live[at]], lengths[live[at]])
+            out[live[same]] = entry[same]
+            live = live[~same]
+            pos[live] = (pos[live] + 1) & self.mask
+        return out
+
+    def add(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remembers spans that differ from each other and from all entries."""
+        if self.n + len(keys) > self.most:
+            self.forget()
+            if len(keys) > self.most:
+                return
+        a, b = self.n, self.n + len(keys)
+        self.keys[a:b] = keys
+        self.at[a + 1 : b + 1] = self.at[a] + np.cumsum(lengths)
+        self.ids_at[a + 1 : b + 1] = self.ids_at[a] + np.cumsum(sizes)
+        owner, place = ragged(lengths)
+        self.blob = put(self.blob, self.at[a], data[starts[owner] + place])
+        self.ids = put(self.ids, self.ids_at[a], ids)
+        self.n = b
+        pos, left = (keys & U64(self.mask)).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            free = left[self.slots[pos[left]] < 0]
+            _, first = np.unique(pos[free], return_index=True)
+            self.slots[pos[free[first]]] = a + free[first]
+            left = left[self.slots[pos[left]] != a + left]
+            pos[left] = (pos[left] + 1) & self.mask
+
+
+def put(held: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """held with values from `at` on, in a larger array if need be."""
+    if at + len(values) > len(held):
+        held = np.concatenate([held, np.zeros(max(len(held), len(values)), held.dtype)])
+    held[at : at + len(values)] = values
+    return held
+
+
 class Codec:
     """A worker's encoder: the shared vocabulary, and what it remembers of misses."""
 
@@ -212,8 +293,7 @@ class Codec:
         raw, off = vocab.blob.tobytes(), vocab.offsets.tolist()
         self.ranks = {raw[off[i] : off[i + 1]]: i for i in np.flatnonzero(vocab.known).tolist()}
         self.longest = max(map(len, self.ranks))
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.memory = Memory(REMEMBERED)
         digits = [f"{i},".encode() for i in range(vocab.n_ids)]
         self.digit_blob = np.frombuffer(b"".join(digits), np.uint8)
         self.digit_offsets = np.cumsum([0, *map(len, digits)])
@@ -225,35 +305,38 @@ class Codec:
             return np.zeros(0, np.int32), np.zeros(len(bounds), np.int64)
         ends = np.append(starts[1:], len(data))
         keys = span_hashes(data, starts, ends)
-        ids = self.vocab.find(keys)
+        ids = self.vocab.find(keys, data, starts, ends)
         first = np.searchsorted(starts, bounds)
         miss = np.flatnonzero(ids < 0)
         if not len(miss):
             return ids.astype(np.int32), first
-        different, example, owner = np.unique(keys[miss], return_index=True, return_inverse=True)
-        raw, found = data.tobytes(), []
-        for key, a, b in zip(different.tolist(), starts[miss[example]].tolist(), ends[miss[example]].tolist()):
-            got = self.young.get(key)
-            if got is None:
-                got = self.old.get(key)
-                if got is None:
-                    got = array("i", merge(raw[a:b], self.ranks, self.longest)).tobytes()
-                if b - a < 64:
-                    self.young[key] = got
-            found.append(got)
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        lengths = np.array([len(x) for x in found]) // 4
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        lengths = ends - starts
+        example, owner = different(keys[miss], data, starts[miss], lengths[miss])
+        own_key, own_start, own_length = keys[miss[example]], starts[miss[example]], lengths[miss[example]]
+        entry = self.memory.find(own_key, data, own_start, own_length)
+        new = np.flatnonzero(entry < 0)
+        raw = data.tobytes()
+        made = [merge(raw[a : a + n], self.ranks, self.longest) for a, n in zip(own_start[new].tolist(), own_length[new].tolist())]
+        made_at = np.cumsum([0, *map(len, made)])
+        made = np.array([i for x in made for i in x], np.int32)
+        # Where the ids of each different miss stand: in the memory, or among those just made.
+        begins, counts = self.memory.ids_at[entry], self.memory.ids_at[entry + 1] - self.memory.ids_at[entry]
+        begins[new], counts[new] = made_at[:-1], np.diff(made_at)
         size = np.ones(len(ids), np.int64)
-        size[miss] = lengths[owner]
+        size[miss] = counts[owner]
         place = np.concatenate([[0], np.cumsum(size)])
         out = np.empty(place[-1], np.int32)
         hit = ids >= 0
         out[place[:-1][hit]] = ids[hit]
-        own = lengths[owner]
-        where = np.repeat(place[miss] - (np.cumsum(own) - own), own) + np.arange(own.sum())
-        out[where] = gather(np.frombuffer(b"".join(found), np.int32), offsets, owner)
+        fresh = (entry < 0)[owner]
+        for some, source in ((miss[~fresh], self.memory.ids), (miss[fresh], made)):
+            whose = owner[~fresh] if source is self.memory.ids else owner[fresh]
+            k, n = ragged(counts[whose])
+            out[place[some][k] + n] = source[begins[whose][k] + n]
+        keep = own_length[new] < 64
+        kept_ids = made if keep.all() else gather(made, made_at, np.flatnonzero(keep))
+        new = new[keep]
+        self.memory.add(own_key[new], data, own_start[new], own_length[new], kept_ids, counts[new])
         return out, place[first]
 
     def decode(self, ids: np.ndarray) -> np.ndarray:

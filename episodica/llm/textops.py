@@ -4,8 +4,8 @@ A piece is a run of whole documents of about a megabyte, or a part of one longer
 task follows neither the batch nor the longest text.
 """
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,25 +44,41 @@ def mixed_bits(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-BYTE_CODES = mixed_bits(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-BASE = 0x5851F42D4C957F2D
-
-
-@lru_cache(maxsize=2)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**j and its inverse modulo 2**64 for j < n."""
-    up, down = np.full(n, BASE, U64), np.full(n, pow(BASE, -1, 1 << 64), U64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
+MIX = U64(0x9E3779B97F4A7C15)
+KEY = U64(0x5851F42D4C957F2D)
+# A span of more bytes gets its hash from a keyed digest.
+LONG = 1 << 12
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: the same for equal bytes wherever they stand."""
-    n = len(data) + 1
-    up, down = powers(max(PIECE + 1, 1 << (n - 1).bit_length()) if n > PIECE + 1 else PIECE + 1)
-    sums = np.zeros(n, U64)
-    np.cumsum(BYTE_CODES[data] * up[: n - 1], out=sums[1:])
-    return mixed_bits((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """64-bit hashes of byte spans: the same for equal bytes wherever they stand.
+
+    Eight bytes after eight are mixed in by a step that is one-to-one in the hash so far and in the block and not linear in either. Spans of one
+    length up to eight bytes never collide; for others collisions are a matter of chance, whatever their structure."""
+    starts, ends = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
+    h = mixed_bits((ends - starts).astype(U64) * MIX + KEY)
+    live = np.flatnonzero((ends > starts) & (ends - starts <= LONG))
+    at = starts[live]
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    windows = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+    while len(live):
+        left = ends[live] - at
+        block = windows[at].view(U64).ravel() & MASKS[np.minimum(left, 8)]
+        h[live] = mixed_bits(h[live] * MIX ^ block)
+        more = left > 8
+        live, at = live[more], at[more] + 8
+    for k in np.flatnonzero(ends - starts > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, key=KEY.tobytes())
+        h[k] = np.frombuffer(digest.digest(), U64)[0]
+    return h
+
+
+def equal_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the spans of these lengths hold the same bytes."""
+    owner, place = ragged(lengths)
+    wrong = a[a_starts[owner] + place] != b[b_starts[owner] + place]
+    return np.bincount(owner[wrong], minlength=len(lengths)) == 0
 
 
 def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

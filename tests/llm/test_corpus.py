@@ -312,4 +312,4 @@ def test_pipeline(spark, sf):
 
 def test_every_operator_is_registered():
     names = {q.split("_")[0] for q in queries.QUERIES}
-    assert names == {f"op{n}" for n in range(1, 11)} and set(corpus_pipeline.QUERIES) == {"pipeline"}
+    assert names == {f"op{n}" for n in range(1, 14)} and set(corpus_pipeline.QUERIES) == {"pipeline"}

@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from episodica.llm import bpe, media, packing, rules
+from episodica.llm import bpe, jaccard, media, packing, rules
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -179,3 +179,35 @@ def test_packing_is_lossless(odd, reference):
         ids = reference.encode_ordinary(d.text or "")
         want.setdefault(d.doc_id, []).extend((s, ids[s : s + size]) for s in range(0, len(ids), size))
     assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items() if v}
+
+
+def thue_morse(n, swapped=False):
+    return "".join("ab"[(bin(i).count("1") + swapped) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_structured_words_are_told_apart(frame, reference, n):
+    """Two words on which polynomial hashes collide, in one piece and both orders: tokens and near copies keep them apart."""
+    words = [thue_morse(n), thue_morse(n, True)]
+    for order in (words, words[::-1]):
+        docs = frame(list(enumerate(order)))
+        got = {r.doc_id: r for r in bpe.digests(docs, PATH).collect()}
+        for k, text in enumerate(order):
+            ids = reference.encode_ordinary(text)
+            assert got[k].n_tokens == len(ids) and got[k].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+            assert got[k].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert {(r.doc_id, r.component_id) for r in jaccard.clusters(frame(list(enumerate(words)))).collect()} == {(0, 0), (1, 1)}
+
+
+def test_equal_hashes_of_different_bytes():
+    """With one hash for everything, misses, vocabulary entries and the memory still tell bytes apart."""
+    data = np.frombuffer(b"abcabdabcxyab", np.uint8)
+    starts, lengths = np.array([0, 3, 6, 9, 11]), np.array([3, 3, 3, 2, 2])
+    keys = np.zeros(5, np.uint64)
+    example, owner = bpe.different(keys, data, starts, lengths)
+    assert sorted(example.tolist()) == [0, 1, 3, 4] and example[owner].tolist() == [0, 1, 0, 3, 4]
+    memory = bpe.Memory(16)
+    memory.add(keys[:2], data, starts[:2], lengths[:2], np.array([1, 2, 3], np.int32), np.array([1, 2]))
+    assert memory.find(keys, data, starts, lengths).tolist() == [0, 1, 0, -1, -1]
+    memory.add(keys[3:], data, starts[3:], lengths[3:], np.array([4, 5], np.int32), np.array([1, 1]))
+    assert memory.find(keys, data, starts, lengths).tolist() == [0, 1, 0, 2, 3]
