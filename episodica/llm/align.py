@@ -46,7 +46,7 @@ PIECE = 1 << 20
 PAIRS = 1 << 22
 DENSE = 64
 # Words that a worker remembers, and that it aligns at once.
-REMEMBERED = 1 << 18
+REMEMBERED = 3 << 18
 WORDS = 1 << 14
 # Before a space behind a letter, a digit or a printable ASCII sign.
 CUT = re.compile(r"(?<=[\w!-/:-@\[-`{-~])(?= )")
