@@ -2,21 +2,23 @@
 
 Two documents link if the Jaccard likeness of their sets of five-word shingles reaches 0.8. Any two such sets share at
 least l tokens within prefixes that are l - 1 tokens longer than the shortest possible ones, under one order of all
-tokens. The order here: by hash, but tokens that many prefixes hold come later, which a bit map of fixed size tells.
-For each document the join chooses l by cost: every longer prefix means more posting-list entries to read, but the
-candidates, which must now share l tokens, become fewer; the number of entries divided by l bounds them.
+tokens. The order here is by frequency, rare tokens first: tokens of the lower part of the hash range come first, by the number of sets that
+hold them, then the others, which only sets with too few tokens in the lower part have in their prefixes at all. Counts come from one sort of the
+tokens; a token of one set takes a place in its prefix but never leaves the sort. For each document the join chooses l by cost: every longer prefix means more
+posting-list entries to read, but the candidates, which must now share l tokens, become fewer; the number of entries divided by l bounds them.
 
 Equal sets are one node from the start. Large groups of near copies would fill posting lists with pairs of one group, so
 links are looked for in rounds: first each document of a posting list is compared with the list's leader only; what is
-linked becomes one component; lists within one component are done. When the pairs between components are few, all of
-them that share enough prefix tokens, and whose parities don't rule it out, are compared. A pair within a component needs no comparison, a pair between
-components is never skipped: components come out exact.
+linked becomes one component; lists within one component are done. When there are no more pairs between components than entries, or rounds
+bring nothing more, all of them that share enough prefix tokens, and whose parities don't rule it out, are compared. A pair within a
+component needs no comparison, a pair between components is never skipped: components come out exact. Each round's links are merged as edges between
+the components found before, so that a group's links never pile up.
 
 Tokens and nodes are 64-bit hashes of shingles and of whole sets; a link is counted on the full sets of both texts.
 
 Cases: null, empty and wordless texts have an empty set and link with nothing; a text of fewer than five words is one
 shingle; rows with equal sets share a component, repeated ids included; a component without any non-null id has a null
-component_id; an empty table gives no rows. Texts are read whole.
+component_id; other columns aren't read, whatever their names; an empty table gives no rows. Texts are read whole.
 """
 
 from collections.abc import Iterator
@@ -25,21 +27,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from episodica.llm.common import cut, fresh_name, text_of
 from episodica.llm.textops import LOWER, U64, mixed_bits, span_hashes, text_parts, word_spans
 
 GRAM = 5
 MOST_MATCHES = 4
-# Tokens whose hash is below this share of its range are counted, and put later if many prefixes hold them.
+# Tokens whose hash is below this share of its range come first.
 COUNTED = 0.3
-FREQUENT = 12
-MAP_BITS = 26
-MOST_FREQUENT = 1 << 22
-COUNTS_PER_BUCKET = 1 << 21
-PAIRS_PER_ENTRY = 4
-MOST_ROUNDS = 8
+# Sets that make a token as frequent as the order tells.
+FREQUENT = 64
+PAIRS_PER_ENTRY = 1
+# Rounds go on while each leaves at most this share of the pairs between components.
+WORTH = 0.9
 PARITY_BITS = 512
 GROUP_ROWS = 128
 GROUP_PAIRS = 1000
@@ -108,18 +109,22 @@ def sets_of(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 SETS = StructType(
-    [StructField("n", LongType()), StructField("node", LongType()), StructField("parity", ArrayType(LongType())),
+    [StructField("n", LongType()), StructField("node", LongType()), StructField("n_low", LongType()), StructField("parity", ArrayType(LongType())),
      StructField("tokens", ArrayType(LongType()))]
 )
 
 
+def longest_prefix(n: np.ndarray) -> np.ndarray:
+    return np.minimum(n, n - at_least(n) + MOST_MATCHES)
+
+
 def sketch(text: Column) -> Column:
-    """(n, node, parity, tokens) of each text: the size and hash of its set, for each of PARITY_BITS whether an odd number
-    of its tokens fall on it, and as many of its lowest tokens as prefixes need."""
+    """(n, node, n_low, parity, tokens) of each text: the size and hash of its set, how many of its tokens are low ones, for each of
+    PARITY_BITS whether an odd number of its tokens fall on it, and the low tokens, or all where the longest prefix needs more."""
 
     def sketched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            n, node = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            n, node, n_low = (np.zeros(len(batch), np.int64) for _ in range(3))
             kept, lengths = [np.zeros(0, np.int64)], np.zeros(len(batch), np.int64)
             parity = np.zeros((len(batch), PARITY_BITS // 64), np.int64)
             for doc, token, first, end in shingle_sets(batch):
@@ -134,115 +139,90 @@ def sketch(text: Column) -> Column:
                 cell = (doc - first) * PARITY_BITS + (token & U64(PARITY_BITS - 1)).astype(np.int64)
                 odd = (np.bincount(cell, minlength=(end - first) * PARITY_BITS) & 1).astype(np.uint8)
                 parity[first:end] = np.packbits(odd).view(np.int64).reshape(end - first, -1)
-                place = np.arange(len(token)) - at[doc - first]
-                need = np.minimum(size, size - at_least(size) + MOST_MATCHES)
-                keep = (place < need[doc - first]) | (token < U64(int(COUNTED * 2**64)))
+                low = token < U64(int(COUNTED * 2**64))
+                n_low[first:end] = np.bincount(doc[low] - first, minlength=end - first)
+                keep = low | (n_low[first:end] < longest_prefix(size))[doc - first]
                 kept.append(token[keep].view(np.int64))
                 lengths[first:end] = np.bincount(doc[keep] - first, minlength=end - first)
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(offsets, np.concatenate(kept))
             at = np.arange(len(batch) + 1, dtype=np.int32) * (PARITY_BITS // 64)
             bits = pa.ListArray.from_arrays(at, parity.ravel())
-            yield pa.StructArray.from_arrays([pa.array(n), pa.array(node), bits, tokens], ["n", "node", "parity", "tokens"])
+            yield pa.StructArray.from_arrays([pa.array(n), pa.array(node), pa.array(n_low), bits, tokens], SETS.fieldNames())
 
     return F.arrow_udf(sketched, SETS)(text)
 
 
-def frequent_tokens(sets: DataFrame) -> np.ndarray:
-    """A bit map of fixed size that marks the counted tokens of many sets.
+HELD = StructType([StructField("token", LongType()), StructField("node", LongType()), StructField("sizes", LongType())])
+SHARED = StructType([*HELD.fields, StructField("df", LongType())])
 
-    Counts travel as packed arrays, one for each batch and bucket of hashes, added up within the batch; the number of
-    buckets grows with the corpus, and so does, in the end, the count that makes a token frequent: the map never fills."""
-    total = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    bits = min(30, max(4, int(total // COUNTS_PER_BUCKET).bit_length() + 2))
-    least = max(FREQUENT, total // MOST_FREQUENT)
-    limit = U64(int(COUNTED * 2**64))
-    packed = StructType([StructField("bucket", LongType()), StructField("cells", BinaryType()), StructField("counts", BinaryType())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            token = batch["tokens"].flatten().to_numpy().view(U64)
-            cell, n = np.unique(token[token < limit] >> U64(24), return_counts=True)
-            bucket = (cell >> U64(40 - bits)).astype(np.int64)
-            edge = np.flatnonzero(np.diff(bucket, prepend=-1))
-            ends = np.append(edge[1:], len(bucket))
-            cells = [cell[a:b].tobytes() if bits < 8 else (cell[a:b] & U64(0xFFFFFFFF)).astype(np.uint32).tobytes() for a, b in zip(edge, ends)]
-            counts = [n[a:b].astype(np.uint16).tobytes() for a, b in zip(edge, ends)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "cells", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        kind = np.uint64 if bits < 8 else np.uint32
-        cell = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table["cells"]])
-        n = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in table["counts"]])
-        different, owner = np.unique(cell, return_inverse=True)
-        often = different[np.bincount(owner, n) >= least]
-        return pa.table({"bits": pa.array((often & (kind(1 << MAP_BITS) - kind(1))).astype(np.int64))})
-
-    counted = sets.select("tokens").mapInArrow(count, packed).groupBy("bucket").applyInArrow(add, "bits long")
-    found = np.unique(counted.toArrow()["bits"].to_numpy())
-    table = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    np.bitwise_or.at(table, found >> 3, (1 << (found & 7)).astype(np.uint8))
-    return table
-
-
-ENTRIES = StructType([StructField("token", LongType()), StructField("node", LongType()), StructField("size_and_place", LongType())])
-
-
-def prefix_entries(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(token, node, size_and_place): the tokens of the longest prefix of each set, with their places in the order."""
-    shared = sets.sparkSession.sparkContext.broadcast(frequent)
-    limit = U64(int(COUNTED * 2**64))
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+def held_tokens(sets: DataFrame) -> DataFrame:
+    """(token, node, sizes): the tokens that can stand in prefixes; sizes holds n and n_low."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, one = np.unique(batch["node"].to_numpy(), return_index=True)
             part = batch.take(pa.array(one))
-            n, tokens = part["n"].to_numpy(), part["tokens"]
-            token = tokens.flatten().to_numpy().view(U64)
-            lengths = np.diff(tokens.offsets.to_numpy())
-            doc = np.repeat(np.arange(len(n)), lengths)
-            bit = ((token >> U64(24)) & U64((1 << MAP_BITS) - 1)).astype(np.int64)
-            low = token < limit
-            rank = np.where(low, (table[bit >> 3] >> (bit & 7)) & 1, 2)
-            order = np.lexsort((token, rank, doc))
-            token = token[order]
-            place = np.arange(len(token)) - (np.cumsum(lengths) - lengths)[doc]
-            keep = place < np.minimum(n, n - at_least(n) + MOST_MATCHES)[doc]
-            made = [token[keep].view(np.int64), node[doc[keep]], (n[doc] << 31 | place)[keep]]
+            lengths = np.diff(part["tokens"].offsets.to_numpy())
+            sizes = part["n"].to_numpy() << 31 | part["n_low"].to_numpy()
+            made = [part["tokens"].flatten().to_numpy(), np.repeat(node, lengths), np.repeat(sizes, lengths)]
             for a in range(0, max(1, len(made[0])), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 18)]) for c in made], ["token", "node", "size_and_place"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 18)]) for c in made], HELD.fieldNames())
 
-    return sets.filter("n > 0").select("n", "node", "tokens").mapInArrow(entries, ENTRIES)
+    return sets.filter("n > 0").select("n", "node", "n_low", "tokens").mapInArrow(held, HELD)
 
 
-def shared_entries(entries: DataFrame) -> DataFrame:
-    """The entries whose token at least two nodes have: one pass over each sorted partition, which holds back no more
-    than the first entry of a token."""
+def shared_tokens(held: DataFrame) -> DataFrame:
+    """The rows whose token at least two nodes have, with their number (FREQUENT at most): one pass over each sorted partition, which holds
+    back fewer than FREQUENT rows of a token."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("token", "node", "size_and_place")
-        last, given = None, False
+        nothing = [np.zeros(0, np.int64)] * 3
+        # Rows of the last token that may be too few; or the token that surely has enough, and its last row.
+        waiting, full, last = nothing, None, None
         for batch in batches:
-            columns = [batch[c].to_numpy() for c in names]
-            if last is not None:
-                columns = [np.concatenate([x, y]) for x, y in zip(last, columns)]
+            columns = [np.concatenate([x, batch[c].to_numpy()]) for x, c in zip(waiting, HELD.fieldNames())]
+            token, node, _ = columns
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+            new[:1] &= last is None or (token[:1] != last[0]) | (node[:1] != last[1])
+            columns = [c[new] for c in columns]
             token, node, _ = columns
             if not len(token):
                 continue
-            opens = np.diff(token, prepend=token[0] - 1) != 0
-            new = opens.copy()
-            new[1:] |= node[1:] != node[:-1]
-            run = np.cumsum(opens) - 1
-            shared = np.bincount(run, new) > 1
-            # The entry held back belongs to the first run; it may have been given out already.
-            shared[0] |= last is not None and given
-            out = shared[run] & new
-            out[0] &= not (last is not None and given)
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in columns], names)
-            last, given = [x[-1:] for x in columns], bool(shared[-1])
-
-    return entries.repartition("token").sortWithinPartitions("token", "node").mapInArrow(scan, ENTRIES)
+            opens = np.append(0, np.flatnonzero(token[1:] != token[:-1]) + 1)
+            lengths = np.diff(np.append(opens, len(token)))
+            df = np.minimum(lengths, FREQUENT)
+            if token[0] == full:
+                df[0] = FREQUENT
+            if df[-1] < FREQUENT:
+                end, waiting, full, last = opens[-1], [c[opens[-1] :] for c in columns], None, None
+            else:
+                end, waiting, full, last = len(token), nothing, token[-1], (token[-1], node[-1])
+            df = np.repeat(df, lengths)[:end]
+            yield pa.RecordBatch.from_arrays([pa.array(c[:end][df > 1]) for c in columns] + [pa.array(df[df > 1])], SHARED.fieldNames())
+        n = len(waiting[0])
+        if n > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in waiting] + [pa.array(np.full(n, n))], SHARED.fieldNames())
+
+    return held.repartition("token").sortWithinPartitions("token", "node").mapInArrow(scan, SHARED)
+
+
+def prefix_entries(sets: DataFrame) -> DataFrame:
+    """(token, node, n, place): the shared tokens of the longest prefix of each set, with their places in the order."""
+    low = (F.col("token") >= 0) & (F.col("token") < F.lit(int(COUNTED * 2**64)))
+    n, n_low = F.shiftright("sizes", 31), F.col("sizes").bitwiseAND(F.lit((1 << 31) - 1))
+    rows = shared_tokens(held_tokens(sets)).select("token", "node", "df", n.alias("n"), n_low.alias("n_low"), low.alias("low"))
+    own = Window.partitionBy("node")
+    rank = F.row_number().over(own.orderBy(F.desc("low"), "df", "token")) - 1
+    shared_low, shared = F.count_if(F.col("low")).over(own), F.count(F.lit(1)).over(own)
+    rows = rows.select("*", rank.alias("_r"), shared_low.alias("_low"), shared.alias("_all"))
+    # Tokens of this set alone come before the shared ones of their part.
+    before = F.when(F.col("low"), F.col("n_low") - F.col("_low")).otherwise(F.col("n") - F.col("_all"))
+    place = (F.col("_r") + before).alias("place")
+    longest = F.least("n", F.col("n") - F.floor((F.col("n") * 4 + 4) / 5) + MOST_MATCHES)
+    return rows.select("token", "node", "n", place).filter(F.col("place") < longest)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -264,10 +244,6 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def unpacked(entries: DataFrame) -> DataFrame:
-    return entries.select("token", "node", F.shiftright("size_and_place", 31).alias("n"), F.col("size_and_place").bitwiseAND(F.lit((1 << 31) - 1)).alias("place"))
-
-
 def sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * 5 >= F.greatest(a, b) * 4
 
@@ -321,6 +297,18 @@ def with_component(entries: DataFrame, comps: DataFrame | None) -> DataFrame:
     return entries.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after links (a, b) between nodes: the components found before are joined by one edge for all links of two of them."""
+    a = with_component(links.select(F.col("a").alias("node"), "b"), comps).select(F.col("component").alias("a"), F.col("b").alias("node"))
+    edges = with_component(a, comps).select("a", F.col("component").alias("b")).distinct()
+    step = components(edges)
+    if comps is None:
+        return step
+    moved = step.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    old = comps.join(moved, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return cut(old.unionByName(step), "components")
+
+
 def cross_pairs(entries: DataFrame) -> tuple[int, int]:
     """(entries of tokens with several components, pairs of them in different components), counted per posting list."""
     per = entries.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
@@ -384,36 +372,35 @@ def candidates(entries: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row_key, n, node, component) for every row of docs; row_key is a hash of id and text."""
+    """(doc_id, row_key, n, node, component) for every row of docs; row_key is a hash of id and text. Rows with empty sets have no component."""
     key = row_key(id_col, text_col)
     sets = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash"), key.alias("row_key"), sketch(F.col(text_col)).alias("s"))
     sets = cut(sets.select("doc_id", "text_hash", "row_key", "s.*"), "sets")
-    entries = cut(shared_entries(prefix_entries(sets, frequent_tokens(sets))), "entries")
-    entries = unpacked(entries)
+    entries = cut(prefix_entries(sets), "entries")
     names = sets.filter("n > 0").groupBy("node")
     names = cut(names.agg(F.min("text_hash").alias("text_hash"), F.first("parity").alias("parity")), "names")
-    sets = sets.select("doc_id", "text_hash", "row_key", "n", "node")
-    comps, links, tried, before = None, None, None, float("inf")
-    for turn in range(MOST_ROUNDS):
+    comps, tried, before, turn = None, None, float("inf"), 0
+    while True:
         mine = with_component(entries, comps)
         n_entries, n_pairs = cross_pairs(mine)
         # Another round must be needed, and the last one must have been worth it.
-        if n_pairs <= PAIRS_PER_ENTRY * n_entries or n_pairs > 0.9 * before:
+        if n_pairs <= PAIRS_PER_ENTRY * n_entries or n_pairs > WORTH * before:
             break
         before = n_pairs
         pairs = cut(leader_pairs(mine, turn, tried), "leaders")
         found = cut(compared(pairs, texts_of(docs, pairs, names, text_col)), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        comps = components(links)
+        comps, turn = merged(comps, found), turn + 1
     pairs = candidates(with_component(entries, comps), names.select("node", "parity"))
     if tried is not None:
         swapped = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
         pairs = pairs.join(tried.unionByName(swapped).distinct(), ["a", "b"], "left_anti")
     pairs = cut(pairs, "candidates")
     found = cut(compared(pairs, texts_of(docs, pairs, names, text_col)), "links")
-    comps = components(found if links is None else links.unionByName(found))
-    return with_component(sets, comps)
+    comps = merged(comps, found)
+    rows = sets.select("doc_id", "row_key", "n", "node")
+    empty = rows.filter("n = 0").withColumn("component", F.lit(None).cast("long"))
+    return with_component(rows.filter("n > 0"), comps).select(*empty.columns).unionByName(empty)
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -423,9 +410,12 @@ def row_key(id_col: str, text_col: str) -> Column:
 def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
     rows = linked(docs, id_col, text_col)
-    least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    # Of each set, then of each component the smallest id: rows meet one row of their set only.
+    nodes = rows.filter("n > 0").groupBy("node", "component").agg(F.min("doc_id").alias("own"))
+    least = nodes.groupBy("component").agg(F.min("own").alias("component_id"))
+    nodes = nodes.join(least, "component").select("node", "component_id")
+    full = rows.filter("n > 0").join(nodes, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return full.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
