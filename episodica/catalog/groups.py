@@ -105,18 +105,18 @@ def group_returns(spark, sf_dir):
 @query(
     "group_rewards_broadcast",
     f"""WITH {STEPS_SQL},
-rw AS (SELECT group_id, tick // 500 AS decision, tick, k AS amount, event_type = 'error' AS is_set FROM steps
-  WHERE event_type IN ('error', 'view') AND group_id > 0),
-s AS (SELECT *, coalesce(max(CASE WHEN is_set THEN tick END) OVER (PARTITION BY group_id, decision), -1) AS st FROM rw),
-a AS (SELECT group_id, decision, CAST(sum(amount) AS BIGINT) AS group_reward FROM s WHERE tick >= st GROUP BY 1, 2),
-m AS (SELECT DISTINCT group_id, agent_id FROM steps)
-SELECT m.agent_id, a.group_id, a.decision, a.group_reward FROM m JOIN a ON a.group_id = m.group_id""",
+rw AS (SELECT group_id, tick, k AS amount, event_type = 'error' AS is_set FROM steps WHERE event_type IN ('error', 'view') AND group_id > 0),
+d AS (SELECT group_id, agent_id, tick, coalesce(lag(tick) OVER (PARTITION BY group_id, agent_id ORDER BY tick), -1) AS a FROM steps
+  WHERE NOT is_terminal AND group_id > 0),
+s AS (SELECT d.*, r.tick AS rt, r.amount, max(CASE WHEN is_set THEN r.tick END) OVER (PARTITION BY d.group_id, d.agent_id, d.tick) AS st
+  FROM d LEFT JOIN rw r ON r.group_id = d.group_id AND r.tick > d.a AND r.tick <= d.tick)
+SELECT agent_id, group_id, tick, CAST(coalesce(sum(CASE WHEN rt >= coalesce(st, -1) THEN amount END), 0) AS BIGINT) AS group_reward
+FROM s GROUP BY ALL""",
 )
 def group_rewards_broadcast(spark, sf_dir):
-    st = steps(spark, sf_dir, "group_id", "agent_id", "tick", "k", "action")
-    rewards = st.filter(F.col("action").isin(1, 3) & (F.col("group_id") > 0)).select(
-        "group_id", F.floor(F.col("tick") / 500).alias("decision"), "tick", F.col("k").alias("amount"),
-        F.when(F.col("action") == 3, "set").otherwise("add").alias("op"),
+    st = steps(spark, sf_dir, "group_id", "agent_id", "tick", "k", "action", "is_terminal").filter(F.col("group_id") > 0)
+    rewards = st.filter(F.col("action").isin(1, 3)).select(
+        "group_id", "tick", F.col("k").alias("amount"), F.when(F.col("action") == 3, "set").otherwise("add").alias("op")
     )
-    members = st.select("group_id", "agent_id").distinct()
-    return G.broadcast_group_reward(rewards, members).select("agent_id", "group_id", "decision", "group_reward")
+    out = G.broadcast_group_reward(rewards, st.filter(~F.col("is_terminal")).select("group_id", "agent_id", "tick"))
+    return out.select("agent_id", "group_id", "tick", F.col("group_reward").cast("long").alias("group_reward"))

@@ -5,21 +5,18 @@ decision rows see everything of the tick, including mates that just ended. A mat
 forgotten after its tick. All of this is order on `2*tick + phase`, with a removal at `2*(tick+1)`.
 """
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from episodica.operators.sessions import order_key, sequenced
-from episodica.plans.folds import python_partitions
-from episodica.plans.lineage import join_stats
-from episodica.plans.ordered import block_of, block_width, prefix
+from episodica.plans.ordered import block_width, fill_forward, prefix
 from episodica.schema import AGENT, GROUP
 
 
 def statuses(steps: DataFrame, width: int | None = None) -> DataFrame:
-    """Experiences in the row that completes them: `prv` holds all columns of the step they began with."""
-    seq = sequenced(steps, behind=[c for c in steps.columns if c not in AGENT], width=width)
+    """Experiences in the row that completes them: `prv` holds all columns of the step they began with, `nxt` names the agent's next row."""
+    rest = [c for c in steps.columns if c not in AGENT]
+    seq = sequenced(steps, ahead=["tick", "is_terminal"], behind=rest, width=width)
     return seq.filter(F.col("i") > 0).withColumn("ord", order_key())
 
 
@@ -68,106 +65,59 @@ def group_totals(status: DataFrame, width: int | None = None) -> DataFrame:
     )
 
 
-def mate_lists(status: DataFrame, payload: list[str], emit: Column | None = None, width: int | None = None) -> DataFrame:
-    """The full status list of each row's mates, sorted by agent.
+# The binary digits by which buckets of a level are wider than those of the level below.
+WIDER = 2
 
-    Groups are cut into tick blocks; each block starts from the last status of every agent still
-    alive (one carried row per agent), then its rows stream through in order past a running map.
-    The map holds live members only; the output is the lists themselves, no pair rows.
-    """
-    gk = [c for c in GROUP]
-    width = block_width(status, width)
-    body = status.filter(F.col("group_id") > 0).select(
-        *gk,
-        block_of("tick", width).alias("b"),
-        "ord",
-        "agent_id",
-        "tick",
-        "is_terminal",
-        (F.lit(True) if emit is None else emit).alias("emit"),
-        F.struct("agent_id", *payload).alias("status"),
-    )
-    lasts = body.groupBy(*gk, "agent_id", "b").agg(
-        F.max_by(F.struct("tick", "is_terminal", "status"), F.col("ord")).alias("l")
-    )
-    ends = body.groupBy(*gk).agg(F.max("b").alias("_end"))
-    upto = F.coalesce(F.lead("b").over(Window.partitionBy(*gk, "agent_id").orderBy("b")), F.col("_end"))
-    carried = (
-        lasts.join(ends, gk)
-        .withColumn("_to", upto)
-        .filter(~F.col("l.is_terminal") & (F.col("_to") > F.col("b")))
-        .select(
-            *gk,
-            F.explode(F.sequence(F.col("b") + 1, F.col("_to"))).alias("b"),
-            F.lit(-1).cast("long").alias("ord"),
-            "agent_id",
-            "l.tick",
-            F.lit(False).alias("is_terminal"),
-            F.lit(False).alias("emit"),
-            "l.status",
-        )
-    )
-    laid_out = python_partitions(body.unionByName(carried), [*gk, "b"]).sortWithinPartitions(
-        *gk, "b", "ord", "agent_id"
+
+def level_of(length: Column) -> Column:
+    """The lowest level whose buckets are as wide as an interval of this length."""
+    digits = F.when(length > 1, F.length(F.bin(length - 1))).otherwise(0)
+    return F.floor((digits + WIDER - 1) / WIDER).cast("int")
+
+
+def bucket(position: Column, level: Column) -> Column:
+    return F.call_function("shiftright", position, level * WIDER)
+
+
+def mate_lists(status: DataFrame, payload: list[str], emit: Column | None = None) -> DataFrame:
+    """The status list of each row's group at its order point, sorted by agent, without the row's own status.
+
+    A status is valid from its order point until its agent's next one, or until the agent is forgotten. An interval meets the points of the one or two
+    buckets that it touches on the level of its length, whatever that is, so a silent agent is one row, and a fixed share of what meets
+    is valid. A list is built once for all rows of a point; each row takes its own status out of it."""
+    body = status.filter(F.col("group_id") > 0)
+    until = F.when(F.col("nxt").isNotNull(), F.col("nxt.tick") * 2 + F.when(F.col("nxt.is_terminal"), 0).otherwise(1)).when(
+        F.col("is_terminal"), F.col("tick") * 2 + 2
     )
-    kinds = {f.name: f.dataType for f in body.schema}
-    schema = T.StructType([T.StructField(c, kinds[c]) for c in [*gk, "agent_id", "ord"]])
-    schema = schema.add("group_status", T.ArrayType(kinds["status"]))
-    names = schema.fieldNames()
-    nk = len(gk)
-
-    def run(batches):
-        key, now, live, dead, waiting = None, None, {}, [], []
-        out, size = [], 0
-
-        def settle():
-            nonlocal size
-            for who, at in waiting:
-                mates = [s for a, s in sorted(live.items()) if a != who]
-                out.append((*key[:nk], who, at, mates))
-                size += len(mates) + 1
-            waiting.clear()
-
-        for pdf in batches:
-            for *k, order, agent, tick, terminal, wanted, status_ in pdf.itertuples(index=False, name=None):
-                if k != key:
-                    settle()
-                    key, now, live, dead = k, None, {}, []
-                elif (order, tick if order >= 0 else None) != now:
-                    settle()
-                moment = (order, tick if order >= 0 else None)
-                if moment != now and order >= 0:
-                    for t, a in [d for d in dead if d[0] < tick]:
-                        live.pop(a, None)
-                    dead = [d for d in dead if d[0] >= tick]
-                now = moment
-                live[agent] = status_
-                if terminal:
-                    dead.append((tick, agent))
-                if wanted:
-                    waiting.append((agent, order))
-                if size > 200_000:
-                    yield pd.DataFrame(out, columns=names)
-                    out, size = [], 0
-            # rows of the same moment may continue in the next batch: nothing is settled here
-        settle()
-        yield pd.DataFrame(out, columns=names)
-
-    return laid_out.mapInPandas(run, schema)
-
-
-def group_status(status: DataFrame, payload: list[str], width: int | None = None) -> DataFrame:
+    # Statuses that nothing ends are valid to the end of time; a tick number leaves two bits to spare.
+    until = F.coalesce(until, F.lit(1 << 62))
+    valid = body.select(*GROUP, F.col("ord").alias("_from"), until.alias("_to"), F.struct("agent_id", *payload).alias("_s"))
+    valid = valid.withColumn("_level", level_of(F.col("_to") - F.col("_from")))
+    first, last = bucket(F.col("_from"), F.col("_level")), bucket(F.col("_to") - 1, F.col("_level"))
+    # Only the bucket where it begins and the one where it ends.
+    valid = valid.withColumn("_bucket", F.explode(F.array_distinct(F.array(first, last))))
+    wanted = body if emit is None else body.filter(emit)
+    levels = valid.groupBy(*GROUP).agg(F.collect_set("_level").alias("_levels"))
+    points = wanted.select(*GROUP, "ord").distinct().join(levels, GROUP).withColumn("_level", F.explode("_levels")).drop("_levels")
+    points = points.withColumn("_bucket", bucket(F.col("ord"), F.col("_level")))
+    met = points.join(valid, [*GROUP, "_level", "_bucket"]).filter((F.col("_from") <= F.col("ord")) & (F.col("ord") < F.col("_to")))
+    lists = met.groupBy(*GROUP, "ord").agg(F.sort_array(F.collect_list("_s")).alias("_all"))
+    others = F.filter("_all", lambda m: m["agent_id"] != F.col("agent_id")).alias("group_status")
+    return wanted.select(*GROUP, "agent_id", "ord").join(lists, [*GROUP, "ord"]).select(*GROUP, "agent_id", "ord", others)
+
+
+def group_status(status: DataFrame, payload: list[str]) -> DataFrame:
     """Experience rows with the list of their mates' last statuses (empty outside a group)."""
-    lists = mate_lists(status, payload, width=width)
+    lists = mate_lists(status, payload)
     return status.join(lists, [*GROUP, "agent_id", "ord"], "left").withColumn(
         "group_status", F.coalesce("group_status", F.array().cast(lists.schema["group_status"].dataType))
     )
 
 
-def next_group_obs(status: DataFrame, horizon: int, obs: str, width: int | None = None) -> DataFrame:
+def next_group_obs(status: DataFrame, horizon: int, obs: str) -> DataFrame:
     """At the row that closes a trajectory: the current observation of every mate."""
     ends = F.col("is_terminal") | ((F.col("i") - 1) % horizon == horizon - 1)
-    return mate_lists(status, [obs], emit=ends, width=width).withColumnRenamed("group_status", "next_group_obs")
+    return mate_lists(status, [obs], emit=ends).withColumnRenamed("group_status", "next_group_obs")
 
 
 def group_returns(totals: DataFrame) -> DataFrame:
@@ -182,27 +132,24 @@ def group_returns(totals: DataFrame) -> DataFrame:
     )
 
 
-def broadcast_group_reward(
-    rewards: DataFrame, members: DataFrame, window: str = "decision", per_task: int = 10_000
-) -> DataFrame:
-    """Every registered member receives the group's reward: the last `set` plus later `add`s.
-
-    Rewards are reduced to one row per (group, window) before they meet the members.
-    """
-    keys = ["group_id", window]
-    sets = rewards.groupBy(*keys).agg(F.max(F.when(F.col("op") == "set", F.col("tick"))).alias("_set"))
-    amount = (
-        join_stats(rewards, sets, keys)
-        .filter(F.col("tick") >= F.coalesce("_set", F.lit(-1)))
-        .groupBy(*keys)
-        .agg(F.sum("amount").alias("group_reward"))
-    )
-    # A group with many windows is spread over salts; its members meet each of them once.
-    salts = amount.groupBy("group_id").agg(F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("_salts"))
-    spread = join_stats(amount, salts, ["group_id"]).withColumn(
-        "_salt", F.pmod(F.xxhash64(window), F.col("_salts")).cast("int")
-    )
-    copies = join_stats(members, salts, ["group_id"]).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
-    )
-    return copies.drop("_salts").join(spread.drop("_salts"), ["group_id", "_salt"]).drop("_salt")
+def broadcast_group_reward(rewards: DataFrame, decisions: DataFrame, width: int | None = None) -> DataFrame:
+    """What each member's decisions receive of the group's rewards: of those since its last decision, the last `set` plus later `add`s.
+
+    rewards: group_id, tick, op ('add'/'set'), amount; decisions: group_id, agent_id, tick. A reward of a decision's own tick belongs to it.
+    Rewards and decisions of a group stand in one order; running sums, and their value before the last `set`, tell every decision what it receives, so
+    the output is one row a decision and no member meets a reward."""
+    none = F.lit(None)
+    one = rewards.select(
+        "group_id", none.cast("long").alias("agent_id"), (F.col("tick") * 2).alias("_at"), F.col("amount").cast("double").alias("amount"),
+        (F.col("op") == "set").alias("_set"),
+    ).groupBy("group_id", "agent_id", "_at").agg(F.sum("amount").alias("amount"), F.max("_set").alias("_set"))
+    own = decisions.select("group_id", "agent_id", (F.col("tick") * 2 + 1).alias("_at"), F.lit(0.0).alias("amount"), F.lit(False).alias("_set"))
+    order = ["_at", "agent_id"]
+    summed = prefix(one.unionByName(own), ["group_id"], "_at", {"_sum": F.col("amount")}, order, width=width)
+    last_set = F.when(F.col("_set"), F.struct("_at", (F.col("_sum") - F.col("amount")).alias("before")))
+    known = fill_forward(summed, ["group_id"], "_at", {"_last": last_set}, width)
+    mine = known.filter(F.col("agent_id").isNotNull()).withColumn("is_terminal", F.lit(False)).withColumnRenamed("_at", "tick")
+    mine = sequenced(mine.select("group_id", "agent_id", "tick", "is_terminal", "_sum", "_last"), behind=["tick", "_sum"], keys=["group_id", "agent_id"], width=width)
+    fresh = F.col("_last").isNotNull() & (F.col("prv").isNull() | (F.col("_last._at") > F.col("prv.tick")))
+    base = F.when(fresh, F.col("_last.before")).otherwise(F.coalesce("prv._sum", F.lit(0.0)))
+    return mine.select("group_id", "agent_id", F.expr("tick div 2").alias("tick"), (F.col("_sum") - base).alias("group_reward"))

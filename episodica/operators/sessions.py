@@ -253,7 +253,8 @@ def fill_actions(ticks: DataFrame, action: str = "action", width: int | None = N
 def reward_since_decision(ticks: DataFrame, width: int | None = None) -> DataFrame:
     """Reward handed over at each decision: the last `set` since the previous one plus later `add`s.
 
-    Input: AGENT, tick, op ('add'/'set'), amount, is_decision. A decision row closes its interval.
+    Input: AGENT, tick, op ('add'/'set'), amount, is_decision. A decision row closes its interval. Of an interval each tick block
+    gives one row: its sum since its last `set`, and whether it has one; these rows are put together, so an agent that never decides stays spread.
     """
     numbered = prefix(
         ticks,
@@ -263,18 +264,27 @@ def reward_since_decision(ticks: DataFrame, width: int | None = None) -> DataFra
         inclusive=False,
         width=width,
     ).withColumnRenamed("_closed", "decision")
-    part = [*AGENT, "decision"]
+    numbered = numbered.withColumn("_b", block_of("tick", block_width(ticks, width)))
+    whole, part = [*AGENT, "decision"], [*AGENT, "decision", "_b"]
     last_set = F.max(F.when(F.col("op") == "set", F.col("tick"))).over(Window.partitionBy(*part))
-    return (
-        numbered.withColumn("_set", F.coalesce(last_set, F.lit(-1)))
-        .filter(F.col("tick") >= F.col("_set"))
+    blocks = (
+        numbered.withColumn("_set", last_set)
+        .filter(F.col("_set").isNull() | (F.col("tick") >= F.col("_set")))
         .groupBy(*part)
         .agg(
-            F.sum("amount").alias("reward"),
+            F.sum("amount").alias("amount"),
             F.max("tick").alias("tick"),
             F.max(F.col("is_decision").cast("int")).alias("closed"),
+            F.max("_set").alias("_set"),
         )
     )
+    last_block = F.max(F.when(F.col("_set").isNotNull(), F.col("_b"))).over(Window.partitionBy(*whole))
+    return (
+        blocks.withColumn("_last", last_block)
+        .filter(F.col("_last").isNull() | (F.col("_b") >= F.col("_last")))
+        .groupBy(*whole)
+        .agg(F.sum("amount").alias("reward"), F.max("tick").alias("tick"), F.max("closed").alias("closed"))
+    )
 
 
 def decision_ticks(df: DataFrame, period: int, offset: int = 0) -> DataFrame:

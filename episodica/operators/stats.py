@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episodica.plans.ordered import prefix, with_halo
+from episodica.plans.ordered import prefix, total_order, with_halo
 from episodica.plans.folds import threshold_resets
 from episodica.schema import AGENT
 from pyspark.sql import Window
@@ -225,7 +225,7 @@ def reward_gate(episodes: DataFrame, n: int, threshold: float, keys: list[str] |
     The rank filter is a group limit: each task keeps at most n rows per key before the shuffle.
     """
     keys = keys or TRAINER
-    w = Window.partitionBy(*keys).orderBy(F.col("end_tick").desc())
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in total_order(episodes, keys, "end_tick")])
     return (
         episodes.withColumn("_r", F.row_number().over(w))
         .filter(F.col("_r") <= n)

@@ -88,15 +88,16 @@ def prefix(
 def fill_forward(
     df: DataFrame, keys: list[str], position: str, cols: dict[str, Column], width: int | None = None
 ) -> DataFrame:
-    """Last non-null value at or before each row, per key."""
+    """Last non-null value at or before each row, per key. Rows at one position stand in their total order, terminal ones first."""
     blocked = _blocked(df, keys, position, width)
     bk = [*keys, "_b"]
-    local_w = Window.partitionBy(*bk).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    order = [F.col(c) for c in total_order(df, keys, position)]
+    if "is_terminal" in df.columns:
+        order.insert(1, ~F.col("is_terminal"))
+    local_w = Window.partitionBy(*bk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.struct(*[c.alias(f"_{k}") for k, c in enumerate(order)])
     lasts = blocked.groupBy(*bk).agg(
-        *[
-            F.max_by(c, F.when(c.isNotNull(), F.col(position))).alias(f"_t_{a}")
-            for a, c in cols.items()
-        ]
+        *[F.max_by(c, F.when(c.isNotNull(), rank)).alias(f"_t_{a}") for a, c in cols.items()]
     )
     carry_w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = lasts.select(

@@ -54,7 +54,7 @@ def test_against_walk(spark, seed, width):
     rows = world(seed)
     want = walk(rows)
     st = G.statuses(spark.createDataFrame(rows, SCHEMA), width).withColumn("prev_k", F.col("prv.k"))
-    lists = G.group_status(st, ["prev_k", "reward", "is_terminal"], width).collect()
+    lists = G.group_status(st, ["prev_k", "reward", "is_terminal"]).collect()
     assert len(lists) == len(want)
     for r in lists:
         got = sorted(tuple(m) for m in r.group_status)
@@ -64,3 +64,30 @@ def test_against_walk(spark, seed, width):
         assert r.n_mates == len(mates) and r.n_done_mates == sum(m[3] for m in mates)
         assert r.mates_reward == pytest.approx(sum(m[2] for m in mates))
         assert r.group_done == all(m[3] for m in mates)
+
+
+@pytest.mark.parametrize("seed,width", [(1, 3), (2, 1 << 18)])
+def test_group_rewards_reach_decisions(spark, seed, width):
+    """Every decision receives what its group was given since the agent's last one; a `set` forgets what came before it."""
+    rng = random.Random(seed)
+    rewards = [(g, t, rng.choice(["add", "add", "set"]), float(rng.randrange(-5, 9))) for g in (1, 2) for t in range(60) if rng.random() < 0.4]
+    decisions = [(1 + a % 2, a, t) for a in range(5) for t in range(60) if rng.random() < (0.3 if a else 0.05)]
+    got = G.broadcast_group_reward(
+        spark.createDataFrame(rewards, "group_id int, tick long, op string, amount double"),
+        spark.createDataFrame(decisions, "group_id int, agent_id long, tick long"), width,
+    ).collect()
+    want, last = {}, {}
+    for g, a, t in sorted(decisions, key=lambda d: d[2]):
+        total = 0.0
+        for _, _, op, x in sorted((r for r in rewards if r[0] == g and last.get(a, -1) < r[1] <= t), key=lambda r: r[1]):
+            total = x if op == "set" else total + x
+        want[(a, t)], last[a] = total, t
+    assert {(r.agent_id, r.tick): r.group_reward for r in got} == pytest.approx(want) and len(got) == len(want)
+
+
+def test_interval_levels(spark):
+    """An interval touches one or two buckets of its level; the longest ones have a level too."""
+    rows = [(f, f + n) for f in (0, 1, 63, 64, 1000, 4095) for n in (1, 2, 4, 5, 16, 17, 1000)] + [(5, 1 << 62)]
+    df = spark.createDataFrame(rows, "a long, b long").withColumn("level", G.level_of(F.col("b") - F.col("a")))
+    for r in df.select("*", G.bucket(F.col("a"), F.col("level")).alias("x"), G.bucket(F.col("b") - 1, F.col("level")).alias("y")).collect():
+        assert 0 <= r.y - r.x <= 1 and 4**r.level >= r.b - r.a
