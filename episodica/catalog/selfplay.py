@@ -178,6 +178,22 @@ def learning_teams(spark, sf_dir):
     return ghosts
 
 
+def ladder_sql(window):
+    """Ratings after each result of res (name, m, snapshots, slot, result), m counting a name's results from 1."""
+    return f"""lad AS (
+  SELECT DISTINCT name, 0::BIGINT AS m, 0::BIGINT AS slot, 0::BIGINT AS taken, 0.0::DOUBLE AS change, 1200.0::DOUBLE AS own,
+    1200.0::DOUBLE AS other, [1200.0 FOR i IN range({window})]::DOUBLE[] AS rt FROM res
+  UNION ALL
+  SELECT name, m, slot, snapshots, change, CASE WHEN slot >= 0 THEN own + change ELSE own END,
+    CASE WHEN slot >= 0 THEN other - change ELSE other END,
+    list_transform(rt, lambda x, i: CASE WHEN i = slot + 1 THEN x - change ELSE x END) FROM (
+    SELECT *, result - 1 / (1 + power(10.0::DOUBLE, (other - own) / 400)) AS change FROM (
+      SELECT *, CASE WHEN slot < 0 THEN own ELSE rt[slot + 1] END AS other FROM (
+        SELECT r.name, r.m, r.slot, r.snapshots, r.result, lad.own, list_transform(lad.rt, lambda x, i: CASE WHEN r.snapshots - lad.taken >= {window}
+            OR (i - 1 - lad.taken % {window} + {window}) % {window} < r.snapshots - lad.taken THEN lad.own ELSE x END) AS rt
+        FROM lad JOIN res r ON r.name = lad.name AND r.m = lad.m + 1))))"""
+
+
 # Sixteen neighbouring agents are one arena: a league of its own, so that leagues grow with the log.
 ARENA = 16
 
@@ -191,21 +207,9 @@ res AS (SELECT d.name, d.behavior_id, d.agent_id, d.arrival, d.snapshots, d.slot
     CASE WHEN final_reward > 0 THEN 1.0::DOUBLE WHEN final_reward < 0 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS result,
     row_number() OVER (PARTITION BY d.name ORDER BY d.n) AS m
   FROM drawn d JOIN fin USING (behavior_id, worker_id, agent_id, episode, segment) WHERE mine AND done AND NOT interrupted),
-lad AS (
-  SELECT DISTINCT name, 0::BIGINT AS m, ''::VARCHAR AS behavior_id, 0::BIGINT AS agent_id, 0::BIGINT AS arrival, 0::BIGINT AS slot,
-    0::BIGINT AS taken, 0.0::DOUBLE AS change, 1200.0::DOUBLE AS own, 1200.0::DOUBLE AS other,
-    [1200.0 FOR i IN range({PLAN.window})]::DOUBLE[] AS rt FROM res
-  UNION ALL
-  SELECT name, m, behavior_id, agent_id, arrival, slot, snapshots, change, CASE WHEN slot >= 0 THEN own + change ELSE own END,
-    CASE WHEN slot >= 0 THEN other - change ELSE other END,
-    list_transform(rt, lambda x, i: CASE WHEN i = slot + 1 THEN x - change ELSE x END) FROM (
-    SELECT *, result - 1 / (1 + power(10.0::DOUBLE, (other - own) / 400)) AS change FROM (
-      SELECT *, CASE WHEN slot < 0 THEN own ELSE rt[slot + 1] END AS other FROM (
-        SELECT r.*, lad.own, list_transform(lad.rt, lambda x, i: CASE WHEN r.snapshots - lad.taken >= {PLAN.window}
-            OR (i - 1 - lad.taken % {PLAN.window} + {PLAN.window}) % {PLAN.window} < r.snapshots - lad.taken THEN lad.own ELSE x END) AS rt
-        FROM lad JOIN res r ON r.name = lad.name AND r.m = lad.m + 1))))
-SELECT behavior_id, agent_id, arrival, slot, {r('change')} AS change, {r('own')} AS rating, {r('other')} AS opponent_rating
-FROM lad WHERE m > 0""",
+{ladder_sql(PLAN.window)}
+SELECT behavior_id, agent_id, arrival, res.slot, {r('change')} AS change, {r('own')} AS rating, {r('other')} AS opponent_rating
+FROM lad JOIN res USING (name, m)""",
 )
 def elo_ratings(spark, sf_dir):
     traj = final_trajectories(spark, sf_dir, "group_reward")

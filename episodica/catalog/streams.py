@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from episodica.catalog import SQL, STEPS_SQL, experiences_sql, query, r, table
-from episodica.catalog import reporting, selfplay
+from episodica.catalog import files, reporting, selfplay
 from episodica.functions.numbers import steady
 from episodica.plans.lineage import fresh_dir
+from episodica.schema import STAT_EVENTS
+from episodica.sources import logs
 from episodica.sources.steps import instant, steps_from_events
 from episodica.streaming import agents, folds
 from episodica.streaming import stats as SS
@@ -18,19 +20,22 @@ def live_events(spark, sf_dir):
 
 
 BATCHES = 4
-# The micro-batch that brings an event: quarters of the range of ids.
-BATCH_SQL = f"""CAST((event_id - (SELECT min(event_id) FROM events)) * {BATCHES}
-  // ((SELECT max(event_id) FROM events) - (SELECT min(event_id) FROM events) + 1) AS BIGINT)"""
+# The micro-batch that brings an event: quarters of the range of ids, events without one in the last.
+BATCH_SQL = f"""coalesce(CAST((event_id - (SELECT min(event_id) FROM events)) * {BATCHES}
+  // ((SELECT max(event_id) FROM events) - (SELECT min(event_id) FROM events) + 1) AS BIGINT), {BATCHES - 1})"""
+ROWS_PER_FILE = 100_000
 
 
 def batched_events(spark, sf_dir):
-    """The event log as one file after another, one of them for each micro-batch."""
+    """The event log as files that come in as many micro-batches: each batch admits the files of one part, written by as many tasks as its rows ask for."""
     ev, path = table(spark, sf_dir, "events"), fresh_dir(spark, "live")
-    low, high = ev.agg(F.min("event_id"), F.max("event_id")).first()
-    part = F.floor((F.col("event_id") - low) * BATCHES / (high - low + 1))
+    low, high, n = ev.agg(F.min("event_id"), F.max("event_id"), F.count(F.lit(1))).first()
+    last = F.lit(BATCHES - 1)
+    part = last if low is None else F.coalesce(F.floor((F.col("event_id") - low) * BATCHES / (high - low + 1)).cast("int"), last)
+    files = max(1, n // (BATCHES * ROWS_PER_FILE))
     for k in range(BATCHES):
-        ev.filter(part == k).coalesce(1).write.mode("append").parquet(path)
-    return stream_steps(spark, path, schema=ev.schema, per_trigger=1)
+        ev.filter(part == k).repartition(files).write.mode("append").parquet(path)
+    return stream_steps(spark, path, schema=ev.schema, per_trigger=files)
 
 
 def live_steps(spark, sf_dir, *columns, batched=False):
@@ -46,14 +51,47 @@ SELECT e.agent_id, e.episode, e.segment, i, tick, next_tick, {r('reward')} AS re
 FROM exps e JOIN t ON t.agent_id = e.agent_id AND t.episode = e.episode AND t.segment = e.segment""",
 )
 def stream_trajectories(spark, sf_dir):
-    st = live_steps(spark, sf_dir, "behavior_id", "worker_id", "agent_id", "tick", "is_terminal", "interrupted", "reward", "k")
-    out = run_available(agents.stream_trajectories(st, 4, {"k": "long"}))
+    st = live_steps(spark, sf_dir, *LIVE, "k", batched=True)
+    return assembled(agents.stream_trajectories(st, 4, {"k": "long"}))
+
+
+LIVE = ("behavior_id", "worker_id", "agent_id", "tick", "is_terminal", "interrupted", "reward")
+
+
+def assembled(stream):
+    out = run_available(stream)
     return out.select(
         "agent_id", "episode", "segment", "i", "tick", "next_tick", steady("reward").alias("reward"),
         F.col("done").cast("int").alias("done"), "k", "next_k",
     )
 
 
+@query(
+    "stream_trajectories_with_resets",
+    f"""WITH {STEPS_SQL},
+edge AS (SELECT min(event_id) AS low, max(event_id) - min(event_id) + 1 AS span FROM events),
+resets AS (SELECT w.range AS worker_id, low + (span * b.range + {BATCHES - 1}) // {BATCHES} AS tick FROM edge, range(4) w, range(1, {BATCHES}) b
+  WHERE w.range <> 1 AND (w.range + b.range) % 2 = 0),
+e AS (SELECT *, (SELECT count(*) FROM resets r WHERE r.worker_id = s.worker_id AND r.tick <= s.tick) AS epoch FROM steps s),
+numbered AS (SELECT *, CAST(epoch + coalesce(sum(CAST(is_terminal AS INT)) OVER (PARTITION BY agent_id ORDER BY tick
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS episode FROM e),
+seq AS (SELECT *, row_number() OVER w - 1 AS i, lead(tick) OVER w AS next_tick, lead(reward) OVER w AS r1, lead(is_terminal) OVER w AS done,
+  lead(k) OVER w AS next_k FROM numbered WINDOW w AS (PARTITION BY agent_id, episode ORDER BY tick)),
+x AS (SELECT *, i // 4 AS segment FROM seq WHERE next_tick IS NOT NULL),
+t AS (SELECT agent_id, episode, segment FROM x GROUP BY ALL HAVING bool_or(done) OR count(*) >= 4)
+SELECT agent_id, episode, segment, i, tick, next_tick, {r('r1')} AS reward, CAST(done AS INT) AS done, k, next_k FROM x JOIN t USING (agent_id, episode, segment)""",
+)
+def stream_trajectories_with_resets(spark, sf_dir):
+    """Some workers are reset between micro-batches: what their agents had open is dropped."""
+    low, high = table(spark, sf_dir, "events").agg(F.min("event_id"), F.max("event_id")).first()
+    ticks = [] if low is None else [(w, low + ((high - low + 1) * b + BATCHES - 1) // BATCHES) for w in range(4) for b in range(1, BATCHES) if w != 1 and (w + b) % 2 == 0]
+    path = fresh_dir(spark, "resets")
+    spark.createDataFrame(ticks, "worker_id int, tick long").write.parquet(path)
+    resets = spark.read.schema("worker_id int, tick long").parquet(path)
+    st = agents.with_epoch(live_steps(spark, sf_dir, *LIVE, "k", batched=True), resets)
+    return assembled(agents.stream_trajectories(st, 4, {"k": "long"}))
+
+
 @query(
     "stream_episode_returns",
     f"""WITH {experiences_sql(64)} SELECT agent_id, episode, {r('sum(reward)')} AS episode_return,
@@ -70,7 +108,7 @@ def stream_episode_returns(spark, sf_dir):
     None,
 )
 def stream_lessons(spark, sf_dir):
-    st = live_steps(spark, sf_dir, "agent_id", "tick", "reward").select(
+    st = live_steps(spark, sf_dir, "agent_id", "tick", "reward", batched=True).select(
         F.col("agent_id").cast("string").alias("run"), F.col("tick").alias("seq"), F.lit("b").alias("behavior"),
         (F.col("tick") / 10000.0).alias("progress"), F.col("reward").alias("episode_return"),
     )
@@ -94,6 +132,45 @@ def stream_ratings(spark, sf_dir):
     )
 
 
+@query(
+    "stream_ladder_ratings",
+    f"""WITH RECURSIVE {STEPS_SQL},
+res AS (SELECT agent_id AS name, tick, 1 + tick // 500 AS snapshots, CASE WHEN k % 3 = 0 THEN -1 ELSE action % least(1 + tick // 500, 4) END AS slot,
+  CASE WHEN (reward - 0.5::DOUBLE) + group_reward > 0 THEN 1.0::DOUBLE WHEN (reward - 0.5::DOUBLE) + group_reward < 0 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS result,
+  row_number() OVER (PARTITION BY agent_id ORDER BY tick) AS m FROM steps),
+{selfplay.ladder_sql(4)}
+SELECT name AS league, tick AS seq, CAST(res.slot AS BIGINT) AS slot, {r('change')} AS change, {r('own')} AS rating, {r('other')} AS opponent_rating
+FROM lad JOIN res USING (name, m)""",
+)
+def stream_ladder_ratings(spark, sf_dir):
+    """Steps read as rated results, by the ladder's rules, over several micro-batches."""
+    st = live_steps(spark, sf_dir, "agent_id", "tick", "action", "k", "reward", "group_reward", batched=True)
+    snapshots = F.expr("1 + tick div 500")
+    slot = F.when(F.col("k") % 3 == 0, -1).otherwise(F.col("action") % F.least(snapshots, F.lit(4))).cast("long")
+    results = st.select(
+        F.col("agent_id").alias("league"), F.col("tick").alias("seq"), snapshots.cast("long").alias("snapshots"), slot.alias("slot"),
+        (F.col("reward") - 0.5).alias("final_reward"), F.col("group_reward").alias("final_group_reward"),
+    )
+    out = run_available(folds.stream_ladder(results, 4))
+    return out.select("league", "seq", "slot", *[steady(c).alias(c) for c in ("change", "rating", "opponent_rating")])
+
+
+@query(
+    "stream_stat_events",
+    """WITH e AS (SELECT *, CASE event_type WHEN 'view' THEN 'MOST_RECENT' WHEN 'signup' THEN 'SUM' WHEN 'error' THEN 'MEDIAN' ELSE 'AVERAGE' END AS method FROM events)
+SELECT 'b' || (user_id % 3) AS category, method, CAST(method <> 'MEDIAN' AS INT) AS known, count(*) AS num, CAST(sum(event_id) AS BIGINT) AS seqs
+FROM e GROUP BY ALL""",
+)
+def stream_stat_events(spark, sf_dir):
+    """Live metric events, some files admitted at a time; events of unknown methods go to a table of their own."""
+    path, good, bad = (fresh_dir(spark, x) for x in ("stat-events", "known", "put-aside"))
+    for k in range(2):
+        files.write_stat_events(spark, sf_dir, path, F.coalesce(F.col("event_id"), F.lit(0)) % 2 == k)
+    run_batches(logs.read_stat_events(spark, path, "json", stream=True, unknown="keep", per_trigger=1), SS.known_and_unknown(good, bad))
+    both = spark.read.parquet(good).withColumn("known", F.lit(1)).unionByName(spark.read.schema(STAT_EVENTS).parquet(bad).withColumn("known", F.lit(0)))
+    return both.groupBy("category", "method", "known").agg(F.count(F.lit(1)).alias("num"), F.sum("seq").alias("seqs"))
+
+
 def live_stat_events(spark, sf_dir, batched=False):
     ev = batched_events(spark, sf_dir) if batched else live_events(spark, sf_dir)
     pairs = [F.lit(x) for kv in reporting.EVENT_METHODS.items() for x in kv]

@@ -239,28 +239,11 @@ def ladder(results: DataFrame, window: int, order: list[str], k: float = 1.0, in
     cols = results.select(*names)
     group = "final_group_reward" in names
 
-    def taken(state: dict, trainer, snapshots: int) -> dict:
-        s = state.setdefault(trainer, {"own": initial, "slots": {}, "taken": 0})
-        # Only the last `window` of snapshots that were missed are still in their slots.
-        for n in range(max(s["taken"], snapshots - window), snapshots):
-            s["slots"][n % window] = s["own"]
-        s["taken"] = max(s["taken"], snapshots)
-        return s
-
     def step(state, row):
-        mine = taken(state, row.trainer if asymmetric else None, row.snapshots)
-        other = taken(state, row.opponent_trainer, row.opponent_snapshots) if asymmetric else mine
-        rating = other["own"] if row.slot < 0 else other["slots"].get(row.slot, initial)
         final = row.final_reward + (row.final_group_reward if group else 0.0)
-        result = 1.0 if final > 0 else 0.0 if final < 0 else 0.5
-        change = k * (result - 1.0 / (1.0 + 10.0 ** ((rating - mine["own"]) / RATING_SCALE)))
-        if row.slot >= 0:
-            mine["own"] += change
-            other["slots"][row.slot] = rating - change
-        elif other is not mine:
-            mine["own"] += change
-            other["own"] -= change
-        return [(*row, change, mine["own"], other["own"] if row.slot < 0 else other["slots"][row.slot])]
+        mine = row.trainer if asymmetric else ""
+        other = (row.opponent_trainer, row.opponent_snapshots) if asymmetric else ("", row.snapshots)
+        return [(*row, *ladder_step(state, mine, row.snapshots, *other, row.slot, final, window, k, initial))]
 
     schema = T.StructType([cols.schema[c] for c in cols.columns])
     for c in ("change", "rating", "opponent_rating"):
@@ -268,6 +251,33 @@ def ladder(results: DataFrame, window: int, order: list[str], k: float = 1.0, in
     return ordered_fold(cols, ["league"], order, dict, step, schema)
 
 
+def ladder_step(
+    state: dict, trainer: str, snapshots: int, opponent: str, opponent_snapshots: int, slot: int, final: float, window: int, k: float, initial: float
+) -> tuple[float, float, float]:
+    """One rated result: (change, the learner's rating, its opponent's). state holds own, slots (by number) and taken of each trainer."""
+
+    def taken(name, n_taken):
+        s = state.setdefault(name, {"own": initial, "slots": {}, "taken": 0})
+        # Only the last `window` of snapshots that were missed are still in their slots.
+        for n in range(max(s["taken"], n_taken - window), n_taken):
+            s["slots"][n % window] = s["own"]
+        s["taken"] = max(s["taken"], n_taken)
+        return s
+
+    mine, other = taken(trainer, int(snapshots)), taken(opponent, int(opponent_snapshots))
+    slot = int(slot)
+    rating = other["own"] if slot < 0 else other["slots"].get(slot, initial)
+    result = 1.0 if final > 0 else 0.0 if final < 0 else 0.5
+    change = k * (result - 1.0 / (1.0 + 10.0 ** ((rating - mine["own"]) / RATING_SCALE)))
+    if slot >= 0:
+        mine["own"] += change
+        other["slots"][slot] = rating - change
+    elif other is not mine:
+        mine["own"] += change
+        other["own"] -= change
+    return change, mine["own"], other["own"] if slot < 0 else other["slots"][slot]
+
+
 def named_teams(traj: DataFrame) -> DataFrame:
     return traj.withColumn("name", behavior_name("behavior_id")).withColumn("team", behavior_team("behavior_id"))
 

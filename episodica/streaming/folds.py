@@ -12,6 +12,7 @@ from episodica.operators.selfplay import (
     LESSON_SCHEMA,
     Curriculum,
     buffer_size,
+    ladder_step,
     lesson_state,
     lesson_step,
     rating_step,
@@ -83,3 +84,36 @@ def stream_elo(matches: DataFrame, k: float = 1.0, initial: float = INITIAL_RATI
         f"league {league}, seq long, slot int, opponent_slot int, change double, rating double, opponent_rating double"
     )
     return cols.groupBy("league").transformWithStateInPandas(RatingKeeper(k, initial), schema, "Append", "None")
+
+
+class LadderKeeper(StatefulProcessor):
+    """Ratings by the rules of `operators.selfplay.ladder`; a league's state is one number for each slot."""
+
+    def __init__(self, window: int, k: float, initial: float):
+        self.window, self.k, self.initial = window, k, initial
+
+    def init(self, handle):
+        self.saved = handle.getValueState("ladder", "state string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        state = {}
+        if self.saved.exists():
+            state = json.loads(self.saved.get()[0])
+            for s in state.values():
+                s["slots"] = {int(n): x for n, x in s["slots"].items()}
+        out = []
+        for row in _sorted(rows).itertuples(index=False):
+            args = ("", row.snapshots, "", row.snapshots, row.slot, row.final_reward + row.final_group_reward)
+            out.append((row.league, row.seq, row.slot, *ladder_step(state, *args, self.window, self.k, self.initial)))
+        self.saved.update((json.dumps(state),))
+        yield pd.DataFrame(out, columns=["league", "seq", "slot", "change", "rating", "opponent_rating"])
+
+    def close(self):
+        pass
+
+
+def stream_ladder(results: DataFrame, window: int, k: float = 1.0, initial: float = INITIAL_RATING) -> DataFrame:
+    """Rating history on a stream of rated results: league, seq, snapshots, slot, final_reward, final_group_reward."""
+    cols = results.select("league", "seq", "snapshots", "slot", "final_reward", "final_group_reward")
+    schema = f"league {dict(cols.dtypes)['league']}, seq long, slot long, change double, rating double, opponent_rating double"
+    return cols.groupBy("league").transformWithStateInPandas(LadderKeeper(window, k, initial), schema, "Append", "None")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from episodica.operators.replay import truncate_replay
 from episodica.plans.lineage import discard
 from episodica.operators.stats import environment_events, summarise_stats
+from episodica.sources.logs import split_methods
 
 
 def stream_stats(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -74,3 +75,13 @@ def load_stream_replay(spark: SparkSession, path: str, generation: int | None =
     rows = spark.read.option("basePath", path).parquet(f"{path}/generation=*")
     newest = F.lit(generation) if generation is not None else rows.agg(F.max("generation")).scalar()
     return rows.filter(F.col("generation") == newest).drop("generation", "batch")
+
+
+def known_and_unknown(good: str, bad: str):
+    """foreachBatch handler: metric events of known methods into one table, the others into another (a repeated batch overwrites its own rows)."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        for rows, path in zip(split_methods(batch), (good, bad)):
+            rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return handle

@@ -99,3 +99,25 @@ def test_replay_store_compacts(spark, tmp_path):
     run_batches(live, SS.replay_writer(path, 25, 5, every=3))
     got = sorted(r.tick for r in SS.load_stream_replay(spark, path).collect())
     assert got == list(range(20, 60))  # newest 20 of the first four batches, then two more batches
+
+
+def test_a_workers_reset_reaches_its_agents(spark, tmp_path):
+    """Worker 0 is reset between two batches: both its agents lose what they had open, worker 1's goes on."""
+    data = [("b", w, a, t, False, False, 1.0, t, False) for t in range(12) for w, a in ((0, 1), (0, 2), (1, 3))]
+    live = files(spark, tmp_path / "in", data, SCHEMA, parts=2)
+    resets = spark.createDataFrame([(0, 6)], "worker_id int, tick long")
+    got = run_available(agents.stream_trajectories(agents.with_epoch(live.drop("is_reset"), resets), 4)).collect()
+    by_agent = {a: sorted((r.episode, r.tick) for r in got if r.agent_id == a) for a in (1, 2, 3)}
+    assert by_agent[1] == by_agent[2] == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 6), (1, 7), (1, 8), (1, 9)]
+    assert by_agent[3] == [(0, t) for t in range(8)]
+
+
+def test_ladder_on_a_stream(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [("l%d" % (n % 2), n, 1 + n // 15, rng.randrange(-1, min(1 + n // 15, 3)), rng.choice([-1.0, 0.0, 1.0]), 0.25) for n in range(160)]
+    schema = "league string, seq long, snapshots long, slot long, final_reward double, final_group_reward double"
+    live = files(spark, tmp_path / "in", rows, schema, order=1)
+    got = {(r.league, r.seq): (r.change, r.rating, r.opponent_rating) for r in run_available(folds.stream_ladder(live, 3, 8.0)).collect()}
+    batch = P.ladder(spark.createDataFrame(rows, schema), 3, ["seq"], 8.0)
+    want = {(r.league, r.seq): (r.change, r.rating, r.opponent_rating) for r in batch.collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in got)
