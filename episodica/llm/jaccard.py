@@ -317,9 +317,16 @@ def cross_pairs(entries: DataFrame) -> tuple[int, int]:
     return row[0] or 0, row[1] or 0
 
 
-def leader_pairs(entries: DataFrame, turn: int, tried: DataFrame | None) -> DataFrame:
-    """(a, b): for each node b its two best partners a among the leaders of its posting lists, in other components."""
+def leader_pairs(entries: DataFrame, turn: int, tried: DataFrame | None, links: DataFrame | None) -> DataFrame:
+    """(a, b): for each node b its two best partners a among the leaders of its posting lists, in other components.
+
+    Leaders are drawn in even rounds; in odd ones the node that has most links by then leads, as the centre of a group links with members that
+    don't link with each other."""
     order = F.xxhash64("component", F.lit(turn))
+    if turn % 2 and links is not None:
+        ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        entries = entries.join(ends, "node", "left")
+        order = F.struct(-F.coalesce("degree", F.lit(0)), order)
     leader = F.min_by(F.struct("node", "n", "component"), F.struct(order, F.xxhash64("node", F.lit(turn)), "node"))
     lists = entries.groupBy("token").agg(leader.alias("l"), F.min("component").alias("x"), F.max("component").alias("y"))
     lists = lists.filter("x <> y").select("token", F.col("l.node").alias("a"), F.col("l.n").alias("an"), F.col("l.component").alias("ac"))
@@ -379,17 +386,19 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     entries = cut(prefix_entries(sets), "entries")
     names = sets.filter("n > 0").groupBy("node")
     names = cut(names.agg(F.min("text_hash").alias("text_hash"), F.first("parity").alias("parity")), "names")
-    comps, tried, before, turn = None, None, float("inf"), 0
+    comps, tried, links, before, turn, idle = None, None, None, float("inf"), 0, 0
     while True:
         mine = with_component(entries, comps)
         n_entries, n_pairs = cross_pairs(mine)
-        # Another round must be needed, and the last one must have been worth it.
-        if n_pairs <= PAIRS_PER_ENTRY * n_entries or n_pairs > WORTH * before:
+        # Another round must be needed, and one of the last two, drawn and led by links, must have been worth it.
+        idle = idle + 1 if n_pairs > WORTH * before else 0
+        if n_pairs <= PAIRS_PER_ENTRY * n_entries or idle == 2:
             break
         before = n_pairs
-        pairs = cut(leader_pairs(mine, turn, tried), "leaders")
+        pairs = cut(leader_pairs(mine, turn, tried, links), "leaders")
         found = cut(compared(pairs, texts_of(docs, pairs, names, text_col)), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
         comps, turn = merged(comps, found), turn + 1
     pairs = candidates(with_component(entries, comps), names.select("node", "parity"))
     if tried is not None:
