@@ -3,7 +3,8 @@
 A text is encoded by a byte-level BPE (A, `tokenizers`, with a space before the text) and a sentencepiece model (B,
 which adds that space itself). A's character offsets and B's spans are coarse cuts: where a token of each ends a
 character, both end at one byte. Tokens that end inside a character (a multibyte character in several tokens of A,
-byte-fallback tokens of B) have no end in these spans; only for them the decoded bytes decide. Every token's span is held against
+byte-fallback tokens of B) have no end in these spans; only for them the decoded bytes decide, as for words of ASCII
+alone, whose spans would say the same. Every token's span is held against
 its decoded bytes; should a library's spans disagree with them, the decoded bytes decide for that text alone.
 
 No token of either vocabulary reaches over a space behind a word (checked when they are loaded; texts stay whole for others), so both end there:
@@ -46,7 +47,7 @@ PIECE = 1 << 20
 PAIRS = 1 << 22
 DENSE = 64
 # Words that a worker remembers, and that it aligns at once.
-REMEMBERED = 3 << 18
+REMEMBERED = 1 << 19
 WORDS = 1 << 14
 # Before a space behind a letter, a digit or a printable ASCII sign.
 CUT = re.compile(r"(?<=[\w!-/:-@\[-`{-~])(?= )")
@@ -105,19 +106,30 @@ class Aligner:
         self.numbers = Rows(np.int64, 5)
         self.written, self.codes, self.links = Segments(np.uint8), Segments(np.int64), Segments(np.int64)
 
-    def spelt(self, words: list[str]):
+    def tokens(self, words: list[str], plain: bool):
+        """(tokens a word, ids, character offsets) of A and (tokens a word, ids, ends of spans) of B. In plain words, of ASCII only, characters are
+        bytes: there offsets and spans are what the ids' bytes say, and aren't asked for."""
+        rest = [w[1:] for w in words]
+        if plain:
+            a = [x.ids for x in self.a.encode_batch_fast(words, add_special_tokens=False)]
+            b = self.b.encode(rest, return_type=int, num_threads=1)
+            offsets = stop = None
+        else:
+            ones = self.a.encode_batch(words, add_special_tokens=False)
+            protos = self.b.encode(rest, return_type="proto", num_threads=1)
+            a, b = [x.ids for x in ones], [[p.id for p in x.pieces] for x in protos]
+            offsets = np.array([c for x in ones for o in x.offsets for c in o], np.int64).reshape(-1, 2)
+            stop = np.array([p.end for x in protos for p in x.pieces], np.int64)
+        flat_a, flat_b = (np.array([i for x in ids for i in x], np.int64) for ids in (a, b))
+        return np.array([*map(len, a)]), flat_a, offsets, np.array([*map(len, b)]), flat_b, stop
+
+    def spelt(self, words: list[str], plain: bool):
         """Tokens of the words that both tokenizers spell: (which words, then of A and of B: tokens a word, ids, ends, which of them are inside a
         character); ends count bytes through all these words."""
-        ones = self.a.encode_batch(words, add_special_tokens=False)
-        protos = self.b.encode([w[1:] for w in words], return_type="proto", num_threads=1)
+        n_a, a, offsets, n_b, b, stop = self.tokens(words, plain)
         raw = np.frombuffer("".join(words).encode(), np.uint8)
         char_at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
         chars = np.cumsum([0, *map(len, words)])
-        a = np.array([i for x in ones for i in x.ids], np.int64)
-        offsets = np.array([c for x in ones for o in x.offsets for c in o], np.int64).reshape(-1, 2)
-        b = np.array([p.id for x in protos for p in x.pieces], np.int64)
-        stop = np.array([p.end for x in protos for p in x.pieces], np.int64)
-        n_a, n_b = np.array([len(x.ids) for x in ones]), np.array([len(x.pieces) for x in protos])
         word_a, word_b = np.repeat(np.arange(len(words)), n_a), np.repeat(np.arange(len(words)), n_b)
         starts = char_at[chars]
         size, ok = np.diff(starts), np.ones(len(words), bool)
@@ -128,29 +140,34 @@ class Aligner:
             owner = np.repeat(some, size[some])
             wrong = gather(told, at, tokens[ok[word]]) != gather(raw, starts, some)
             ok &= np.bincount(owner, wrong, len(words)) == 0
-        # A token ends a character if the next one of the word begins after it; B's byte tokens but a character's last have empty spans.
-        inside_a = np.zeros(len(a), bool)
-        inside_a[:-1] = (offsets[1:, 0] < offsets[:-1, 1]) & (word_a[1:] == word_a[:-1])
-        first_b = np.diff(word_b, prepend=-1) != 0
-        before = np.where(first_b, 0, np.append(0, stop[:-1]))
-        inside_b = self.b_is_byte[b] & (stop == before)
+        if plain:
+            inside_a, inside_b, coarse_a, coarse_b = np.zeros(len(a), bool), np.zeros(len(b), bool), None, None
+        else:
+            # A token ends a character if the next one of the word begins after it; B's byte tokens but a character's last have empty spans.
+            inside_a = np.zeros(len(a), bool)
+            inside_a[:-1] = (offsets[1:, 0] < offsets[:-1, 1]) & (word_a[1:] == word_a[:-1])
+            before = np.where(np.diff(word_b, prepend=-1) != 0, 0, np.append(0, stop[:-1]))
+            inside_b = self.b_is_byte[b] & (stop == before)
+            coarse_a = char_at[np.minimum(chars[word_a] + offsets[:, 1], len(char_at) - 1)]
+            coarse_b = starts[word_b] + stop + 1
         moved = starts[:-1] - (np.cumsum(size * ok) - size * ok)
         out = []
-        for tokens, word, at, inside, coarse in (
-            (a, word_a, self.a_at, inside_a, char_at[np.minimum(chars[word_a] + offsets[:, 1], len(char_at) - 1)]), (b, word_b, self.b_at, inside_b, starts[word_b] + stop + 1)
-        ):
+        for tokens, word, at, inside, coarse in ((a, word_a, self.a_at, inside_a, coarse_a), (b, word_b, self.b_at, inside_b, coarse_b)):
             keep = ok[word]
-            tokens, word, inside, coarse = tokens[keep], word[keep], inside[keep], coarse[keep] - moved[word[keep]]
+            tokens, word, inside = tokens[keep], word[keep], inside[keep]
             ends = np.cumsum(at[tokens + 1] - at[tokens])
-            odd = np.zeros(len(words), bool)
-            odd[word[~inside & (coarse != ends)]] = True
-            inside |= odd[word]
-            out += [np.bincount(word, minlength=len(words))[ok], tokens, np.where(inside, ends, coarse), inside]
+            if coarse is not None:
+                coarse = coarse[keep] - moved[word]
+                odd = np.zeros(len(words), bool)
+                odd[word[~inside & (coarse != ends)]] = True
+                inside |= odd[word]
+                ends = np.where(inside, ends, coarse)
+            out += [np.bincount(word, minlength=len(words))[ok], tokens, ends, inside]
         return np.flatnonzero(ok), *out
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str], plain: bool) -> None:
         """Aligns words: (spelt, n_a, n_b, n_groups, n_links), the groups as written, and the different id pairs with their links."""
-        own, n_a, a, a_end, inside_a, n_b, b, b_end, inside_b = self.spelt(words)
+        own, n_a, a, a_end, inside_a, n_b, b, b_end, inside_b = self.spelt(words, plain)
         numbers = np.zeros((len(words), 5), np.int64)
         sizes, pair_sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         written, code, links = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -184,8 +201,10 @@ class Aligner:
             self.forget()
         words = [(CUT.split(" " + t) if self.cuts_words else [" " + t]) if t else [] for t in texts]
         new = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in self.known]
-        for k in range(0, len(new), WORDS):
-            self.learn(new[k : k + WORDS])
+        for plain in (True, False):
+            some = [w for w in new if w.isascii() == plain]
+            for k in range(0, len(some), WORDS):
+                self.learn(some[k : k + WORDS], plain)
         sizes = np.array([len(w) for w in words])
         which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
         doc, ends = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes)
