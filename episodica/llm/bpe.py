@@ -98,15 +98,19 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
     ends at i begins. A heap entry is out of date if the part it would make no longer consists of two parts."""
     n = len(piece)
     after, before = list(range(1, n + 1)), list(range(-1, n))
-    heap = []
+    # Entries are rank, begin and end in one integer, which compares as the three do.
+    bits = n.bit_length()
+    low = (1 << bits) - 1
+    get, heap = ranks.get, []
     for i in range(n - 1):
-        r = ranks.get(piece[i : i + 2])
+        r = get(piece[i : i + 2])
         if r is not None:
-            heap.append((r, i, i + 2))
+            heap.append((r << bits | i) << bits | i + 2)
     heapq.heapify(heap)
-    pop, push, get = heapq.heappop, heapq.heappush, ranks.get
+    pop, push = heapq.heappop, heapq.heappush
     while heap:
-        _, i, end = pop(heap)
+        entry = pop(heap)
+        end, i = entry & low, entry >> bits & low
         mid = after[i]
         if not 0 < mid < n or after[mid] != end:
             continue
@@ -117,12 +121,12 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
             stop = after[end]
             r = get(piece[i:stop]) if stop - i <= longest else None
             if r is not None:
-                push(heap, (r, i, stop))
+                push(heap, (r << bits | i) << bits | stop)
         p = before[i]
         if p >= 0:
             r = get(piece[p:end]) if end - p <= longest else None
             if r is not None:
-                push(heap, (r, p, end))
+                push(heap, (r << bits | p) << bits | end)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
