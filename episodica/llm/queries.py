@@ -11,7 +11,7 @@ from episodica.llm.common import ORDER_HASH_SQL, cut, documents, table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 256 << 10
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 # DuckDB's pattern for a word.
