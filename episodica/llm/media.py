@@ -6,8 +6,10 @@ tables are read; payloads are skipped by their length. Both run per Arrow batch;
 row it comes from plus its tables.
 
 Cases: a null or empty text is stored as one sample of padding; equal texts give equal containers; a truncated or
-foreign file gives null fields and `error`; 64-bit box sizes and chunk offsets, files whose index comes last, fixed and
-listed sample sizes, and tracks without a sync table (every sample is a key frame) are understood.
+foreign file gives null fields and `error`, and so does one whose boxes nest deeper than MOST_DEPTH or whose tables speak of
+more than the file holds; 64-bit box sizes and chunk offsets, files whose index comes last, fixed and listed sample sizes,
+tracks without a sync table (every sample is a key frame), several tracks and movie fragments are understood. Other columns and their
+names don't matter; rows may repeat; an empty table gives no rows.
 """
 
 import hashlib
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from episodica.llm.common import struct_array
+from episodica.llm.common import fresh_name, struct_array
 
 SAMPLE_BYTES = 576
 PADDING = b"\xff"
@@ -30,15 +32,16 @@ TIMESCALE = 8000
 SAMPLE_TICKS = 160
 SAMPLES_PER_CHUNK = 16
 KEY_EVERY = 8
+# Containers in containers, many more than the format has.
+MOST_DEPTH = 64
 # Fixed values of the file format: boxes that hold boxes, and the identity matrix of headers.
 CONTAINERS = (b"moov", b"trak", b"edts", b"mdia", b"minf", b"dinf", b"stbl", b"mvex", b"moof", b"traf", b"udta")
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 RANGES = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-PROBE = pa.struct(
-    [("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()),
-     ("n_boxes", pa.int32()), ("keyframes", RANGES), ("error", pa.string())]
-)
+TOLD = [("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", RANGES)]
+# What the first track says, the number of boxes, what all tracks say, and what is wrong.
+PROBE = pa.struct([*TOLD, ("n_boxes", pa.int32()), ("tracks", pa.list_(pa.struct(TOLD))), ("error", pa.string())])
 DIGEST = pa.struct(
     [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
      ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
@@ -103,30 +106,43 @@ def mux_bytes(payload: bytes) -> bytes:
     return b"".join((head, index(start, wide), box(b"mdat", payload)))
 
 
-def boxes(data: memoryview, start: int, end: int, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, body start, body end) of every box, parents first; bodies other than containers are not looked into."""
-    while start + 8 <= end:
+def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[tuple[bytes, ...], int, int, int]]:
+    """(path, start, body start, body end) of every box, parents first; bodies other than containers are not looked into."""
+    # Where to go on, and the ends and kinds of the containers around.
+    ends, path = [end], []
+    while ends:
+        if start + 8 > ends[-1]:
+            start = ends.pop()
+            if path:
+                path.pop()
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1:
-            if start + 16 > end:
+            if start + 16 > ends[-1]:
                 raise ValueError("truncated box header")
             (size,) = struct.unpack_from(">Q", data, start + 8)
             body += 8
         elif size == 0:
-            size = end - start
-        if size < body - start or start + size > end:
+            size = ends[-1] - start
+        if size < body - start or start + size > ends[-1]:
             raise ValueError("a box ends outside its parent")
-        yield (*path, kind), body, start + size
+        yield (*path, kind), start, body, start + size
         if kind in CONTAINERS:
-            yield from boxes(data, body, start + size, (*path, kind))
-        start += size
+            if len(path) == MOST_DEPTH:
+                raise ValueError("boxes nest too deep")
+            path.append(kind)
+            ends.append(start + size)
+            start = body
+        else:
+            start += size
 
 
 @dataclass
 class Track:
-    """The decoded sample tables of a track."""
+    """The decoded sample tables of a track, its fragments' samples included."""
 
+    number: int
     codec: str
     timescale: int
     duration: int
@@ -153,53 +169,150 @@ def read_track(data: memoryview, tables: dict[bytes, tuple[int, int]]) -> Track:
         a, end = at(kind)
         return *struct.unpack_from(">I", data, a + skip), a + skip + 4, end
 
+    number = 0
+    if b"tkhd" in tables:
+        a, _ = tables[b"tkhd"]
+        (number,) = struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))
     a, _ = at(b"mdhd")
     timescale, duration = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
     a, _ = at(b"stsd")
     codec = bytes(data[a + 12 : a + 16]).decode("latin-1")
     n, a, end = count(b"stsz", 8)
     (each,) = struct.unpack_from(">I", data, a - 8)
+    # Counts are held against the bytes that they speak of before anything is made of their size.
+    if each and n * each > len(data):
+        raise ValueError("more samples than the file holds")
     sizes = np.full(n, each, np.int64) if each else numbers(data, a, n, ">u4", end)
     wide = b"co64" in tables
     chunks, a, end = count(b"co64" if wide else b"stco")
     places = numbers(data, a, chunks, ">u8" if wide else ">u4", end)
     runs, a, end = count(b"stsc")
     run = numbers(data, a, 3 * runs, ">u4", end).reshape(-1, 3)
-    per_chunk = np.repeat(run[:, 1], np.diff(np.append(run[:, 0], chunks + 1)))
-    if per_chunk.sum() != n:
+    opens = np.append(run[:, 0], chunks + 1)
+    if (np.diff(opens) < 0).any() or opens[0] != 1 or int((run[:, 1] * np.diff(opens)).sum()) != n:
         raise ValueError("the sample tables disagree")
+    per_chunk = np.repeat(run[:, 1], np.diff(opens))
     chunk = np.repeat(np.arange(chunks), per_chunk)
     before = np.cumsum(sizes) - sizes
     first = np.cumsum(per_chunk) - per_chunk
     starts = places[chunk] + before - before[first[chunk]] if n else np.zeros(0, np.int64)
     spans, a, end = count(b"stts")
     span = numbers(data, a, 2 * spans, ">u4", end).reshape(-1, 2)
+    if int(span[:, 0].sum()) != n:
+        raise ValueError("the sample tables disagree")
     ticks = np.repeat(span[:, 1], span[:, 0])
     keys = np.arange(n)
     if b"stss" in tables:
         k, a, end = count(b"stss")
         keys = numbers(data, a, k, ">u4", end) - 1
-    return Track(codec, timescale, duration, sizes, starts, ticks, keys)
-
-
-def probe_bytes(data: bytes) -> tuple[Track | None, int, str | None]:
-    """The first track, the number of boxes and what is wrong with the file, if anything."""
-    view, tables, seen, n = memoryview(data), {}, False, 0
+    if len(keys) and (keys.min() < 0 or keys.max() >= n):
+        raise ValueError("a key frame is no sample")
+    return Track(number, codec, timescale, duration, sizes, starts, ticks, keys)
+
+
+# Fixed values of the file format: flags of fragment headers and runs, and the bit of a sample that no decoding begins at.
+BASE, DURATION, SIZE, FLAGS = 0x1, 0x8, 0x10, 0x20
+RUN_OFFSET, RUN_FIRST, RUN_DURATION, RUN_SIZE, RUN_FLAGS, RUN_SHIFT = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+NOT_A_KEY = 0x10000
+
+
+class Fragment:
+    """A track's part of a movie fragment: where its runs begin, and what its samples have by default."""
+
+    def __init__(self, data: memoryview, at: int, movie_at: int, defaults: dict[int, tuple[int, int, int]]):
+        flags, self.number = struct.unpack_from(">II", data, at)
+        at += 8
+        self.next = movie_at
+        if flags & BASE:
+            (self.next,) = struct.unpack_from(">Q", data, at)
+            at += 8
+        self.base = self.next
+        at += 4 * bool(flags & 0x2)
+        values = list(defaults.get(self.number, (0, 0, 0)))
+        for k, bit in enumerate((DURATION, SIZE, FLAGS)):
+            if flags & bit:
+                (values[k],) = struct.unpack_from(">I", data, at)
+                at += 4
+        self.duration, self.size, self.flags = values
+
+    def run(self, data: memoryview, at: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(sizes, starts, ticks, which are key frames) of a run of samples."""
+        flags, n = struct.unpack_from(">II", data, at)
+        flags, at = flags & 0xFFFFFF, at + 8
+        if flags & RUN_OFFSET:
+            self.next = self.base + struct.unpack_from(">i", data, at)[0]
+            at += 4
+        first = None
+        if flags & RUN_FIRST:
+            (first,) = struct.unpack_from(">I", data, at)
+            at += 4
+        listed = [bit for bit in (RUN_DURATION, RUN_SIZE, RUN_FLAGS, RUN_SHIFT) if flags & bit]
+        # Samples without any field of their own must at least have bytes.
+        if n * (4 * len(listed) or max(self.size, 1)) > len(data):
+            raise ValueError("more samples than the file holds")
+        fields = numbers(data, at, n * len(listed), ">u4", end).reshape(n, len(listed)) if listed else np.zeros((n, 0), np.int64)
+
+        def values(bit: int, default: int) -> np.ndarray:
+            return fields[:, listed.index(bit)].copy() if bit in listed else np.full(n, default, np.int64)
+
+        ticks, sizes, marks = values(RUN_DURATION, self.duration), values(RUN_SIZE, self.size), values(RUN_FLAGS, self.flags)
+        if first is not None and n:
+            marks[0] = first
+        starts = self.next + np.cumsum(sizes) - sizes
+        self.next += int(sizes.sum())
+        return sizes, starts, ticks, marks & NOT_A_KEY == 0
+
+
+def probe_tracks(data: bytes) -> tuple[list[Track], int, str | None]:
+    """All tracks in their order, the number of boxes and what is wrong with the file, if anything."""
+    view, tables, n = memoryview(data), [], 0
+    defaults: dict[int, tuple[int, int, int]] = {}
+    movie_at, fragment = 0, None
+    runs: dict[int, list] = {}
     try:
-        for path, start, end in boxes(view, 0, len(view)):
+        for path, start, body, end in boxes(view, 0, len(view)):
             n += 1
-            if path[-1] == b"trak":
-                if seen:
-                    continue
-                seen = True
+            kind = path[-1]
+            if kind == b"trak":
+                tables.append({})
             elif b"trak" in path:
-                tables.setdefault(path[-1], (start, end))
-        track = read_track(view, tables)
-        if len(track.keys) and (track.keys.min() < 0 or track.keys.max() >= len(track.sizes)):
-            raise ValueError("a key frame is no sample")
-        return track, n, None
+                tables[-1].setdefault(kind, (body, end))
+            elif kind == b"trex":
+                number, _, *values = struct.unpack_from(">5I", view, body + 4)
+                defaults[number] = tuple(values)
+            elif kind == b"moof":
+                movie_at = start
+            elif kind == b"traf":
+                fragment = None
+            elif kind == b"tfhd":
+                fragment = Fragment(view, body, movie_at, defaults)
+            elif kind == b"trun":
+                if fragment is None:
+                    raise ValueError("a run of samples without its header")
+                runs.setdefault(fragment.number, []).append(fragment.run(view, body, end))
+        tracks = [read_track(view, t) for t in tables]
+        if not tracks:
+            raise ValueError("no trak box")
+        for number, found in runs.items():
+            track = next((t for t in tracks if t.number == number), None)
+            if track is None:
+                raise ValueError("a fragment of no track")
+            sizes, starts, ticks, key = (np.concatenate(c) for c in zip(*found))
+            track.keys = np.concatenate([track.keys, len(track.sizes) + np.flatnonzero(key)])
+            track.sizes, track.starts = np.concatenate([track.sizes, sizes]), np.concatenate([track.starts, starts])
+            track.ticks = np.concatenate([track.ticks, ticks])
+            track.duration = max(track.duration, int(track.ticks.sum()))
+        if any(len(t.sizes) and (t.starts.min() < 0 or (t.starts + t.sizes).max() > len(data)) for t in tracks):
+            raise ValueError("a sample lies outside the file")
+        return tracks, n, None
     except (ValueError, IndexError, struct.error) as e:
-        return None, n, str(e)
+        return [], n, str(e)
+
+
+def probe_bytes(data: bytes) -> tuple[Track | None, int, str | None]:
+    """The first track, the number of boxes and what is wrong with the file, if anything."""
+    tracks, n, error = probe_tracks(data)
+    return (tracks[0] if tracks else None), n, error
 
 
 def payload_of(data: bytes, track: Track) -> bytes:
@@ -230,17 +343,20 @@ def mux(text: Column) -> Column:
 
 
 def with_media(docs: DataFrame, name: str = "media", text_col: str = "text") -> DataFrame:
-    """docs with the container of each text in a binary column."""
-    return docs.withColumn(name, mux(F.col(text_col)))
+    """docs with the container of each text in a binary column; underscores are added to a name that is taken."""
+    return docs.withColumn(fresh_name(docs, name), mux(F.col(text_col)))
+
+
+def told(track: Track) -> dict:
+    ranges = [{"start": int(track.starts[k]), "length": int(track.sizes[k])} for k in track.keys.tolist()]
+    return {"codec": track.codec.strip(), "timescale": track.timescale, "duration": track.duration, "n_samples": len(track.sizes), "keyframes": ranges}
 
 
 def probe_row(data: bytes | None) -> dict:
-    track, n, error = probe_bytes(data) if data is not None else (None, 0, "no file")
-    if track is None:
+    tracks, n, error = probe_tracks(data) if data is not None else ([], 0, "no file")
+    if error:
         return {"n_boxes": n, "error": error}
-    ranges = [{"start": int(track.starts[k]), "length": int(track.sizes[k])} for k in track.keys.tolist()]
-    return {"codec": track.codec.strip(), "timescale": track.timescale, "duration": track.duration,
-            "n_samples": len(track.sizes), "n_boxes": n, "keyframes": ranges}
+    return told(tracks[0]) | {"n_boxes": n, "tracks": [told(t) for t in tracks]}
 
 
 def probe(media: Column) -> Column:

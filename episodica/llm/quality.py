@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from episodica.llm.common import fresh_name
 from episodica.llm.labelled import learning_sample, with_text
 from episodica.llm.textops import LOWER, span_hashes, text_parts, word_spans
 
@@ -190,4 +191,4 @@ def score(text: Column, model: Model) -> Column:
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score", text_col: str = "text") -> DataFrame:
-    return docs.withColumn(name, score(F.col(text_col), model))
+    return docs.withColumn(fresh_name(docs, name), score(F.col(text_col), model))

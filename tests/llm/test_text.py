@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -91,8 +92,6 @@ def test_probe(spark, odd):
 
 def test_probe_other_layouts():
     """An index after the payload, listed sample sizes, 64-bit offsets, no sync table."""
-    import struct
-
     sizes, samples = [3, 5, 2], b"abcdefghij"
     mdat = struct.pack(">I4sQ", 1, b"mdat", 16 + len(samples)) + samples
     stbl = media.box(
@@ -111,6 +110,75 @@ def test_probe_other_layouts():
     assert media.payload_of(mdat + moov, track) == samples
 
 
+def movie_track(number, stbl):
+    mdhd = media.full(b"mdhd", struct.pack(">IIII", 0, 0, 100, 0))
+    tkhd = media.full(b"tkhd", struct.pack(">IIII", 0, 0, number, 0))
+    return media.box(b"trak", tkhd, media.box(b"mdia", mdhd, media.box(b"minf", stbl)))
+
+
+def no_samples(codec):
+    return media.box(
+        b"stbl", media.full(b"stsd", struct.pack(">I", 1), media.box(codec, bytes(28))), media.full(b"stts", bytes(4)), media.full(b"stsc", bytes(4)),
+        media.full(b"stsz", bytes(8)), media.full(b"stco", bytes(4)),
+    )
+
+
+def test_probe_fragments_and_two_tracks():
+    """Samples of two tracks in two fragments: defaults of the movie, of the fragment and of the run, key flags, runs that follow each other."""
+    trex = [media.full(b"trex", struct.pack(">5I", n, 1, 10, 4, media.NOT_A_KEY)) for n in (1, 2)]
+    moov = media.box(b"moov", movie_track(1, no_samples(b"avc1")), movie_track(2, no_samples(b"mp4a")), media.box(b"mvex", *trex))
+
+    def fragment(at, payload):
+        def moof(offset):
+            one = media.box(
+                b"traf", media.full(b"tfhd", struct.pack(">I", 1), flags=0x20000),
+                media.full(b"trun", struct.pack(">IiI", 2, offset, 0), flags=media.RUN_OFFSET | media.RUN_FIRST),
+                media.full(b"trun", struct.pack(">I4I", 2, 5, 0, 1, media.NOT_A_KEY), flags=media.RUN_SIZE | media.RUN_FLAGS),
+            )
+            two = media.box(b"traf", media.full(b"tfhd", struct.pack(">III", 2, 7, 0), flags=media.DURATION | media.FLAGS | 0x20000),
+                            media.full(b"trun", struct.pack(">Ii", 1, offset + 14), flags=media.RUN_OFFSET))
+            return media.box(b"moof", media.full(b"mfhd", struct.pack(">I", 1)), one, two)
+
+        size = len(moof(0))
+        return moof(size + 8) + media.box(b"mdat", payload), at + size + 8
+
+    first, a = fragment(len(moov), b"aaaabbbbcccccdeeee")
+    second, b = fragment(len(moov) + len(first), b"AAAABBBBCCCCCDEEEE")
+    data = moov + first + second
+    tracks, _, error = media.probe_tracks(data)
+    assert error is None and [t.codec for t in tracks] == ["avc1", "mp4a"]
+    video, sound = tracks
+    assert media.payload_of(data, video) == b"aaaabbbbcccccdAAAABBBBCCCCCD" and media.payload_of(data, sound) == b"eeeeEEEE"
+    assert video.sizes.tolist() == [4, 4, 5, 1] * 2 and video.keys.tolist() == [0, 2, 4, 6] and video.starts.tolist()[::4] == [a, b]
+    assert sound.keys.tolist() == [0, 1] and (video.duration, sound.duration) == (80, 14)
+    row = media.probe_row(data)
+    assert row["codec"] == "avc1" and [t["n_samples"] for t in row["tracks"]] == [8, 2]
+
+
+@pytest.mark.parametrize(
+    "data",
+    [
+        b"".join(struct.pack(">I4s", 8 * (3000 - k), b"moov") for k in range(3000)),
+        media.box(b"moov", movie_track(1, media.box(b"stbl", no_samples(b"x   ")[8:].replace(media.full(b"stsz", bytes(8)), media.full(b"stsz", struct.pack(">II", 1, 0xFFFFFFFF)))))),
+        media.box(b"moov", movie_track(1, media.box(b"stbl", no_samples(b"x   ")[8:].replace(media.full(b"stts", bytes(4)), media.full(b"stts", struct.pack(">III", 1, 0xFFFFFFFF, 1)))))),
+        media.box(b"moov", movie_track(1, media.box(b"stbl", no_samples(b"x   ")[8:].replace(media.full(b"stsc", bytes(4)), media.full(b"stsc", struct.pack(">I", 0xFFFFFFFF)))))),
+        media.box(b"moov", movie_track(1, media.box(b"stbl", no_samples(b"x   ")[8:].replace(media.full(b"stsc", bytes(4)) , media.full(b"stsc", struct.pack(">IIII", 1, 1, 0xFFFFFFFF, 1))).replace(media.full(b"stco", bytes(4)), media.full(b"stco", struct.pack(">II", 1, 0)))))),
+        media.box(b"moov", movie_track(1, no_samples(b"x   "))) + media.box(b"moof", media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 1)), media.full(b"trun", struct.pack(">I", 0xFFFFFFFF)))),
+        media.box(b"moov", movie_track(1, no_samples(b"x   "))) + media.box(b"moof", media.box(b"traf", media.full(b"trun", struct.pack(">I", 1)))),
+        b"\0" * 64,
+    ],
+)
+def test_probe_survives(data):
+    """Deep nesting, counts of 2^32 - 1 in every table, runs without a header: an error, no crash and no large allocation."""
+    tracks, _, error = media.probe_tracks(data)
+    assert tracks == [] and error
+
+
+def test_media_column_takes_a_free_name(frame):
+    docs = frame([(1, "x")]).withColumn("media", F.lit("mine"))
+    assert media.with_media(docs).first()["media"] == "mine" and media.with_media(docs).columns[-1] == "media_"
+
+
 def test_codec_like_the_library(reference):
     codec = bpe.Codec(bpe.vocabulary(PATH), bpe.classes())
     rng = random.Random(2)
