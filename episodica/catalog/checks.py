@@ -238,7 +238,7 @@ def recurrent_policy_actions(spark, sf_dir):
 
     def cell(x, memory):
         memory = memory + x
-        return int(memory[0]) % 5, memory
+        return memory[:, 0].astype(np.int64) % 5, memory
 
     return X.score_recurrent(st, AGENT, "tick", "obs", 1, cell, []).select("agent_id", "tick", "action")
 
@@ -269,6 +269,22 @@ def reward_processed(spark, sf_dir):
     return out.select("agent_id", "episode", "segment", steady("spread").alias("spread"))
 
 
+@query(
+    "rewards_processed_in_parts",
+    f"""WITH {experiences_sql(8)} SELECT behavior_id, {r('max(reward) - min(reward) + avg(reward)')} AS reward FROM exps GROUP BY 1""",
+)
+def rewards_processed_in_parts(spark, sf_dir):
+    """A few groups that hold the whole log."""
+    p = X.Processor(
+        start=lambda: np.array([np.inf, -np.inf, 0.0, 0.0]),
+        update=lambda s, v: np.array([min(s[0], v.min()), max(s[1], v.max()), s[2] + v.sum(), s[3] + len(v)]),
+        merge=lambda a, b: np.array([min(a[0], b[0]), max(a[1], b[1]), a[2] + b[2], a[3] + b[3]]),
+        finish=lambda s: s[1] - s[0] + s[2] / s[3],
+    )
+    out = X.processed(experiences(spark, sf_dir, horizon=8), ["behavior_id"], "reward", p)
+    return out.select("behavior_id", steady("reward").alias("reward"))
+
+
 @query(
     "sql_named_functions",
     f"""WITH {STEPS_SQL} SELECT tick, CASE WHEN k > 50 THEN 1.0::DOUBLE WHEN k < 50 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS result,

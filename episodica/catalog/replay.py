@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from episodica.catalog import STEPS_SQL, experiences_sql, query, r, table
 from episodica.catalog.sessions import experiences, steps
-from episodica.functions.numbers import spread_key, spread_sql, steady
+from episodica.functions.numbers import spread_key, spread_sql, spread_uniform_sql, steady, text_key_sql
 from episodica.operators import replay as B
 from episodica.operators import returns as R
 
@@ -79,15 +79,21 @@ JOIN ranked r ON r.behavior_id = d.behavior_id AND r.rank // 4 = d.seq_no""",
 )
 def replay_sampled_sequences(spark, sf_dir):
     ranked = B.with_rank(buffer(spark, sf_dir), "tick")
-    draws = B.sample_draws(ranked, 64, 4, 0, u=draw_u(F.col("draw")))
+    draws = B.sample_draws(buffer(spark, sf_dir), 64, 4, 0, u=draw_u(F.col("draw")))
     out = B.gather_sequences(ranked, draws, 4)
     return out.select("behavior_id", F.col("draw").cast("long").alias("draw"), "tick", "k")
 
 
-@query("replay_random_sample")
+@query(
+    "replay_random_sample",
+    f"""WITH {RANKED_SQL}, sizes AS (SELECT behavior_id, count(*) // 4 AS n FROM ranked GROUP BY 1),
+draws AS (SELECT behavior_id, range AS draw, CAST(floor({spread_uniform_sql('1337', text_key_sql('behavior_id'), 'range')} * n) AS BIGINT) AS seq_no
+  FROM sizes, range(16) WHERE n > 0)
+SELECT d.behavior_id, d.draw, r.tick, r.k FROM draws d JOIN ranked r ON r.behavior_id = d.behavior_id AND r.rank // 4 = d.seq_no""",
+)
 def replay_random_sample(spark, sf_dir):
-    ranked = B.with_rank(buffer(spark, sf_dir), "tick")
-    return B.sample_replay(ranked, 64, 4, seed=1337).select("behavior_id", "draw", "tick", "k")
+    out = B.sample_replay(buffer(spark, sf_dir), "tick", 64, 4, seed=1337)
+    return out.select("behavior_id", F.col("draw").cast("long").alias("draw"), "tick", "k")
 
 
 @query(

@@ -49,6 +49,31 @@ def spread_key(c, seed: int = 0) -> Column:
     return x.bitwiseXOR(F.shiftright(x, 16))
 
 
+def spread_uniform(*ids, seed: int = 0) -> Column:
+    """A uniform number in [0, 1) of whole numbers and a seed: the same under any partitioning and in any engine (`spread_uniform_sql`)."""
+    h = spread_key(ids[0], seed)
+    for c in ids[1:]:
+        h = spread_key(F.shiftleft(F.shiftright(h, 1), 32).bitwiseXOR(as_col(c).cast("long")), seed)
+    return h / F.lit(float(_WORD))
+
+
+def spread_uniform_sql(*exprs: str, seed: int = 0) -> str:
+    h = spread_sql(exprs[0], seed)
+    for e in exprs[1:]:
+        h = spread_sql(f"xor(({h} >> 1) << 32, CAST({e} AS BIGINT))", seed)
+    return f"({h} / {_WORD}.0::DOUBLE)"
+
+
+def text_key(*parts) -> Column:
+    """60 bits of the MD5 of some values as text, for draws by names."""
+    text = F.concat_ws("|", *[as_col(p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def text_key_sql(*exprs: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(f'CAST({e} AS VARCHAR)' for e in exprs)})), 1, 15) AS BIGINT)"
+
+
 def spread_sql(expr: str, seed: int = 0) -> str:
     """The same hash as SQL text."""
     c = f"CAST({expr} AS BIGINT)"

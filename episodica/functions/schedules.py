@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episodica.functions.numbers import as_col, mixed_uniform
+from episodica.functions.numbers import as_col, spread_uniform, text_key
 from episodica.plans.ordered import prefix
 
 
@@ -72,9 +72,9 @@ SAMPLERS: dict[str, Callable[..., Callable[..., Column]]] = {
 
 
 def sample_parameter(kind: str, args: tuple, seed, *ids) -> Column:
-    """A repeatable draw per row: hashed from seed and ids, so independent of partitioning."""
-    draw = SAMPLERS[kind](*args)
-    return draw(mixed_uniform(F.lit("a"), as_col(seed), *ids), mixed_uniform(F.lit("b"), as_col(seed), *ids))
+    """A repeatable draw per row: hashed from seed and ids, so independent of partitioning and of the engine."""
+    draw, key = SAMPLERS[kind](*args), text_key(*ids)
+    return draw(*(spread_uniform(as_col(seed), key, seed=n) for n in (1, 2)))
 
 
 def seed_plan(lessons: DataFrame, run_seed: int) -> DataFrame:

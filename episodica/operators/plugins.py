@@ -1,6 +1,7 @@
 """Extension points: writers, reward signals, reward processors, batch policies."""
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,8 @@ from pyspark.sql import types as T
 
 from episodica.functions import vectors as V
 from episodica.operators.stats import STAT_WRITERS
-from episodica.plans.folds import ordered_fold
+from episodica.plans.folds import python_partitions
+from episodica.plans.ordered import prefix
 
 REWARD_SIGNALS: dict[str, Callable[..., Column]] = {}
 
@@ -45,7 +47,7 @@ def evaluate_signals(df: DataFrame, signals: dict[str, dict], keys: list[str]) -
 
 def reward_processor(fn: Callable[[np.ndarray], float]) -> Callable[[str], Column]:
     """A user's reduction of a list of returns to one number, as an aggregate over bounded groups
-    (a trajectory, a return buffer). The lists of many groups travel in one Arrow batch."""
+    (a trajectory, a return buffer). The lists of many groups travel in one Arrow batch. For other groups see `processed`."""
 
     @F.pandas_udf("double")
     def reduce(lists: pd.Series) -> pd.Series:
@@ -54,6 +56,46 @@ def reward_processor(fn: Callable[[np.ndarray], float]) -> Callable[[str], Colum
     return lambda c: reduce(F.collect_list(c))
 
 
+@dataclass(frozen=True)
+class Processor:
+    """A user's reduction of any number of returns, in parts: a state of numbers is updated with the values of a part, states are merged in any
+    order, and the last one is turned into the result."""
+
+    start: Callable[[], np.ndarray]
+    update: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    merge: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    finish: Callable[[np.ndarray], float]
+
+
+def processed(df: DataFrame, keys: list[str], value: str, processor: Processor) -> DataFrame:
+    """(keys, value) by a Processor, for groups of any size: every Arrow batch reduces what it holds of a group to one state, and only states meet."""
+    p = processor
+    schema = T.StructType([df.schema[c] for c in keys])
+    partial = T.StructType(list(schema.fields)).add("_state", T.ArrayType(T.DoubleType()))
+
+    def parts(batches):
+        for pdf in batches:
+            rows = [(*k, p.update(p.start(), v.to_numpy()).tolist()) for k, v in pdf.groupby(keys, dropna=False, sort=False)[value]]
+            yield pd.DataFrame(rows, columns=partial.fieldNames())
+
+    def whole(batches):
+        key, state = None, None
+        for pdf in batches:
+            out = []
+            for *k, part in pdf.itertuples(index=False, name=None):
+                if k != key:
+                    if key is not None:
+                        out.append((*key, float(p.finish(state))))
+                    key, state = k, p.start()
+                state = p.merge(state, np.asarray(part))
+            yield pd.DataFrame(out, columns=[*keys, value])
+        if key is not None:
+            yield pd.DataFrame([(*key, float(p.finish(state)))], columns=[*keys, value])
+
+    states = python_partitions(df.select(*keys, value).mapInPandas(parts, partial), keys).sortWithinPartitions(*keys)
+    return states.mapInPandas(whole, T.StructType(list(schema.fields)).add(value, "double"))
+
+
 # --- batch policies --------------------------------------------------------------------------
 
 
@@ -89,13 +131,33 @@ def score_policy(
     return df.select(*dict.fromkeys([*keep, obs])).mapInPandas(run, schema)
 
 
-def score_recurrent(df: DataFrame, keys: list[str], order: str, obs: str, memory: int, cell: Callable, keep: list[str]) -> DataFrame:
-    """A policy with memory: `cell(observation, memory) -> (action, memory)` along each agent's order."""
+def score_recurrent(df: DataFrame, keys: list[str], order: str, obs: str, memory: int, cell: Callable, keep: list[str], width: int | None = None) -> DataFrame:
+    """A policy with memory along each agent's order, for many agents in lockstep.
+
+    `cell(observations, memories) -> (actions, memories)` takes one row an agent: the n-th steps of all agents of a task come together, and
+    what a network does with them is one product of matrices. A task holds one row of memory for each of its agents."""
     cols = list(dict.fromkeys([*keys, order, obs, *keep]))
-    schema = T.StructType([df.schema[c] for c in [*keys, order, *keep]]).add("action", "long")
+    out_cols = list(dict.fromkeys([*keys, order, *keep]))
+    schema = T.StructType([df.schema[c] for c in out_cols]).add("action", "long")
+    numbered = prefix(df.select(*cols), keys, order, {"_step": F.lit(1)}, inclusive=False, width=width)
+    laid_out = python_partitions(numbered, keys).sortWithinPartitions("_step", *keys)
 
-    def step(state, row):
-        action, state["memory"] = cell(np.asarray(getattr(row, obs)), state["memory"])
-        return [(*[getattr(row, c) for c in [*keys, order, *keep]], int(action))]
+    def run(batches):
+        places: dict[tuple, int] = {}
+        held = np.zeros((1024, memory))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            steps = pdf["_step"].to_numpy()
+            cuts = [0, *(np.flatnonzero(steps[1:] != steps[:-1]) + 1).tolist(), len(pdf)]
+            who = np.array([places.setdefault(k, len(places)) for k in zip(*(pdf[c] for c in keys))])
+            while len(places) > len(held):
+                held = np.concatenate([held, np.zeros_like(held)])
+            x, actions = np.stack(pdf[obs].to_numpy()).astype(np.float64), np.empty(len(pdf), np.int64)
+            for a, b in zip(cuts, cuts[1:]):
+                actions[a:b], held[who[a:b]] = cell(x[a:b], held[who[a:b]])
+            out = pdf[out_cols].copy()
+            out["action"] = actions
+            yield out
 
-    return ordered_fold(df.select(*cols), keys, [order], lambda: {"memory": np.zeros(memory)}, step, schema)
+    return laid_out.mapInPandas(run, schema)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episodica.functions.numbers import as_col, mixed_uniform, spread_key
+from episodica.functions.numbers import as_col, mixed_uniform, spread_key, spread_uniform, text_key
 from episodica.plans.lineage import join_stats
 from episodica.plans.ordered import prefix
 
@@ -67,13 +67,13 @@ def minibatches(shuffled: DataFrame, batch: int, length: int) -> DataFrame:
     )
 
 
-def sample_draws(ranked: DataFrame, batch: int, length: int, seed: int, keys: list[str] | None = None, u: Column | None = None) -> DataFrame:
-    """batch//length sequence numbers per buffer, uniform with replacement. Columns: keys, draw, seq_no."""
+def sample_draws(rows: DataFrame, batch: int, length: int, seed: int, keys: list[str] | None = None, u: Column | None = None) -> DataFrame:
+    """batch//length sequence numbers per buffer, uniform with replacement. Columns: keys, draw, seq_no. Rows are only counted: they need no rank."""
     keys = keys or BUFFER
     n = max(batch // length, 1)
-    sizes = ranked.groupBy(*keys).agg(F.floor(F.count(F.lit(1)) / length).cast("long").alias("_seqs"))
+    sizes = rows.groupBy(*keys).agg(F.floor(F.count(F.lit(1)) / length).cast("long").alias("_seqs"))
     draws = sizes.filter("_seqs > 0").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    u = mixed_uniform(F.lit(seed), *keys, "draw") if u is None else u
+    u = spread_uniform(F.lit(seed), text_key(*keys), "draw") if u is None else u
     return draws.withColumn("seq_no", F.floor(u * F.col("_seqs")).cast("long")).drop("_seqs")
 
 
@@ -84,8 +84,9 @@ def gather_sequences(ranked: DataFrame, draws: DataFrame, length: int, keys: lis
     return rows.join(draws, [*keys, "seq_no"])
 
 
-def sample_replay(ranked: DataFrame, batch: int, length: int, seed: int, keys: list[str] | None = None) -> DataFrame:
-    return gather_sequences(ranked, sample_draws(ranked, batch, length, seed, keys), length, keys)
+def sample_replay(rows: DataFrame, position: str, batch: int, length: int, seed: int, keys: list[str] | None = None) -> DataFrame:
+    """Sequences drawn from each buffer; the buffers are ranked once, for the rows that are gathered."""
+    return gather_sequences(with_rank(rows, position, keys), sample_draws(rows, batch, length, seed, keys), length, keys)
 
 
 def partitioned(df: DataFrame, col: str, n: int) -> DataFrame:
