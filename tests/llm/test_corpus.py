@@ -310,6 +310,60 @@ def test_pipeline(spark, sf):
     assert seen[0] >= seen[1] >= seen[2] == seen[3] and seen[4] == seen[5] > 0
 
 
+def test_pipeline_stages_like_plain_ones(spark, frame):
+    """The stages after the classifier, row by row: one document of each plain component, addresses replaced and nothing else, as many copies as
+    the source's target asks for, tiktoken's ids."""
+    import base64
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+
+    # Long numbers in the words would be read as cards.
+    letters = str.maketrans("0123456789.", "abcdefghijk")
+    rows = [(d, re.sub(r"r0\.\d+", lambda m: m.group().translate(letters), t.lower()), f"s{d % 3}") for d, t in near_copies()[:120]]
+    rows += [(5000 + k, f"write to person{k}@mail{k}.org about {k} things", "s1") for k in range(4)] + [(6000, None, "s0"), (6001, "", None), (6002, "naïve 漢字 🙂", "s2")]
+    docs = frame(rows)
+    steps = dict(corpus_pipeline.STAGES)
+    kept = steps["near_copies"](spark, docs, "").cache()
+    first = {}
+    for d, n, c in plain_components([(r[0], r[1]) for r in rows]):
+        if n:
+            first[c] = min(d, first.get(c, d))
+    want = {d: t for d, t, _ in rows if d in first.values() or not (t or "").split()}
+    assert {r.doc_id: r.text for r in kept.collect()} == want and kept.count() == len(want) and kept.columns == docs.columns
+    clean = steps["private_data"](spark, kept, "").cache()
+    for r in clean.collect():
+        text = want[r.doc_id]
+        text = text if text is None else re.sub(PLAIN["email"], "[EMAIL]", text)
+        assert r.text == text and (text is None or r.n_chars == len(text))
+    mixed = steps["mix"](spark, clean, "").cache()
+    copies, sizes, source = Counter(r.doc_id for r in mixed.collect()), {}, {}
+    for r in clean.collect():
+        sizes[r.doc_id], source[r.doc_id] = len(WORD.findall(r.text or "")), r.source
+    names = sorted({s for s in source.values()}, key=lambda s: (s is None, s))
+    total = {s: sum(n for d, n in sizes.items() if source[d] == s) for s in names}
+    weight = {s: 1 + k % 3 for k, s in enumerate(names)}
+    target, left = {}, set(names)
+    while left:
+        share = (sum(total.values()) - sum(target.values())) / sum(weight[s] for s in left)
+        over = {s for s in left if weight[s] * share > 3 * total[s]}
+        target.update({s: 3 * total[s] for s in over} if over else {s: weight[s] * share for s in left})
+        left -= over if over else left
+    for s in names:
+        taken = sum(copies[d] * n for d, n in sizes.items() if source[d] == s)
+        assert abs(taken - target[s]) <= max(n for d, n in sizes.items() if source[d] == s) and max(copies[d] for d in sizes if source[d] == s) <= 3
+    with open(public_tokenizers.path(queries.RANKS), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {r.doc_id: r.text or "" for r in clean.collect()}
+    out = steps["tokens"](spark, mixed, "").collect()
+    assert Counter(r.doc_id for r in out) == copies
+    for r in out:
+        assert list(r.ids) == plain.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.ids)
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
 def test_every_operator_is_registered():
     names = {q.split("_")[0] for q in queries.QUERIES}
     assert names == {f"op{n}" for n in range(1, 14)} and set(corpus_pipeline.QUERIES) == {"pipeline"}
