@@ -12,9 +12,9 @@ from episodica.schema import AGENT
 
 OBJ_SQL = """
 obj AS (SELECT c_nationkey AS tick, c_custkey + 1000000 AS id, CASE c_custkey % 3 WHEN 0 THEN 'food' WHEN 1 THEN 'wall' ELSE 'none' END AS tag,
-   CAST(c_custkey * 37 % 41 AS DOUBLE) AS x, CAST(c_custkey * 53 % 43 AS DOUBLE) AS z FROM customer
- UNION ALL SELECT s_nationkey, s_suppkey, 'food', CAST(s_suppkey * 17 % 41 AS DOUBLE), CAST(s_suppkey * 29 % 43 AS DOUBLE) FROM supplier),
-ag AS (SELECT s_nationkey AS tick, s_suppkey AS agent_id, CAST(s_suppkey * 17 % 41 AS DOUBLE) AS x,
+   CAST(c_custkey * 37 % 41 + c_custkey // 900 * 60 AS DOUBLE) AS x, CAST(c_custkey * 53 % 43 AS DOUBLE) AS z FROM customer
+ UNION ALL SELECT s_nationkey, s_suppkey, 'food', CAST(s_suppkey * 17 % 41 + s_suppkey // 60 * 60 AS DOUBLE), CAST(s_suppkey * 29 % 43 AS DOUBLE) FROM supplier),
+ag AS (SELECT s_nationkey AS tick, s_suppkey AS agent_id, CAST(s_suppkey * 17 % 41 + s_suppkey // 60 * 60 AS DOUBLE) AS x,
    CAST(s_suppkey * 29 % 43 AS DOUBLE) AS z FROM supplier),
 p AS (SELECT ag.tick, ag.agent_id, obj.id, obj.tag, floor((obj.x - ag.x) / 2.0 + 2.5) AS ix, floor((obj.z - ag.z) / 3.0 + 3.5) AS iz,
    power(obj.x - ag.x, 2) + power(obj.z - ag.z, 2) AS dist2
@@ -24,15 +24,20 @@ cells AS (SELECT tick, agent_id, CAST(ix * 7 + iz AS BIGINT) AS cell, id AS obje
 
 
 def scene(spark, sf_dir):
-    """Customers and suppliers as objects, suppliers as agents; a nation is a tick."""
+    """Customers and suppliers as objects, suppliers as agents; a nation is a tick. A new room is added for every 900 customers and 60 suppliers, so
+    the map grows with the tables."""
+
+    def room(key, each):
+        return F.expr(f"{key} div {each} * 60")
+
     c = table(spark, sf_dir, "customer").select(
         F.col("c_nationkey").alias("tick"), (F.col("c_custkey") + 1000000).alias("object_id"),
         F.element_at(F.array(F.lit("food"), F.lit("wall"), F.lit("none")), (F.col("c_custkey") % 3 + 1).cast("int")).alias("tag"),
-        (F.col("c_custkey") * 37 % 41).cast("double").alias("x"), (F.col("c_custkey") * 53 % 43).cast("double").alias("z"),
+        (F.col("c_custkey") * 37 % 41 + room("c_custkey", 900)).cast("double").alias("x"), (F.col("c_custkey") * 53 % 43).cast("double").alias("z"),
     )
     s = table(spark, sf_dir, "supplier").select(
         F.col("s_nationkey").alias("tick"), F.col("s_suppkey").alias("object_id"), F.lit("food").alias("tag"),
-        (F.col("s_suppkey") * 17 % 41).cast("double").alias("x"), (F.col("s_suppkey") * 29 % 43).cast("double").alias("z"),
+        (F.col("s_suppkey") * 17 % 41 + room("s_suppkey", 60)).cast("double").alias("x"), (F.col("s_suppkey") * 29 % 43).cast("double").alias("z"),
     )
     agents = s.withColumnsRenamed({"object_id": "agent_id", "tag": "self_tag"})
     return agents, c.unionByName(s)
@@ -60,7 +65,9 @@ def grid_cell_counts(spark, sf_dir):
 FROM cells WHERE tag IN ('food', 'wall')) SELECT tick, agent_id, cell, object_id, tag, {r('dist2')} AS dist2 FROM o WHERE n = 1""",
 )
 def grid_cell_closest(spark, sf_dir):
-    out = G.grid_closest(G.grid_cells(*scene(spark, sf_dir), (2.0, 3.0), (5, 7)), ["food", "wall"])
+    agents, objects = scene(spark, sf_dir)
+    near = G.nearest_candidates(objects, ["food", "wall"])
+    out = G.grid_closest(G.grid_cells(agents, near, (2.0, 3.0), (5, 7)), ["food", "wall"])
     return out.select("tick", "agent_id", "cell", "object_id", "tag", steady("dist2").alias("dist2"))
 
 

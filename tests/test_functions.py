@@ -148,6 +148,11 @@ def test_grid_against_all_pairs(spark, tile_rows, turned):
     objects = spark.createDataFrame(objs, "tick long, object_id long, tag string, x double, z double")
     got = G.grid_cells(agents, objects, cell, size, tile_rows=tile_rows).collect()
     assert len(got) == len(want) and {(r.agent_id, r.cell, r.object_id) for r in got} == want
+    # A crowd at every place changes nothing about who is closest.
+    crowd = objects.unionByName(objects.select("tick", (F.col("object_id") + 1000).alias("object_id"), "tag", "x", "z"))
+    full = G.grid_closest(G.grid_cells(agents, crowd, cell, size), ["a", "b"]).collect()
+    few = G.grid_closest(G.grid_cells(agents, G.nearest_candidates(crowd, ["a", "b"]), cell, size), ["a", "b"]).collect()
+    assert sorted(map(tuple, full)) == sorted(map(tuple, few)) and full
 
 
 def test_seen(spark):
