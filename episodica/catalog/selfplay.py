@@ -8,6 +8,7 @@ from episodica.catalog.sessions import steps
 from episodica.functions.numbers import spread_key, spread_sql, steady
 from episodica.operators import selfplay as P
 from episodica.operators import sessions as S
+from episodica.plans.lineage import cut
 from episodica.schema import AGENT
 
 CURRICULUM = {
@@ -213,7 +214,7 @@ FROM lad JOIN res USING (name, m)""",
 )
 def elo_ratings(spark, sf_dir):
     traj = final_trajectories(spark, sf_dir, "group_reward")
-    traj = traj.withColumn("name", F.concat_ws("/", "name", F.expr(f"agent_id div {ARENA}")))
+    traj = cut(traj.withColumn("name", F.concat_ws("/", "name", F.expr(f"agent_id div {ARENA}"))), "trajectories")
     known = [*AGENT, "episode", "segment"]
     results = P.rated(opponents(traj, PLAN).join(traj.select(*known, "done", "interrupted", "final_reward", "final_group_reward"), known))
     order = ["arrival", "worker_id", "agent_id", "behavior_id", "episode", "segment"]

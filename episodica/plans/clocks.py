@@ -8,7 +8,7 @@ Here every block of the order yields its exact transfer table: from the state in
 a threshold does after its first crossing in a block hangs on the row of that crossing alone, so a table has one entry for each row that
 can be the first, found by its running total; no more than the rows within one limit from the block's start. The tables are
 composed along the blocks of a key, one row a block, twice: first for changes, whose outcome tells which clock each row
-moves, then for snapshots and swaps. Rows are then numbered block by block. Rows and tables share one layout.
+moves, then for snapshots and swaps. Rows are then numbered block by block. The rows' few columns are written once to the shared folder.
 """
 
 from collections.abc import Iterator
@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from episodica.plans.folds import ordered_fold, python_partitions
+from episodica.plans.lineage import cut
 from episodica.plans.ordered import block_of, block_width
 
 LONGS = T.ArrayType(T.LongType())
+BLOCKS_PER_FRAME, ROWS_PER_FRAME = 64, 10_000
 
 
 @dataclass(frozen=True)
@@ -91,6 +93,18 @@ def chained(total: np.ndarray, firsts: np.ndarray, limit: int, end: int) -> tupl
     return n, rest
 
 
+def frames(rows: Iterator[tuple], schema: T.StructType) -> Iterator[pd.DataFrame]:
+    """Rows of blocks in frames of some blocks each."""
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= BLOCKS_PER_FRAME:
+            yield pd.DataFrame(held, columns=schema.fieldNames())
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=schema.fieldNames())
+
+
 # --- the learning team -------------------------------------------------------------------------
 
 
@@ -239,7 +253,11 @@ def two_clocks(df: DataFrame, keys: list[str], order: list[str], limits: Limits,
     bk = [*keys, "_b"]
     rows = df.select(*keys, *order, "team", F.col("length").cast("long").alias("length"))
     kinds = {f.name: f.dataType for f in rows.schema}
-    rows = python_partitions(rows.withColumn("_b", block_of(order[0], block_width(df, width))), bk)
+    rows = rows.withColumn("_b", block_of(order[0], block_width(df, width)))
+    for c in bk:
+        rows = rows.filter(F.col(c).isNotNull())
+    # Four passes read these few columns: whatever they come from is computed once.
+    rows = python_partitions(cut(rows, "clock"), bk)
     per_block = T.StructType([T.StructField(c, kinds.get(c, T.LongType())) for c in bk])
 
     def sorted_rows(entry: DataFrame | None) -> DataFrame:
@@ -263,8 +281,8 @@ def two_clocks(df: DataFrame, keys: list[str], order: list[str], limits: Limits,
     change_schema = extended(per_block, at=lists, hits=lists, rests=lists, learned=lists, totals=LONGS, steps=long)
 
     def change_tables(batches):
-        for key, pdf in whole_blocks(batches, bk):
-            yield pd.DataFrame([(*key, *change_table(*arrays(pdf), limits))], columns=change_schema.fieldNames())
+        rows = ((*key, *change_table(*arrays(pdf), limits)) for key, pdf in whole_blocks(batches, bk))
+        yield from frames(rows, change_schema)
 
     entry_schema = extended(per_block, _round0=long, _since=long, _learned0=long, _others0=long)
     start = dict.fromkeys(("round", "since", "learned", "others"), 0)
@@ -279,9 +297,8 @@ def two_clocks(df: DataFrame, keys: list[str], order: list[str], limits: Limits,
     carried = entry_schema.fieldNames()[len(bk) :]
 
     def tables(batches):
-        for key, pdf in whole_blocks(batches, bk):
-            row = (*key, *[int(pdf[c].iloc[0]) for c in carried], *entered(pdf).tables())
-            yield pd.DataFrame([row], columns=table_schema.fieldNames())
+        rows = ((*key, *[int(pdf[c].iloc[0]) for c in carried], *entered(pdf).tables()) for key, pdf in whole_blocks(batches, bk))
+        yield from frames(rows, table_schema)
 
     full_schema = extended(entry_schema, _snapshots0=long, _saved_since=long, _swap0=long, _swapped_since=long)
     begin = {"snapshots": 1, "saved_since": 0, "swap": 0, "swapped_since": 0}
@@ -292,12 +309,14 @@ def two_clocks(df: DataFrame, keys: list[str], order: list[str], limits: Limits,
     last_schema = extended(full_schema, _saved=long)
 
     def last_saved(batches):
-        for key, pdf in whole_blocks(batches, bk):
-            block = entered(pdf)
-            swaps = block.swaps(int(pdf["_swapped_since"].iloc[0]))
-            saved = int(pdf["_snapshots0"].iloc[0] + block.saves(int(pdf["_saved_since"].iloc[0]))[swaps[-1]]) if len(swaps) else None
-            row = (*key, *[int(pdf[c].iloc[0]) for c in full_schema.fieldNames()[len(bk) :]], saved)
-            yield pd.DataFrame([row], columns=last_schema.fieldNames())
+        def rows():
+            for key, pdf in whole_blocks(batches, bk):
+                block = entered(pdf)
+                swaps = block.swaps(int(pdf["_swapped_since"].iloc[0]))
+                saved = int(pdf["_snapshots0"].iloc[0] + block.saves(int(pdf["_saved_since"].iloc[0]))[swaps[-1]]) if len(swaps) else None
+                yield (*key, *[int(pdf[c].iloc[0]) for c in full_schema.fieldNames()[len(bk) :]], saved)
+
+        yield from frames(rows(), last_schema)
 
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     saved = F.coalesce(F.last("_saved", ignorenulls=True).over(before), F.lit(1)).alias("_saved0")
@@ -309,6 +328,17 @@ def two_clocks(df: DataFrame, keys: list[str], order: list[str], limits: Limits,
         out_schema = out_schema.add(c, long)
 
     def number(batches):
+        held, size = [], 0
+        for out in numbered(batches):
+            held.append(out)
+            size += len(out)
+            if size >= ROWS_PER_FRAME:
+                yield pd.concat(held)
+                held, size = [], 0
+        if held:
+            yield pd.concat(held)
+
+    def numbered(batches):
         for _, pdf in whole_blocks(batches, bk):
             block = entered(pdf)
             entry = {c: int(pdf[c].iloc[0]) for c in ("_learned0", "_others0", "_snapshots0", "_saved_since", "_swap0", "_swapped_since", "_saved0")}
