@@ -7,14 +7,17 @@ from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from episodica.functions.names import behavior_name, behavior_team
-from episodica.plans.clocks import Limits, two_clocks
-from episodica.plans.folds import ordered_fold
-from episodica.plans.ordered import total_order
+from episodica.plans.clocks import Limits, two_clocks, whole_blocks
+from episodica.plans.folds import ordered_fold, python_partitions
+from episodica.plans.lineage import cut
+from episodica.plans.ordered import block_of, block_width, total_order
 
 # Initial rating, scale of the expected score, weight of the old smoothed measure.
 INITIAL_RATING = 1200.0
@@ -285,16 +288,69 @@ def named_teams(traj: DataFrame) -> DataFrame:
 # --- path thinning ---------------------------------------------------------------------------
 
 
-def path_points(positions: DataFrame, keys: list[str], order: str, coords: list[str], gap: float = 0.5) -> DataFrame:
-    """Keep a position when it lies at least `gap` from the last one kept (the first is kept)."""
-    cols = positions.select(*keys, order, *coords)
-    n = len(coords)
-
-    def step(state, row):
-        here = row[-n:]
-        if "at" in state and sum((a - b) ** 2 for a, b in zip(here, state["at"])) < gap * gap:
-            return []
-        state["at"] = here
-        return [tuple(row)]
-
-    return ordered_fold(cols, keys, [order], dict, step, cols.schema)
+def kept_points(xy: np.ndarray, at: np.ndarray | None, gap: float) -> list[int]:
+    """Rows of a path that are kept after a point kept before, if any: each is the first one at least `gap` from the last one kept."""
+    out, i, n = [], 0, len(xy)
+    if at is None and n:
+        out, at, i = [0], xy[0], 1
+    span = 8
+    while i < n:
+        far = ((xy[i : i + span] - at) ** 2).sum(axis=1) >= gap * gap
+        j = int(far.argmax())
+        if far[j]:
+            out.append(i + j)
+            at, i, span = xy[i + j], i + j + 1, 8
+        else:
+            i, span = i + span, min(2 * span, 1 << 14)
+    return out
+
+
+def path_points(positions: DataFrame, keys: list[str], order: str, coords: list[str], gap: float = 0.5, width: int | None = None) -> DataFrame:
+    """Keep a position when it lies at least `gap` from the last one kept (the first is kept).
+
+    A path is cut into blocks of its order. Each block is thinned as if it began the path; then again and again, all blocks side by side, from the point that the
+    blocks before it kept last by then, until no block's last point changes. A round settles at least one more block of a path, and as paths that begin at
+    different points soon keep the same ones, nearly all at once. Paths of one block need no round."""
+    bk = [*keys, "_b"]
+    rows = positions.select(*keys, order, *coords).withColumn("_b", block_of(order, block_width(positions, width)))
+    for c in bk:
+        rows = rows.filter(F.col(c).isNotNull())
+    rows = cut(rows, "path")
+    point = T.ArrayType(T.DoubleType())
+    kinds = {f.name: f.dataType for f in rows.schema}
+    last_schema = T.StructType([T.StructField(c, kinds[c]) for c in bk]).add("_last", point)
+    out_schema = T.StructType([T.StructField(c, kinds[c]) for c in [*keys, order, *coords]])
+
+    def thinned(found: DataFrame):
+        return python_partitions(found, bk).sortWithinPartitions(*bk, order)
+
+    def kept(pdf):
+        entry = pdf["_entry"].iloc[0]
+        return kept_points(pdf[coords].to_numpy(dtype=float), None if entry is None else np.asarray(entry, float), gap)
+
+    def last_points(batches):
+        for key, pdf in whole_blocks(batches, bk):
+            own = kept(pdf)
+            yield pd.DataFrame([(*key, pdf[coords].iloc[own[-1]].astype(float).tolist() if own else None)], columns=last_schema.fieldNames())
+
+    def points(batches):
+        for _, pdf in whole_blocks(batches, bk):
+            yield pdf[out_schema.fieldNames()].iloc[kept(pdf)]
+
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*bk).agg(F.count(F.lit(1)).alias("_n"))
+    several = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_blocks")).filter("_blocks > 1").select(*keys)
+    several = cut(several, "paths")
+    none = F.lit(None).cast(point)
+    if several.isEmpty():
+        return thinned(rows.withColumn("_entry", none)).mapInPandas(points, out_schema)
+    long = rows.join(several, keys, "left_semi")
+    ends = cut(thinned(long.withColumn("_entry", none)).mapInPandas(last_points, last_schema), "ends")
+    while True:
+        entries = ends.select(*bk, F.last("_last", ignorenulls=True).over(before).alias("_entry"))
+        new = cut(thinned(long.join(entries, bk)).mapInPandas(last_points, last_schema), "ends")
+        moved = new.join(ends.withColumnRenamed("_last", "_then"), bk).filter(~F.col("_last").eqNullSafe(F.col("_then")))
+        settled = moved.isEmpty()
+        ends = new
+        if settled:
+            return thinned(rows.join(entries, bk, "left")).mapInPandas(points, out_schema)

@@ -185,6 +185,26 @@ def test_rated(spark):
     assert [r.id for r in P.rated(df.withColumn("group_done", F.lit(False))).collect()] == []
 
 
+@pytest.mark.parametrize("width", [3, 10, 1 << 18])
+def test_paths_in_blocks(spark, width):
+    """Walks that wander, stand still with a tremble, or jump are thinned in blocks as they are row by row."""
+    rng, rows, want = random.Random(width), [], set()
+    for key, step in (("walk", 0.3), ("still", 0.01), ("jump", 3.0), ("one", 0.0)):
+        x = y = 0.0
+        last = None
+        for t in range(1 if key == "one" else 150):
+            x, y = x + rng.uniform(-step, step), y + rng.uniform(-step, step)
+            if key == "still" and t == 140:
+                x += 5
+            rows.append((key, t, x, y))
+            if last is None or (x - last[0]) ** 2 + (y - last[1]) ** 2 >= 0.25:
+                want.add((key, t))
+                last = (x, y)
+    df = spark.createDataFrame(rows, "k string, t long, x double, y double")
+    got = P.path_points(df, ["k"], "t", ["x", "y"], width=width).collect()
+    assert {(r.k, r.t) for r in got} == want and len(got) == len(want)
+
+
 def test_path_points(spark):
     xs = [0.0, 0.3, 0.6, 0.9, 1.0, 1.1, 1.7]
     df = spark.createDataFrame([("a", t, x) for t, x in enumerate(xs)], "k string, t long, x double")
