@@ -340,7 +340,6 @@ def path_points(positions: DataFrame, keys: list[str], order: str, coords: list[
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy(*bk).agg(F.count(F.lit(1)).alias("_n"))
     several = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_blocks")).filter("_blocks > 1").select(*keys)
-    several = cut(several, "paths")
     none = F.lit(None).cast(point)
     if several.isEmpty():
         return thinned(rows.withColumn("_entry", none)).mapInPandas(points, out_schema)
