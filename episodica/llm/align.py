@@ -49,8 +49,9 @@ DENSE = 64
 # Words that a worker remembers, and that it aligns at once.
 REMEMBERED = 1 << 19
 WORDS = 1 << 14
-# Before a space behind a letter, a digit or a printable ASCII sign.
-CUT = re.compile(r"(?<=[\w!-/:-@\[-`{-~])(?= )")
+# Before a space behind a letter, a digit or a printable ASCII sign; a space that ends the text stays with its word, as B makes no token of an
+# empty text and a word's own first space is B's to add.
+CUT = re.compile(r"(?<=[\w!-/:-@\[-`{-~])(?= .)", re.DOTALL)
 
 
 def byte_alphabet() -> dict[str, int]:

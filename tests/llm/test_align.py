@@ -106,6 +106,13 @@ def test_dense_groups():
     assert dict(zip(code.tolist(), n.tolist())) == want and set(doc.tolist()) == {4}
 
 
+def test_texts_that_end_in_a_space(frame):
+    texts = ["word ", "two words ", "a  ", " ", " a ", "é ", "9 \n ", "漢 ", "end.", "x \x85", "word\n "]
+    docs = frame(list(enumerate(texts)))
+    assert rows_of(align.digests(docs, A, B)) == [(True, d, *row) for d, row in enumerate(plain(texts))]
+    assert all(r.n_a > 0 for r in align.digests(docs.filter("doc_id < 3"), A, B).collect())
+
+
 def test_links_and_empty_table(frame):
     docs = frame([(1, "the house"), (2, "the house"), (3, None)])
     found = align.links(docs, A, B).collect()
