@@ -102,11 +102,13 @@ def grid_cells(
 
 
 def nearest_candidates(objects: DataFrame, tags: list[str]) -> DataFrame:
-    """The objects that can be closest to anyone: of those at one place the two of smallest ids, as one of them may be the agent that looks.
+    """The objects that can be closest to anyone: of those at one place the two smallest ids, as one of them may be the agent that looks.
 
-    Each task keeps no more than two of a place before the exchange, so a crowd at a place meets no agent."""
-    w = Window.partitionBy("tick", "x", "z").orderBy("object_id", "tag")
-    return objects.filter(F.col("tag").isin(tags)).withColumn("_r", F.row_number().over(w)).filter("_r <= 2").drop("_r")
+    Each task keeps only rows of two ids of a place before the exchange, so a crowd at a place meets no agent. Rows of one id all stay; an object
+    without id is never anyone's other."""
+    w = Window.partitionBy("tick", "x", "z").orderBy("object_id")
+    known = objects.filter(F.col("tag").isin(tags) & F.col("object_id").isNotNull())
+    return known.withColumn("_r", F.dense_rank().over(w)).filter("_r <= 2").drop("_r")
 
 
 def grid_counts(cells: DataFrame, tags: list[str]) -> DataFrame:
