@@ -149,3 +149,20 @@ def test_checkpoint_retention(spark):
     assert sorted(r.steps for r in O.keep_checkpoints(df, 2).collect()) == [4, 5]
     assert O.keep_checkpoints(df, 0).count() == 6
     assert sorted(r.steps for r in O.expired_checkpoints(df, 2).collect()) == [0, 1, 2, 3]
+
+
+def test_one_demonstration_an_agent_and_span(spark, tmp_path):
+    from datetime import datetime
+
+    from episodica import catalog
+
+    kinds = ("click", "purchase", "view")
+    rows = [(t, t % 3, kinds[t % 3], float(t % 100), f'{{"k": {t % 7}}}', datetime(2025, 1, 1)) for t in range(0, 2000, 40)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    catalog.load_all()
+    got = {r.path: (r.n, r.agents, r.ends) for r in catalog.QUERIES["demonstrations_by_sql"](spark, str(tmp_path)).collect()}
+    want = {}
+    for t, agent, kind, *_ in rows:
+        n, agents, ends = want.get(f"{agent}-{t // 500}", (0, 0, 0))
+        want[f"{agent}-{t // 500}"] = (n + 1, agents + agent, ends + (kind == "purchase"))
+    assert got == want and len(want) == 12
