@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from episodica.functions.names import behavior_name, behavior_team
-from episodica.plans.clocks import Limits, two_clocks, whole_blocks
+from episodica.plans.clocks import Limits, two_clocks
 from episodica.plans.folds import ordered_fold, python_partitions
 from episodica.plans.lineage import cut
 from episodica.plans.ordered import block_of, block_width, total_order
@@ -305,6 +305,69 @@ def kept_points(xy: np.ndarray, at: np.ndarray | None, gap: float) -> list[int]:
     return out
 
 
+# Blocks of a path up to this long are thinned side by side, one point of each at a time.
+SHORT = 64
+
+
+def kept_rows(xy: np.ndarray, starts: np.ndarray, entries: list, gap: float) -> np.ndarray:
+    """Which rows of consecutive blocks are kept; entries holds the point kept before each block, or None where a path begins."""
+    sizes = np.diff(np.append(starts, len(xy)))
+    keep = np.zeros(len(xy), bool)
+    begun = np.array([e is not None for e in entries], bool)
+    for b in np.flatnonzero(sizes > SHORT).tolist():
+        rows = xy[starts[b] : starts[b] + sizes[b]]
+        keep[starts[b] + np.array(kept_points(rows, np.asarray(entries[b], float) if begun[b] else None, gap), np.int64)] = True
+    short = np.flatnonzero(sizes <= SHORT)
+    short = short[np.argsort(-sizes[short], kind="stable")]
+    first, sizes, begun = starts[short], sizes[short], begun[short]
+    at = xy[first].copy()
+    if begun.any():
+        at[begun] = np.array([entries[b] for b in short[begun].tolist()], float)
+    keep[first[~begun]] = True
+    for k in range(int(sizes.max(initial=0))):
+        live = int(np.searchsorted(-sizes, -k, "left"))
+        rows = first[:live] + k
+        far = ((xy[rows] - at[:live]) ** 2).sum(axis=1) >= gap * gap
+        if k == 0:
+            far &= begun[:live]
+        keep[rows[far]] = True
+        at[:live][far] = xy[rows[far]]
+    return keep
+
+
+def whole_runs(batches, bk: list[str]):
+    """(rows, where blocks start) of a sorted stream, in frames of whole blocks."""
+
+    def changes(pdf: pd.DataFrame) -> np.ndarray:
+        new = np.zeros(len(pdf), bool)
+        new[0] = True
+        for c in bk:
+            v = pdf[c].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    def joined(parts: list[pd.DataFrame]):
+        pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+        return pdf, changes(pdf)
+
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        starts = changes(pdf)
+        same = bool(held) and all(held[-1][c].iloc[-1] == pdf[c].iloc[0] for c in bk)
+        if held and not same:
+            yield joined(held)
+            held = []
+        last = int(starts[-1])
+        if last:
+            yield joined([*held, pdf.iloc[:last]])
+            held = []
+        held.append(pdf.iloc[last:])
+    if held:
+        yield joined(held)
+
+
 def path_points(positions: DataFrame, keys: list[str], order: str, coords: list[str], gap: float = 0.5, width: int | None = None) -> DataFrame:
     """Keep a position when it lies at least `gap` from the last one kept (the first is kept).
 
@@ -324,18 +387,20 @@ def path_points(positions: DataFrame, keys: list[str], order: str, coords: list[
     def thinned(found: DataFrame):
         return python_partitions(found, bk).sortWithinPartitions(*bk, order)
 
-    def kept(pdf):
-        entry = pdf["_entry"].iloc[0]
-        return kept_points(pdf[coords].to_numpy(dtype=float), None if entry is None else np.asarray(entry, float), gap)
+    def kept(pdf, starts):
+        return kept_rows(pdf[coords].to_numpy(dtype=float), starts, pdf["_entry"].to_numpy()[starts].tolist(), gap)
 
     def last_points(batches):
-        for key, pdf in whole_blocks(batches, bk):
-            own = kept(pdf)
-            yield pd.DataFrame([(*key, pdf[coords].iloc[own[-1]].astype(float).tolist() if own else None)], columns=last_schema.fieldNames())
+        for pdf, starts in whole_runs(batches, bk):
+            last = np.maximum.reduceat(np.where(kept(pdf, starts), np.arange(len(pdf)), -1), starts)
+            out = pdf[bk].iloc[starts].reset_index(drop=True)
+            xy = pdf[coords].to_numpy(dtype=float)
+            out["_last"] = pd.Series([xy[j].tolist() if j >= 0 else None for j in last.tolist()], dtype=object)
+            yield out
 
     def points(batches):
-        for _, pdf in whole_blocks(batches, bk):
-            yield pdf[out_schema.fieldNames()].iloc[kept(pdf)]
+        for pdf, starts in whole_runs(batches, bk):
+            yield pdf[out_schema.fieldNames()][kept(pdf, starts)]
 
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy(*bk).agg(F.count(F.lit(1)).alias("_n"))

@@ -209,3 +209,24 @@ def test_path_points(spark):
     xs = [0.0, 0.3, 0.6, 0.9, 1.0, 1.1, 1.7]
     df = spark.createDataFrame([("a", t, x) for t, x in enumerate(xs)], "k string, t long, x double")
     assert [r.x for r in P.path_points(df, ["k"], "t", ["x"]).orderBy("t").collect()] == [0.0, 0.6, 1.1, 1.7]
+
+
+def test_paths_side_by_side():
+    """Many short paths and some long ones in one frame are thinned as each by itself, whatever frames their rows come in."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    sizes = [*rng.integers(1, 12, 300).tolist(), 64, 65, 400, 1]
+    rng.shuffle(sizes)
+    starts = np.cumsum([0, *sizes[:-1]])
+    xy = rng.integers(0, 8, (sum(sizes), 2)) / 4.0
+    xy[rng.integers(0, len(xy), 40)] = np.nan
+    entries = [rng.integers(0, 8, 2).tolist() if rng.random() < 0.4 else None for _ in sizes]
+    got = np.flatnonzero(P.kept_rows(xy, starts, entries, 0.5)).tolist()
+    want = [a + j for a, n, e in zip(starts.tolist(), sizes, entries) for j in P.kept_points(xy[a : a + n], None if e is None else np.asarray(e, float), 0.5)]
+    assert got == want
+    pdf = pd.DataFrame({"k": np.repeat(np.arange(len(sizes)), sizes), "n": np.arange(len(xy))})
+    frames = [*P.whole_runs((pdf.iloc[i : i + 7] for i in range(0, len(pdf), 7)), ["k"])]
+    assert [x for f, _ in frames for x in f["n"]] == pdf["n"].tolist()
+    assert [n for f, s in frames for n in np.diff([*s, len(f)])] == sizes
