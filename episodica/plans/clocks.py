@@ -321,6 +321,8 @@ def two_clocks(df: DataFrame, keys: list[str], order: list[str], limits: Limits,
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     saved = F.coalesce(F.last("_saved", ignorenulls=True).over(before), F.lit(1)).alias("_saved0")
     entries = sorted_rows(entries).mapInPandas(last_saved, last_schema).select(*full_schema.fieldNames(), saved)
+    # The window lays blocks out by key alone; without this the rows would follow them, a key in one task.
+    entries = python_partitions(entries, bk)
 
     names = [*keys, *order, "team", "length"]
     out_schema = T.StructType([T.StructField(c, kinds[c]) for c in names])

@@ -230,3 +230,10 @@ def test_paths_side_by_side():
     frames = [*P.whole_runs((pdf.iloc[i : i + 7] for i in range(0, len(pdf), 7)), ["k"])]
     assert [x for f, _ in frames for x in f["n"]] == pdf["n"].tolist()
     assert [n for f, s in frames for n in np.diff([*s, len(f)])] == sizes
+
+
+def test_blocks_of_one_name_are_numbered_in_several_tasks(spark):
+    rows = [("all", a, "b", 0, a % 5, 0, 0, a % 2, 1 + a % 7) for a in range(400)]
+    traj = spark.createDataFrame(rows, "name string, arrival long, behavior_id string, worker_id int, agent_id long, episode long, segment long, team int, length long")
+    out = P.self_play_schedule(traj, P.SelfPlay(40, 30, 60), width=16).withColumn("task", F.spark_partition_id())
+    assert out.select("task").distinct().count() > 1 and out.count() == 400
