@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodica.operators.sessions import order_key, sequenced
+from episodica.plans.folds import python_partitions
+from episodica.plans.lineage import cut, join_stats
 from episodica.plans.ordered import block_width, fill_forward, prefix
 from episodica.schema import AGENT, GROUP
 
@@ -79,39 +81,78 @@ def bucket(position: Column, level: Column) -> Column:
     return F.call_function("shiftright", position, level * WIDER)
 
 
-def mate_lists(status: DataFrame, payload: list[str], emit: Column | None = None) -> DataFrame:
-    """The status list of each row's group at its order point, sorted by agent, without the row's own status.
+# Rows of a block for each status that is valid at a time, and the fewest rows of a block.
+SHARE, FEWEST = 0.5, 32
+
 
-    A status is valid from its order point until its agent's next one, or until the agent is forgotten. An interval meets the points of the one or two
-    buckets that it touches on the level of its length, whatever that is, so a silent agent is one row, and a fixed share of what meets
-    is valid. A list is built once for all rows of a point; each row takes its own status out of it."""
-    body = status.filter(F.col("group_id") > 0)
+def blocks_of_ticks(body: DataFrame, width: int | None = None) -> DataFrame:
+    """(group, tick, _block, _end): blocks of a group's order that hold about SHARE rows for each status valid at a time, and the group's last block.
+
+    Rows are counted, not ticks, so a burst makes more blocks; rows of one tick share one. A status that lasts over d rows meets d / size + 2 blocks at
+    most, so all statuses of all blocks are a fixed multiple of the rows."""
+    at = F.array(
+        F.struct(F.col("tick"), F.lit(1).alias("n"), F.lit(0).alias("ended"), F.col("is_terminal").cast("int").alias("gone")),
+        F.struct(F.col("nxt.tick").alias("tick"), F.lit(0).alias("n"), F.lit(1).alias("ended"), F.lit(0).alias("gone")),
+    )
+    per_tick = body.select(*GROUP, F.explode(at).alias("_c")).groupBy(*GROUP, "_c.tick")
+    per_tick = per_tick.agg(*[F.sum(f"_c.{c}").alias(c) for c in ("n", "ended", "gone")])
+    ranked = cut(prefix(per_tick, GROUP, "tick", {"_rank": F.col("n")}, ["tick"], inclusive=False, width=width), "ranks")
+    # Rows that all statuses last over: to the row that ends them, else to the end of the group's rows.
+    number, rank = F.sum("n").cast("double"), F.col("_rank").cast("double")
+    lasting = F.sum(rank * (F.col("ended") - F.col("n"))) + number * (F.sum("n") - F.sum("ended") - F.coalesce(F.sum("gone"), F.lit(0)))
+    size = F.greatest(F.ceil(lasting / number * SHARE), F.lit(FEWEST)).cast("long")
+    sizes = ranked.groupBy(*GROUP).agg(size.alias("_size"), F.max("_rank").alias("_most"))
+    found = join_stats(ranked.select(*GROUP, "tick", "_rank"), sizes, GROUP)
+    return found.select(*GROUP, "tick", F.expr("_rank div _size").alias("_block"), F.expr("_most div _size").alias("_end"))
+
+
+def with_mates(status: DataFrame, payload: list[str], emit: Column | None = None, alike: bool = False) -> DataFrame:
+    """Rows of groups (those to `emit`) with the status list of their group at their order point, sorted by agent, without the row's own status.
+
+    A status is valid from its order point until its agent's next one, or until the agent is forgotten. The group's order is cut into blocks; a block's
+    statuses are collected once, and each of its rows picks those valid at its point. Only the blocks' lists are moved, never a row's. `alike` adds _n, the rows of
+    the same agent and point."""
+    where = blocks_of_ticks(status)
     until = F.when(F.col("nxt").isNotNull(), F.col("nxt.tick") * 2 + F.when(F.col("nxt.is_terminal"), 0).otherwise(1)).when(
         F.col("is_terminal"), F.col("tick") * 2 + 2
     )
     # Statuses that nothing ends are valid to the end of time; a tick number leaves two bits to spare.
     until = F.coalesce(until, F.lit(1 << 62))
-    valid = body.select(*GROUP, F.col("ord").alias("_from"), until.alias("_to"), F.struct("agent_id", *payload).alias("_s"))
-    valid = valid.withColumn("_level", level_of(F.col("_to") - F.col("_from")))
-    first, last = bucket(F.col("_from"), F.col("_level")), bucket(F.col("_to") - 1, F.col("_level"))
-    # Only the bucket where it begins and the one where it ends.
-    valid = valid.withColumn("_bucket", F.explode(F.array_distinct(F.array(first, last))))
-    wanted = body if emit is None else body.filter(emit)
-    levels = valid.groupBy(*GROUP).agg(F.collect_set("_level").alias("_levels"))
-    points = wanted.select(*GROUP, "ord").distinct().join(levels, GROUP).withColumn("_level", F.explode("_levels")).drop("_levels")
-    points = points.withColumn("_bucket", bucket(F.col("ord"), F.col("_level")))
-    met = points.join(valid, [*GROUP, "_level", "_bucket"]).filter((F.col("_from") <= F.col("ord")) & (F.col("ord") < F.col("_to")))
-    lists = met.groupBy(*GROUP, "ord").agg(F.sort_array(F.collect_list("_s")).alias("_all"))
-    others = F.filter("_all", lambda m: m["agent_id"] != F.col("agent_id")).alias("group_status")
-    return wanted.select(*GROUP, "agent_id", "ord").join(lists, [*GROUP, "ord"]).select(*GROUP, "agent_id", "ord", others)
+    valid = status.select(
+        *GROUP, "tick", F.col("nxt.tick").alias("_next"), F.col("is_terminal").alias("_gone"),
+        F.struct("agent_id", *payload, F.col("ord").alias("_from"), until.alias("_to")).alias("_s"),
+    ).join(where, [*GROUP, "tick"])
+    ends = where.select(*GROUP, F.col("tick").alias("_next"), F.col("_block").alias("_last"))
+    valid = valid.join(ends, [*GROUP, "_next"], "left")
+    last = F.when(F.col("_last").isNotNull(), F.col("_last")).when(F.col("_gone"), F.col("_block")).otherwise(F.col("_end"))
+    valid = valid.select(*GROUP, "_s", F.explode(F.sequence("_block", F.greatest("_block", last))).alias("_block"))
+    lists = valid.groupBy(*GROUP, "_block").agg(F.sort_array(F.collect_list("_s")).alias("_all"))
+    wanted = (status if emit is None else status.filter(emit)).join(where.drop("_end"), [*GROUP, "tick"])
+    if alike:
+        wanted = wanted.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*GROUP, "tick", "agent_id", "ord")))
+    # Rows are few bytes that cost much time: a stated number of parts keeps them apart.
+    met = python_partitions(wanted, [*GROUP, "_block"]).join(lists, [*GROUP, "_block"])
+    own = [F.col(c) for c in ("ord", "agent_id")]
+    there = F.filter("_all", lambda m: (m["_from"] <= own[0]) & (own[0] < m["_to"]) & (m["agent_id"] != own[1]))
+    return met.withColumn("group_status", F.transform(there, lambda m: F.struct(*[m[c].alias(c) for c in ("agent_id", *payload)]))).drop("_all", "_block")
+
+
+def mate_lists(status: DataFrame, payload: list[str], emit: Column | None = None) -> DataFrame:
+    """The status list of each row's group at its order point, sorted by agent, without the row's own status."""
+    body = cut(status.filter(F.col("group_id") > 0), "statuses")
+    return with_mates(body, payload, emit).select(*GROUP, "agent_id", "ord", "group_status")
 
 
 def group_status(status: DataFrame, payload: list[str]) -> DataFrame:
-    """Experience rows with the list of their mates' last statuses (empty outside a group)."""
-    lists = mate_lists(status, payload)
-    return status.join(lists, [*GROUP, "agent_id", "ord"], "left").withColumn(
-        "group_status", F.coalesce("group_status", F.array().cast(lists.schema["group_status"].dataType))
-    )
+    """Experience rows with the list of their mates' last statuses (empty outside a group).
+
+    Rows of one agent at one point are told apart by nothing: each comes with the list of each."""
+    kept = cut(status, "statuses")
+    inside = F.coalesce(F.col("group_id") > 0, F.lit(False))
+    found = with_mates(kept.filter(inside), payload, alike=True)
+    found = found.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n").select(*status.columns, "group_status")
+    none = F.array().cast(found.schema["group_status"].dataType)
+    return found.unionByName(kept.filter(~inside).withColumn("group_status", none))
 
 
 def next_group_obs(status: DataFrame, horizon: int, obs: str) -> DataFrame:

@@ -91,3 +91,21 @@ def test_interval_levels(spark):
     df = spark.createDataFrame(rows, "a long, b long").withColumn("level", G.level_of(F.col("b") - F.col("a")))
     for r in df.select("*", G.bucket(F.col("a"), F.col("level")).alias("x"), G.bucket(F.col("b") - 1, F.col("level")).alias("y")).collect():
         assert 0 <= r.y - r.x <= 1 and 4**r.level >= r.b - r.a
+
+
+def test_lists_of_blocks_grow_with_the_rows(spark):
+    """Agents that stay silent stand in as many blocks as there are rows for them, however long the log and large the group."""
+    per_row = []
+    for agents in (40, 160):
+        rows = [("b", 0, a, 1, t * agents + a, False, False, 0.0, 0.0, a) for a in range(agents) for t in range(2)]
+        rows += [("b", 0, 0, 1, 2 * agents + t, t % 50 == 0, False, 0.0, 0.0, t) for t in range(20 * agents)]
+        st = G.statuses(spark.createDataFrame(rows, SCHEMA))
+        where = G.blocks_of_ticks(st)
+        blocks = where.agg(F.max("_end") + 1).first()[0]
+        per_row.append(blocks * agents / st.count())
+        met = G.with_mates(st, ["k"])
+        assert met.count() == st.count() and "_all" not in met.columns
+        assert met.agg(F.max(F.size("group_status"))).first()[0] == agents - 1
+        plan = met._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in plan and plan.index("group_status") < plan.index("RepartitionByExpression")
+    assert max(per_row) < 3
