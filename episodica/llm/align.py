@@ -8,7 +8,8 @@ alone, whose spans would say the same. Every token's span is held against
 its decoded bytes; should a library's spans disagree with them, the decoded bytes decide for that text alone.
 
 No token of either vocabulary reaches over a space behind a word (checked when they are loaded; texts stay whole for others), so both end there:
-texts are aligned word by word, and each different word once while a worker remembers it.
+texts are aligned word by word, and each different word once while a worker remembers it. A full memory keeps the words used most; new
+words go to A one behind another, as in a text.
 
 Counts: a link of ids (a, b) counts once for each document that holds it. Documents are taken in chunks of bounded size,
 each of which lists its different id pairs once with the number of its documents; only these lists are shuffled, added up
@@ -52,6 +53,10 @@ WORDS = 1 << 14
 # Before a space behind a letter, a digit or a printable ASCII sign; a space that ends the text stays with its word, as B makes no token of an
 # empty text and a word's own first space is B's to add.
 CUT = re.compile(r"(?<=[\w!-/:-@\[-`{-~])(?= .)", re.DOTALL)
+# What a word ends with that another one may stand behind.
+CLOSED = re.compile(r"[\w!-/:-@\[-`{-~]")
+# Uses that keep a word when a worker forgets.
+USED = 2
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -99,30 +104,62 @@ class Aligner:
         self.n_b = len(self.b_at) - 1
         self.b_is_byte = np.array([self.b.is_byte(i) for i in range(self.n_b)])
         self.digits, self.digits_at = blob([b"%d," % i for i in range(max(len(self.a_at), len(self.b_at)))])
-        self.cuts_words = words_are_apart(json.loads(a_json), self.b)
-        self.forget()
-
-    def forget(self) -> None:
+        a = json.loads(a_json)
+        self.cuts_words = words_are_apart(a, self.b)
+        # A encodes words one behind another as it does each alone, unless a token that isn't plain text could reach over their bounds.
+        self.joins_words = self.cuts_words and all(t.get("special") for t in a.get("added_tokens") or [])
         self.known: dict[str, int] = {}
-        self.numbers = Rows(np.int64, 5)
+        self.numbers, self.uses = Rows(np.int64, 5), Rows(np.int64, 1)
         self.written, self.codes, self.links = Segments(np.uint8), Segments(np.int64), Segments(np.int64)
 
+    def forget(self) -> None:
+        """Keeps the words used most, half of what may be remembered at most; older uses count half each time."""
+        uses, sizes, least = self.uses.data[: self.uses.size, 0], np.diff(self.written.at.data[: self.written.at.size, 0]), USED
+        while True:
+            keep = uses >= least
+            if 2 * np.count_nonzero(keep) <= REMEMBERED and 2 * int(sizes[keep].sum()) <= CHUNK:
+                break
+            least *= 2
+        kept_words = (w for w, k in zip(self.known, keep.tolist()) if k)
+        self.known = {w: k for k, w in enumerate(kept_words)}
+        self.numbers, self.uses = self.numbers.only(keep), self.uses.only(keep)
+        self.uses.data >>= 1
+        self.written, self.codes, self.links = self.written.only(keep), self.codes.only(keep), self.links.only(keep)
+
+    def tokens_of_a(self, words: list[str], plain: bool):
+        """(tokens a word, ids, character offsets in the word unless plain) of A: words are encoded one behind another where nothing reaches over
+        their bounds, else alone."""
+        encode = self.a.encode_batch_fast if plain else self.a.encode_batch
+        if self.joins_words and all(CLOSED.match(w, len(w) - 1) for w in words):
+            one = encode(["".join(words)], add_special_tokens=False)[0]
+            ids = np.array(one.ids, np.int64)
+            sizes = [*map(len, words)] if plain else [len(w.encode()) for w in words]
+            ends, stops = np.cumsum(self.a_at[ids + 1] - self.a_at[ids]), np.cumsum(sizes)
+            last = np.searchsorted(ends, stops)
+            # Only if a token ends where each word does.
+            if len(ends) and ends[-1] == stops[-1] and (ends[last] == stops).all():
+                n_a = np.diff(last, prepend=-1)
+                if plain:
+                    return n_a, ids, None
+                first = np.cumsum([0, *map(len, words[:-1])])
+                return n_a, ids, np.array(one.offsets, np.int64) - np.repeat(first, n_a)[:, None]
+        ones = encode(words, add_special_tokens=False)
+        offsets = None if plain else np.array([c for x in ones for o in x.offsets for c in o], np.int64).reshape(-1, 2)
+        return *numbers_of([x.ids for x in ones]), offsets
+
     def tokens(self, words: list[str], plain: bool):
         """(tokens a word, ids, character offsets) of A and (tokens a word, ids, ends of spans) of B. In plain words, of ASCII only, characters are
         bytes: there offsets and spans are what the ids' bytes say, and aren't asked for."""
         rest = [w[1:] for w in words]
+        n_a, flat_a, offsets = self.tokens_of_a(words, plain)
         if plain:
-            a = [x.ids for x in self.a.encode_batch_fast(words, add_special_tokens=False)]
-            b = self.b.encode(rest, return_type=int, num_threads=1)
-            offsets = stop = None
+            n_b, flat_b = numbers_of(self.b.encode(rest, return_type=int, num_threads=1))
+            stop = None
         else:
-            ones = self.a.encode_batch(words, add_special_tokens=False)
             protos = self.b.encode(rest, return_type="proto", num_threads=1)
-            a, b = [x.ids for x in ones], [[p.id for p in x.pieces] for x in protos]
-            offsets = np.array([c for x in ones for o in x.offsets for c in o], np.int64).reshape(-1, 2)
+            n_b, flat_b = numbers_of([[p.id for p in x.pieces] for x in protos])
             stop = np.array([p.end for x in protos for p in x.pieces], np.int64)
-        flat_a, flat_b = (np.array([i for x in ids for i in x], np.int64) for ids in (a, b))
-        return np.array([*map(len, a)]), flat_a, offsets, np.array([*map(len, b)]), flat_b, stop
+        return n_a, flat_a, offsets, n_b, flat_b, stop
 
     def spelt(self, words: list[str], plain: bool):
         """Tokens of the words that both tokenizers spell: (which words, then of A and of B: tokens a word, ids, ends, which of them are inside a
@@ -192,6 +229,7 @@ class Aligner:
         first = len(self.known)
         self.known.update((w, first + k) for k, w in enumerate(words))
         self.numbers.add(numbers)
+        self.uses.add(np.zeros((len(words), 1), np.int64))
         self.written.add(written, sizes)
         self.codes.add(code, pair_sizes)
         self.links.add(links, pair_sizes)
@@ -202,12 +240,16 @@ class Aligner:
             self.forget()
         words = [(CUT.split(" " + t) if self.cuts_words else [" " + t]) if t else [] for t in texts]
         new = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in self.known]
-        for plain in (True, False):
-            some = [w for w in new if w.isascii() == plain]
+        # Words that can't have another one behind them are few, and learnt apart.
+        parts: dict[tuple[bool, bool], list[str]] = {}
+        for w in new:
+            parts.setdefault((w.isascii(), CLOSED.match(w, len(w) - 1) is not None), []).append(w)
+        for (plain, _), some in parts.items():
             for k in range(0, len(some), WORDS):
                 self.learn(some[k : k + WORDS], plain)
         sizes = np.array([len(w) for w in words])
         which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        self.uses.data[: self.uses.size, 0] += np.bincount(which, minlength=self.uses.size)
         doc, ends = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes)
         numbers = self.numbers.take(which)
         # A text of which one word isn't spelt has no tokens.
@@ -266,6 +308,11 @@ def words_are_apart(a: dict, b) -> bool:
     return by_pattern and not any(re.search("[^▁]▁", b.id_to_piece(i)) for i in range(b.get_piece_size()))
 
 
+def numbers_of(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, all numbers) of lists."""
+    return np.array([*map(len, lists)], np.int64), np.fromiter(chain.from_iterable(lists), np.int64)
+
+
 class Rows:
     """Rows of numbers that grow."""
 
@@ -281,6 +328,11 @@ class Rows:
     def take(self, which: np.ndarray) -> np.ndarray:
         return self.data[which]
 
+    def only(self, keep: np.ndarray) -> "Rows":
+        rows = Rows(self.data.dtype, self.data.shape[1])
+        rows.add(self.data[: self.size][keep])
+        return rows
+
 
 class Segments:
     """Ragged rows that grow: one flat array and where rows begin."""
@@ -304,12 +356,20 @@ class Segments:
     def take(self, which: np.ndarray) -> np.ndarray:
         return gather(self.flat.data[:, 0], self.at.data[:, 0], which)
 
+    def only(self, keep: np.ndarray) -> "Segments":
+        lengths, some = np.diff(self.at.data[: self.at.size, 0]), Segments(self.flat.data.dtype)
+        some.add(self.flat.data[: self.size, 0][np.repeat(keep, lengths)], lengths[keep])
+        return some
+
 
 def counted(doc: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different (doc, code), in order, with the sums of n."""
     if not len(doc):
         return doc, code, n
-    order = np.lexsort((code, doc))
+    width = int(code.max()).bit_length()
+    # One key for both where 63 bits hold it.
+    one_key = width + int(doc.max()).bit_length() < 64
+    order = np.argsort(doc << width | code) if one_key else np.lexsort((code, doc))
     doc, code = doc[order], code[order]
     first = np.ones(len(doc), bool)
     first[1:] = (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])

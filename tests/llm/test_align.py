@@ -113,6 +113,32 @@ def test_texts_that_end_in_a_space(frame):
     assert all(r.n_a > 0 for r in align.digests(docs.filter("doc_id < 3"), A, B).collect())
 
 
+def test_used_words_stay_known(monkeypatch):
+    """A worker whose memory is full forgets the words it met once, and aligns the others only once."""
+    monkeypatch.setattr(align, "REMEMBERED", 40)
+    one = align.Aligner(*align.contents(A, B))
+    learnt, learn = Counter(), one.learn
+    monkeypatch.setattr(one, "learn", lambda words, plain: (learnt.update(words), learn(words, plain)))
+    texts = ["the house, the größe. the house " + " ".join(f"n{k}x{i}é" for i in range(30)) for k in range(6)] + TEXTS[1:]
+    rows = [one.aligned([t])[0][0] for t in texts]
+    assert rows == [(*r[:4], r[6]) for r in plain(texts)]
+    assert learnt[" the"] == learnt[" house"] == 1 and len(one.known) < 100 + 4000
+
+
+def test_words_are_encoded_together():
+    """Words of a batch go to A as one text, and come back as each alone."""
+    one = align.Aligner(*align.contents(A, B))
+    for words, is_plain in (([" the", " house,", " it's", " 12.5", " \nnew", " (x)"], True), ([" größe", " 漢字,", " \n½", " naïve."], False)):
+        sent, encode = [], one.a
+        calls = {n: getattr(encode, n) for n in ("encode_batch", "encode_batch_fast")}
+        one.a = type("Seen", (), {n: staticmethod(lambda w, _f=f, **k: (sent.append(len(w)), _f(w, **k))[1]) for n, f in calls.items()})
+        n_a, ids, offsets = one.tokens_of_a(words, is_plain)
+        one.a = encode
+        alone = encode.encode_batch(words, add_special_tokens=False)
+        assert sent == [1] and n_a.tolist() == [len(x.ids) for x in alone] and ids.tolist() == [i for x in alone for i in x.ids]
+        assert is_plain or offsets.tolist() == [list(o) for x in alone for o in x.offsets]
+
+
 def test_links_and_empty_table(frame):
     docs = frame([(1, "the house"), (2, "the house"), (3, None)])
     found = align.links(docs, A, B).collect()
