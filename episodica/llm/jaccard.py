@@ -39,11 +39,13 @@ COUNTED = 0.3
 # Sets that make a token as frequent as the order tells.
 FREQUENT = 64
 PAIRS_PER_ENTRY = 1
-# Rounds go on while each leaves at most this share of the pairs between components.
-WORTH = 0.9
+# Rounds go on while each leaves at most this share of the pairs between components: a round costs about as much as the join of all of them.
+WORTH = 0.75
 PARITY_BITS = 512
+# Tokens before a token by which the join sees whether a pair has met there already.
+RECENT = 2 * MOST_MATCHES
 GROUP_ROWS = 128
-GROUP_PAIRS = 1000
+GROUP_PAIRS = 250
 # Names of texts (16 bytes each) that may be sent to every task.
 MOST_BROADCAST = 2_000_000
 # Cost of comparing a candidate, in posting-list entries read.
@@ -232,8 +234,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = large.filter("a <> b")
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
@@ -300,8 +301,7 @@ def with_component(entries: DataFrame, comps: DataFrame | None) -> DataFrame:
 def merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, component) after links (a, b) between nodes: the components found before are joined by one edge for all links of two of them."""
     a = with_component(links.select(F.col("a").alias("node"), "b"), comps).select(F.col("component").alias("a"), F.col("b").alias("node"))
-    edges = with_component(a, comps).select("a", F.col("component").alias("b")).distinct()
-    step = components(edges)
+    step = components(with_component(a, comps).select("a", F.col("component").alias("b")))
     if comps is None:
         return step
     moved = step.select(F.col("node").alias("component"), F.col("component").alias("_to"))
@@ -344,6 +344,10 @@ def candidates(entries: DataFrame, names: DataFrame) -> DataFrame:
     Two sets differ in at least as many tokens as their parities differ in bits, and those that link differ in no more
     than a ninth of their sizes' sum: the join gives out no pair whose parities say otherwise.
 
+    A pair of large sets may share hundreds of prefix tokens. Tokens stand in one order in all prefixes: where the RECENT tokens before a
+    shared one already hold as many shared ones as l demands, the pair has had its rows, and the join gives out no more. The first l
+    shared tokens of a pair have fewer than l before them, so they always count.
+
     Of a pair, the larger set (then the larger node) probes with its own l; the other offers the tokens of its prefix
     for that l, which is shorter, as its partner isn't smaller."""
     lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("x"), F.max("component").alias("y"))
@@ -358,15 +362,16 @@ def candidates(entries: DataFrame, names: DataFrame) -> DataFrame:
         best, least = F.when(better, F.lit(m)).otherwise(best), F.when(better, own).otherwise(least)
     words = [F.col("parity")[k].alias(f"p{k}") for k in range(PARITY_BITS // 64)]
     chosen = cost.select("node", best.alias("matches")).join(names, "node").select("node", "matches", *words)
-    alive = alive.join(chosen, "node")
+    recent = F.collect_list("token").over(Window.partitionBy("node").orderBy("place").rowsBetween(-RECENT, -1))
+    alive = alive.withColumn("recent", recent).join(chosen, "node")
 
     def parity(side: str) -> list[Column]:
         return [F.col(f"p{k}").alias(f"{side}{k}") for k in range(PARITY_BITS // 64)]
 
     probe = alive.filter(over <= F.col("matches"))
-    probe = probe.select("token", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), "matches", *parity("bp"))
+    probe = probe.select("token", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), "matches", F.col("recent").alias("br"), *parity("bp"))
     level = F.greatest(F.col("place") - (F.col("n") - F.floor((F.col("n") * 8 + 8) / 9)) + 1, F.lit(1))
-    offer = alive.select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"), level.alias("level"), *parity("ap"))
+    offer = alive.select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"), level.alias("level"), F.col("recent").alias("ar"), *parity("ap"))
     offer = offer.filter(F.col("level") <= MOST_MATCHES)
     apart = F.bit_count(F.col("ap0").bitwiseXOR(F.col("bp0")))
     for k in range(1, PARITY_BITS // 64):
@@ -374,6 +379,8 @@ def candidates(entries: DataFrame, names: DataFrame) -> DataFrame:
     ordered = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))
     meet = (F.col("bc") != F.col("ac")) & ordered & (F.col("an") * 5 >= F.col("bn") * 4) & (F.col("level") <= F.col("matches"))
     meet &= apart * 9 <= F.col("an") + F.col("bn")
+    # Last, as it costs most.
+    meet &= F.size(F.array_intersect("ar", "br")) < F.col("matches")
     pairs = probe.join(offer, "token").filter(meet).groupBy("a", "b", "matches").agg(F.count(F.lit(1)).alias("shared"))
     return pairs.filter("shared >= matches").select("a", "b")
 
@@ -386,13 +393,13 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     entries = cut(prefix_entries(sets), "entries")
     names = sets.filter("n > 0").groupBy("node")
     names = cut(names.agg(F.min("text_hash").alias("text_hash"), F.first("parity").alias("parity")), "names")
-    comps, tried, links, before, turn, idle = None, None, None, float("inf"), 0, 0
+    comps, tried, links, before, turn = None, None, None, float("inf"), 0
     while True:
         mine = with_component(entries, comps)
         n_entries, n_pairs = cross_pairs(mine)
-        # Another round must be needed, and one of the last two, drawn and led by links, must have been worth it.
-        idle = idle + 1 if n_pairs > WORTH * before else 0
-        if n_pairs <= PAIRS_PER_ENTRY * n_entries or idle == 2:
+        # Another round must be needed, and after one drawn and one led by links the last must have been worth it.
+        idle = n_pairs > WORTH * before
+        if n_pairs <= PAIRS_PER_ENTRY * n_entries or (idle and turn >= 2):
             break
         before = n_pairs
         pairs = cut(leader_pairs(mine, turn, tried, links), "leaders")

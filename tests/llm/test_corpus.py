@@ -137,6 +137,34 @@ def test_components_like_brute_force(frame, odd, monkeypatch, pairs_per_entry):
     assert sorted(map(tuple, jaccard.clusters(docs).collect()), key=str) == plain_components(rows)
 
 
+def test_large_sets_meet_in_few_rows(spark, frame):
+    """Pairs of large sets a little too unlike to link: the token join gives out a few rows a pair, not one for each token they share."""
+    import random
+
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(1500)]
+    rows = []
+    for k in range(12):
+        own = list(base)
+        for i in rng.sample(range(1500), 34):
+            own[i] = f"r{k}x{i}"
+        rows.append((k, " ".join(own)))
+    docs = frame(rows)
+    assert sorted(map(tuple, jaccard.clusters(docs).collect()), key=str) == plain_components(rows)
+    sets = docs.select(F.xxhash64("text").alias("text_hash"), jaccard.sketch(F.col("text")).alias("s")).select("text_hash", "s.*")
+    entries = jaccard.cut(jaccard.prefix_entries(sets), "entries")
+    found = jaccard.candidates(jaccard.with_component(entries, None), sets.select("node", "parity"))
+    n_pairs = len(found.collect())
+    joins, left = [], [found._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        inner = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else []
+        left += inner + [node.children().apply(k) for k in range(node.children().size())]
+        if "Join" in node.nodeName() and "array_intersect" in node.toString():
+            joins.append(node.metrics().apply("numOutputRows").value())
+    assert n_pairs >= 50 and len(joins) == 1 and joins[0] <= 12 * n_pairs, (n_pairs, joins)
+
+
 def test_one_of_each(frame, odd):
     docs = frame(near_copies()).unionByName(odd).withColumn("row_key", F.lit(1))
     rows = plain_components([(r.doc_id, r.text) for r in docs.collect()])
