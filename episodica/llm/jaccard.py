@@ -442,9 +442,12 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kept = cut(kept.select(F.col("first.row_key").alias(key)), "kept")
     wordy = text_of(text_col).rlike(r"[^\x20\x09-\x0D]")
     some = docs.filter(wordy).withColumn(key, row_key(id_col, text_col)).join(kept, key, "left_semi")
+    # Few rows have id and text in common: only these are moved to meet.
+    same = cut(some.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key), "same")
+    alone, some = some.join(same, key, "left_anti"), some.join(same, key, "left_semi")
     # Of rows with one id and text the same one on every run, whatever else they hold.
     plain = [c for c, t in docs.dtypes if "map" not in t and "variant" not in t]
     nth = fresh_name(some, "nth")
     own = Window.partitionBy(key).orderBy(F.xxhash64(*plain), *[F.col(c) for c, t in docs.dtypes if t in ("string", "bigint", "int", "double")])
     some = some.withColumn(nth, F.row_number().over(own)).filter(F.col(nth) == 1)
-    return some.drop(key, nth).unionByName(docs.filter(~wordy))
+    return alone.drop(key).unionByName(some.drop(key, nth)).unionByName(docs.filter(~wordy))
