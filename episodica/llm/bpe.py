@@ -2,8 +2,8 @@
 
 Tier one: a minimal perfect hash over the vocabulary. A pre-token's 64-bit hash picks a bucket, the bucket's
 displacement picks the one slot where a vocabulary entry of that hash can stand; the slot keeps that hash, so a
-pre-token that is a whole vocabulary entry is resolved by two table reads, for a megabyte of pre-tokens at a time; its
-bytes are compared with the entry's. Tier two: a miss is merged by a heap over linked bytes, lowest rank first, leftmost
+pre-token that is a whole vocabulary entry is resolved by two table reads, for a quarter of a megabyte of text at a time;
+its bytes are compared with the entry's. Tier two: a miss is merged by a heap over linked bytes, lowest rank first, leftmost
 first among equals. Misses are resolved once for each different pre-token of a piece, told apart by their bytes, with a
 bounded memory per worker.
 
@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from episodica.llm.common import struct_array
-from episodica.llm.textops import PIECE, U64, doc_ranges, equal_spans, flat, gather, kept, mixed_bits, ragged, span_hashes
+from episodica.llm.textops import U64, doc_ranges, equal_spans, flat, gather, kept, mixed_bits, ragged, span_hashes
 
 KEYS_PER_BUCKET = 4
+# Bytes of text that are encoded at a time; that takes many times their room.
+PIECE = 1 << 18
 # Misses that a worker remembers, in about fifty bytes each.
 REMEMBERED = 1 << 20
 SPACES, LETTERS, NUMBERS, OTHER = range(4)
@@ -352,7 +354,7 @@ class Codec:
     def parts(self, batch: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
         """(first document, ids, bounds, whether the last document goes on) for pieces of a text column, in order."""
         data, offsets = flat(batch)
-        for i, j in doc_ranges(offsets):
+        for i, j in doc_ranges(offsets, PIECE):
             a, b = int(offsets[i]), int(offsets[j])
             cuts = [a]
             while j == i + 1 and b - cuts[-1] > 2 * PIECE:
@@ -398,6 +400,30 @@ def shared(spark: SparkSession, path: str):
 CHECKED = pa.struct([("ids", IDS), ("decoded_sha256", pa.string())])
 
 
+def checked(codec: Codec, batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """CHECKED for text columns, given out piece by piece: what a worker holds follows neither the batch nor its ids."""
+    # What there is so far of a document that goes on.
+    pieces, size, held = [], 0, None
+    for batch in batches:
+        for _, ids, bounds, goes_on in codec.parts(batch):
+            pieces.append(ids)
+            plain = memoryview(codec.decode(ids).tobytes())
+            at = np.concatenate([[0], np.cumsum(np.diff(codec.vocab.offsets)[ids])])[bounds].tolist()
+            digests = []
+            for a, b in zip(at, at[1:]):
+                held = held or hashlib.sha256()
+                held.update(plain[a:b])
+                if not goes_on:
+                    digests.append(held.hexdigest())
+                    held = None
+            if goes_on:
+                size += len(ids)
+                continue
+            lists = pa.ListArray.from_arrays(np.append(0, size + bounds[1:]).astype(np.int32), np.concatenate(pieces))
+            yield pa.StructArray.from_arrays([lists, pa.array(digests, pa.string())], fields=list(CHECKED))
+            pieces, size = [], 0
+
+
 def encode(spark: SparkSession, text: Column, path: str) -> Column:
     """array<int> of the ids of each text."""
     return encode_and_check(spark, text, path)["ids"]
@@ -408,23 +434,7 @@ def encode_and_check(spark: SparkSession, text: Column, path: str) -> Column:
     tables = shared(spark, path)
 
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = codec_of(*tables.value)
-        for batch in batches:
-            pieces, sizes, digests, held = [], np.zeros(len(batch), np.int64), [], None
-            for i, ids, bounds, goes_on in codec.parts(batch):
-                pieces.append(ids)
-                sizes[i : i + len(bounds) - 1] += np.diff(bounds)
-                plain = memoryview(codec.decode(ids).tobytes())
-                at = np.concatenate([[0], np.cumsum(np.diff(codec.vocab.offsets)[ids])])[bounds].tolist()
-                for a, b in zip(at, at[1:]):
-                    held = held or hashlib.sha256()
-                    held.update(plain[a:b])
-                    if not goes_on:
-                        digests.append(held.hexdigest())
-                        held = None
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int32), *pieces]))
-            yield pa.StructArray.from_arrays([ids, pa.array(digests, pa.string())], fields=list(CHECKED))
+        return checked(codec_of(*tables.value), batches)
 
     return F.arrow_udf(encoded, from_arrow_type(CHECKED))(text)
 

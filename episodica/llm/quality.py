@@ -23,6 +23,8 @@ from episodica.llm.labelled import learning_sample, with_text
 from episodica.llm.textops import LOWER, span_hashes, text_parts, word_spans
 
 PASSAGE_WORDS = 64
+# Bytes of texts whose passages are encoded and scored together.
+PIECE = 1 << 18
 PER_CLASS = 3000
 HIDDEN, GATE = 24, 12
 MARKS = b"!?.,|*$%&#<>-\n"
@@ -42,6 +44,7 @@ def passages(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     own = np.maximum(1, -(-np.diff(first) // PASSAGE_WORDS))
     before = np.cumsum(own) - own
     x = np.zeros((int(own.sum()), N_FEATURES), np.float32)
+    x[:, N_CLASSES + 4] = 1
     if len(starts):
         at = np.arange(len(starts)) - first[doc]
         where = before[doc] + at // PASSAGE_WORDS
@@ -69,19 +72,30 @@ def passages(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
         x[:, N_CLASSES + 1] = np.bincount(where, ends - starts, minlength=n) / full / 8
         x[:, N_CLASSES + 2] = distinct / full
         x[:, N_CLASSES + 3] = np.bincount(where[twice], minlength=n) / full
-        x[:, N_CLASSES + 4] = 1
     return x, np.repeat(np.arange(n_docs), own)
 
 
-def bags(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(features, first passage of each document) of a text column."""
-    xs, docs = [np.zeros((0, N_FEATURES), np.float32)], [np.zeros(0, np.int64)]
-    for i, data, bounds in text_parts(batch):
+def bags(batch: pa.Array, limit: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features, first passage of each document) of runs of documents of a text column; a run has about `limit` bytes or is one document."""
+    held: list[np.ndarray] = []
+    begun = 0
+    for i, data, bounds in text_parts(batch, limit):
+        if held and i != begun:
+            yield one_bag(held)
+            held = []
         x, doc = passages(data, bounds)
-        xs.append(x)
-        docs.append(doc + i)
-    doc = np.concatenate(docs)
-    return np.concatenate(xs), np.searchsorted(doc, np.arange(len(batch) + 1))
+        if len(bounds) == 2:
+            held.append(x)
+            begun = i
+        else:
+            yield x, np.searchsorted(doc, np.arange(len(bounds)))
+    if held:
+        yield one_bag(held)
+
+
+def one_bag(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    x = np.concatenate(parts)
+    return x, np.array([0, len(x)])
 
 
 def sigmoid(v: np.ndarray) -> np.ndarray:
@@ -161,8 +175,8 @@ def encode_bags(text: Column) -> Column:
 
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            x, first = bags(batch)
-            yield pa.ListArray.from_arrays((first * N_FEATURES).astype(np.int32), x.ravel())
+            for x, first in bags(batch):
+                yield pa.ListArray.from_arrays((first * N_FEATURES).astype(np.int32), x.ravel())
 
     return F.arrow_udf(encoded, "array<float>")(text)
 
@@ -184,8 +198,8 @@ def score(text: Column, model: Model) -> Column:
             if model.constant is not None or not len(batch):
                 yield pa.array(np.full(len(batch), model.constant or 0.0))
                 continue
-            x, first = bags(batch)
-            yield pa.array(np.round(model.forward(x, first)[0].astype(np.float64), 9))
+            for x, first in bags(batch):
+                yield pa.array(np.round(model.forward(x, first)[0].astype(np.float64), 9))
 
     return F.arrow_udf(scores, "double")(text)
 

@@ -113,11 +113,11 @@ def gather(blob: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> np.ndarr
     return blob[shift + np.arange(len(shift))]
 
 
-def text_parts(batch: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first document, bytes, bounds) for pieces of a text column; a document of several pieces is cut at white space
-    and comes again with the next one."""
+def text_parts(batch: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first document, bytes, bounds) for pieces of a text column, `limit` bytes where they are several documents; a document
+    of several pieces is cut at white space and comes again with the next one."""
     data, offsets = flat(batch)
-    for i, j in doc_ranges(offsets):
+    for i, j in doc_ranges(offsets, limit):
         a, b = int(offsets[i]), int(offsets[j])
         if b - a <= 2 * PIECE or j > i + 1:
             yield i, data[a:b], offsets[i : j + 1] - a

@@ -3,6 +3,8 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,6 +272,21 @@ def test_quality_on_held_out(spark, odd, sf):
     assert quality.scored(odd.limit(0), model).count() == 0
 
 
+def test_bags_come_in_runs():
+    """Runs of documents hold their passages as one batch does; a document of several pieces stays one bag."""
+    rng = np.random.default_rng(4)
+    words = np.array(["river", "old!", "Stone", "12", "bridge,"])
+    texts = [" ".join(words[rng.integers(0, 5, n)]) for n in (0, 1, 64, 65, 20_000, 3, 90_000, 500, 0)] * 2 + ["stone bridge " * 250_000, None, "end"]
+    runs = list(quality.bags(pa.array(texts)))
+    whole = list(quality.bags(pa.array(texts), 1 << 20))
+    assert len(runs) > len(whole) > 2
+    assert sum(len(first) - 1 for _, first in runs) == sum(len(first) - 1 for _, first in whole) == len(texts)
+    assert np.array_equal(np.concatenate([x for x, _ in runs]), np.concatenate([x for x, _ in whole]))
+    assert [d for _, f in runs for d in np.diff(f).tolist()] == [d for _, f in whole for d in np.diff(f).tolist()]
+    (alone, _), (beside, _) = (next(quality.bags(pa.array(t, pa.string()))) for t in ([None], ["", "a word"]))
+    assert np.array_equal(alone[0], beside[0])
+
+
 def test_subsequence_kernel():
     from itertools import combinations
 

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -204,6 +205,24 @@ def test_codec_in_pieces(reference, monkeypatch):
     assert got.tolist() == reference.encode_ordinary(text)
 
 
+def test_checked_piece_by_piece(reference):
+    """A batch of texts comes out in parts of about a piece, long documents whole; a worker holds little besides."""
+    word = "some words and, others; it's 12 o'clock now \n"
+    texts = [word * k for k in (1, 2, 2000, 0, 3)] * 30 + [word * 30_000, "", word] + [word * 50] * 300
+    batches = [pa.array(texts[:40] + [None]), pa.array([], pa.string()), pa.array(texts[40:])]
+    codec = bpe.Codec(bpe.vocabulary(PATH), bpe.classes())
+    tracemalloc.start()
+    longest = max(len(part.field("ids").values) for part in bpe.checked(codec, iter([pa.array([word * 50] * 3000)])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = [r for part in bpe.checked(codec, iter(batches)) for r in part.to_pylist()]
+    ids = {t: reference.encode_ordinary(t) for t in {*texts}}
+    want = [*texts[:40], "", *texts[40:]]
+    assert [r["ids"] for r in got] == [ids[t] for t in want]
+    assert [r["decoded_sha256"] for r in got] == [hashlib.sha256(t.encode()).hexdigest() for t in want]
+    assert longest <= bpe.PIECE and most < 50e6
+
+
 def test_encode_and_decode(spark, odd, reference):
     rows = odd.select("text", bpe.encode(spark, F.col("text"), PATH).alias("ids"))
     rows = rows.withColumn("back", bpe.decode(spark, F.col("ids"), PATH)).collect()
