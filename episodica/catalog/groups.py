@@ -56,17 +56,17 @@ def group_mate_totals(spark, sf_dir):
 mates_prev_k, mates_sum FROM res""",
 )
 def group_status_lists(spark, sf_dir):
-    st = status(spark, sf_dir, "k").withColumn("prev_k", F.col("prv.k"))
-    out = G.group_status(st, ["prev_k", "reward", "is_terminal"])
-    g = F.col("group_status")
-    zero = F.lit(0).cast("long")
-    return out.select(
-        "agent_id", "tick", F.size(g).cast("long").alias("n_mates"),
-        steady(F.aggregate(g["reward"], F.lit(0.0), lambda a, x: a + x)).alias("mates_reward"),
-        F.size(F.filter(g["is_terminal"], lambda x: x)).cast("long").alias("n_done_mates"),
-        F.aggregate(g["prev_k"], zero, lambda a, x: a + x).alias("mates_prev_k"),
-        F.aggregate(g["agent_id"], zero, lambda a, x: a + x).alias("mates_sum"),
-    )
+    st = status(spark, sf_dir, "k").withColumn("prev_k", F.col("prv.k")).select(*G.BASE, "prev_k", "reward")
+
+    def totals(lists):
+        mates = lists.values
+        summed = {"mates_reward": mates.field("reward"), "n_done_mates": mates.field("is_terminal").fill_null(False).cast("int64")}
+        summed |= {"mates_prev_k": mates.field("prev_k"), "mates_sum": mates.field("agent_id")}
+        return {"n_mates": lists.value_lengths().cast("int64")} | {c: G.sums(lists, x) for c, x in summed.items()}
+
+    columns = "n_mates long, mates_reward double, n_done_mates long, mates_prev_k long, mates_sum long"
+    out = G.group_status(st, ["prev_k", "reward", "is_terminal"], (totals, columns))
+    return out.select("agent_id", "tick", "n_mates", steady("mates_reward").alias("mates_reward"), "n_done_mates", "mates_prev_k", "mates_sum")
 
 
 @query(

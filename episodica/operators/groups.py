@@ -5,12 +5,17 @@ decision rows see everything of the tick, including mates that just ended. A mat
 forgotten after its tick. All of this is order on `2*tick + phase`, with a removal at `2*(tick+1)`.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from episodica.operators.sessions import order_key, sequenced
 from episodica.plans.folds import python_partitions
-from episodica.plans.lineage import cut, join_stats
+from episodica.plans.lineage import cut
 from episodica.plans.ordered import block_width, fill_forward, prefix
 from episodica.schema import AGENT, GROUP
 
@@ -18,8 +23,10 @@ from episodica.schema import AGENT, GROUP
 def statuses(steps: DataFrame, width: int | None = None) -> DataFrame:
     """Experiences in the row that completes them: `prv` holds all columns of the step they began with, `nxt` names the agent's next row."""
     rest = [c for c in steps.columns if c not in AGENT]
-    seq = sequenced(steps, ahead=["tick", "is_terminal"], behind=rest, width=width)
-    return seq.filter(F.col("i") > 0).withColumn("ord", order_key())
+    # All columns go into both neighbours, so that rows and block summary share one exchange whatever is read of them.
+    seq = sequenced(steps, ahead=rest, behind=rest, width=width)
+    following = F.when(F.col("nxt").isNotNull(), F.struct("nxt.tick", "nxt.is_terminal"))
+    return seq.filter(F.col("i") > 0).withColumns({"nxt": following, "ord": order_key()})
 
 
 def group_totals(status: DataFrame, width: int | None = None) -> DataFrame:
@@ -81,84 +88,283 @@ def bucket(position: Column, level: Column) -> Column:
     return F.call_function("shiftright", position, level * WIDER)
 
 
-# Rows of a block for each status that is valid at a time, and the fewest rows of a block.
-SHARE, FEWEST = 0.5, 32
+# Rows that a block of a group's order holds at least, the most blocks of a group, and a block's rows for each status carried into it.
+FEWEST, MOST, CARRIED = 4096, 128, 4
+# Before and after all ticks; a tick number leaves two bits to spare.
+EVER = 1 << 61
+
+
+def until() -> Column:
+    """The order point at which a status ends: the agent's next row, or the end of the tick in which it is forgotten."""
+    following = F.col("nxt.tick") * 2 + F.when(F.col("nxt.is_terminal"), 0).otherwise(1)
+    ended = F.when(F.col("nxt").isNotNull(), following).when(F.col("is_terminal"), F.col("tick") * 2 + 2)
+    return F.coalesce(ended, F.lit(2 * EVER))
+
+
+def in_blocks(rows: DataFrame, where: DataFrame) -> DataFrame:
+    """Statuses with `_to` in their own block (`_own`) and in each later one that they last into, as `_block`. Groups without a table entry are one block.
+
+    The table has no more rows than one for each FEWEST rows of the log and is sent to all tasks, so no status is moved to meet it."""
+    edges = F.concat(F.array(F.lit(-EVER)), F.col("_starts"), F.array(F.lit(EVER)))
+    spans = where.filter("_end > 0").select(*[F.col(c).alias(f"_{c}") for c in GROUP], edges.alias("_edges"), F.explode(F.sequence(F.lit(0), "_end")).alias("_block"))
+    spans = spans.select(*[f"_{c}" for c in GROUP], "_block", F.get("_edges", F.col("_block")).alias("_low"), F.get("_edges", F.col("_block") + 1).alias("_high"))
+    met = F.lit(True)
+    for c in GROUP:
+        met &= F.col(c) == F.col(f"_{c}")
+    met &= (F.col("tick") < F.col("_high")) & ((F.col("tick") >= F.col("_low")) | (F.col("_to") > F.col("_low") * 2))
+    own = F.coalesce(F.col("tick") >= F.col("_low"), F.lit(True))
+    found = rows.join(F.broadcast(spans), met, "left")
+    return found.select(*rows.columns, F.coalesce("_block", F.lit(0)).alias("_block"), own.alias("_own"))
+
+
+def blocks_of_ticks(body: DataFrame) -> DataFrame:
+    """(group, _starts, _end): the ticks at which the blocks of a group's order begin, but for the first, and the last block's number.
+
+    Rows are counted, not ticks, so a burst makes more blocks; rows of one tick share one. Starts are quantiles of a group's ticks, as many
+    as leave FEWEST rows to a block; of these every n-th is kept, such that the statuses carried into blocks are a CARRIED-th of the rows at most."""
+    sizes = cut(body.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n")), "groups")
+    none = F.array().cast("array<bigint>")
+    long = sizes.filter(F.col("_n") >= 2 * FEWEST)
+    if long.isEmpty():
+        return sizes.select(*GROUP, none.alias("_starts"), F.lit(0).alias("_end"))
+
+    def every(at: str, step: Column) -> list[Column]:
+        starts = F.array_distinct(F.filter(at, lambda x, i: (i + 1) % step == 0))
+        return [starts.alias("_starts"), F.size(starts).alias("_end")]
+
+    quantiles = F.percentile_approx("tick", [i / MOST for i in range(1, MOST)], 4 * MOST).alias("_at")
+    at = body.select(*GROUP, "tick").join(F.broadcast(long), GROUP).groupBy(*GROUP).agg(quantiles, F.first("_n").alias("_n"))
+    fine = cut(at.select(*GROUP, "_n", *every("_at", F.ceil(F.lit(MOST * FEWEST) / F.col("_n")))), "blocks")
+    carried = in_blocks(body.select(*GROUP, "tick", until().alias("_to")), fine).filter(~F.col("_own"))
+    carried = carried.groupBy(*GROUP).agg((F.count(F.lit(1)) * CARRIED).alias("_carried"))
+    step = F.greatest(F.ceil(F.coalesce("_carried", F.lit(0)) / F.col("_n")), F.lit(1))
+    kept = fine.withColumnsRenamed({"_starts": "_at"}).drop("_end").join(carried, GROUP, "left").select(*GROUP, *every("_at", step))
+    out = sizes.select(*GROUP).join(kept, GROUP, "left")
+    return cut(out.select(*GROUP, F.coalesce("_starts", none).alias("_starts"), F.coalesce("_end", F.lit(0)).alias("_end")), "blocks")
+
+
+# Pairs of a row and a status looked at together, and mates in a frame of rows handed out.
+PAIRS, MATES = 1 << 21, 1 << 18
+
+
+class Sweep:
+    """One pass over a block's order with the statuses that are valid; rows are taken some at a time, their mates found in one comparison.
+
+    Memory holds the valid statuses, a frame of rows and the lists of a frame handed out, whatever the block's length."""
+
+    def __init__(self, payload: list[str], names: list[str], alike: bool, reduced: "Reduced | None"):
+        self.members, self.names, self.alike, self.reduced = ["agent_id", *payload], names, alike, reduced
+        self.key: tuple | None = None
+        self.agent, self.to, self.at = (np.zeros(0, np.int64) for _ in range(3))
+        self.since = np.zeros(0, np.int64)
+        self.store: pa.StructArray | None = None
+
+    def frames(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All rows of one order point come together, whatever frames they come in."""
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            runs = self.changes(table, [*GROUP, "_block", "_own", "ord"])
+            held = table.slice(int(runs[-1]))
+            if runs[-1]:
+                yield from self.swept(table.slice(0, int(runs[-1])))
+        if held is not None:
+            yield from self.swept(held)
+
+    @staticmethod
+    def changes(table: pa.Table, columns: list[str]) -> np.ndarray:
+        """Where rows begin that differ from the ones before."""
+        new = np.zeros(table.num_rows, bool)
+        new[0] = True
+        for c in columns:
+            v = table[c].combine_chunks()
+            v = (v.dictionary_encode().indices if pa.types.is_string(v.type) or pa.types.is_large_string(v.type) else v).to_numpy(zero_copy_only=False)
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    def swept(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        new = members(table, self.members)
+        n0 = len(self.at)
+        self.at = np.arange(n0)
+        self.store = new if not n0 else pa.concat_arrays([self.store, new])
+        agent, ord_, to = (table[c].to_numpy() for c in ("agent_id", "ord", "_to"))
+        own, emit = (table[c].to_numpy() for c in ("_own", "_emit"))
+        starts = self.changes(table, [*GROUP, "_block"]).tolist()
+        out = Lists(table, self.store, self.names, self.reduced)
+        for a, b in zip(starts, [*starts[1:], table.num_rows]):
+            key = tuple(table[c][a].as_py() for c in (*GROUP, "_block"))
+            if key != self.key:
+                self.key = key
+                self.keep(np.zeros(len(self.agent), bool))
+            # Statuses carried in come first.
+            first = a + int(np.searchsorted(own[a:b], True))
+            if first > a:
+                self.add(agent[a:first], ord_[a:first], to[a:first], np.arange(n0 + a, n0 + first))
+            ends = np.append(np.flatnonzero(ord_[first + 1 : b] != ord_[first : b - 1]) + first + 1, b)
+            while first < b:
+                valid = len(self.agent)
+                some = min(max(valid // 2, 64), max(PAIRS // (valid + 64), 1), 4096)
+                end = int(ends[np.searchsorted(ends, min(first + some, b))])
+                self.add(agent[first:end], ord_[first:end], to[first:end], np.arange(n0 + first, n0 + end))
+                rows = np.arange(first, end)
+                if self.alike:
+                    rows = self.each_with_all(rows, agent, ord_)
+                rows = rows[emit[rows]]
+                part = max(PAIRS // len(self.agent), 1)
+                for k in range(0, len(rows), part):
+                    r = rows[k : k + part]
+                    o = ord_[r][:, None]
+                    there = (self.since <= o) & (o < self.to) & (self.agent != agent[r][:, None])
+                    yield from out.add(r, np.count_nonzero(there, axis=1), np.broadcast_to(self.at, there.shape)[there])
+                self.keep(self.to > ord_[end - 1])
+                first = end
+        yield from out.handed()
+        self.store = self.store.take(pa.array(self.at))
+
+    @staticmethod
+    def each_with_all(rows: np.ndarray, agent: np.ndarray, ord_: np.ndarray) -> np.ndarray:
+        """Rows of one agent and point, which stand side by side, once for each of them."""
+        new = np.ones(len(rows), bool)
+        new[1:] = (agent[rows[1:]] != agent[rows[:-1]]) | (ord_[rows[1:]] != ord_[rows[:-1]])
+        if new.all():
+            return rows
+        sizes = np.diff(np.append(np.flatnonzero(new), len(rows)))
+        return np.repeat(rows, np.repeat(sizes, sizes))
+
+    def add(self, agent: np.ndarray, since: np.ndarray, to: np.ndarray, at: np.ndarray) -> None:
+        agent = np.concatenate([self.agent, agent])
+        by_agent = np.argsort(agent, kind="stable")
+        self.agent = agent[by_agent]
+        for name, x in (("since", since), ("to", to), ("at", at)):
+            setattr(self, name, np.concatenate([getattr(self, name), x])[by_agent])
+
+    def keep(self, valid: np.ndarray) -> None:
+        for name in ("agent", "since", "to", "at"):
+            setattr(self, name, getattr(self, name)[valid])
+
+
+# What is made of a frame's lists, an array for each column, and the columns' types.
+Reduced = tuple[Callable[[pa.ListArray], dict[str, pa.Array]], str]
+
+
+def members(table: pa.Table, columns: list[str]) -> pa.StructArray:
+    found = [table[c].combine_chunks() for c in columns]
+    return pa.StructArray.from_arrays(found, fields=[pa.field(c, m.type) for c, m in zip(columns, found)])
+
+
+def with_lists(rows: pa.Table, lists: pa.ListArray, reduced: Reduced | None) -> list[pa.RecordBatch]:
+    columns = reduced[0](lists) if reduced else {"group_status": lists}
+    for name, column in columns.items():
+        rows = rows.append_column(name, column)
+    return rows.combine_chunks().to_batches()
+
+
+def sums(lists: pa.ListArray, values: pa.Array) -> pa.Array:
+    """Sum of the values of each list's members; null where one of them is."""
+    offsets = lists.offsets.to_numpy()
+    some = np.flatnonzero(offsets[1:] > offsets[:-1])
+
+    def added(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(lists), x.dtype)
+        if len(some):
+            out[some] = np.add.reduceat(x, offsets[some])
+        return out
+
+    unknown = added(values.is_null().to_numpy(zero_copy_only=False).astype(np.int64)) > 0 if values.null_count else None
+    filled = values.fill_null(0) if values.null_count else values
+    return pa.array(added(filled.to_numpy(zero_copy_only=False)), mask=unknown)
+
+
+class Lists:
+    """Rows with their lists, or what is made of these, handed out in frames of about MATES mates."""
+
+    def __init__(self, table: pa.Table, store: pa.StructArray, names: list[str], reduced: Reduced | None):
+        self.rows, self.store, self.reduced = table.select(names), store, reduced
+        self.held: list[tuple] = []
+        self.mates = 0
+
+    def add(self, rows: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ends = np.cumsum(sizes)
+        start, done = 0, 0
+        while start < len(rows):
+            room = max(MATES - self.mates, 1)
+            end = max(int(np.searchsorted(ends, done + room, "right")), start + 1)
+            self.held.append((rows[start:end], sizes[start:end], at[done : int(ends[end - 1])]))
+            self.mates += int(ends[end - 1]) - done + end - start
+            start, done = end, int(ends[end - 1])
+            if self.mates >= MATES or start < len(rows):
+                yield from self.handed()
+
+    def handed(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        rows, sizes, at = (np.concatenate(x) for x in zip(*self.held))
+        self.held, self.mates = [], 0
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        lists = pa.ListArray.from_arrays(offsets, self.store.take(pa.array(at)))
+        yield from with_lists(self.rows.take(pa.array(rows)), lists, self.reduced)
+
+
+def listed(status: DataFrame, payload: list[str], reduced: Reduced | None) -> T.StructType:
+    """Columns of rows with their lists."""
+    mate = T.StructType([status.schema[c] for c in ("agent_id", *payload)])
+    more = T.StructType.fromDDL(reduced[1]) if reduced else T.StructType().add("group_status", T.ArrayType(mate))
+    return T.StructType([*status.schema.fields, *more.fields])
+
+
+def with_mates(
+    status: DataFrame, payload: list[str], emit: Column | None = None, alike: bool = False, reduced: Reduced | None = None
+) -> DataFrame:
+    """Rows of groups (those to `emit`) with the status list of their group at their order point, sorted by agent, without the row's own status.
 
+    A status is valid from its order point until its agent's next one, or until the agent is forgotten. The group's order is cut into blocks, every status is
+    moved once to its own and, as a fixed part of the rows, to blocks it lasts into; a pass over each block knows the valid ones. No list is moved. `alike`
+    gives each row once for each row of the same agent and point. With `reduced` its columns come in place of the lists, which it is given
+    where they are made: they are as long as the group is large, and to hand them out costs many times what it takes to make them."""
+    where = blocks_of_ticks(status)
+    emitted = F.lit(True) if emit is None else F.coalesce(emit, F.lit(False))
+    laid = python_partitions(in_blocks(status.withColumn("_to", until()), where).drop("_to"), [*GROUP, "_block"])
+    laid = laid.sortWithinPartitions(*GROUP, "_block", "_own", "ord", "agent_id").select("*", until().alias("_to"), emitted.alias("_emit"))
+    names = status.columns
+    return laid.mapInArrow(lambda batches: Sweep(payload, names, alike, reduced).frames(batches), listed(status, payload, reduced))
 
-def blocks_of_ticks(body: DataFrame, width: int | None = None) -> DataFrame:
-    """(group, tick, _block, _end): blocks of a group's order that hold about SHARE rows for each status valid at a time, and the group's last block.
 
-    Rows are counted, not ticks, so a burst makes more blocks; rows of one tick share one. A status that lasts over d rows meets d / size + 2 blocks at
-    most, so all statuses of all blocks are a fixed multiple of the rows."""
-    at = F.array(
-        F.struct(F.col("tick"), F.lit(1).alias("n"), F.lit(0).alias("ended"), F.col("is_terminal").cast("int").alias("gone")),
-        F.struct(F.col("nxt.tick").alias("tick"), F.lit(0).alias("n"), F.lit(1).alias("ended"), F.lit(0).alias("gone")),
-    )
-    per_tick = body.select(*GROUP, F.explode(at).alias("_c")).groupBy(*GROUP, "_c.tick")
-    per_tick = per_tick.agg(*[F.sum(f"_c.{c}").alias(c) for c in ("n", "ended", "gone")])
-    ranked = cut(prefix(per_tick, GROUP, "tick", {"_rank": F.col("n")}, ["tick"], inclusive=False, width=width), "ranks")
-    # Rows that all statuses last over: to the row that ends them, else to the end of the group's rows.
-    number, rank = F.sum("n").cast("double"), F.col("_rank").cast("double")
-    lasting = F.sum(rank * (F.col("ended") - F.col("n"))) + number * (F.sum("n") - F.sum("ended") - F.coalesce(F.sum("gone"), F.lit(0)))
-    size = F.greatest(F.ceil(lasting / number * SHARE), F.lit(FEWEST)).cast("long")
-    sizes = ranked.groupBy(*GROUP).agg(size.alias("_size"), F.max("_rank").alias("_most"))
-    found = join_stats(ranked.select(*GROUP, "tick", "_rank"), sizes, GROUP)
-    return found.select(*GROUP, "tick", F.expr("_rank div _size").alias("_block"), F.expr("_most div _size").alias("_end"))
-
-
-def with_mates(status: DataFrame, payload: list[str], emit: Column | None = None, alike: bool = False) -> DataFrame:
-    """Rows of groups (those to `emit`) with the status list of their group at their order point, sorted by agent, without the row's own status.
+# What the lists of mates hang on, besides the payload.
+BASE = (*GROUP, "agent_id", "tick", "is_terminal", "nxt", "ord")
 
-    A status is valid from its order point until its agent's next one, or until the agent is forgotten. The group's order is cut into blocks; a block's
-    statuses are collected once, and each of its rows picks those valid at its point. Only the blocks' lists are moved, never a row's. `alike` adds _n, the rows of
-    the same agent and point."""
-    where = blocks_of_ticks(status)
-    until = F.when(F.col("nxt").isNotNull(), F.col("nxt.tick") * 2 + F.when(F.col("nxt.is_terminal"), 0).otherwise(1)).when(
-        F.col("is_terminal"), F.col("tick") * 2 + 2
-    )
-    # Statuses that nothing ends are valid to the end of time; a tick number leaves two bits to spare.
-    until = F.coalesce(until, F.lit(1 << 62))
-    valid = status.select(
-        *GROUP, "tick", F.col("nxt.tick").alias("_next"), F.col("is_terminal").alias("_gone"),
-        F.struct("agent_id", *payload, F.col("ord").alias("_from"), until.alias("_to")).alias("_s"),
-    ).join(where, [*GROUP, "tick"])
-    ends = where.select(*GROUP, F.col("tick").alias("_next"), F.col("_block").alias("_last"))
-    valid = valid.join(ends, [*GROUP, "_next"], "left")
-    last = F.when(F.col("_last").isNotNull(), F.col("_last")).when(F.col("_gone"), F.col("_block")).otherwise(F.col("_end"))
-    valid = valid.select(*GROUP, "_s", F.explode(F.sequence("_block", F.greatest("_block", last))).alias("_block"))
-    lists = valid.groupBy(*GROUP, "_block").agg(F.sort_array(F.collect_list("_s")).alias("_all"))
-    wanted = (status if emit is None else status.filter(emit)).join(where.drop("_end"), [*GROUP, "tick"])
-    if alike:
-        wanted = wanted.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*GROUP, "tick", "agent_id", "ord")))
-    # Rows are few bytes that cost much time: a stated number of parts keeps them apart.
-    met = python_partitions(wanted, [*GROUP, "_block"]).join(lists, [*GROUP, "_block"])
-    own = [F.col(c) for c in ("ord", "agent_id")]
-    there = F.filter("_all", lambda m: (m["_from"] <= own[0]) & (own[0] < m["_to"]) & (m["agent_id"] != own[1]))
-    return met.withColumn("group_status", F.transform(there, lambda m: F.struct(*[m[c].alias(c) for c in ("agent_id", *payload)]))).drop("_all", "_block")
-
-
-def mate_lists(status: DataFrame, payload: list[str], emit: Column | None = None) -> DataFrame:
+
+def mate_lists(status: DataFrame, payload: list[str], emit: Column | None = None, reduced: Reduced | None = None) -> DataFrame:
     """The status list of each row's group at its order point, sorted by agent, without the row's own status."""
-    body = cut(status.filter(F.col("group_id") > 0), "statuses")
-    return with_mates(body, payload, emit).select(*GROUP, "agent_id", "ord", "group_status")
+    wanted = F.lit(True) if emit is None else emit
+    body = status.filter(F.col("group_id") > 0).select(*BASE, *[c for c in payload if c not in BASE], wanted.alias("_wanted"))
+    return with_mates(cut(body, "statuses"), payload, F.col("_wanted"), reduced=reduced).drop(*[c for c in body.columns if c not in (*GROUP, "agent_id", "ord")])
 
 
-def group_status(status: DataFrame, payload: list[str]) -> DataFrame:
-    """Experience rows with the list of their mates' last statuses (empty outside a group).
+def group_status(status: DataFrame, payload: list[str], reduced: Reduced | None = None) -> DataFrame:
+    """Experience rows with the list of their mates' last statuses (empty outside a group), or with what `reduced` makes of it.
 
     Rows of one agent at one point are told apart by nothing: each comes with the list of each."""
     kept = cut(status, "statuses")
     inside = F.coalesce(F.col("group_id") > 0, F.lit(False))
-    found = with_mates(kept.filter(inside), payload, alike=True)
-    found = found.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n").select(*status.columns, "group_status")
-    none = F.array().cast(found.schema["group_status"].dataType)
-    return found.unionByName(kept.filter(~inside).withColumn("group_status", none))
+    found = with_mates(kept.filter(inside), payload, alike=True, reduced=reduced)
+
+    def alone(batches):
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            lists = pa.ListArray.from_arrays(pa.array(np.zeros(len(rows) + 1, np.int32)), members(rows.slice(0, 0), ["agent_id", *payload]))
+            yield from with_lists(rows, lists, reduced)
+
+    return found.unionByName(kept.filter(~inside).mapInArrow(alone, listed(status, payload, reduced)))
 
 
-def next_group_obs(status: DataFrame, horizon: int, obs: str) -> DataFrame:
-    """At the row that closes a trajectory: the current observation of every mate."""
+def next_group_obs(status: DataFrame, horizon: int, obs: str, reduced: Reduced | None = None) -> DataFrame:
+    """At the row that closes a trajectory: the current observation of every mate, or what `reduced` makes of them."""
     ends = F.col("is_terminal") | ((F.col("i") - 1) % horizon == horizon - 1)
-    return mate_lists(status, [obs], emit=ends).withColumnRenamed("group_status", "next_group_obs")
+    return mate_lists(status, [obs], emit=ends, reduced=reduced).withColumnRenamed("group_status", "next_group_obs")
 
 
 def group_returns(totals: DataFrame) -> DataFrame:

@@ -109,3 +109,56 @@ def test_lists_of_blocks_grow_with_the_rows(spark):
         plan = met._jdf.queryExecution().optimizedPlan().toString()
         assert "RepartitionByExpression" in plan and plan.index("group_status") < plan.index("RepartitionByExpression")
     assert max(per_row) < 3
+
+
+@pytest.mark.parametrize("seed,batch", [(5, 7), (6, 10_000)])
+def test_lists_in_many_blocks(spark, monkeypatch, seed, batch):
+    """Blocks and frames of any size give the lists of the walk, and `reduced` gets the same lists; silent agents last over many blocks."""
+    monkeypatch.setattr(G, "FEWEST", 8)
+    monkeypatch.setattr(G, "CARRIED", 0.01)
+    rows = world(seed, ticks=150, agents=12)
+    rows += [("b", 0, a, a % 3, t, False, False, 0.5, 1.0, a) for a in (90, 91) for t in (1, 2)] + [("b", 0, 92, -1, t, False, False, 0.5, 1.0, 3) for t in (5, 6)]
+    want = walk(rows)
+    st = G.statuses(spark.createDataFrame(rows, SCHEMA)).withColumn("prev_k", F.col("prv.k"))
+    assert G.blocks_of_ticks(st.filter("group_id > 0")).agg(F.max("_end")).first()[0] > 5
+
+    def totals(lists):
+        return {"n": lists.value_lengths().cast("int64"), "sum_k": G.sums(lists, lists.values.field("prev_k"))}
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        lists = G.group_status(st, ["prev_k", "reward", "is_terminal"]).collect()
+        reduced = G.group_status(st, ["prev_k"], (totals, "n long, sum_k long")).collect()
+        ends = G.next_group_obs(st, 3, "k").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(lists) == len(reduced) == len(want)
+    for r in lists:
+        assert [tuple(m) for m in r.group_status] == want[(r.agent_id, r.tick, r.is_terminal)]
+    for r in reduced:
+        mates = want[(r.agent_id, r.tick, r.is_terminal)]
+        assert (r.n, r.sum_k) == (len(mates), sum(m[1] for m in mates))
+    due = st.filter("group_id > 0 and (is_terminal or (i - 1) % 3 = 2)").collect()
+    got = {(r.agent_id, r.ord): [m.agent_id for m in r.next_group_obs] for r in ends}
+    assert got == {(r.agent_id, r.ord): [m[0] for m in want[(r.agent_id, r.tick, r.is_terminal)]] for r in due} and len(ends) == len(due)
+
+
+def test_a_null_among_mates_makes_their_sum_null(spark):
+    rows = [("b", 0, a, 1, t, False, False, None if a == 2 else 0.5, 0.0, a) for a in (1, 2, 3) for t in (3 * a, 3 * a + 1)]
+    st = G.statuses(spark.createDataFrame(rows, SCHEMA))
+    out = G.group_status(st, ["reward"], (lambda lists: {"total": G.sums(lists, lists.values.field("reward"))}, "total double")).collect()
+    assert {r.agent_id: r.total for r in out} == {1: 0.0, 2: 0.5, 3: None}
+
+
+def test_statuses_are_moved_once(spark, monkeypatch):
+    """A status is moved to its own block and hardly to any other, however long it is valid, and no lists are moved at all."""
+    monkeypatch.setattr(G, "FEWEST", 32)
+    for agents in (40, 160):
+        rows = [("b", 0, a, 1, t * agents + a, False, False, 0.0, 0.0, a) for a in range(agents) for t in range(2)]
+        rows += [("b", 0, 0, 1, 2 * agents + t, t % 50 == 0, False, 0.0, 0.0, t) for t in range(20 * agents)]
+        st = G.statuses(spark.createDataFrame(rows, SCHEMA))
+        moved = G.in_blocks(st.withColumn("_to", G.until()), G.blocks_of_ticks(st)).groupBy("_own").count().collect()
+        moved = {r["_own"]: r["count"] for r in moved}
+        assert moved[True] == st.count() and 0 < moved[False] < st.count() / 2
+        plan = G.with_mates(st, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and plan.count("RepartitionByExpression") == 1
