@@ -75,12 +75,12 @@ def group_status_lists(spark, sf_dir):
 WHERE group_id > 0 AND (is_terminal OR (i - 1) % 4 = 3)""",
 )
 def next_group_observations(spark, sf_dir):
-    out = G.next_group_obs(status(spark, sf_dir, "k"), 4, "k")
-    g = F.col("next_group_obs")
-    return out.select(
-        "agent_id", F.floor(F.col("ord") / 2).alias("tick"), F.size(g).cast("long").alias("n_mates"),
-        F.aggregate(g["k"], F.lit(0).cast("long"), lambda a, x: a + x).alias("mates_k"),
-    )
+    def totals(lists):
+        return {"n_mates": lists.value_lengths().cast("int64"), "mates_k": G.sums(lists, lists.values.field("k"))}
+
+    st = G.statuses(steps(spark, sf_dir, *AGENT, "tick", "group_id", "is_terminal", "k"))
+    out = G.next_group_obs(st, 4, "k", (totals, "n_mates long, mates_k long"))
+    return out.select("agent_id", F.floor(F.col("ord") / 2).alias("tick"), "n_mates", "mates_k")
 
 
 @query(
