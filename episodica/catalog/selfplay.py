@@ -8,7 +8,6 @@ from episodica.catalog.sessions import steps
 from episodica.functions.numbers import spread_key, spread_sql, steady
 from episodica.operators import selfplay as P
 from episodica.operators import sessions as S
-from episodica.plans.lineage import cut
 from episodica.schema import AGENT
 
 CURRICULUM = {
@@ -135,12 +134,12 @@ def final_trajectories(spark, sf_dir, *columns):
     return P.named_teams(trajectories(spark, sf_dir, *aggs, columns=columns))
 
 
-def opponents(traj, plan):
+def opponents(traj, plan, *keep):
     def draw(team):
         event = F.col("swap") * plan.teams + team
         return tuple(spread_key(event, o) / F.lit(4294967296.0) for o in (0, 99))
 
-    return P.drawn_opponents(P.self_play_schedule(traj, plan, width=WIDTH), plan, draw)
+    return P.drawn_opponents(P.self_play_schedule(traj, plan, width=WIDTH, keep=keep), plan, draw)
 
 
 @query(
@@ -214,9 +213,8 @@ FROM lad JOIN res USING (name, m)""",
 )
 def elo_ratings(spark, sf_dir):
     traj = final_trajectories(spark, sf_dir, "group_reward")
-    traj = cut(traj.withColumn("name", F.concat_ws("/", "name", F.expr(f"agent_id div {ARENA}"))), "trajectories")
-    known = [*AGENT, "episode", "segment"]
-    results = P.rated(opponents(traj, PLAN).join(traj.select(*known, "done", "interrupted", "final_reward", "final_group_reward"), known))
+    traj = traj.withColumn("name", F.concat_ws("/", "name", F.expr(f"agent_id div {ARENA}")))
+    results = P.rated(opponents(traj, PLAN, "done", "interrupted", "final_reward", "final_group_reward"))
     order = ["arrival", "worker_id", "agent_id", "behavior_id", "episode", "segment"]
     out = P.ladder(results.withColumnRenamed("name", "league"), PLAN.window, order)
     return out.select(

@@ -169,18 +169,20 @@ class SelfPlay:
     teams: int = 2
 
 
-def self_play_schedule(traj: DataFrame, plan: SelfPlay, keys: list[str] | None = None, width: int | None = None) -> DataFrame:
+def self_play_schedule(
+    traj: DataFrame, plan: SelfPlay, keys: list[str] | None = None, width: int | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """What holds while each trajectory is taken in, and both clocks after it.
 
     Only the learning team's steps move the learning clock, on which snapshots are saved and the learning team
     changes; the other teams' steps move the ghost clock. Opponents are swapped when the team changes or more than
     `swap_steps` have passed on the ghost clock since the last swap, and stay until the next. Adds learning_team,
     round (team changes so far), swap (swaps so far), saved (snapshots when that swap was made), snapshots (now),
-    learning_step, ghost_step. A key's order is cut into blocks of `width` arrivals, see `plans.clocks`.
+    learning_step, ghost_step. A long key's order is cut into blocks of `width` arrivals, see `plans.clocks`. Columns to `keep` are handed through.
     """
     keys = keys or ["name"]
     limits = Limits(plan.teams, plan.team_change, plan.save_steps, plan.swap_steps)
-    return two_clocks(traj, keys, total_order(traj, keys, "arrival"), limits, width)
+    return two_clocks(traj, keys, total_order(traj, keys, "arrival"), limits, width, keep)
 
 
 def drawn_opponents(schedule: DataFrame, plan: SelfPlay, draw: Callable[[Column], tuple[Column, Column]]) -> DataFrame:

@@ -9,6 +9,8 @@ a threshold does after its first crossing in a block hangs on the row of that cr
 can be the first, found by its running total; no more than the rows within one limit from the block's start. The tables are
 composed along the blocks of a key, one row a block, twice: first for changes, whose outcome tells which clock each row
 moves, then for snapshots and swaps. Rows are then numbered block by block. The rows' few columns are written once to the shared folder.
+
+Keys of few rows need none of this: a pass over their order numbers them row by row, in as many tasks as there are.
 """
 
 from collections.abc import Iterator
@@ -16,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -245,19 +248,86 @@ def compose_saves_and_swaps(limits: Limits):
 NUMBERED = ("learning_team", "round", "swap", "saved", "snapshots", "learning_step", "ghost_step")
 
 
-def two_clocks(df: DataFrame, keys: list[str], order: list[str], limits: Limits, width: int | None = None) -> DataFrame:
-    """Adds NUMBERED to rows (keys, order, team, length): what holds when a row comes, and both clocks after it.
+# Keys of at most so many rows for each position of a block's width are numbered row by row.
+WHOLE = 16
+
+
+def plain(teams: list[int], lengths: list[int], limits: Limits, s: list[int]) -> list[tuple]:
+    """NUMBERED of rows in their order; s is what the rows before them left behind."""
+    round_, swap, saved, snapshots, learned, others, changed, kept, swapped = s
+    n, change, save, swap_after = limits.teams, limits.change, limits.save, limits.swap
+    who, out = round_ % n, []
+    for team, length in zip(teams, lengths):
+        if team == who:
+            learned += length
+        else:
+            others += length
+        out.append((who, round_, swap, saved, snapshots, learned, others))
+        turned = learned - changed > change
+        if learned - kept > save:
+            snapshots, kept = snapshots + 1, learned
+        if turned:
+            round_, changed = round_ + 1, learned
+            who = round_ % n
+        if turned or others - swapped > swap_after:
+            swap, swapped, saved = swap + 1, others, snapshots
+    s[:] = round_, swap, saved, snapshots, learned, others, changed, kept, swapped
+    return out
+
+
+def in_one_pass(rows: DataFrame, keys: list[str], order: list[str], names: list[str], limits: Limits, schema: T.StructType) -> DataFrame:
+    """Rows of keys as a whole, numbered one after another."""
+
+    def number(batches):
+        key, state = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            new[0] = True
+            for c in keys:
+                codes = batch.column(c).dictionary_encode().indices.to_numpy()
+                new[1:] |= codes[1:] != codes[:-1]
+            starts = np.flatnonzero(new).tolist()
+            teams, lengths = batch.column("team").to_pylist(), batch.column("length").to_pylist()
+            out = []
+            for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+                here = tuple(batch.column(c)[a].as_py() for c in keys)
+                if here != key:
+                    key, state = here, [0, 0, 1, 1, 0, 0, 0, 0, 0]
+                out += plain(teams[a:b], lengths[a:b], limits, state)
+            numbers = np.array(out, np.int64).T
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *[pa.array(x) for x in numbers]], [*names, *NUMBERED])
+
+    return python_partitions(rows, keys).sortWithinPartitions(*keys, *order).mapInArrow(number, schema)
+
+
+def two_clocks(
+    df: DataFrame, keys: list[str], order: list[str], limits: Limits, width: int | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Adds NUMBERED to rows (keys, order, team, length, keep): what holds when a row comes, and both clocks after it.
 
     saved is the number of snapshots when the last swap was made. `order` is total, its first column a number that cuts blocks of
     `width`; lengths aren't negative."""
     bk = [*keys, "_b"]
-    rows = df.select(*keys, *order, "team", F.col("length").cast("long").alias("length"))
+    names = [*keys, *order, "team", "length", *keep]
+    rows = df.select(*keys, *order, "team", F.col("length").cast("long").alias("length"), *keep)
     kinds = {f.name: f.dataType for f in rows.schema}
-    rows = rows.withColumn("_b", block_of(order[0], block_width(df, width)))
+    out_schema = T.StructType([T.StructField(c, kinds[c]) for c in names])
+    for c in NUMBERED:
+        out_schema = out_schema.add(c, T.LongType())
+    width = block_width(df, width)
+    rows = rows.withColumn("_b", block_of(order[0], width))
     for c in bk:
         rows = rows.filter(F.col(c).isNotNull())
-    # Four passes read these few columns: whatever they come from is computed once.
-    rows = python_partitions(cut(rows, "clock"), bk)
+    # Several passes read these few columns: whatever they come from is computed once.
+    rows = cut(rows, "clock")
+    # No more than a WHOLE-th of the rows for each position of a block: few enough for all tasks.
+    long = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > WHOLE * width).select(*keys), "long")
+    if long.isEmpty():
+        return in_one_pass(rows, keys, order, names, limits, out_schema)
+    short = in_one_pass(rows.join(F.broadcast(long), keys, "left_anti"), keys, order, names, limits, out_schema)
+    rows = python_partitions(rows.join(F.broadcast(long), keys, "left_semi"), bk)
     per_block = T.StructType([T.StructField(c, kinds.get(c, T.LongType())) for c in bk])
 
     def sorted_rows(entry: DataFrame | None) -> DataFrame:
@@ -276,23 +346,23 @@ def two_clocks(df: DataFrame, keys: list[str], order: list[str], limits: Limits,
             out = out.add(name, kind)
         return out
 
-    long = T.LongType()
+    count = T.LongType()
     lists = T.ArrayType(LONGS)
-    change_schema = extended(per_block, at=lists, hits=lists, rests=lists, learned=lists, totals=LONGS, steps=long)
+    change_schema = extended(per_block, at=lists, hits=lists, rests=lists, learned=lists, totals=LONGS, steps=count)
 
     def change_tables(batches):
         rows = ((*key, *change_table(*arrays(pdf), limits)) for key, pdf in whole_blocks(batches, bk))
         yield from frames(rows, change_schema)
 
-    entry_schema = extended(per_block, _round0=long, _since=long, _learned0=long, _others0=long)
+    entry_schema = extended(per_block, _round0=count, _since=count, _learned0=count, _others0=count)
     start = dict.fromkeys(("round", "since", "learned", "others"), 0)
     entries = ordered_fold(
         sorted_rows(None).mapInPandas(change_tables, change_schema), keys, ["_b"], lambda: dict(start), compose_changes(limits), entry_schema
     )
 
     table_schema = extended(
-        entry_schema, save_at=LONGS, save_hits=LONGS, save_rests=LONGS, swap_at=LONGS, swap_hits=LONGS, swap_rests=LONGS, tail_hits=long,
-        tail_rest=long, learned=long, others=long,
+        entry_schema, save_at=LONGS, save_hits=LONGS, save_rests=LONGS, swap_at=LONGS, swap_hits=LONGS, swap_rests=LONGS, tail_hits=count,
+        tail_rest=count, learned=count, others=count,
     )
     carried = entry_schema.fieldNames()[len(bk) :]
 
@@ -300,13 +370,13 @@ def two_clocks(df: DataFrame, keys: list[str], order: list[str], limits: Limits,
         rows = ((*key, *[int(pdf[c].iloc[0]) for c in carried], *entered(pdf).tables()) for key, pdf in whole_blocks(batches, bk))
         yield from frames(rows, table_schema)
 
-    full_schema = extended(entry_schema, _snapshots0=long, _saved_since=long, _swap0=long, _swapped_since=long)
+    full_schema = extended(entry_schema, _snapshots0=count, _saved_since=count, _swap0=count, _swapped_since=count)
     begin = {"snapshots": 1, "saved_since": 0, "swap": 0, "swapped_since": 0}
     entries = ordered_fold(
         sorted_rows(entries).mapInPandas(tables, table_schema), keys, ["_b"], lambda: dict(begin), compose_saves_and_swaps(limits), full_schema
     )
 
-    last_schema = extended(full_schema, _saved=long)
+    last_schema = extended(full_schema, _saved=count)
 
     def last_saved(batches):
         def rows():
@@ -324,11 +394,6 @@ def two_clocks(df: DataFrame, keys: list[str], order: list[str], limits: Limits,
     # The window lays blocks out by key alone; without this the rows would follow them, a key in one task.
     entries = python_partitions(entries, bk)
 
-    names = [*keys, *order, "team", "length"]
-    out_schema = T.StructType([T.StructField(c, kinds[c]) for c in names])
-    for c in NUMBERED:
-        out_schema = out_schema.add(c, long)
-
     def number(batches):
         held, size = [], 0
         for out in numbered(batches):
@@ -356,4 +421,4 @@ def two_clocks(df: DataFrame, keys: list[str], order: list[str], limits: Limits,
             out["learning_step"], out["ghost_step"] = entry["_learned0"] + block.learned, entry["_others0"] + block.others
             yield out
 
-    return sorted_rows(entries).mapInPandas(number, out_schema)
+    return short.unionByName(sorted_rows(entries).mapInPandas(number, out_schema))

@@ -237,3 +237,27 @@ def test_blocks_of_one_name_are_numbered_in_several_tasks(spark):
     traj = spark.createDataFrame(rows, "name string, arrival long, behavior_id string, worker_id int, agent_id long, episode long, segment long, team int, length long")
     out = P.self_play_schedule(traj, P.SelfPlay(40, 30, 60), width=16).withColumn("task", F.spark_partition_id())
     assert out.select("task").distinct().count() > 1 and out.count() == 400
+
+
+def test_short_names_are_numbered_in_one_pass(spark):
+    """Names of few rows take one pass, beside one of many rows that goes by blocks; columns to keep stay with their rows, in whatever frames they come."""
+    rng, limits = random.Random(11), Limits(2, 25, 9, 14)
+    rows, want = [], {}
+    for key, n in (("long", 700), *((f"n{i}", rng.randrange(1, 60)) for i in range(9))):
+        line = [(key, at, rng.randrange(2), rng.choice([0, 1, 4, 17]), f"{key} {at}") for at in range(n)]
+        rows += line
+        for row, found in zip(line, plain_clocks([r[2:4] for r in line], limits)):
+            want[row[4]] = found
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "name string, arrival long, team int, length long, kept string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 13)
+    try:
+        got = two_clocks(df, ["name"], ["arrival"], limits, 16, ("kept",)).collect()
+        short = two_clocks(df.filter("name <> 'long'"), ["name"], ["arrival"], limits, 16)
+        assert short.count() == sum(r[0] != "long" for r in rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.kept: tuple(r[c] for c in NUMBERED) for r in got} == want and len(got) == len(want)
+    assert all(r.kept == f"{r['name']} {r.arrival}" for r in got)
+    plan = short._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "MapInPandas" not in plan and "Join" not in plan
